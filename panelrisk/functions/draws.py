@@ -1,0 +1,40 @@
+"""Counter-based random draws as column expressions.
+
+A draw is a pure function of (seed, key, path, step, stream), so a path
+gives the same numbers on any partitioning, on any executor, after any task
+retry, and in plain SQL. One md5 digest yields four 32-bit uniforms;
+Box-Muller turns two uniforms into two standard normals.
+
+    u_i = (int(hex[8(i-1) : 8i]) + 0.5) / 2^32          i = 1..4
+    z_cos = sqrt(-2 ln u_a) * cos(2 pi u_b)
+    z_sin = sqrt(-2 ln u_a) * sin(2 pi u_b)
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TWO_32 = float(2**32)
+
+
+def digest(seed: int, *parts) -> Column:
+    """md5 hex digest of 'seed|part|part|...' (parts are columns or literals)."""
+    cols = [F.lit(str(seed))]
+    for p in parts:
+        cols.append(p.cast("string") if isinstance(p, Column) else F.lit(str(p)))
+    return F.md5(F.concat_ws("|", *cols))
+
+
+def uniform(hex_digest: Column, slot: int) -> Column:
+    """Uniform (0, 1) from the slot-th (1..4) 32-bit chunk of a hex digest."""
+    chunk = F.substring(hex_digest, 8 * (slot - 1) + 1, 8)
+    return (F.conv(chunk, 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+
+
+def box_muller(u_a: Column, u_b: Column) -> tuple[Column, Column]:
+    r = F.sqrt(F.lit(-2.0) * F.log(u_a))
+    angle = F.lit(2.0 * math.pi) * u_b
+    return r * F.cos(angle), r * F.sin(angle)
