@@ -1,3 +1,355 @@
 """More SQL oracles."""
 
 from __future__ import annotations
+
+from .oracle import PANEL_METRICS, oracle, round_cols
+from .sqlparts import D, EVENTS_DAILY, PANEL_QUARTER, PANEL_YEAR, RISK_PANEL, cte, r6
+
+CUT_YEAR = 1997
+INDICATOR_ROWS = 16
+LINEITEM_COLS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
+EV = ["value", "avg_value"]
+PQ_DOUBLE = """pq AS (SELECT * REPLACE (CAST(n_orders AS DOUBLE) AS n_orders) FROM panel_quarter),
+py AS (SELECT * REPLACE (CAST(n_orders AS DOUBLE) AS n_orders) FROM panel_year)"""
+M = PANEL_METRICS
+
+
+def all_r6(cols):
+    return ", ".join(f"{r6(c)} AS {c}" for c in cols)
+
+
+@oracle("profile_table")
+def o_profile_table():
+    nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in LINEITEM_COLS)
+    return f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, {len(LINEITEM_COLS)} AS n_cols,
+  CAST({nulls} AS BIGINT) AS n_nulls, CAST(min(l_shipdate) AS DATE) AS min_date,
+  CAST(max(l_shipdate) AS DATE) AS max_date FROM lineitem"""
+
+
+@oracle("parse_period")
+def o_parse_period():
+    return f"""{cte(PANEL_QUARTER)},
+lab AS (SELECT nation_key, CAST(year AS VARCHAR) || ' T' || CAST(quarter AS VARCHAR) AS period FROM panel_quarter),
+p AS (SELECT nation_key, period,
+        CAST(regexp_extract(period, '^\\s*(\\d{{4}})', 1) AS INTEGER) AS year,
+        CAST(regexp_extract(period, '[Tt]\\s*([1-4])\\s*$', 1) AS INTEGER) AS quarter FROM lab)
+SELECT nation_key, period, year, quarter, make_date(year, (quarter - 1) * 3 + 1, 1) AS period_start FROM p"""
+
+
+@oracle("year_slice")
+def o_year_slice():
+    cols = ["volume", "unit_price", "disc_pct", "ret_pct", "open_pct", "tax_take"]
+    return f"""{cte(PANEL_YEAR)}
+SELECT nation_key, year, {round_cols(cols)}, n_orders FROM panel_year WHERE year BETWEEN 1996 AND 1999"""
+
+
+@oracle("complete_rows")
+def o_complete_rows():
+    return f"""{cte(EVENTS_DAILY)}
+SELECT user_id, day, n_events, {all_r6(EV)} FROM events_daily
+WHERE value IS NOT NULL AND avg_value IS NOT NULL"""
+
+
+@oracle("temporal_split")
+def o_temporal_split():
+    return f"""{cte(PANEL_QUARTER)}
+SELECT nation_key, period_start, split FROM (
+  SELECT nation_key, period_start,
+         CASE WHEN coalesce(year, year(period_start)) <= 1999 THEN 'train'
+              WHEN coalesce(year, year(period_start)) >= 2000 THEN 'test' END AS split
+  FROM panel_quarter) WHERE split IS NOT NULL"""
+
+
+@oracle("min_sample_gate")
+def o_min_sample_gate():
+    return f"""{cte(EVENTS_DAILY)}
+SELECT user_id, count(*) FILTER (WHERE pos <= 20) AS n_train, count(*) FILTER (WHERE pos > 20) AS n_test
+FROM events_daily WHERE value IS NOT NULL GROUP BY user_id
+HAVING count(*) FILTER (WHERE pos <= 20) >= 10 AND count(*) FILTER (WHERE pos > 20) >= 2"""
+
+
+INITIAL = f"""init_m AS (
+  SELECT nation_key, period_start,
+         {D(4.7)} * volume / n_orders AS production,
+         {D(45)} + {D(0.5)} * ret_pct AS debt_ratio,
+         {D(4.7)} * volume / n_orders * ({D(1.5)} + open_pct / {D(30)}) AS reserves,
+         disc_pct AS deficit,
+         {D(15)} + {D(0.5)} * open_pct AS employment,
+         {D(11)} AS revenue_share, {D(8300)} AS vat_take,
+         row_number() OVER (PARTITION BY nation_key ORDER BY period_start DESC) AS rn
+  FROM risk_panel),
+init AS (SELECT * EXCLUDE (rn) FROM init_m WHERE rn = 1)"""
+INITIAL_COLS = ["production", "debt_ratio", "reserves", "deficit", "employment", "revenue_share", "vat_take"]
+
+
+@oracle("last_observation")
+def o_last_observation():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL)}
+SELECT nation_key, period_start, {all_r6(INITIAL_COLS)} FROM init"""
+
+
+@oracle("quarter_calendar")
+def o_quarter_calendar():
+    return f"""{cte(PANEL_QUARTER)},
+b AS (SELECT nation_key, min(period_start) AS d0, max(period_start) AS d1 FROM panel_quarter GROUP BY 1)
+SELECT b.nation_key, CAST(g.d AS DATE) AS period_start
+FROM b, LATERAL generate_series(b.d0, b.d1, INTERVAL 3 MONTH) AS g(d)"""
+
+
+@oracle("first_n")
+def o_first_n():
+    cols = ["volume", "unit_price", "disc_pct", "ret_pct", "open_pct", "tax_take"]
+    return f"""{cte(PANEL_QUARTER)}
+SELECT nation_key, period_start, year, quarter, {round_cols(cols)}, n_orders FROM (
+  SELECT *, row_number() OVER (PARTITION BY nation_key ORDER BY period_start) AS rn FROM panel_quarter)
+WHERE rn <= {INDICATOR_ROWS}"""
+
+
+@oracle("clip_bounds")
+def o_clip_bounds():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL)}
+SELECT nation_key, period_start,
+  {r6(f"least(debt_ratio, {D(40)})")} AS debt_ratio,
+  {r6(f"greatest(rp_ratio, {D(25)})")} AS rp_ratio,
+  {r6(f"least(greatest(deficit, {D(4)}), {D(6)})")} AS deficit
+FROM risk_panel"""
+
+
+# ---------------------------------------------------------------- cleaning SQL
+
+
+def interp_sql(src: str, name: str, key: str, order: str, cols, pos: str | None = None) -> str:
+    """CTE ``name``: position-based linear interpolation of ``cols``."""
+    i = f"CAST({pos} AS DOUBLE)" if pos else f"CAST(row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS DOUBLE)"
+    helpers = []
+    for c in cols:
+        at = f"CASE WHEN {c} IS NOT NULL THEN __i END"
+        helpers.append(
+            f"last_value({c} IGNORE NULLS) OVER pre AS __lv_{c}, last_value({at} IGNORE NULLS) OVER pre AS __li_{c}, "
+            f"first_value({c} IGNORE NULLS) OVER post AS __nv_{c}, first_value({at} IGNORE NULLS) OVER post AS __ni_{c}"
+        )
+    repl = ", ".join(
+        f"coalesce({c}, __lv_{c} + (__nv_{c} - __lv_{c}) * (__i - __li_{c}) / (__ni_{c} - __li_{c}), __lv_{c}, __nv_{c}) AS {c}"
+        for c in cols
+    )
+    excl = ", ".join(["__i"] + [f"__{p}_{c}" for c in cols for p in ("lv", "li", "nv", "ni")])
+    return f"""{name}_p AS (SELECT *, {i} AS __i FROM {src}),
+{name}_h AS (SELECT *, {", ".join(helpers)} FROM {name}_p
+  WINDOW pre AS (PARTITION BY {key} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         post AS (PARTITION BY {key} ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{name} AS (SELECT * EXCLUDE ({excl}) REPLACE ({repl}) FROM {name}_h)"""
+
+
+def fill_sql(src: str, name: str, key: str, order: str, cols) -> str:
+    repl = ", ".join(
+        f"coalesce({c}, last_value({c} IGNORE NULLS) OVER pre, first_value({c} IGNORE NULLS) OVER post) AS {c}"
+        for c in cols
+    )
+    return f"""{name} AS (SELECT * REPLACE ({repl}) FROM {src}
+  WINDOW pre AS (PARTITION BY {key} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         post AS (PARTITION BY {key} ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+def winsor_sql(src: str, name: str, key: str, cols, k: float = 1.5) -> str:
+    qs = ", ".join(
+        f"quantile_cont({c}, 0.25) OVER w AS __q1_{c}, quantile_cont({c}, 0.75) OVER w AS __q3_{c}" for c in cols
+    )
+    repl = ", ".join(
+        f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, __q1_{c} - {D(k)} * (__q3_{c} - __q1_{c})), "
+        f"__q3_{c} + {D(k)} * (__q3_{c} - __q1_{c})) END AS {c}"
+        for c in cols
+    )
+    excl = ", ".join(f"__q{j}_{c}" for c in cols for j in (1, 3))
+    return f"""{name}_q AS (SELECT *, {qs} FROM {src} WINDOW w AS (PARTITION BY {key})),
+{name} AS (SELECT * EXCLUDE ({excl}) REPLACE ({repl}) FROM {name}_q)"""
+
+
+def clean_sql(src: str, name: str, key: str, order: str, cols) -> str:
+    return ",\n".join(
+        [
+            interp_sql(src, f"{name}_c1", key, order, cols),
+            fill_sql(f"{name}_c1", f"{name}_c2", key, order, cols),
+            winsor_sql(f"{name}_c2", name, key, cols),
+        ]
+    )
+
+
+@oracle("interpolate_linear")
+def o_interpolate_linear():
+    return f"""{cte(EVENTS_DAILY, interp_sql("events_daily", "ip", "user_id", "day", EV, pos="pos"))}
+SELECT user_id, day, {all_r6(EV)} FROM ip"""
+
+
+@oracle("fill_forward_back")
+def o_fill_forward_back():
+    return f"""{cte(EVENTS_DAILY, fill_sql("events_daily", "ff", "user_id", "day", EV))}
+SELECT user_id, day, {all_r6(EV)} FROM ff"""
+
+
+@oracle("iqr_winsorize")
+def o_iqr_winsorize():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, winsor_sql("pq", "wz", "nation_key", M))}
+SELECT nation_key, period_start, {all_r6(M)} FROM wz"""
+
+
+@oracle("iqr_outlier_report")
+def o_iqr_outlier_report():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE)},
+lng AS (UNPIVOT (SELECT nation_key, {", ".join(M)} FROM pq) ON {", ".join(M)} INTO NAME "column" VALUE value),
+qq AS (SELECT *, quantile_cont(value, 0.25) OVER w AS q1, quantile_cont(value, 0.75) OVER w AS q3
+       FROM lng WINDOW w AS (PARTITION BY nation_key, "column")),
+bb AS (SELECT *, q1 - {D(1.5)} * (q3 - q1) AS lower, q3 + {D(1.5)} * (q3 - q1) AS upper FROM qq)
+SELECT nation_key, "column", {r6("first(lower)")} AS lower, {r6("first(upper)")} AS upper,
+       count(*) FILTER (WHERE value < lower OR value > upper) AS n_outliers
+FROM bb GROUP BY nation_key, "column\""""
+
+
+@oracle("null_counts")
+def o_null_counts():
+    cols = ["user_id", "day", "pos", "n_events", "value", "avg_value"]
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM events_daily" for c in cols
+    )
+    return f"""{cte(EVENTS_DAILY)}
+{parts}"""
+
+
+# ---------------------------------------------------------------- disaggregation SQL
+
+
+def trend_sql(src: str, name: str, cols) -> str:
+    bs = ", ".join(
+        f"CASE WHEN count({c}) OVER w = 1 THEN {D(10)} * {c} / {D(116)} "
+        f"ELSE regr_slope({c}, __pos) OVER w / {D(16)} END AS __b_{c}"
+        for c in cols
+    )
+    vals = ", ".join(f"{c} / {D(4)} + {D(1)} * __b_{c} * (CAST(t.q AS DOUBLE) - {D(2.5)}) AS {c}" for c in cols)
+    return f"""{name}_a AS (SELECT nation_key, year, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)},
+    CAST(row_number() OVER (PARTITION BY nation_key ORDER BY year) AS DOUBLE) AS __pos FROM {src}),
+{name}_b AS (SELECT *, {bs} FROM {name}_a WINDOW w AS (PARTITION BY nation_key)),
+{name} AS (SELECT nation_key, year, CAST(t.q AS INTEGER) AS quarter,
+    make_date(year, (CAST(t.q AS INTEGER) - 1) * 3 + 1, 1) AS period_start, {vals}
+  FROM {name}_b, range(1, 5) AS t(q))"""
+
+
+def indicator_sql(annual: str, ind: str, name: str, cols) -> str:
+    xs = ", ".join(f"CAST({c} AS DOUBLE) AS __x_{c}" for c in cols)
+    ss = ", ".join(f"sum(__x_{c}) OVER (PARTITION BY nation_key, year) AS __s_{c}" for c in cols)
+    bs = ", ".join(
+        f"CASE WHEN sum(__x_{c} * __s_{c}) OVER w = 0 THEN {D(0)} "
+        f"ELSE sum(__x_{c} * {c}) OVER w / sum(__x_{c} * __s_{c}) OVER w END AS __beta_{c}"
+        for c in cols
+    )
+    vals = ", ".join(
+        f"{D(1)} * (__beta_{c} * __x_{c} + ({c} - __beta_{c} * __s_{c}) / {D(4)}) AS {c}" for c in cols
+    )
+    return f"""{name}_a AS (SELECT nation_key, year, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)},
+    row_number() OVER (PARTITION BY nation_key ORDER BY year) AS __pos,
+    count(*) OVER (PARTITION BY nation_key) AS __n_a FROM {annual}),
+{name}_i AS (SELECT nation_key, period_start, {xs},
+    row_number() OVER (PARTITION BY nation_key ORDER BY period_start) AS __qpos,
+    count(*) OVER (PARTITION BY nation_key) AS __n_i FROM {ind}),
+{name}_j AS (SELECT a.nation_key, a.year, CAST((i.__qpos - 1) % 4 + 1 AS INTEGER) AS quarter,
+    {", ".join(f"a.{c}" for c in cols)}, {", ".join(f"i.__x_{c}" for c in cols)}
+  FROM {name}_i i JOIN {name}_a a ON i.nation_key = a.nation_key AND (i.__qpos - 1) // 4 + 1 = a.__pos
+  WHERE i.__n_i >= 4 * a.__n_a),
+{name}_s AS (SELECT *, {ss} FROM {name}_j),
+{name}_b AS (SELECT *, {bs} FROM {name}_s WINDOW w AS (PARTITION BY nation_key)),
+{name} AS (SELECT nation_key, year, quarter, make_date(year, (quarter - 1) * 3 + 1, 1) AS period_start, {vals}
+  FROM {name}_b)"""
+
+
+DIS_COLS = ["nation_key", "year", "quarter", "period_start"]
+
+
+@oracle("disaggregate_trend")
+def o_disaggregate_trend():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, trend_sql("py", "tr", M))}
+SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM tr"""
+
+
+@oracle("disaggregate_indicator")
+def o_disaggregate_indicator():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, indicator_sql("py", "pq", "di", M))}
+SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM di"""
+
+
+def check_sql(name: str, branch: str) -> str:
+    diffs = " UNION ALL ".join(
+        f"SELECT s.nation_key, '{c}' AS metric, abs(s.{c} - a.{c}) AS diff FROM {name}_sum s "
+        f"JOIN py a ON s.nation_key = a.nation_key AND s.year = a.year"
+        for c in M
+    )
+    return f"""{name}_sum AS (SELECT nation_key, year, {", ".join(f"sum({c}) AS {c}" for c in M)} FROM {name} GROUP BY ALL),
+{name}_chk AS (SELECT nation_key, metric, {r6("max(diff)")} AS max_abs_diff, '{branch}' AS branch
+  FROM ({diffs}) GROUP BY ALL)"""
+
+
+@oracle("disaggregate_check")
+def o_disaggregate_check():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, trend_sql("py", "tr", M), indicator_sql("py", "pq", "di", M),
+          check_sql("tr", "trend"), check_sql("di", "indicator"))}
+SELECT * FROM tr_chk UNION ALL SELECT * FROM di_chk"""
+
+
+def auto_sql(annual: str, quarterly: str, name: str) -> str:
+    """Per-key branch: indicator (first 16 quarterly rows) when long enough, else trend."""
+    return ",\n".join(
+        [
+            f"""{name}_ind AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nation_key ORDER BY period_start) AS __rn
+   FROM {quarterly}) WHERE __rn <= {INDICATOR_ROWS})""",
+            indicator_sql(annual, f"{name}_ind", f"{name}_di", M),
+            trend_sql(annual, f"{name}_tr", M),
+            f"""{name} AS (SELECT * FROM {name}_di UNION ALL
+  SELECT * FROM {name}_tr WHERE nation_key NOT IN (SELECT nation_key FROM {name}_di))""",
+        ]
+    )
+
+
+ANNUAL = f"ann AS (SELECT * FROM py WHERE year <= {CUT_YEAR})"
+QUARTERLY = f"qtr AS (SELECT * FROM pq WHERE year > {CUT_YEAR})"
+
+
+@oracle("disaggregate_all")
+def o_disaggregate_all():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, ANNUAL, QUARTERLY, auto_sql("ann", "qtr", "da"))}
+SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM da"""
+
+
+MASTER_SEL = f"{', '.join(DIS_COLS)}, {', '.join(M)}"
+
+
+@oracle("harmonize_panel")
+def o_harmonize_panel():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, ANNUAL, QUARTERLY, auto_sql("ann", "qtr", "da"))},
+h AS (SELECT {MASTER_SEL} FROM da UNION ALL SELECT {MASTER_SEL} FROM qtr)
+SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM h"""
+
+
+def master_sql() -> str:
+    return cte(
+        PANEL_QUARTER,
+        PANEL_YEAR,
+        PQ_DOUBLE,
+        ANNUAL,
+        QUARTERLY,
+        clean_sql("ann", "ann_c", "nation_key", "year", M),
+        clean_sql("qtr", "qtr_c", "nation_key", "period_start", M),
+        auto_sql("ann_c", "qtr_c", "mda"),
+        f"mh AS (SELECT {MASTER_SEL} FROM mda UNION ALL SELECT {MASTER_SEL} FROM qtr_c)",
+        clean_sql("mh", "master", "nation_key", "period_start", M),
+    )
+
+
+@oracle("clean_two_pass")
+def o_clean_two_pass():
+    return f"""{master_sql()}
+SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM master"""
+
+
+@oracle("master_panel")
+def o_master_panel():
+    return o_clean_two_pass()

@@ -1,3 +1,236 @@
 """More registered queries (cleaning, disaggregation, rules, projections, models, marts)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean as cl
+from ..operators import disagg as dg
+from ..operators import panel_ops as po
+from ..sources import panels
+from ..sources.tables import read_table
+from ..specs import INITIAL_DEFAULTS
+from .queries import KEY, PANEL_METRICS, quarter_panel, register, risk_panel, rounded, year_panel
+
+# Disaggregation / harmonising binding: annual rows up to CUT_YEAR are
+# disaggregated, true quarterly rows follow; the indicator is the first
+# INDICATOR_ROWS quarterly rows per key (positional, as surveyed).
+CUT_YEAR = 1997
+INDICATOR_ROWS = 16
+EVENT_COLS = ["value", "avg_value"]
+
+
+def events(spark, sf_dir):
+    return panels.events_daily(spark, sf_dir)
+
+
+def metrics_double(df):
+    return df.withColumn("n_orders", F.col("n_orders").cast("double"))
+
+
+# ---------------------------------------------------------------- sources / profile
+
+
+@register("profile_table")
+def q_profile_table(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    p = po.profile_table(li, "l_shipdate")
+    return p.select(
+        "n_rows", "n_cols", "n_nulls",
+        F.to_date("min_date").alias("min_date"), F.to_date("max_date").alias("max_date"),
+    )
+
+
+@register("parse_period")
+def q_parse_period(spark, sf_dir):
+    labelled = panels.period_labels(quarter_panel(spark, sf_dir))
+    return panels.parse_period(labelled).select(KEY, "period", "year", "quarter", "period_start")
+
+
+# ---------------------------------------------------------------- projections / filters
+
+
+@register("year_slice")
+def q_year_slice(spark, sf_dir):
+    return rounded(po.year_slice(year_panel(spark, sf_dir), 1996, 1999))
+
+
+@register("complete_rows")
+def q_complete_rows(spark, sf_dir):
+    df = po.complete_rows(events(spark, sf_dir), EVENT_COLS)
+    return rounded(df.select("user_id", "day", "n_events", "value", "avg_value"))
+
+
+@register("temporal_split")
+def q_temporal_split(spark, sf_dir):
+    df = po.temporal_split(quarter_panel(spark, sf_dir), 1999, 2000, date="period_start")
+    return df.select(KEY, "period_start", "split")
+
+
+def event_split(spark, sf_dir):
+    ev = po.complete_rows(events(spark, sf_dir), ["value"])
+    return ev.withColumn("split", F.when(F.col("pos") <= 20, F.lit("train")).otherwise(F.lit("test")))
+
+
+@register("min_sample_gate")
+def q_min_sample_gate(spark, sf_dir):
+    return po.sample_gate(event_split(spark, sf_dir), "user_id", min_train=10, min_test=2)
+
+
+INITIAL_COLS = ["production", "debt_ratio", "reserves", "deficit", "employment", "revenue_share", "vat_take"]
+
+
+def initial_conditions(spark, sf_dir):
+    """Per-nation starting point for projections: the last panel quarter,
+    mapped affinely into the surveyed numeric ranges. Fields the panel does
+    not carry (revenue share, VAT take) take the surveyed defaults."""
+    rp = risk_panel(spark, sf_dir)
+    mapped = rp.select(
+        KEY,
+        "period_start",
+        (F.lit(4.7) * F.col("volume") / F.col("n_orders")).alias("production"),
+        (F.lit(45.0) + F.lit(0.5) * F.col("ret_pct")).alias("debt_ratio"),
+        (F.lit(4.7) * F.col("volume") / F.col("n_orders") * (F.lit(1.5) + F.col("open_pct") / F.lit(30.0))).alias(
+            "reserves"
+        ),
+        F.col("disc_pct").alias("deficit"),
+        (F.lit(15.0) + F.lit(0.5) * F.col("open_pct")).alias("employment"),
+        F.lit(None).cast("double").alias("revenue_share"),
+        F.lit(None).cast("double").alias("vat_take"),
+    )
+    return po.last_observation(mapped, KEY, "period_start", INITIAL_COLS, INITIAL_DEFAULTS)
+
+
+@register("last_observation")
+def q_last_observation(spark, sf_dir):
+    return rounded(initial_conditions(spark, sf_dir))
+
+
+@register("quarter_calendar")
+def q_quarter_calendar(spark, sf_dir):
+    return po.quarter_calendar(quarter_panel(spark, sf_dir), KEY)
+
+
+@register("first_n")
+def q_first_n(spark, sf_dir):
+    return rounded(po.first_n(quarter_panel(spark, sf_dir), KEY, "period_start", INDICATOR_ROWS))
+
+
+CLIP_BOUNDS = {"debt_ratio": (None, 40.0), "rp_ratio": (25.0, None), "deficit": (4.0, 6.0)}
+
+
+@register("clip_bounds")
+def q_clip_bounds(spark, sf_dir):
+    df = cl.clip_bounds(risk_panel(spark, sf_dir), CLIP_BOUNDS)
+    return rounded(df.select(KEY, "period_start", *CLIP_BOUNDS))
+
+
+# ---------------------------------------------------------------- cleaning
+
+
+@register("interpolate_linear")
+def q_interpolate_linear(spark, sf_dir):
+    df = cl.interpolate_linear(events(spark, sf_dir), EVENT_COLS, "user_id", "day", pos="pos")
+    return rounded(df.select("user_id", "day", *EVENT_COLS))
+
+
+@register("fill_forward_back")
+def q_fill_forward_back(spark, sf_dir):
+    df = cl.fill_forward_back(events(spark, sf_dir), EVENT_COLS, "user_id", "day")
+    return rounded(df.select("user_id", "day", *EVENT_COLS))
+
+
+@register("iqr_winsorize")
+def q_iqr_winsorize(spark, sf_dir):
+    df = cl.iqr_winsorize(metrics_double(quarter_panel(spark, sf_dir)), PANEL_METRICS, by=KEY)
+    return rounded(df.select(KEY, "period_start", *PANEL_METRICS))
+
+
+@register("iqr_outlier_report")
+def q_iqr_outlier_report(spark, sf_dir):
+    return rounded(cl.iqr_outlier_report(metrics_double(quarter_panel(spark, sf_dir)), PANEL_METRICS, by=KEY))
+
+
+@register("null_counts")
+def q_null_counts(spark, sf_dir):
+    return cl.null_counts(events(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- disaggregation
+
+
+def annual_part(spark, sf_dir):
+    return metrics_double(year_panel(spark, sf_dir)).where(F.col("year") <= CUT_YEAR)
+
+
+def quarterly_part(spark, sf_dir):
+    return metrics_double(quarter_panel(spark, sf_dir)).where(F.col("year") > CUT_YEAR)
+
+
+@register("disaggregate_trend")
+def q_disaggregate_trend(spark, sf_dir):
+    return rounded(dg.disaggregate_trend(metrics_double(year_panel(spark, sf_dir)), PANEL_METRICS, KEY))
+
+
+@register("disaggregate_indicator")
+def q_disaggregate_indicator(spark, sf_dir):
+    annual = metrics_double(year_panel(spark, sf_dir))
+    indicator = metrics_double(quarter_panel(spark, sf_dir))
+    return rounded(dg.disaggregate_indicator(annual, indicator, PANEL_METRICS, KEY))
+
+
+@register("disaggregate_check")
+def q_disaggregate_check(spark, sf_dir):
+    annual = metrics_double(year_panel(spark, sf_dir))
+    indicator = metrics_double(quarter_panel(spark, sf_dir))
+    t = dg.aggregation_check(annual, dg.disaggregate_trend(annual, PANEL_METRICS, KEY), PANEL_METRICS, KEY)
+    i = dg.aggregation_check(
+        annual, dg.disaggregate_indicator(annual, indicator, PANEL_METRICS, KEY), PANEL_METRICS, KEY
+    )
+    out = t.withColumn("branch", F.lit("trend")).unionByName(i.withColumn("branch", F.lit("indicator")))
+    return rounded(out)
+
+
+def disaggregated(annual, quarterly):
+    indicator = po.first_n(quarterly, KEY, "period_start", INDICATOR_ROWS)
+    return dg.disaggregate(annual, PANEL_METRICS, KEY, indicator=indicator)
+
+
+@register("disaggregate_all")
+def q_disaggregate_all(spark, sf_dir):
+    return rounded(disaggregated(annual_part(spark, sf_dir), quarterly_part(spark, sf_dir)))
+
+
+MASTER_COLS = [KEY, "year", "quarter", "period_start", *PANEL_METRICS]
+
+
+@register("harmonize_panel")
+def q_harmonize_panel(spark, sf_dir):
+    a, q = annual_part(spark, sf_dir), quarterly_part(spark, sf_dir)
+    return rounded(dg.harmonize(disaggregated(a, q), q, MASTER_COLS))
+
+
+def master(annual, quarterly):
+    """Clean each source, disaggregate, union, clean the union again."""
+    a = cl.clean(annual, PANEL_METRICS, KEY, "year")
+    q = cl.clean(quarterly, PANEL_METRICS, KEY, "period_start")
+    h = dg.harmonize(disaggregated(a, q), q, MASTER_COLS)
+    return cl.clean(h, PANEL_METRICS, KEY, "period_start")
+
+
+@register("clean_two_pass")
+def q_clean_two_pass(spark, sf_dir):
+    return rounded(master(annual_part(spark, sf_dir), quarterly_part(spark, sf_dir)))
+
+
+def master_from_sources(spark, sf_dir):
+    """Full ETL (H2) from source-shaped inputs: the quarterly source carries
+    'YYYY Tq' labels that are parsed back (S4/P8) before the pipeline."""
+    labelled = panels.period_labels(metrics_double(quarter_panel(spark, sf_dir)))
+    parsed = panels.parse_period(labelled).where(F.col("year") > CUT_YEAR)
+    return master(annual_part(spark, sf_dir), parsed)
+
+
+@register("master_panel")
+def q_master_panel(spark, sf_dir):
+    return rounded(master_from_sources(spark, sf_dir))
