@@ -1,13 +1,17 @@
 """Counter-based random draws as column expressions.
 
-A draw is a pure function of (seed, key, path, step, stream), so a path
-gives the same numbers on any partitioning, on any executor, after any task
-retry, and in plain SQL. One md5 digest yields four 32-bit uniforms;
-Box-Muller turns two uniforms into two standard normals.
-
-    u_i = (int(hex[8(i-1) : 8i]) + 0.5) / 2^32          i = 1..4
-    z_cos = sqrt(-2 ln u_a) * cos(2 pi u_b)
-    z_sin = sqrt(-2 ln u_a) * sin(2 pi u_b)
+A draw is a pure function of (seed, key, path, step, slot), so a path gets
+the same numbers on any partitioning, on any executor, after any task
+retry, and in plain SQL. The generator is a 32-bit integer mixer (shift,
+xor, multiply by a constant below 2^27, mask), i.e. pure long arithmetic
+inside whole-stage codegen: no strings, no digests, and no product can
+overflow a signed 64-bit integer (so ANSI mode never trips).
+
+    mix(x)  = x ^= x >> 16; x = (x * C) & M; x ^= x >> 16; x = (x * C) & M; x ^= x >> 16
+    stream  = mix-chain over seed, each key part and the path (low/high words)
+    step    = mix(stream ^ t)
+    u_slot  = (mix((step + slot * G) & M) + 0.5) / 2^32
+    z_cos, z_sin = Box-Muller(u_a, u_b)
 """
 
 from __future__ import annotations
@@ -17,21 +21,64 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MASK = 0xFFFFFFFF
+MIX_C = 0x45D9F3B  # multiplier of the integer mixer
+GOLDEN = 0x9E3779B9  # slot spacing (2^32 / golden ratio)
 TWO_32 = float(2**32)
 
 
-def digest(seed: int, *parts) -> Column:
-    """md5 hex digest of 'seed|part|part|...' (parts are columns or literals)."""
-    cols = [F.lit(str(seed))]
+def _m(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(MASK))
+
+
+def mix(x: Column) -> Column:
+    """32-bit avalanche mixer on a non-negative long (< 2^32)."""
+    c = F.lit(MIX_C)
+    x = F.shiftright(x, 16).bitwiseXOR(x)
+    x = _m(x * c)
+    x = F.shiftright(x, 16).bitwiseXOR(x)
+    x = _m(x * c)
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+def mix_int(x: int) -> int:
+    """Python twin of ``mix`` (for literals and tests)."""
+    x = ((x >> 16) ^ x) * MIX_C & MASK
+    x = ((x >> 16) ^ x) * MIX_C & MASK
+    return (x >> 16) ^ x
+
+
+def with_stream(df, out: str, seed: int, *parts: str):
+    """Attach a per-entity stream id column: a mix-chain over the low and high
+    32-bit words of each integer part column (e.g. key and path).
+
+    Each mixer stage is its own column, so every ``mix`` input is a plain
+    attribute — nesting mixers inline would duplicate the input expression
+    eight-fold per stage.
+    """
+    h = F.lit(mix_int(seed & MASK)).cast("long")
+    n = 0
     for p in parts:
-        cols.append(p.cast("string") if isinstance(p, Column) else F.lit(str(p)))
-    return F.md5(F.concat_ws("|", *cols))
+        v = F.col(p).cast("long")
+        for word in (_m(v), _m(F.shiftright(v, 32))):
+            name = f"{out}__{n}"
+            df = df.withColumn(name, mix(h.bitwiseXOR(word)))
+            h = F.col(name)
+            n += 1
+    df = df.withColumn(out, h)
+    return df.drop(*[f"{out}__{i}" for i in range(n)])
+
+
+def step(stream_col: Column, t) -> Column:
+    """Per-step hash of a stream (t: int or integer column)."""
+    tt = F.lit(int(t)) if isinstance(t, int) else t.cast("long")
+    return mix(stream_col.bitwiseXOR(tt))
 
 
-def uniform(hex_digest: Column, slot: int) -> Column:
-    """Uniform (0, 1) from the slot-th (1..4) 32-bit chunk of a hex digest."""
-    chunk = F.substring(hex_digest, 8 * (slot - 1) + 1, 8)
-    return (F.conv(chunk, 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+def uniform(step_col: Column, slot: int) -> Column:
+    """Uniform on (0, 1) for slot 1, 2, … of a step hash."""
+    h = mix(_m(step_col + F.lit(slot * GOLDEN)))
+    return (h.cast("double") + F.lit(0.5)) / F.lit(TWO_32)
 
 
 def box_muller(u_a: Column, u_b: Column) -> tuple[Column, Column]:

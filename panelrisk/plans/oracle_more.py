@@ -353,3 +353,297 @@ SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM master"""
 @oracle("master_panel")
 def o_master_panel():
     return o_clean_two_pass()
+
+
+# ---------------------------------------------------------------- rules / projections SQL
+
+import math  # noqa: E402
+
+from ..specs import FIXED_INDEX_A, FIXED_INDEX_B, REFERENCE_RULES, REFERENCE_SCENARIOS, Horizon, PathModel  # noqa: E402
+from .oracle import risk_index_cte  # noqa: E402
+from .sqlparts import fixed_index_sql, rules_sql  # noqa: E402
+
+PATHS_PER_KEY = 2000
+H = Horizon()
+
+
+@oracle("breach_score")
+def o_breach_score():
+    rules = [("ret_pct", ">", 36.0), ("open_pct", ">", 52.0), ("disc_pct", ">", 5.2),
+             ("unit_price", "<", 2100.0), ("n_orders", "<", 60.0), ("irfc", ">", 60.0)]
+    s = " + ".join(f"coalesce(CAST(CAST({c} AS DOUBLE) {op} {D(v)} AS INTEGER), 0)" for c, op, v in rules)
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())}
+SELECT nation_key, period_start, CAST({s} AS INTEGER) AS score, ({s}) >= 3 AS breach FROM ri"""
+
+
+SCEN_VALUES = "scen(scenario, price, growth, decline, trend) AS (VALUES " + ", ".join(
+    f"('{s.name}', {D(s.price)}, {D(s.growth)}, {D(s.decline)}, {D(s.deficit_trend)})" for s in REFERENCE_SCENARIOS
+) + ")"
+
+
+@oracle("scenario_grid")
+def o_scenario_grid():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES)}
+SELECT i.nation_key, s.scenario, CAST(y.year AS INTEGER) AS year
+FROM init i, scen s, range({H.start_year}, {H.end_year + 1}) AS y(year)"""
+
+
+def scenario_sql() -> str:
+    """CTE ``proj``: unrolled deterministic scenario recurrence."""
+    steps = [
+        f"""sc0 AS (SELECT i.nation_key, s.scenario, s.price, s.growth, s.decline, s.trend,
+    i.production AS q, i.debt_ratio AS d, i.reserves AS r, i.deficit AS def FROM init i, scen s)"""
+    ]
+    outs = []
+    for t in range(1, H.years + 1):
+        p = f"sc{t - 1}"
+        steps.append(
+            f"""sc{t}a AS (SELECT *, greatest(q * ({D(1)} + decline), {D(50)}) AS nq FROM {p}),
+sc{t}b AS (SELECT nation_key, scenario, price, growth, decline, trend, nq AS q,
+    greatest(r - nq * {D(365)} / {D(1000)}, {D(0)}) AS r,
+    greatest(d * {D(1.0 + 0.05)} / ({D(1)} + growth / {D(100)}) + def * {D(0.5)}, {D(10)}) AS d,
+    def + trend AS def FROM sc{t}a),
+sc{t}c AS (SELECT *, CASE WHEN q > 0 THEN r / (q * {D(365)} / {D(1000)}) ELSE {D(0)} END AS rp_ratio,
+    least(greatest({D(11)} * (price / {D(65)}) * (q / {D(470)}) * {D(0.85)}, {D(2)}), {D(25)}) AS revenue_share,
+    {D(8300)} * ({D(1)} + growth / {D(100)}) AS vat_take,
+    {D(38)} + growth * {D(2)} AS employment FROM sc{t}b),
+sc{t}d AS (SELECT *, {fixed_index_sql(FIXED_INDEX_B).replace("debt_ratio", "d").replace("deficit", "def")} AS irfc FROM sc{t}c),
+sc{t}e AS (SELECT *, CAST({rules_sql(REFERENCE_RULES, {"debt_ratio": "d", "deficit": "def", "production": "q", "reserves": "r"})} AS INTEGER) AS collapse_score FROM sc{t}d),
+sc{t} AS (SELECT nation_key, scenario, price, growth, decline, trend, q, d, r, def FROM sc{t}e)"""
+        )
+        outs.append(
+            f"""SELECT nation_key, scenario, {H.start_year + t - 1} AS year, q AS production, price, growth AS gdp_growth,
+    d AS debt_ratio, r AS reserves, revenue_share, vat_take, def AS deficit, employment, rp_ratio,
+    q * price * {D(365)} / {D(1000)} * {D(0.65)} AS exports, {D(14.3)} * (revenue_share / {D(11)}) AS investment,
+    irfc, collapse_score, collapse_score >= {REFERENCE_RULES.breach_at} AS collapse FROM sc{t}e"""
+        )
+    return ",\n".join(steps) + ",\nproj AS (" + "\nUNION ALL\n".join(outs) + ")"
+
+
+PROJ_D = ["production", "price", "gdp_growth", "debt_ratio", "reserves", "revenue_share", "vat_take", "deficit",
+          "employment", "rp_ratio", "exports", "investment", "irfc"]
+
+
+@oracle("scenario_projection")
+def o_scenario_projection():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
+SELECT nation_key, scenario, year, {all_r6(PROJ_D)}, collapse_score, collapse FROM proj"""
+
+
+@oracle("scenario_collapse_share")
+def o_scenario_collapse_share():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
+SELECT nation_key, scenario, {r6("avg(CAST(collapse AS DOUBLE))")} AS collapse_share FROM proj GROUP BY ALL"""
+
+
+@oracle("scenario_comparison")
+def o_scenario_comparison():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
+SELECT nation_key, upper(substr(scenario, 1, 1)) || lower(substr(scenario, 2)) AS scenario, year,
+  {all_r6(["production", "debt_ratio", "reserves", "irfc"])}, collapse_score,
+  CASE WHEN collapse THEN 'SÍ' ELSE 'NO' END AS collapse
+FROM proj WHERE year = {H.end_year}"""
+
+
+# ---- stochastic paths: counter-based draws, unrolled years
+
+TWO_PI = D(2.0 * math.pi)
+
+
+MASK = 0xFFFFFFFF
+MIX_C = 0x45D9F3B
+GOLDEN = 0x9E3779B9
+
+
+def mix_int(x: int) -> int:
+    x = ((x >> 16) ^ x) * MIX_C & MASK
+    x = ((x >> 16) ^ x) * MIX_C & MASK
+    return (x >> 16) ^ x
+
+
+def MIX(x: str) -> str:
+    """32-bit integer mixer on a BIGINT expression (kept short: x repeats)."""
+    a = f"((xor(({x}) >> 16, ({x})) * {MIX_C}) & {MASK})"
+    b = f"((xor({a} >> 16, {a}) * {MIX_C}) & {MASK})"
+    return f"xor({b} >> 16, {b})"
+
+
+def stream_ctes(src: str, name: str) -> str:
+    """CTE ``name`` = src + __st, the path stream id (mix chain over the low
+    and high words of nation_key and path), one CTE per mixer stage."""
+    parts = [("nation_key", 0), ("nation_key", 32), ("path", 0), ("path", 32)]
+    prev_src, prev = src, str(mix_int(42 & MASK))
+    out = []
+    for i, (c, sh) in enumerate(parts):
+        word = f"(CAST({c} AS BIGINT) & {MASK})" if sh == 0 else f"((CAST({c} AS BIGINT) >> 32) & {MASK})"
+        cur = f"{name}_{i}"
+        out.append(f"{cur} AS (SELECT *, {MIX(f'xor({prev}, {word})')} AS __s{i} FROM {prev_src})")
+        prev_src, prev = cur, f"__s{i}"
+    out.append(f"{name} AS (SELECT * EXCLUDE (__s0, __s1, __s2) RENAME (__s3 AS __st) FROM {prev_src})")
+    return ",\n".join(out)
+
+
+def STEP(t) -> str:
+    return MIX(f"xor(__st, CAST({t} AS BIGINT))")
+
+
+def U(h: str, slot: int) -> str:
+    return f"((CAST({MIX(f'(({h}) + {slot * GOLDEN}) & {MASK}')} AS DOUBLE) + {D(0.5)}) / {D(2.0**32)})"
+
+
+def BMR(u: str) -> str:
+    return f"sqrt({D(-2.0)} * ln({u}))"
+
+
+def clip_sql(x: str, lo: float, hi: float) -> str:
+    return f"least(greatest({x}, {D(lo)}), {D(hi)})"
+
+
+def paths_base_sql(n: int = PATHS_PER_KEY) -> str:
+    m = PathModel()
+    return f"""pth AS (SELECT i.*, CAST(g.path AS BIGINT) AS path FROM init i, range(0, {n}) AS g(path)),
+{stream_ctes("pth", "pst")},
+ph0 AS (SELECT *, {STEP(0)} AS __h0 FROM pst),
+pu AS (SELECT *, {U("__h0", 1)} AS __p1, {U("__h0", 2)} AS __p2, {U("__h0", 3)} AS __p3, {U("__h0", 4)} AS __p4 FROM ph0),
+par AS (SELECT nation_key, path, __st, production, debt_ratio, reserves, deficit, employment, revenue_share,
+    {clip_sql(f"{D(m.delta[0])} + {D(m.delta[1])} * ({BMR('__p1')} * cos({TWO_PI} * __p2))", m.delta[2], m.delta[3])} AS delta,
+    {clip_sql(f"{D(m.price[0])} + {D(m.price[1])} * ({BMR('__p1')} * sin({TWO_PI} * __p2))", m.price[2], m.price[3])} AS price,
+    {clip_sql(f"{D(m.growth[0])} + {D(m.growth[1])} * ({BMR('__p3')} * cos({TWO_PI} * __p4))", m.growth[2], m.growth[3])} AS growth
+  FROM pu)"""
+
+
+def shocks_sql(src: str, t) -> str:
+    """SELECT of src plus the seven shocks of step t (SQL integer expr)."""
+    m = PathModel()
+    us = ", ".join(f"{U('__h', i)} AS __u{i}" for i in range(1, 8))
+    return f"""SELECT * EXCLUDE (__h, __u1, __u2, __u3, __u4, __u5, __u6, __ra, __rb, __rc) RENAME (__u7 AS u),
+    {D(m.price_shock)} * (__ra * cos({TWO_PI} * __u2)) AS e_price,
+    {D(m.growth_shock)} * (__ra * sin({TWO_PI} * __u2)) AS e_growth,
+    {D(m.production_shock)} * (__rb * cos({TWO_PI} * __u4)) AS e_prod,
+    {D(m.rate_shock)} * (__rb * sin({TWO_PI} * __u4)) AS e_rate,
+    {D(m.deficit_shock)} * (__rc * cos({TWO_PI} * __u6)) AS e_def,
+    {D(m.employment_shock)} * (__rc * sin({TWO_PI} * __u6)) AS e_emp
+  FROM (SELECT *, {BMR('__u1')} AS __ra, {BMR('__u3')} AS __rb, {BMR('__u5')} AS __rc
+        FROM (SELECT *, {us} FROM (SELECT *, {STEP(t)} AS __h FROM {src})))"""
+
+
+def paths_sql(n: int = PATHS_PER_KEY) -> str:
+    m = PathModel()
+    carry = "nation_key, path, __st, delta, price, growth, q0, rev0"
+    steps = [
+        paths_base_sql(n),
+        f"""p0 AS (SELECT nation_key, path, __st, delta, price, growth, production AS q0, revenue_share AS rev0,
+    production AS q, debt_ratio AS d, reserves AS r, deficit AS def, employment AS emp FROM par)""",
+    ]
+    scores = []
+    for t in range(1, H.years + 1):
+        prev = f"p{t - 1}"
+        prev_scores = "".join(f", s{k}" for k in range(1, t))
+        steps.append(
+            f"""p{t}e AS ({shocks_sql(prev, t)}),
+p{t}a AS (SELECT *, greatest(price + e_price, {D(m.price_floor)}) AS py, growth + e_growth AS gy,
+    greatest(q * ({D(1)} - delta) + e_prod, {D(m.production_floor)}) AS nq FROM p{t}e),
+p{t}b AS (SELECT {carry}{prev_scores}, nq AS q,
+    least(greatest(rev0 * (py / {D(m.price_ref)}) * (nq / q0), {D(2)}), {D(25)}) AS rev,
+    greatest(d * ({D(1)} + ({D(m.base_rate)} + e_rate)) / ({D(1)} + gy / {D(100)})
+             + def * ({D(m.carry_base)} + {D(m.carry_uniform)} * u), {D(m.debt_floor)}) AS d,
+    greatest(def + {D(m.deficit_drift)} + e_def, {D(m.deficit_floor)}) AS def,
+    greatest(r - nq * {D(365)} / {D(1000)}, {D(0)}) AS r,
+    least(greatest(emp + {D(m.employment_drift)} + gy * {D(m.employment_per_growth)} + e_emp, {D(15)}), {D(65)}) AS emp
+  FROM p{t}a),
+p{t}c AS (SELECT *, CASE WHEN q * {D(365)} / {D(1000)} > 0 THEN r / (q * {D(365)} / {D(1000)}) ELSE {D(0)} END AS rp FROM p{t}b),
+p{t}d AS (SELECT *, {fixed_index_sql(FIXED_INDEX_A).replace("debt_ratio", "d").replace("rp_ratio", "rp").replace("deficit", "def").replace("employment", "emp").replace("revenue_share", "rev")} AS irfc FROM p{t}c),
+p{t} AS (SELECT {carry}{prev_scores}, q, d, r, def, emp,
+    CAST({rules_sql(REFERENCE_RULES, {"debt_ratio": "d", "rp_ratio": "rp", "deficit": "def", "production": "q", "employment": "emp", "reserves": "r"})} AS INTEGER) AS s{t}
+  FROM p{t}d)"""
+        )
+        scores.append(f"s{t}")
+    steps.append(
+        f"""paths AS (SELECT nation_key, path, delta, price, growth, greatest({", ".join(scores)}) AS max_score,
+    greatest({", ".join(scores)}) >= {REFERENCE_RULES.breach_at} AS collapse,
+    q AS final_production, d AS final_debt, r AS final_reserves, {", ".join(scores)} FROM p{H.years})"""
+    )
+    return ",\n".join(steps)
+
+
+def paths_cte() -> str:
+    return cte(PANEL_QUARTER, RISK_PANEL, INITIAL, paths_sql())
+
+
+@oracle("path_draws")
+def o_path_draws():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, paths_base_sql())}
+SELECT nation_key, path, {all_r6(["delta", "price", "growth"])} FROM par"""
+
+
+@oracle("year_shocks")
+def o_year_shocks():
+    base = f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, paths_base_sql())},
+yrs AS (SELECT p.nation_key, p.path, p.__st, CAST(y.t AS INTEGER) AS t FROM par p, range(1, {H.years + 1}) AS y(t)),
+sh AS ({shocks_sql("yrs", "t")})"""
+    cols = ["e_price", "e_growth", "e_prod", "e_rate", "e_def", "e_emp", "u"]
+    return f"""{base}
+SELECT nation_key, path, t + {H.start_year - 1} AS year, {all_r6(cols)} FROM sh"""
+
+
+@oracle("path_projection")
+def o_path_projection():
+    sel = " UNION ALL ".join(
+        f"SELECT nation_key, path, {H.start_year + t} AS year, s{t + 1} AS score FROM paths" for t in range(H.years)
+    )
+    return f"""{paths_cte()}
+{sel}"""
+
+
+PATH_D = ["delta", "price", "growth", "final_production", "final_debt", "final_reserves"]
+
+
+@oracle("path_results")
+def o_path_results():
+    return f"""{paths_cte()}
+SELECT nation_key, path, max_score, collapse, {all_r6(PATH_D)} FROM paths"""
+
+
+@oracle("collapse_probability")
+def o_collapse_probability():
+    return f"""{paths_cte()}
+SELECT nation_key, count(*) AS n_paths, {r6("avg(CAST(collapse AS DOUBLE))")} AS p_collapse FROM paths GROUP BY ALL"""
+
+
+@oracle("yearly_collapse_rate")
+def o_yearly_collapse_rate():
+    sel = " UNION ALL ".join(
+        f"SELECT nation_key, {H.start_year + t} AS year, s{t + 1} AS score FROM paths" for t in range(H.years)
+    )
+    return f"""{paths_cte()}
+SELECT nation_key, year, {r6(f"avg(CAST(score >= {REFERENCE_RULES.breach_at} AS DOUBLE))")} AS collapse_rate
+FROM ({sel}) GROUP BY ALL"""
+
+
+@oracle("score_histogram")
+def o_score_histogram():
+    return f"""{paths_cte()},
+keys AS (SELECT DISTINCT nation_key FROM paths),
+cnt AS (SELECT nation_key, max_score, count(*) AS n FROM paths GROUP BY ALL)
+SELECT k.nation_key, CAST(s.score AS INTEGER) AS score, coalesce(c.n, 0) AS n_paths
+FROM keys k CROSS JOIN range(0, 8) AS s(score)
+LEFT JOIN cnt c ON c.nation_key = k.nation_key AND c.max_score = s.score"""
+
+
+@oracle("path_summary")
+def o_path_summary():
+    s = "CAST(max_score AS DOUBLE)"
+    return f"""{paths_cte()}
+SELECT nation_key, count(*) AS n_paths, {r6(f"avg(CAST(collapse AS DOUBLE)) * {D(100)}")} AS collapse_pct,
+  {r6(f"avg({s})")} AS mean_score, {r6(f"median({s})")} AS median_score, {r6(f"stddev_pop({s})")} AS std_score,
+  {r6("avg(final_production)")} AS mean_final_production, {r6("avg(final_debt)")} AS mean_final_debt,
+  {r6("avg(final_reserves)")} AS mean_final_reserves
+FROM paths GROUP BY ALL"""
+
+
+@oracle("traffic_light")
+def o_traffic_light():
+    return f"""{paths_cte()},
+pc AS (SELECT nation_key, count(*) AS n_paths, avg(CAST(collapse AS DOUBLE)) AS p FROM paths GROUP BY ALL)
+SELECT nation_key, n_paths, {r6("p")} AS p_collapse,
+  CASE WHEN p < {D(0.3)} THEN 'VERDE' WHEN p < {D(0.6)} THEN 'AMARILLO' ELSE 'ROJO' END AS light FROM pc"""

@@ -234,3 +234,138 @@ def master_from_sources(spark, sf_dir):
 @register("master_panel")
 def q_master_panel(spark, sf_dir):
     return rounded(master_from_sources(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- rules and projections
+
+from ..operators import features as feat  # noqa: E402
+from ..operators import project as pj  # noqa: E402
+from ..operators import rules as rl  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..specs import REFERENCE_INDEX, REFERENCE_SCENARIOS, Horizon, PathModel, Rule, RuleSet  # noqa: E402
+
+# Panel rule table: each rule fires on some but not all nation-quarters.
+PANEL_RULES = RuleSet(
+    rules=(
+        Rule("ret_pct", ">", 36.0),
+        Rule("open_pct", ">", 52.0),
+        Rule("disc_pct", ">", 5.2),
+        Rule("unit_price", "<", 2100.0),
+        Rule("n_orders", "<", 60.0),
+        Rule("irfc", ">", 60.0),
+    ),
+    breach_at=3,
+)
+# Paths per nation for the registered path queries: 25 nations x 2,000
+# paths = 50,000 paths, the surveyed work size.
+PATHS_PER_KEY = 2000
+HORIZON = Horizon()
+
+
+@register("breach_score")
+def q_breach_score(spark, sf_dir):
+    df = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
+    return rl.breach_score(df, PANEL_RULES).select(KEY, "period_start", "score", "breach")
+
+
+@register("scenario_grid")
+def q_scenario_grid(spark, sf_dir):
+    init = initial_conditions(spark, sf_dir)
+    names = F.array(*[F.lit(s.name) for s in REFERENCE_SCENARIOS])
+    years = F.sequence(F.lit(HORIZON.start_year), F.lit(HORIZON.end_year))
+    return init.select(KEY, F.explode(names).alias("scenario")).select(
+        KEY, "scenario", F.explode(years).alias("year")
+    )
+
+
+def projections(spark, sf_dir):
+    return pj.scenario_projection(initial_conditions(spark, sf_dir), KEY, REFERENCE_SCENARIOS, HORIZON)
+
+
+@register("scenario_projection")
+def q_scenario_projection(spark, sf_dir):
+    return rounded(projections(spark, sf_dir))
+
+
+@register("scenario_collapse_share")
+def q_scenario_collapse_share(spark, sf_dir):
+    return rounded(pj.scenario_collapse_share(projections(spark, sf_dir), KEY))
+
+
+@register("scenario_comparison")
+def q_scenario_comparison(spark, sf_dir):
+    return rounded(pj.scenario_comparison(projections(spark, sf_dir), KEY))
+
+
+def paths(spark, sf_dir, n_paths=PATHS_PER_KEY):
+    return pj.simulate_paths(initial_conditions(spark, sf_dir), KEY, n_paths, PathModel(), HORIZON)
+
+
+def paths_table(spark, sf_dir, n_paths=PATHS_PER_KEY):
+    """The path table materialised once (checkpoint into the session's
+    shared checkpoint folder); per-year summaries read it instead of
+    re-planning the fold."""
+    ensure_checkpoint_dir(spark)
+    return paths(spark, sf_dir, n_paths).checkpoint(eager=True)
+
+
+@register("path_draws")
+def q_path_draws(spark, sf_dir):
+    init = initial_conditions(spark, sf_dir).select(KEY)
+    return rounded(pj.path_draws(pj.path_rows(init, KEY, PATHS_PER_KEY), KEY).drop("__st"))
+
+
+@register("year_shocks")
+def q_year_shocks(spark, sf_dir):
+    init = initial_conditions(spark, sf_dir).select(KEY)
+    rows = pj.path_rows(init, KEY, PATHS_PER_KEY)
+    rows = rows.select(KEY, "path", F.explode(F.sequence(F.lit(1), F.lit(HORIZON.years))).alias("t"))
+    model = PathModel()
+    rows = pj.year_shocks(pj.with_stream(rows, KEY, model), F.col("t"), model)
+    shocks = pj.SHOCKS
+    return rounded(
+        rows.select(
+            KEY,
+            "path",
+            (F.col("t") + F.lit(HORIZON.start_year - 1)).alias("year"),
+            *[F.col(c).alias(c[2:]) for c in shocks],
+        )
+    )
+
+
+@register("path_projection")
+def q_path_projection(spark, sf_dir):
+    p = paths_table(spark, sf_dir)
+    return p.select(KEY, "path", F.posexplode("scores").alias("i", "score")).select(
+        KEY, "path", (F.col("i") + F.lit(HORIZON.start_year)).cast("int").alias("year"), "score"
+    )
+
+
+@register("path_results")
+def q_path_results(spark, sf_dir):
+    return rounded(paths(spark, sf_dir).drop("scores"))
+
+
+@register("collapse_probability")
+def q_collapse_probability(spark, sf_dir):
+    return rounded(pj.collapse_probability(paths(spark, sf_dir), KEY))
+
+
+@register("yearly_collapse_rate")
+def q_yearly_collapse_rate(spark, sf_dir):
+    return rounded(pj.yearly_collapse_rate(paths_table(spark, sf_dir), KEY, HORIZON))
+
+
+@register("score_histogram")
+def q_score_histogram(spark, sf_dir):
+    return pj.score_histogram(paths(spark, sf_dir), KEY)
+
+
+@register("path_summary")
+def q_path_summary(spark, sf_dir):
+    return rounded(pj.path_summary(paths(spark, sf_dir), KEY))
+
+
+@register("traffic_light")
+def q_traffic_light(spark, sf_dir):
+    return rounded(pj.traffic_light(pj.collapse_probability(paths(spark, sf_dir), KEY)))

@@ -267,3 +267,28 @@ class PathModel:
 
 # Traffic light cut points on P(collapse) (strict "<").
 LIGHT_CUTS = (0.30, 0.60)
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES for presentation tables (bands, classes, badge cut points).
+# ---------------------------------------------------------------------------
+
+# Index zones: [0, 35) / [35, 65) / [65, ...); alert line at 75.
+ZONE_EDGES = (35.0, 65.0)
+ZONE_LABELS = ("Bajo Riesgo", "Riesgo Moderado", "Riesgo Crítico")
+INDEX_ALERT = 75.0
+# Debt bands: [0, 50) / [50, 80) / [80, ...); critical line at 80.
+DEBT_EDGES = (50.0, 80.0)
+DEBT_LABELS = ("low", "elevated", "critical")
+DEBT_ALERT = 80.0
+# Score classes: < 3 / < 5 / >= 5; collapse vs stable split.
+SCORE_EDGES = (3.0, 5.0)
+SCORE_LABELS = ("low", "warning", "collapse")
+SPLIT_LABELS = ("Colapso", "Estable")
+# Production reference line.
+PRODUCTION_ALERT = 300.0
+# KPI badges: strict ">" cut points, high first.
+BADGE_COLORS = ("green", "yellow", "red")
+R2_CUTS = (0.9, 0.7)
+R2_LABELS = ("Excelente", "Bueno", "Mejorable")
+INDEX_CUTS = (65.0, 40.0)
+PROB_CUTS = (60.0, 30.0)
