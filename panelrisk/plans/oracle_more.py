@@ -647,3 +647,162 @@ def o_traffic_light():
 pc AS (SELECT nation_key, count(*) AS n_paths, avg(CAST(collapse AS DOUBLE)) AS p FROM paths GROUP BY ALL)
 SELECT nation_key, n_paths, {r6("p")} AS p_collapse,
   CASE WHEN p < {D(0.3)} THEN 'VERDE' WHEN p < {D(0.6)} THEN 'AMARILLO' ELSE 'ROJO' END AS light FROM pc"""
+
+
+# ---------------------------------------------------------------- evaluation SQL
+
+SPLIT = f"""sp AS (SELECT *, CASE WHEN coalesce(year, year(period_start)) <= 1999 THEN 'train'
+                             WHEN coalesce(year, year(period_start)) >= 2000 THEN 'test' END AS split FROM pq),
+nb AS (SELECT nation_key, arg_max(volume, period_start) FILTER (WHERE split = 'train') AS last_v,
+              avg(volume) FILTER (WHERE split = 'train') AS mean_v FROM sp GROUP BY nation_key),
+fc AS (SELECT s.nation_key, s.period_start, CAST(s.volume AS DOUBLE) AS y_true, m.model, m.y_pred
+       FROM sp s JOIN nb USING (nation_key),
+       LATERAL (VALUES ('last_value', CAST(nb.last_v AS DOUBLE)), ('train_mean', CAST(nb.mean_v AS DOUBLE))) AS m(model, y_pred)
+       WHERE s.split = 'test')"""
+
+
+def metrics_sql(src: str, keys: str) -> str:
+    return f"""SELECT {keys}, {r6("avg(abs(y_true - y_pred))")} AS mae,
+  {r6("sqrt(avg((y_true - y_pred) * (y_true - y_pred)))")} AS rmse,
+  {r6(f"CASE WHEN sum(pow(y_true - ybar, 2)) = 0 THEN NULL ELSE {D(1)} - sum((y_true - y_pred) * (y_true - y_pred)) / sum(pow(y_true - ybar, 2)) END")} AS r2,
+  {r6(f"coalesce(avg(CASE WHEN y_true <> 0 THEN abs((y_true - y_pred) / y_true) END) * {D(100)}, {D(0)})")} AS mape,
+  count(*) AS n
+FROM (SELECT *, avg(y_true) OVER (PARTITION BY {keys}) AS ybar FROM {src}) GROUP BY {keys}"""
+
+
+@oracle("regression_metrics")
+def o_regression_metrics():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, SPLIT)}
+{metrics_sql("fc", "model, nation_key")}"""
+
+
+@oracle("backtest_metrics")
+def o_backtest_metrics():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, SPLIT)},
+mm AS ({metrics_sql("fc", "model")})
+SELECT model, mae, rmse, r2, mape,
+  (SELECT count(*) FROM sp WHERE split = 'train') AS n_train, (SELECT count(*) FROM sp WHERE split = 'test') AS n_test
+FROM mm"""
+
+
+@oracle("backtest_series")
+def o_backtest_series():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, SPLIT)}
+SELECT nation_key, period_start, model, {r6("y_true")} AS y_true, {r6("y_pred")} AS y_pred,
+  {r6("y_pred - y_true")} AS error, {r6(f"y_pred * {D(0.9)}")} AS lower, {r6(f"y_pred * {D(1.1)}")} AS upper FROM fc"""
+
+
+@oracle("cv_folds")
+def o_cv_folds():
+    return f"""{cte(PANEL_QUARTER)}
+SELECT nation_key, period_start, CAST(ntile(3) OVER (PARTITION BY nation_key ORDER BY period_start) - 1 AS INTEGER) AS fold
+FROM panel_quarter"""
+
+
+PROD = f"""prod AS (SELECT nation_key, period_start, {D(4.7)} * volume / n_orders AS production FROM panel_quarter),
+pts AS (SELECT nation_key, CAST(row_number() OVER w - 1 AS DOUBLE) AS t, production AS y,
+   first_value(production) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y0
+   FROM prod WINDOW w AS (PARTITION BY nation_key ORDER BY period_start)),
+grid AS (SELECT p.*, g.j, {D(0.001)} + CAST(g.j AS DOUBLE) * {D((0.2 - 0.001) / 999)} AS lam FROM pts p, range(0, 1000) AS g(j)),
+sums AS (SELECT nation_key, j, lam, sum(y * exp(-lam * t)) AS sye, sum(exp(-lam * t) * exp(-lam * t)) AS see,
+   sum(y * y) AS syy, first(y0) AS y0 FROM grid GROUP BY ALL),
+qs AS (SELECT *, least(greatest(sye / see, {D(100)}), {D(1000)}) AS q FROM sums),
+ss AS (SELECT *, syy - {D(2)} * q * sye + q * q * see AS sse FROM qs),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nation_key ORDER BY sse, j) AS rn FROM ss) WHERE rn = 1),
+dfit AS (SELECT nation_key,
+   CASE WHEN y0 >= 100 AND y0 <= 1000 THEN q ELSE y0 END AS q,
+   CASE WHEN y0 >= 100 AND y0 <= 1000 THEN lam ELSE {D(0.035)} END AS lam,
+   y0 >= 100 AND y0 <= 1000 AS fitted FROM best)"""
+
+
+@oracle("decline_fit")
+def o_decline_fit():
+    return f"""{cte(PANEL_QUARTER, PROD)}
+SELECT nation_key, {r6("q")} AS q, {r6("lam")} AS lam, fitted FROM dfit"""
+
+
+@oracle("decline_curve")
+def o_decline_curve():
+    return f"""{cte(PANEL_QUARTER, PROD)}
+SELECT nation_key, CAST(g.t AS INTEGER) AS t, {r6("q * exp(-lam * CAST(g.t AS DOUBLE))")} AS y_decline
+FROM dfit, range(28, 56) AS g(t)"""
+
+
+@oracle("component_errors")
+def o_component_errors():
+    return f"""{cte(PANEL_QUARTER, PROD)},
+s AS (SELECT nation_key, production AS y_true, CAST(row_number() OVER w - 1 AS DOUBLE) AS t,
+   coalesce(lag(production) OVER w, production) AS y_ml FROM prod WINDOW w AS (PARTITION BY nation_key ORDER BY period_start)),
+p AS (SELECT s.*, d.q * exp(-d.lam * s.t) AS y_decline FROM s JOIN dfit d USING (nation_key)),
+pp AS (SELECT *, {D(0.5)} * y_ml + {D(0.5)} * y_decline AS y_pred FROM p),
+hm AS (SELECT * EXCLUDE (mape, n) FROM ({metrics_sql("pp", "nation_key")})),
+pm AS (SELECT nation_key, {r6("avg(abs(y_true - y_ml))")} AS mae_ml, {r6("avg(abs(y_true - y_decline))")} AS mae_decline
+       FROM pp GROUP BY nation_key)
+SELECT * FROM hm JOIN pm USING (nation_key)"""
+
+
+# ---------------------------------------------------------------- regimes SQL
+
+PTS = """pl AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
+         unnest(generate_series(0, len(embedding) - 1)) AS d FROM embeddings),
+px AS (SELECT vec_id, label, sum(x * x) AS xx FROM pl GROUP BY ALL),
+cs AS (SELECT label AS c, d, sum(x) AS s FROM pl GROUP BY ALL),
+cn AS (SELECT label AS c, count(*) AS n, sum(xx) AS q FROM px GROUP BY label),
+cq AS (SELECT c, sum(s * s) AS ss FROM cs GROUP BY c)"""
+
+NAME_CASE = (
+    "CASE {c} "
+    + " ".join(f"WHEN {k} THEN '{v}'" for k, v in __import__("panelrisk.specs", fromlist=["REGIME_NAMES"]).REGIME_NAMES.items())
+    + " ELSE 'Clúster ' || CAST({c} AS VARCHAR) END"
+)
+
+
+@oracle("silhouette")
+def o_silhouette():
+    return f"""{cte(PTS)},
+dots AS (SELECT p.vec_id, s.c, sum(p.x * s.s) AS dot FROM pl p JOIN cs s ON p.d = s.d GROUP BY ALL),
+md AS (SELECT x.vec_id, x.label, t.c, n.n, (CAST(n.n AS DOUBLE) * x.xx - {D(2)} * t.dot + n.q) AS tot
+       FROM px x JOIN dots t ON t.vec_id = x.vec_id JOIN cn n ON n.c = t.c),
+ab AS (SELECT vec_id, label,
+         max(CASE WHEN c = label THEN n END) AS n_own,
+         max(CASE WHEN c = label AND n > 1 THEN tot / (n - 1) END) AS a,
+         min(CASE WHEN c <> label THEN tot / n END) AS b FROM md GROUP BY vec_id, label)
+SELECT vec_id, label, {r6(f"CASE WHEN n_own <= 1 OR b IS NULL THEN {D(0)} ELSE (b - a) / greatest(a, b) END")} AS silhouette FROM ab"""
+
+
+@oracle("cluster_inertia")
+def o_cluster_inertia():
+    return f"""{cte(PTS)}
+SELECT n.c AS label, n.n, {r6("n.q - q.ss / n.n")} AS inertia FROM cn n JOIN cq q USING (c)"""
+
+
+@oracle("cluster_centroids")
+def o_cluster_centroids():
+    return f"""{cte(PTS)}
+SELECT label, CAST(d AS INTEGER) AS dim, {r6("avg(x)")} AS value FROM pl GROUP BY ALL"""
+
+
+@oracle("cluster_sizes")
+def o_cluster_sizes():
+    return f"""SELECT label, count(*) AS n, {NAME_CASE.format(c="label")} AS regime_name FROM embeddings GROUP BY label"""
+
+
+@oracle("regime_names")
+def o_regime_names():
+    return f"""SELECT vec_id, label, {NAME_CASE.format(c="label")} AS regime_name FROM embeddings"""
+
+
+@oracle("regime_summary")
+def o_regime_summary():
+    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4))
+    aggs = ", ".join(f"{r6(f'avg(x{i})')} AS x{i}_mean, {r6(f'stddev_samp(x{i})')} AS x{i}_std" for i in range(4))
+    return f"""SELECT regime_name, {aggs} FROM (SELECT {NAME_CASE.format(c="label")} AS regime_name, {cols} FROM embeddings)
+GROUP BY regime_name"""
+
+
+@oracle("feature_metadata")
+def o_feature_metadata():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())}
+SELECT count(irfc) AS n_rows, 7 AS n_features_original, 20 AS n_features_final,
+  {r6("avg(irfc)")} AS irfc_mean, {r6("stddev_samp(irfc)")} AS irfc_std, {r6("min(irfc)")} AS irfc_min,
+  {r6("max(irfc)")} AS irfc_max FROM ri"""

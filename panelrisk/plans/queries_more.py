@@ -369,3 +369,310 @@ def q_path_summary(spark, sf_dir):
 @register("traffic_light")
 def q_traffic_light(spark, sf_dir):
     return rounded(pj.traffic_light(pj.collapse_probability(paths(spark, sf_dir), KEY)))
+
+
+# ---------------------------------------------------------------- evaluation (SQL-exact)
+
+from ..operators import evaluate as ev  # noqa: E402
+from ..operators import ml  # noqa: E402
+from ..operators import regimes as rg  # noqa: E402
+
+TARGETS = {"forest": "volume", "boost_revenue": "tax_take", "boost_debt": "ret_pct", "kernel": "n_orders"}
+TRAIN_END, TEST_START = 1999, 2000
+
+
+def feature_cols(target):
+    return [m for m in PANEL_METRICS if m != target]
+
+
+def split_panel(spark, sf_dir):
+    return po.temporal_split(metrics_double(quarter_panel(spark, sf_dir)), TRAIN_END, TEST_START, date="period_start")
+
+
+def baselines(spark, sf_dir, target="volume"):
+    return ev.naive_forecasts(split_panel(spark, sf_dir), target, KEY, "period_start")
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    return rounded(ev.regression_metrics(baselines(spark, sf_dir), by=["model", KEY]))
+
+
+@register("backtest_metrics")
+def q_backtest_metrics(spark, sf_dir):
+    sp = split_panel(spark, sf_dir)
+    m = ev.regression_metrics(ev.naive_forecasts(sp, "volume", KEY, "period_start"), by="model")
+    sizes = sp.agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test")
+    )
+    out = m.select(
+        "model", "mae", "rmse", "r2", "mape",
+        sizes.select("n_train").scalar().alias("n_train"), sizes.select("n_test").scalar().alias("n_test"),
+    )
+    return rounded(out)
+
+
+@register("backtest_series")
+def q_backtest_series(spark, sf_dir):
+    return rounded(ev.backtest_series(baselines(spark, sf_dir)))
+
+
+@register("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    return ev.cv_folds(quarter_panel(spark, sf_dir), KEY, "period_start").select(KEY, "period_start", "fold")
+
+
+def production_series(spark, sf_dir):
+    rp = quarter_panel(spark, sf_dir)
+    return rp.select(KEY, "period_start", (F.lit(4.7) * F.col("volume") / F.col("n_orders")).alias("production"))
+
+
+def decline_params(spark, sf_dir):
+    return ev.decline_fit(production_series(spark, sf_dir), "production", KEY, "period_start")
+
+
+@register("decline_fit")
+def q_decline_fit(spark, sf_dir):
+    return rounded(decline_params(spark, sf_dir))
+
+
+@register("decline_curve")
+def q_decline_curve(spark, sf_dir):
+    n = 28  # forecast window: t = n … 2n-1 (surveyed time origin)
+    return rounded(ev.decline_curve(decline_params(spark, sf_dir), KEY, n, n))
+
+
+@register("component_errors")
+def q_component_errors(spark, sf_dir):
+    from pyspark.sql import Window
+
+    s = production_series(spark, sf_dir)
+    w = Window.partitionBy(KEY).orderBy("period_start")
+    s = s.withColumn("t", (F.row_number().over(w) - 1).cast("double")).withColumn(
+        "y_ml", F.coalesce(F.lag("production").over(w), F.col("production"))
+    )
+    p = s.join(decline_params(spark, sf_dir), KEY).withColumn("y_decline", F.col("q") * F.exp(-F.col("lam") * F.col("t")))
+    p = p.withColumn("y_pred", F.lit(0.5) * F.col("y_ml") + F.lit(0.5) * F.col("y_decline")).withColumnRenamed(
+        "production", "y_true"
+    )
+    hyb = ev.regression_metrics(p, by=KEY).select(KEY, "mae", "rmse", "r2")
+    parts = p.groupBy(KEY).agg(
+        F.avg(F.abs(F.col("y_true") - F.col("y_ml"))).alias("mae_ml"),
+        F.avg(F.abs(F.col("y_true") - F.col("y_decline"))).alias("mae_decline"),
+    )
+    return rounded(hyb.join(parts, KEY))
+
+
+# ---------------------------------------------------------------- regimes on labelled points
+
+
+def labelled_points(spark, sf_dir):
+    return panels.points(spark, sf_dir)
+
+
+@register("silhouette")
+def q_silhouette(spark, sf_dir):
+    return rounded(rg.silhouette(labelled_points(spark, sf_dir)))
+
+
+@register("cluster_inertia")
+def q_cluster_inertia(spark, sf_dir):
+    return rounded(rg.cluster_inertia(labelled_points(spark, sf_dir)))
+
+
+@register("cluster_centroids")
+def q_cluster_centroids(spark, sf_dir):
+    return rounded(rg.cluster_centroids(labelled_points(spark, sf_dir)))
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    return rg.cluster_sizes(labelled_points(spark, sf_dir))
+
+
+@register("regime_names")
+def q_regime_names(spark, sf_dir):
+    return rg.regime_names(labelled_points(spark, sf_dir).select("vec_id", "label"))
+
+
+SUMMARY_DIMS = ["x0", "x1", "x2", "x3"]
+
+
+@register("regime_summary")
+def q_regime_summary(spark, sf_dir):
+    p = labelled_points(spark, sf_dir)
+    p = p.select("label", *[F.col("features")[i].alias(f"x{i}") for i in range(len(SUMMARY_DIMS))])
+    return rounded(rg.regime_summary(rg.regime_names(p), SUMMARY_DIMS))
+
+
+@register("feature_metadata")
+def q_feature_metadata(spark, sf_dir):
+    df = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
+    st = feat.risk_index_stats(df, "irfc")
+    return rounded(
+        st.select(
+            F.col("n").alias("n_rows"),
+            F.lit(len(PANEL_METRICS)).alias("n_features_original"),
+            F.lit(len(df.columns)).alias("n_features_final"),
+            F.col("mean").alias("irfc_mean"),
+            F.col("std").alias("irfc_std"),
+            F.col("min").alias("irfc_min"),
+            F.col("max").alias("irfc_max"),
+        )
+    )
+
+
+# ---------------------------------------------------------------- pyspark.ml models (statistical checks)
+
+
+def training_data(spark, sf_dir):
+    return metrics_double(quarter_panel(spark, sf_dir)).cache()
+
+
+def model_predictions(name, model, df, target):
+    return model.transform(df).select(
+        F.lit(name).alias("model"), KEY, "period_start",
+        F.col(target).alias("y_true"), F.col("prediction").alias("y_pred"),
+    )
+
+
+@register("rf_predictions")
+def q_rf_predictions(spark, sf_dir):
+    df = training_data(spark, sf_dir)
+    t = TARGETS["forest"]
+    return model_predictions("forest", ml.fit_forest(df, feature_cols(t), t), df, t)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    df = training_data(spark, sf_dir)
+    t = TARGETS["forest"]
+    ranked = ml.feature_importance(ml.fit_forest(df, feature_cols(t), t), feature_cols(t))
+    rows = [(i + 1, f, float(v)) for i, (f, v) in enumerate(ranked)]
+    return spark.createDataFrame(rows, "rank int, feature string, importance double")
+
+
+@register("hybrid_forecast")
+def q_hybrid_forecast(spark, sf_dir):
+    from pyspark.sql import Window
+
+    df = training_data(spark, sf_dir).join(production_series(spark, sf_dir), [KEY, "period_start"])
+    feats = feature_cols("volume")
+    model = ml.fit_forest(df, feats, "production")
+    w = Window.partitionBy(KEY).orderBy("period_start")
+    pred = model.transform(df).withColumn("t", (F.row_number().over(w) - 1).cast("double"))
+    pred = pred.join(decline_params(spark, sf_dir), KEY).withColumn(
+        "y_decline", F.col("q") * F.exp(-F.col("lam") * F.col("t"))
+    )
+    return pred.select(
+        KEY, "period_start", F.col("production").alias("y_true"), F.col("prediction").alias("y_ml"), "y_decline",
+        (F.lit(0.5) * F.col("prediction") + F.lit(0.5) * F.col("y_decline")).alias("y_pred"),
+    )
+
+
+@register("gbt_revenue")
+def q_gbt_revenue(spark, sf_dir):
+    df = training_data(spark, sf_dir)
+    t = TARGETS["boost_revenue"]
+    return model_predictions("boost_revenue", ml.fit_boosting(df, feature_cols(t), t), df, t)
+
+
+@register("gbt_debt")
+def q_gbt_debt(spark, sf_dir):
+    df = training_data(spark, sf_dir)
+    t = TARGETS["boost_debt"]
+    return model_predictions("boost_debt", ml.fit_boosting(df, feature_cols(t), t), df, t)
+
+
+def kernel_fit(spark, sf_dir):
+    t = TARGETS["kernel"]
+    df = ev.cv_folds(training_data(spark, sf_dir), KEY, "period_start")
+    return ml.fit_kernel_regression(df, feature_cols(t), t), t
+
+
+@register("kernel_regression")
+def q_kernel_regression(spark, sf_dir):
+    (model, work), t = kernel_fit(spark, sf_dir)
+    return model_predictions("kernel", model.bestModel, work, t)
+
+
+@register("cv_scores")
+def q_cv_scores(spark, sf_dir):
+    (model, _), _ = kernel_fit(spark, sf_dir)
+    rows = [(1.0 / pm[list(pm)[0]] if pm[list(pm)[0]] else None, float(m)) for pm, m in zip(model.getEstimatorParamMaps(), model.avgMetrics)]
+    return spark.createDataFrame(rows, "c double, mae double")
+
+
+def all_predictions(spark, sf_dir, df=None, fit_df=None):
+    df = df if df is not None else training_data(spark, sf_dir)
+    fit_df = fit_df if fit_df is not None else df
+    outs = []
+    for name in ("forest", "boost_revenue", "boost_debt"):
+        t = TARGETS[name]
+        fitter = ml.fit_forest if name == "forest" else ml.fit_boosting
+        outs.append(model_predictions(name, fitter(fit_df, feature_cols(t), t), df, t))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+@register("predict_all")
+def q_predict_all(spark, sf_dir):
+    return all_predictions(spark, sf_dir)
+
+
+@register("training_report")
+def q_training_report(spark, sf_dir):
+    return ev.regression_metrics(all_predictions(spark, sf_dir), by="model")
+
+
+@register("backtest_predictions")
+def q_backtest_predictions(spark, sf_dir):
+    sp = split_panel(spark, sf_dir).cache()
+    return all_predictions(spark, sf_dir, df=sp.where(F.col("split") == "test"), fit_df=sp.where(F.col("split") == "train"))
+
+
+def panel_pca(spark, sf_dir):
+    df = training_data(spark, sf_dir)
+    model, data = ml.pca_fit(df, PANEL_METRICS, k=4)
+    return model, data
+
+
+@register("pca_scores")
+def q_pca_scores(spark, sf_dir):
+    model, data = panel_pca(spark, sf_dir)
+    return ml.pca_scores(model, data, [KEY, "period_start"])
+
+
+@register("pca_variance")
+def q_pca_variance(spark, sf_dir):
+    model, _ = panel_pca(spark, sf_dir)
+    return ml.pca_tables(model, PANEL_METRICS, spark)[0]
+
+
+@register("pca_loadings")
+def q_pca_loadings(spark, sf_dir):
+    model, _ = panel_pca(spark, sf_dir)
+    return ml.pca_tables(model, PANEL_METRICS, spark)[1]
+
+
+def panel_regimes(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+
+    model, data = panel_pca(spark, sf_dir)
+    pcs = ml.pca_scores(model, data, [KEY, "period_start"])
+    pcs = feat.zscore(pcs, ["PC1", "PC2", "PC3", "PC4"], suffix="_z")
+    vec = VectorAssembler(inputCols=[f"PC{i}_z" for i in range(1, 5)], outputCol="__v").transform(pcs).cache()
+    km = ml.kmeans_restarts(vec, "__v", k=7, restarts=20)
+    return rg.regime_names(km.transform(vec), "regime")
+
+
+@register("kmeans_regimes")
+def q_kmeans_regimes(spark, sf_dir):
+    return panel_regimes(spark, sf_dir).select(KEY, "period_start", "regime", "regime_name")
+
+
+@register("pca_regime_points")
+def q_pca_regime_points(spark, sf_dir):
+    return panel_regimes(spark, sf_dir).select(KEY, "period_start", "PC1", "PC2", "regime_name")
