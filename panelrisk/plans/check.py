@@ -68,6 +68,8 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> di
     res = {"name": name, "spark_rows": len(sdf), "spark_sec": round(t1 - t0, 2)}
     if sql is None:
         res["status"] = "rows-only"
+        if verbose:
+            print(res, flush=True)
         return res
     con = con or duck(sf_dir)
     odf = con.execute(sql).df()

@@ -806,3 +806,81 @@ def o_feature_metadata():
 SELECT count(irfc) AS n_rows, 7 AS n_features_original, 20 AS n_features_final,
   {r6("avg(irfc)")} AS irfc_mean, {r6("stddev_samp(irfc)")} AS irfc_std, {r6("min(irfc)")} AS irfc_min,
   {r6("max(irfc)")} AS irfc_max FROM ri"""
+
+
+# ---------------------------------------------------------------- marts SQL
+
+
+@oracle("risk_zones")
+def o_risk_zones():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())}
+SELECT nation_key, period_start, irfc,
+  CASE WHEN irfc < {D(35)} THEN 'Bajo Riesgo' WHEN irfc < {D(65)} THEN 'Riesgo Moderado' ELSE 'Riesgo Crítico' END AS zone,
+  irfc >= {D(75)} AS above_alert FROM ri"""
+
+
+@oracle("debt_bands")
+def o_debt_bands():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
+SELECT nation_key, scenario, year, {r6("debt_ratio")} AS debt_ratio,
+  CASE WHEN debt_ratio < {D(50)} THEN 'low' WHEN debt_ratio < {D(80)} THEN 'elevated' ELSE 'critical' END AS band,
+  debt_ratio > {D(80)} AS above_critical FROM proj"""
+
+
+@oracle("score_classes")
+def o_score_classes():
+    return f"""SELECT *, CASE WHEN score < 3 THEN 'low' WHEN score < 5 THEN 'warning' ELSE 'collapse' END AS class,
+  CASE WHEN score >= 5 THEN 'Colapso' ELSE 'Estable' END AS outcome FROM ({o_score_histogram()})"""
+
+
+@oracle("scenario_long")
+def o_scenario_long():
+    parts = " UNION ALL ".join(
+        f"SELECT nation_key, scenario, year, '{c}' AS indicator, {r6(f'CAST({c} AS DOUBLE)')} AS value FROM proj"
+        for c in ("production", "debt_ratio", "reserves", "irfc")
+    )
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
+{parts}"""
+
+
+@oracle("production_timeline")
+def o_production_timeline():
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())},
+prod AS (SELECT nation_key, period_start, {D(4.7)} * volume / n_orders AS production FROM panel_quarter),
+hist AS (SELECT nation_key, CAST(year(period_start) AS INTEGER) AS year, 'history' AS series, avg(production) AS production
+         FROM prod GROUP BY ALL),
+tl AS (SELECT * FROM hist UNION ALL SELECT nation_key, year, scenario AS series, production FROM proj)
+SELECT nation_key, year, series, {r6("production")} AS production, production < {D(300)} AS below_reference FROM tl"""
+
+
+def kpis_sql() -> str:
+    return f"""{paths_cte()},
+{risk_index_cte()},
+im AS (SELECT nation_key, count(*) AS n_quarters, avg(irfc) AS irfc_mean FROM ri GROUP BY nation_key),
+pc AS (SELECT nation_key, avg(CAST(collapse AS DOUBLE)) AS p, count(*) AS n_paths FROM paths GROUP BY nation_key),
+k AS (SELECT im.*, pc.n_paths, pc.p * {D(100)} AS p_collapse_pct, pc.p FROM im JOIN pc USING (nation_key))"""
+
+
+@oracle("kpi_badges")
+def o_kpi_badges():
+    return f"""{kpis_sql()}
+SELECT nation_key, {r6("irfc_mean")} AS irfc_mean, n_paths, {r6("p_collapse_pct")} AS p_collapse_pct,
+  CASE WHEN irfc_mean > {D(65)} THEN 'red' WHEN irfc_mean > {D(40)} THEN 'yellow' ELSE 'green' END AS index_badge,
+  CASE WHEN p_collapse_pct > {D(60)} THEN 'red' WHEN p_collapse_pct > {D(30)} THEN 'yellow' ELSE 'green' END AS prob_badge
+FROM k"""
+
+
+@oracle("run_summary")
+def o_run_summary():
+    shares = ", ".join(
+        f"{r6(f'avg(CAST(collapse AS DOUBLE)) FILTER (WHERE scenario = {chr(39)}{s.name}{chr(39)})')} AS share_{s.name}"
+        for s in REFERENCE_SCENARIOS
+    )
+    return f"""{kpis_sql()},
+{SCEN_VALUES},
+{scenario_sql()},
+sh AS (SELECT nation_key, {shares} FROM proj GROUP BY nation_key)
+SELECT nation_key, n_quarters, {r6("irfc_mean")} AS irfc_mean, n_paths, {r6("p_collapse_pct")} AS p_collapse_pct,
+  CASE WHEN p < {D(0.3)} THEN 'VERDE' WHEN p < {D(0.6)} THEN 'AMARILLO' ELSE 'ROJO' END AS light,
+  share_optimistic, share_base, share_pessimistic
+FROM k JOIN sh USING (nation_key)"""

@@ -676,3 +676,60 @@ def q_kmeans_regimes(spark, sf_dir):
 @register("pca_regime_points")
 def q_pca_regime_points(spark, sf_dir):
     return panel_regimes(spark, sf_dir).select(KEY, "period_start", "PC1", "PC2", "regime_name")
+
+
+# ---------------------------------------------------------------- marts
+
+from ..operators import marts as mt  # noqa: E402
+
+
+@register("risk_zones")
+def q_risk_zones(spark, sf_dir):
+    df = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
+    return mt.risk_zones(df).select(KEY, "period_start", "irfc", "zone", "above_alert")
+
+
+@register("debt_bands")
+def q_debt_bands(spark, sf_dir):
+    return rounded(mt.debt_bands(projections(spark, sf_dir)).select(KEY, "scenario", "year", "debt_ratio", "band", "above_critical"))
+
+
+@register("score_classes")
+def q_score_classes(spark, sf_dir):
+    return mt.score_classes(pj.score_histogram(paths(spark, sf_dir), KEY))
+
+
+@register("scenario_long")
+def q_scenario_long(spark, sf_dir):
+    return rounded(mt.scenario_long(projections(spark, sf_dir), KEY))
+
+
+@register("production_timeline")
+def q_production_timeline(spark, sf_dir):
+    hist = production_series(spark, sf_dir).groupBy(KEY, F.year("period_start").alias("year")).agg(
+        F.avg("production").alias("production")
+    )
+    return rounded(mt.production_timeline(hist, projections(spark, sf_dir), KEY))
+
+
+def nation_kpis(spark, sf_dir):
+    idx = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
+    im = idx.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_quarters"), F.avg("irfc").alias("irfc_mean"))
+    pc = pj.collapse_probability(paths(spark, sf_dir), KEY).select(
+        KEY, "n_paths", (F.col("p_collapse") * F.lit(100.0)).alias("p_collapse_pct"), "p_collapse"
+    )
+    return im.join(pc, KEY)
+
+
+@register("kpi_badges")
+def q_kpi_badges(spark, sf_dir):
+    return rounded(mt.kpi_badges(nation_kpis(spark, sf_dir)).drop("p_collapse", "n_quarters"))
+
+
+@register("run_summary")
+def q_run_summary(spark, sf_dir):
+    k = pj.traffic_light(nation_kpis(spark, sf_dir), "p_collapse")
+    shares = pj.scenario_collapse_share(projections(spark, sf_dir), KEY)
+    wide = shares.groupBy(KEY).pivot("scenario", [s.name for s in REFERENCE_SCENARIOS]).agg(F.first("collapse_share"))
+    wide = wide.select(KEY, *[F.col(s.name).alias(f"share_{s.name}") for s in REFERENCE_SCENARIOS])
+    return rounded(k.join(wide, KEY).drop("p_collapse"))
