@@ -110,7 +110,8 @@ def fit_kernel_regression(df: DataFrame, features, target: str, fold_col: str =
     """Z-score -> RBF random features -> robust linear regression,
     C grid searched by contiguous K-fold CV scored on MAE (refit on best)."""
     zcols = [f + "_z" for f in features]
-    work = fourier_features(zscore(df, features, suffix="_z"), zcols, out="features", dim=dim)
+    # cached: CV runs one job per optimiser iteration over the same rows
+    work = fourier_features(zscore(df, features, suffix="_z"), zcols, out="features", dim=dim).cache()
     lr = LinearRegression(featuresCol="features", labelCol=target, loss="huber", maxIter=100)
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / c for c in c_grid]).build()
     cv = CrossValidator(
@@ -172,12 +173,22 @@ def pca_tables(model, cols, spark):
     return variance, loadings
 
 
+def fit_concurrently(fits, workers: int = 4) -> list:
+    """Run independent fits as concurrent Spark jobs (driver threads); the
+    scheduler interleaves their stages across the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return list(pool.map(lambda f: f(), fits))
+
+
 def kmeans_restarts(df: DataFrame, features_col: str, k: int = 7, restarts: int = 20, max_iter: int = 500, seed: int = 42):
-    """K1: k-means with several seeds; keep the lowest training cost."""
-    best = None
-    for i in range(restarts):
-        m = KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol=features_col, predictionCol="regime").fit(df)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    return best[1]
+    """K1: k-means with several seeds (run concurrently); keep the lowest
+    training cost (ties -> lowest seed)."""
+
+    def fit(i):
+        return lambda: KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol=features_col, predictionCol="regime").fit(df)
+
+    models = fit_concurrently([fit(i) for i in range(restarts)])
+    costs = [(m.summary.trainingCost, i) for i, m in enumerate(models)]
+    return models[min(costs)[1]]

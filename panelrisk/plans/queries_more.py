@@ -606,11 +606,15 @@ def q_cv_scores(spark, sf_dir):
 def all_predictions(spark, sf_dir, df=None, fit_df=None):
     df = df if df is not None else training_data(spark, sf_dir)
     fit_df = fit_df if fit_df is not None else df
-    outs = []
-    for name in ("forest", "boost_revenue", "boost_debt"):
+    names = ("forest", "boost_revenue", "boost_debt")
+
+    def fit(name):
         t = TARGETS[name]
         fitter = ml.fit_forest if name == "forest" else ml.fit_boosting
-        outs.append(model_predictions(name, fitter(fit_df, feature_cols(t), t), df, t))
+        return lambda: fitter(fit_df, feature_cols(t), t)
+
+    models = ml.fit_concurrently([fit(n) for n in names], workers=3)
+    outs = [model_predictions(n, m, df, TARGETS[n]) for n, m in zip(names, models)]
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
