@@ -299,55 +299,35 @@ def let(value: Column, body) -> Column:
 
 
 def _step_fold(m: PathModel):
-    """Merge function of the path fold: (state, t) -> state after year t."""
-    two_pi = F.lit(2.0 * math.pi)
-    days, kyear = F.lit(365.0), F.lit(1000.0)
+    """Merge function of the path fold: (state, shocks of year t) -> state.
 
-    def merge(acc: Column, t: Column) -> Column:
-        def with_uniforms(h: Column) -> Column:
-            us = F.struct(*[uniform(h, i).alias(f"u{i}") for i in range(1, 8)])
-
-            def with_shocks(u: Column) -> Column:
-                ra = F.sqrt(F.lit(-2.0) * F.log(u["u1"]))
-                rb = F.sqrt(F.lit(-2.0) * F.log(u["u3"]))
-                rc = F.sqrt(F.lit(-2.0) * F.log(u["u5"]))
-                e = F.struct(
-                    (F.lit(m.price_shock) * (ra * F.cos(two_pi * u["u2"]))).alias("price"),
-                    (F.lit(m.growth_shock) * (ra * F.sin(two_pi * u["u2"]))).alias("growth"),
-                    (F.lit(m.production_shock) * (rb * F.cos(two_pi * u["u4"]))).alias("prod"),
-                    (F.lit(m.rate_shock) * (rb * F.sin(two_pi * u["u4"]))).alias("rate"),
-                    (F.lit(m.deficit_shock) * (rc * F.cos(two_pi * u["u6"]))).alias("def"),
-                    (F.lit(m.employment_shock) * (rc * F.sin(two_pi * u["u6"]))).alias("emp"),
-                    u["u7"].alias("u"),
-                )
-                return let(e, advance)
+    The shocks arrive precomputed (codegen'd columns), so the interpreted
+    lambda only evaluates the recurrence arithmetic.
+    """
+    days, kyear = F.lit(365.0), F.lit(1000.0)
 
-            return let(us, with_shocks)
+    def merge(acc: Column, e: Column) -> Column:
+        first = F.struct(
+            _max0(F.col("price") + e["price"], m.price_floor).alias("py"),
+            (F.col("growth") + e["growth"]).alias("gy"),
+            _max0(acc["q"] * (F.lit(1.0) - F.col("delta")) + e["prod"], m.production_floor).alias("q"),
+        )
 
-        def advance(e: Column) -> Column:
-            first = F.struct(
-                _max0(F.col("price") + e["price"], m.price_floor).alias("py"),
-                (F.col("growth") + e["growth"]).alias("gy"),
-                _max0(acc["q"] * (F.lit(1.0) - F.col("delta")) + e["prod"], m.production_floor).alias("q"),
+        def second(a: Column) -> Column:
+            rate = F.lit(m.base_rate) + e["rate"]
+            d = acc["d"] * (F.lit(1.0) + rate) / (F.lit(1.0) + a["gy"] / F.lit(100.0))
+            d = _max0(d + acc["def"] * (F.lit(m.carry_base) + F.lit(m.carry_uniform) * e["u"]), m.debt_floor)
+            st = F.struct(
+                a["q"].alias("q"),
+                _clip(F.col("__rev0") * (a["py"] / F.lit(m.price_ref)) * (a["q"] / F.col("__q0")),
+                      *m.revenue_bounds).alias("rev"),
+                d.alias("d"),
+                _max0(acc["def"] + F.lit(m.deficit_drift) + e["def"], m.deficit_floor).alias("def"),
+                _max0(acc["r"] - a["q"] * days / kyear, 0.0).alias("r"),
+                _clip(acc["emp"] + F.lit(m.employment_drift) + a["gy"] * F.lit(m.employment_per_growth)
+                      + e["emp"], *m.employment_bounds).alias("emp"),
             )
-
-            def second(a: Column) -> Column:
-                rate = F.lit(m.base_rate) + e["rate"]
-                d = acc["d"] * (F.lit(1.0) + rate) / (F.lit(1.0) + a["gy"] / F.lit(100.0))
-                d = _max0(d + acc["def"] * (F.lit(m.carry_base) + F.lit(m.carry_uniform) * e["u"]), m.debt_floor)
-                st = F.struct(
-                    a["q"].alias("q"),
-                    _clip(F.col("__rev0") * (a["py"] / F.lit(m.price_ref)) * (a["q"] / F.col("__q0")),
-                          *m.revenue_bounds).alias("rev"),
-                    d.alias("d"),
-                    _max0(acc["def"] + F.lit(m.deficit_drift) + e["def"], m.deficit_floor).alias("def"),
-                    _max0(acc["r"] - a["q"] * days / kyear, 0.0).alias("r"),
-                    _clip(acc["emp"] + F.lit(m.employment_drift) + a["gy"] * F.lit(m.employment_per_growth)
-                          + e["emp"], *m.employment_bounds).alias("emp"),
-                )
-                return let(st, score_state)
-
-            return let(first, second)
+            return let(st, score_state)
 
         def score_state(s: Column) -> Column:
             annual = s["q"] * days / kyear
@@ -371,11 +351,46 @@ def _step_fold(m: PathModel):
 
             return let(rp, finish)
 
-        return let(step(F.col("__st"), t), with_uniforms)
+        return let(first, second)
 
     return merge
 
 
+def shock_table(df: DataFrame, horizon: Horizon, m: PathModel) -> DataFrame:
+    """Add ``__shocks``: ARRAY of per-year shock structs, computed as plain
+    (codegen'd) columns from the path stream — one level of independent
+    expressions per stage, no dependency chain across years."""
+    years = range(1, horizon.years + 1)
+    df = df.withColumns({f"__h{t}": step(F.col("__st"), t) for t in years})
+    df = df.withColumns({f"__u{t}_{i}": uniform(F.col(f"__h{t}"), i) for t in years for i in range(1, 8)})
+
+    def radius(t, i):
+        return F.sqrt(F.lit(-2.0) * F.log(F.col(f"__u{t}_{i}")))
+
+    df = df.withColumns({f"__r{t}_{i}": radius(t, i) for t in years for i in (1, 3, 5)})
+    two_pi = F.lit(2.0 * math.pi)
+
+    def z(t, r, i, fn):
+        return F.col(f"__r{t}_{r}") * fn(two_pi * F.col(f"__u{t}_{i}"))
+
+    shocks = [
+        F.struct(
+            (F.lit(m.price_shock) * z(t, 1, 2, F.cos)).alias("price"),
+            (F.lit(m.growth_shock) * z(t, 1, 2, F.sin)).alias("growth"),
+            (F.lit(m.production_shock) * z(t, 3, 4, F.cos)).alias("prod"),
+            (F.lit(m.rate_shock) * z(t, 3, 4, F.sin)).alias("rate"),
+            (F.lit(m.deficit_shock) * z(t, 5, 6, F.cos)).alias("def"),
+            (F.lit(m.employment_shock) * z(t, 5, 6, F.sin)).alias("emp"),
+            F.col(f"__u{t}_7").alias("u"),
+        )
+        for t in years
+    ]
+    df = df.withColumn("__shocks", F.array(*shocks))
+    drop = [f"__h{t}" for t in years] + [f"__u{t}_{i}" for t in years for i in range(1, 8)]
+    drop += [f"__r{t}_{i}" for t in years for i in (1, 3, 5)]
+    return df.drop(*drop)
+
+
 def simulate_paths(
     init: DataFrame,
     by,
@@ -420,8 +435,8 @@ def simulate_paths(
         F.col("__emp0").alias("emp"),
         F.array().cast("array<int>").alias("scores"),
     )
-    years = F.sequence(F.lit(1), F.lit(horizon.years)).cast("array<long>")
-    df = df.withColumn("__end", F.aggregate(years, zero, _step_fold(m)))
+    df = shock_table(df, horizon, m)
+    df = df.withColumn("__end", F.aggregate(F.col("__shocks"), zero, _step_fold(m)))
     scores = F.col("__end.scores")
     max_score = F.array_max(scores)
     return df.select(
