@@ -525,8 +525,34 @@ def q_feature_metadata(spark, sf_dir):
 # ---------------------------------------------------------------- pyspark.ml models (statistical checks)
 
 
+# Fitted models (and their cached training rows) are shared by every query
+# of one application on one data folder: train once, score many times.
+_FITTED: dict = {}
+
+
+def _memo(spark, sf_dir, name, make):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
 def training_data(spark, sf_dir):
-    return metrics_double(quarter_panel(spark, sf_dir)).cache()
+    return _memo(spark, sf_dir, "training_data", lambda: metrics_double(quarter_panel(spark, sf_dir)).cache())
+
+
+def fitted_models(spark, sf_dir, names, fit_df, tag):
+    """Fit the named models on ``fit_df`` (missing ones concurrently)."""
+    def fit(name):
+        t = TARGETS[name]
+        fitter = ml.fit_forest if name == "forest" else ml.fit_boosting
+        return lambda: fitter(fit_df, feature_cols(t), t)
+
+    key = lambda n: (spark.sparkContext.applicationId, sf_dir, f"{tag}:{n}")
+    missing = [n for n in names if key(n) not in _FITTED]
+    for n, m in zip(missing, ml.fit_concurrently([fit(n) for n in missing], workers=3) if missing else []):
+        _FITTED[key(n)] = m
+    return [_FITTED[key(n)] for n in names]
 
 
 def model_predictions(name, model, df, target):
@@ -540,14 +566,14 @@ def model_predictions(name, model, df, target):
 def q_rf_predictions(spark, sf_dir):
     df = training_data(spark, sf_dir)
     t = TARGETS["forest"]
-    return model_predictions("forest", ml.fit_forest(df, feature_cols(t), t), df, t)
+    return model_predictions("forest", fitted_models(spark, sf_dir, ["forest"], df, "full")[0], df, t)
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     df = training_data(spark, sf_dir)
     t = TARGETS["forest"]
-    ranked = ml.feature_importance(ml.fit_forest(df, feature_cols(t), t), feature_cols(t))
+    ranked = ml.feature_importance(fitted_models(spark, sf_dir, ["forest"], df, "full")[0], feature_cols(t))
     rows = [(i + 1, f, float(v)) for i, (f, v) in enumerate(ranked)]
     return spark.createDataFrame(rows, "rank int, feature string, importance double")
 
@@ -574,20 +600,24 @@ def q_hybrid_forecast(spark, sf_dir):
 def q_gbt_revenue(spark, sf_dir):
     df = training_data(spark, sf_dir)
     t = TARGETS["boost_revenue"]
-    return model_predictions("boost_revenue", ml.fit_boosting(df, feature_cols(t), t), df, t)
+    return model_predictions("boost_revenue", fitted_models(spark, sf_dir, ["boost_revenue"], df, "full")[0], df, t)
 
 
 @register("gbt_debt")
 def q_gbt_debt(spark, sf_dir):
     df = training_data(spark, sf_dir)
     t = TARGETS["boost_debt"]
-    return model_predictions("boost_debt", ml.fit_boosting(df, feature_cols(t), t), df, t)
+    return model_predictions("boost_debt", fitted_models(spark, sf_dir, ["boost_debt"], df, "full")[0], df, t)
 
 
 def kernel_fit(spark, sf_dir):
     t = TARGETS["kernel"]
-    df = ev.cv_folds(training_data(spark, sf_dir), KEY, "period_start")
-    return ml.fit_kernel_regression(df, feature_cols(t), t), t
+
+    def make():
+        df = ev.cv_folds(training_data(spark, sf_dir), KEY, "period_start")
+        return ml.fit_kernel_regression(df, feature_cols(t), t)
+
+    return _memo(spark, sf_dir, "kernel", make), t
 
 
 @register("kernel_regression")
@@ -603,17 +633,11 @@ def q_cv_scores(spark, sf_dir):
     return spark.createDataFrame(rows, "c double, mae double")
 
 
-def all_predictions(spark, sf_dir, df=None, fit_df=None):
+def all_predictions(spark, sf_dir, df=None, fit_df=None, tag="full"):
     df = df if df is not None else training_data(spark, sf_dir)
     fit_df = fit_df if fit_df is not None else df
     names = ("forest", "boost_revenue", "boost_debt")
-
-    def fit(name):
-        t = TARGETS[name]
-        fitter = ml.fit_forest if name == "forest" else ml.fit_boosting
-        return lambda: fitter(fit_df, feature_cols(t), t)
-
-    models = ml.fit_concurrently([fit(n) for n in names], workers=3)
+    models = fitted_models(spark, sf_dir, names, fit_df, tag)
     outs = [model_predictions(n, m, df, TARGETS[n]) for n, m in zip(names, models)]
     out = outs[0]
     for o in outs[1:]:
@@ -634,7 +658,9 @@ def q_training_report(spark, sf_dir):
 @register("backtest_predictions")
 def q_backtest_predictions(spark, sf_dir):
     sp = split_panel(spark, sf_dir).cache()
-    return all_predictions(spark, sf_dir, df=sp.where(F.col("split") == "test"), fit_df=sp.where(F.col("split") == "train"))
+    return all_predictions(
+        spark, sf_dir, df=sp.where(F.col("split") == "test"), fit_df=sp.where(F.col("split") == "train"), tag="train"
+    )
 
 
 def panel_pca(spark, sf_dir):
