@@ -7,15 +7,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_decode
 from .common import table
 from .minhash import near_duplicates
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file; other callers pass their own path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_bpe_encoding": op4_bpe_encoding,
         "op7_minhash_neardup": op7_minhash_neardup,
     }
