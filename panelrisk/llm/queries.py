@@ -6,7 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .balltree import exact_top_k
 from .bpe import encode_decode
 from .common import table
 from .minhash import near_duplicates
@@ -27,8 +29,13 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_encoding": op4_bpe_encoding,
         "op7_minhash_neardup": op7_minhash_neardup,
+        "op10_ball_tree_top_k": op10_ball_tree_top_k,
     }
