@@ -22,6 +22,7 @@ import json
 import os
 import re
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -354,8 +355,8 @@ def encode_decode(
     sc = docs.sparkSession.sparkContext
     tables = Tables(tokenizer)
     data = build_lexicon(docs, tables, text_col, lexicon_words)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.mat"
-    # The driver serves this file; every executor fetches its own copy.
+    # The driver serves this file under a name of its own; every executor fetches a copy.
+    name = f"lexicon-{uuid.uuid4().hex}.mat"
     source = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
     with open(source, "wb") as f:
         f.write(data)

@@ -9,10 +9,13 @@ two signatures that agree in ``matches`` coordinates still meet in a posting.
 Meeting classes are compared on whole signatures, pairs that agree in
 ``matches`` coordinates or more on their full sets.
 
-Links within a group of n copies are never all listed. First each class of a
-posting list meets only the list's smallest class; the verified links give
-components; then only classes of one list in *different* components meet, so
-that no link which could join two components is lost.
+Links within a group of n copies are never all listed. Every posting list has a
+hub, its member with the most shared postings. First each class meets the hubs
+of its lists; the verified links give components. A pair that could still join
+two components meets in a list, so both met its hub: for every hub, the classes
+outside the hub's component are held against all classes that met it, block by
+block; a block returns which classes have a partner of a different component,
+then their links, never all its pairs. No link that joins components is lost.
 
 Cases: null text or text without a word has an empty set, links with nothing
 and is its own component. Repeated rows share a class. Rows with a null id take
@@ -35,6 +38,9 @@ from .common import materialize, small
 #: Distinct words whose hashes a Python worker remembers before it starts anew.
 WORD_CACHE = 500_000
 
+#: Classes of a kind in one block around a hub.
+BLOCK = 256
+
 _K1 = np.uint64(0x9E3779B97F4A7C15)
 _K2 = np.uint64(0xD6E8FEB86659FD93)
 _S31, _S32, _S33 = np.uint64(31), np.uint64(32), np.uint64(33)
@@ -189,39 +195,26 @@ def near_duplicates(
         .alias("key"),
     )
     held = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    frequent_first = Window.partitionBy("digest").orderBy(F.desc("df"), F.desc("key"))
+    of_class = Window.partitionBy("digest")
     prefix = materialize(
         postings.join(held, "key")
-        .withColumn("skip", F.row_number().over(frequent_first))
+        .withColumn("skip", F.row_number().over(of_class.orderBy(F.desc("df"), F.desc("key"))))
+        .withColumn("weight", F.sum("df").over(of_class))
         .where(F.col("skip") >= matches)
-        .select("digest", "key")
+        .select("digest", "key", "weight")
     )
 
-    centres = prefix.groupBy("key").agg(F.min("digest").alias("a"), F.count("*").alias("n")).where("n > 1")
-    star = (
-        prefix.join(centres, "key").where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
+    hubs = (
+        prefix.groupBy("key")
+        .agg(F.max(F.struct("weight", "digest")).alias("top"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("key", F.col("top.digest").alias("hub"))
     )
-    verify = _Verifier(base, rows, classes, words, percent, matches)
-    links = verify(star)
+    met = materialize(prefix.join(hubs, "key").select("hub", "digest").distinct())
+    verify = _Verifier(base, classes, words, percent, matches)
+    links = verify.pairs(met.where("hub <> digest").select(F.col("hub").alias("a"), F.col("digest").alias("b")))
     labels = components(links)
-
-    # Lists that still hold several components: members of different ones meet.
-    member = prefix.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "key", "digest", F.coalesce("label", "digest").alias("label")
-    )
-    split = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    member = materialize(member.join(split.select("key"), "key"))
-    parts = member.select("key", "label").distinct()
-    meet = parts.withColumnRenamed("label", "la").join(
-        parts.select(F.col("key"), F.col("label").alias("lb")), "key"
-    ).where("la < lb")
-    cross = (
-        meet.join(member.select("key", F.col("label").alias("la"), F.col("digest").alias("a")), ["key", "la"])
-        .join(member.select("key", F.col("label").alias("lb"), F.col("digest").alias("b")), ["key", "lb"])
-        .select("a", "b")
-        .distinct()
-    )
-    more = verify(cross)
+    more = verify.around_hubs(met, labels)
     joined = components(
         labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b"))
     )
@@ -241,13 +234,28 @@ def near_duplicates(
 
 
 class _Verifier:
-    """Pairs of classes -> those whose signatures and full sets agree enough."""
+    """Finds the links among classes that met, by signatures and then full sets."""
 
-    def __init__(self, base, rows, classes, words, percent, matches):
-        self.base, self.rows, self.classes = base, rows, classes
+    def __init__(self, base, classes, words, percent, matches):
+        self.base, self.classes = base, classes
         self.words, self.percent, self.matches = words, percent, matches
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(digest, shingles) of the wanted classes, from a text of each.
+
+        A class is found by its smallest id (null ids meet null-safely).
+        """
+        ids = materialize(self.classes.join(wanted, "digest").select(F.col("min_id").alias("want")).distinct())
+        return materialize(
+            self.base.join(small(ids), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+            .select("text")
+            .mapInArrow(_sets(self.words), "digest long, shingles array<long>")
+            .join(wanted, "digest", "left_semi")
+            .dropDuplicates(["digest"])
+        )
+
+    def pairs(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are linked."""
         sig = self.classes.select("digest", "sig")
         agree = F.aggregate(
             F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x
@@ -258,16 +266,7 @@ class _Verifier:
             .where(agree >= self.matches)
             .select("a", "b")
         )
-        wanted = near.select(F.col("a").alias("digest")).union(near.select("b")).distinct()
-        # One row of each wanted class, found by its smallest id (null ids meet null-safely).
-        ids = materialize(self.classes.join(wanted, "digest").select(F.col("min_id").alias("want")).distinct())
-        sets = materialize(
-            self.base.join(small(ids), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
-            .select("text")
-            .mapInArrow(_sets(self.words), "digest long, shingles array<long>")
-            .join(wanted, "digest", "left_semi")
-            .dropDuplicates(["digest"])
-        )
+        sets = self.sets(near.select(F.col("a").alias("digest")).union(near.select("b")).distinct())
         na, nb = F.size("xa"), F.size("xb")
         both = F.size(F.array_intersect("xa", "xb"))
         return materialize(
@@ -276,3 +275,91 @@ class _Verifier:
             .where(100 * both >= self.percent * (na + nb - both))
             .select("a", "b")
         )
+
+    def around_hubs(self, met: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links (a, b) between different components among the classes of a hub."""
+        named = labels.withColumnRenamed("node", "digest")
+        members = met.join(named, "digest", "left").select("hub", "digest", F.coalesce("label", "digest").alias("label"))
+        home = members.where("hub = digest").select("hub", F.col("label").alias("home"))
+        members = materialize(members.join(home, "hub").withColumn("out", F.col("label") != F.col("home")))
+        sig = self.classes.select("digest", F.col("sig").cast("array<long>").alias("items"))
+        near = _blocks(members, sig, _partners(self.matches), "hub long, digest long")
+        members = materialize(members.join(near.distinct(), ["hub", "digest"], "left_semi"))
+        sets = self.sets(members.select("digest").distinct()).withColumnRenamed("shingles", "items")
+        return materialize(_blocks(members, sets, _links(self.percent), "a long, b long").distinct())
+
+
+def _blocks(members: DataFrame, items: DataFrame, fn, schema: str) -> DataFrame:
+    """Apply ``fn`` to blocks of a hub's classes against blocks of its outsiders.
+
+    Every class stands in one block of targets, every outsider also in one block
+    of queries; a target meets each query block once. A group holds about
+    ``BLOCK`` rows of either kind, whatever the hub's size.
+    """
+    sizes = members.groupBy("hub").agg(
+        F.ceil(F.count("*") / BLOCK).alias("bt"), F.ceil(F.count_if("out") / BLOCK).alias("bq")
+    ).where("bq > 0")
+    held = members.join(sizes, "hub").join(items, "digest")
+    spread = F.pmod(F.xxhash64("digest"), F.lit(1 << 30))
+    columns = ["hub", "t", "q", "query", "digest", "label", "items"]
+    targets = held.withColumn("query", F.lit(False)).withColumn("t", spread % F.col("bt")).withColumn(
+        "q", F.explode(F.sequence(F.lit(0), F.col("bq") - 1))
+    )
+    queries = held.where("out").withColumn("query", F.lit(True)).withColumn("q", spread % F.col("bq")).withColumn(
+        "t", F.explode(F.sequence(F.lit(0), F.col("bt") - 1))
+    )
+    return targets.select(columns).union(queries.select(columns)).groupBy("hub", "t", "q").applyInArrow(fn, schema)
+
+
+def _sides(group: pa.Table):
+    query = group["query"].to_numpy(zero_copy_only=False)
+    digest, label = group["digest"].to_numpy(), group["label"].to_numpy()
+    items = group["items"].to_pylist()
+    q, t = np.flatnonzero(query), np.flatnonzero(~query)
+    return digest, label, items, q, t
+
+
+def _partners(matches: int):
+    """Of a block: the classes that agree with one of another component."""
+
+    def run(group: pa.Table) -> pa.Table:
+        digest, label, items, q, t = _sides(group)
+        near: set[int] = set()
+        if len(q) and len(t):
+            table = np.array([items[i] for i in t], np.int64)
+            for i in q:
+                hit = t[((table == np.array(items[i], np.int64)).sum(axis=1) >= matches) & (label[t] != label[i])]
+                if len(hit):
+                    near.add(int(digest[i]))
+                    near.update(digest[hit].tolist())
+        hub = group["hub"][0].as_py()
+        return pa.table({"hub": pa.array([hub] * len(near), pa.int64()), "digest": pa.array(sorted(near), pa.int64())})
+
+    return run
+
+
+def _links(percent: int):
+    """Of a block: the links between its queries and targets of other components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        digest, label, items, q, t = _sides(group)
+        a, b = [], []
+        if len(q) and len(t):
+            sizes = np.array([len(x) for x in items], np.int64)
+            flat = np.concatenate([np.array(items[i], np.int64) for i in t])
+            owner = np.repeat(np.arange(len(t)), sizes[t])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in q:
+                own = np.array(items[i], np.int64)
+                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(t))
+                good = (100 * both >= percent * (sizes[i] + sizes[t] - both)) & (label[t] != label[i])
+                for j in t[good]:
+                    a.append(min(digest[i], digest[j]))
+                    b.append(max(digest[i], digest[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run

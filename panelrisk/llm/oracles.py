@@ -2,6 +2,55 @@
 
 from __future__ import annotations
 
+from .urls import RULES
+
+_HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _rule_case(column: int) -> str:
+    """CASE over the rules, longest first."""
+    whens = []
+    for rule in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
+        value = rule[0] if column == 0 else rule[1] + rule[2]
+        whens.append(
+            f"WHEN (host = '{rule[1]}' OR ends_with(host, '.{rule[1]}')) AND starts_with(path, '{rule[2]}') THEN '{value}'"
+        )
+    return f"CASE {' '.join(whens)} END"
+
+
+URL_SQL = f"""
+WITH cut AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, html, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), named AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '/+$', '') END AS name FROM parts
+), listed AS (
+  SELECT DISTINCT name FROM named
+  WHERE name IS NOT NULL AND regexp_matches(html, '\\*\\*\\*|###|%%%|\\$\\$\\$')
+), judged AS (
+  SELECT page_id, host, path, {_rule_case(1)} AS rule, {_rule_case(0)} AS ruled,
+         coalesce(name IN (SELECT name FROM listed), false) AS listed
+  FROM named
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM judged
+"""
+
+TOP_K_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": URL_SQL, "op10_ball_tree_top_k": TOP_K_SQL}

@@ -12,6 +12,10 @@ from .balltree import exact_top_k
 from .bpe import encode_decode
 from .common import table
 from .minhash import near_duplicates
+from .urls import judge_urls
+
+
+SYMBOL_RUN = r"\*\*\*|###|%%%|\$\$\$"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -25,6 +29,13 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: URLs of pages that carry runs of symbols (``***``, ``###``, ...)."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.col("html").rlike(SYMBOL_RUN)).select("url")
+    return judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -36,6 +47,7 @@ def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_encoding": op4_bpe_encoding,
+        "op5_url_filter": op5_url_filter,
         "op7_minhash_neardup": op7_minhash_neardup,
         "op10_ball_tree_top_k": op10_ball_tree_top_k,
     }
