@@ -21,10 +21,13 @@ import heapq
 import json
 import os
 import re
+import sys
 import tempfile
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +67,13 @@ class Tables:
         self.byte_id = [0] * 256
         for c, b in chars.items():
             self.byte_id[b] = vocab[c]
-        #: (left id << 32 | right id) -> (rank, merged id)
-        self.merge: dict[int, tuple[int, int]] = {}
+        #: (left id << 32 | right id) -> rank; rank -> merged id
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merge[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
+            self.rank[vocab[a] << 32 | vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.piece = [b""] * size
@@ -82,34 +87,35 @@ class Tables:
         ids = [self.byte_id[b] for b in data]
         if len(ids) > 48:
             return self._long(ids)
-        merge = self.merge
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = merge.get(ids[i] << 32 | ids[i + 1])
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(a << 32 | b, none) for a, b in pairwise(ids)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i : i + 2] = [self.made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
-        n, merge = len(ids), self.merge
+        n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merge.get(ids[i] << 32 | ids[i + 1]))]
-        heapq.heapify(heap)
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            if m := merge.get(ids[i] << 32 | ids[j]):
-                heapq.heappush(heap, (m[0], i, m[1], ids[i], ids[j]))
+            if (r := rank.get(ids[i] << 32 | ids[j])) is not None:
+                heapq.heappush(heap, (r, i, ids[i], ids[j]))
 
+        for i in range(n - 1):
+            offer(i, i + 1)
         while heap:
-            _, i, new, left, right = heapq.heappop(heap)
+            r, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue  # one of the two has been merged meanwhile
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[r], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -133,7 +139,7 @@ class Transducer:
 
         def part(kind, n: int) -> np.ndarray:
             nonlocal at
-            got = np.memmap(path, kind, "r", at, (n,)) if n else np.empty(0, kind)
+            got = np.asarray(np.memmap(path, kind, "r", at, (n,))) if n else np.empty(0, kind)
             at += got.nbytes
             return got
 
@@ -232,6 +238,13 @@ def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
     return b"".join(x.tobytes() for x in (head, table[:, 0], table[:, 1], table[:, 2], start, flat, ends))
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Encodes texts by a lexicon and, outside of it, exact merges."""
 
@@ -262,7 +275,7 @@ class Encoder:
             out += self.merged(text[at : m.start()])
             out.append(self.tables.added[m.group()])
             at = m.end()
-        return np.array(out + self.merged(text[at:]), "<u4").tobytes()
+        return _bytes(out + self.merged(text[at:]))
 
     def learn(self, new: list[str]) -> None:
         data = [b" " + u.encode() for u in new]
@@ -272,7 +285,7 @@ class Encoder:
                 a, b = self.lexicon.start[k], self.lexicon.start[k + 1]
                 self.cache[u] = self.lexicon.ids[a:b].astype("<u4").tobytes()
             else:
-                self.cache[u] = np.array(self.merged(" " + u), "<u4").tobytes()
+                self.cache[u] = _bytes(self.merged(" " + u))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
@@ -299,6 +312,17 @@ class Encoder:
         return b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _worker_encoder(name: str, tables: Tables) -> Encoder:
+    """The one encoder of a Python worker; its memory of units outlives a task."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(tables, Transducer(SparkFiles.get(name)))
+    return _ENCODERS[name]
+
+
 def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(unit, n): how often each space-led unit occurs in all texts."""
 
@@ -364,7 +388,7 @@ def encode_decode(
     shared = sc.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, Transducer(SparkFiles.get(name)))
+        encoder = _worker_encoder(name, shared.value)
         for batch in batches:
             n, digest, back, all_ids = [], [], [], []
             texts = batch.column(1)
