@@ -51,13 +51,42 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def sampled(df: DataFrame, key: Column, share: float, salt: str) -> DataFrame:
-    """Rows whose salted key hash falls in the lowest ``share`` of its range.
-
-    Deterministic, so a lost task draws the same rows again.
+def drawn_share(key: Column, share: float, salt: str) -> Column:
+    """True for rows whose salted key hash falls in the lowest ``share`` of its
+    range. Deterministic, so a lost task draws the same rows again."""
+    edge = min(1 << 31, int(share * (1 << 31)))
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 31)) < F.lit(edge)
+
+
+def learning_rows(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str,
+    held_out_modulus: int,
+    held_out_value: int,
+    max_rows: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(text, label): a sample of about ``max_rows`` labelled rows to learn from.
+
+    Left out: held-out ids, null ids or labels, labels other than 0 and 1, ids
+    with contradicting labels. Each label gives up to half of the rows, drawn by
+    a hash of the id. Only this bounded sample is broadcast.
     """
-    if share >= 1:
-        return df
-    edge = int(share * (1 << 31))
-    h = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 31))
-    return df.where(h < F.lit(edge))
+    lab = (
+        labels.select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).cast("int").alias("label"))
+        .where("lid is not null and label in (0, 1)")
+        .where(bucket_of(F.col("lid"), held_out_modulus) != held_out_value)
+        .groupBy("lid")
+        .agg(F.min("label").alias("label"), F.max("label").alias("other"))
+        .where("label = other")
+        .select("lid", "label")
+    )
+    counts = {r.label: r.n for r in lab.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    drawn = F.lit(False)
+    for label, n in sorted(counts.items()):
+        drawn = drawn | ((F.col("label") == label) & drawn_share(F.col("lid"), max_rows / 2 / n, label_col))
+    chosen = lab.where(drawn)
+    text = docs.select(F.col(id_col).cast("long").alias("lid"), F.col(text_col).alias("text"))
+    return text.join(F.broadcast(chosen), "lid").select("text", "label")

@@ -1,7 +1,9 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Every text becomes the set of its word shingles (64-bit hashes) and a signature
-of ``coords`` minima. Texts with equal sets form one class. Each class is posted
+of ``coords`` coordinates, each a hash of two independent minima (two texts agree
+in one with the square of their similarity, so that unrelated texts with common
+word pairs seldom meet). Texts with equal sets form one class. Each class is posted
 under its (coordinate, value) pairs; pairs held by one class only can't collide
 and are dropped. What is left is ordered from rare to frequent, and the
 ``matches - 1`` most frequent postings of a class are skipped (prefix filter):
@@ -79,18 +81,21 @@ def shingle_set(text: str | None, words: int, hashes: dict) -> np.ndarray:
 
 
 def _permutations(coords: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two per coordinate: of all first minima, then of all second ones."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 64, coords, dtype=np.uint64) | np.uint64(1)
-    return a, rng.integers(0, 1 << 64, coords, dtype=np.uint64)
+    a = rng.integers(0, 1 << 64, 2 * coords, dtype=np.uint64) | np.uint64(1)
+    return a, rng.integers(0, 1 << 64, 2 * coords, dtype=np.uint64)
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Per coordinate the least 32-bit permuted hash, as signed integers."""
+    """Per coordinate a 32-bit hash of its two least permuted hashes, signed."""
     best = np.full(len(a), 0xFFFFFFFF, np.uint64)
     for k in range(0, len(shingles), 4096):
         part = (shingles[k : k + 4096, None] * a + b) >> _S32
         np.minimum(best, part.min(axis=0), out=best)
-    return best.astype(np.uint32).view(np.int32)
+    half = len(a) // 2
+    both = ((best[:half] << _S32) | best[half:]) * _K1
+    return (both >> _S32).astype(np.uint32).view(np.int32)
 
 
 def _signatures(words: int, coords: int, seed: int):
@@ -167,13 +172,13 @@ def near_duplicates(
     words: int = 2,
     percent: int = 80,
     coords: int = 48,
-    matches: int = 24,
+    matches: int = 14,
     seed: int = 7,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts are linked when ``100 * |A & B| >= percent * |A | B|`` on their full
-    shingle sets. A pair at similarity 0.8 agrees in fewer than 24 of 48
+    shingle sets. A pair at similarity 0.8 agrees in fewer than 14 of 48
     coordinates with probability below 1e-6; raise ``coords`` for less.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -208,13 +213,14 @@ def near_duplicates(
         prefix.groupBy("key")
         .agg(F.max(F.struct("weight", "digest")).alias("top"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("key", F.col("top.digest").alias("hub"))
+        .select("key", F.col("top.digest").alias("hub"), (F.col("n") > 2).alias("more"))
     )
-    met = materialize(prefix.join(hubs, "key").select("hub", "digest").distinct())
+    met = materialize(prefix.join(hubs, "key").groupBy("hub", "digest").agg(F.bool_or("more").alias("more")))
     verify = _Verifier(base, classes, words, percent, matches)
     links = verify.pairs(met.where("hub <> digest").select(F.col("hub").alias("a"), F.col("digest").alias("b")))
     labels = components(links)
-    more = verify.around_hubs(met, labels)
+    # Where a list holds two classes, one is the hub: their pair has been seen.
+    more = verify.around_hubs(met.where("more").select("hub", "digest"), labels)
     joined = components(
         labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b"))
     )

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .balltree import exact_top_k
 from .bpe import encode_decode
-from .common import table
+from . import langid, quality, toxicity
+from .common import bucket_of, learning_rows, table
 from .minhash import near_duplicates
 from .urls import judge_urls
 
@@ -25,6 +26,38 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _predictions(docs: DataFrame, held_out: Column, score: Column) -> DataFrame:
+    """doc_id, held_out, score, predicted (null ids are not held out)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    model = langid.fit(langid.learning_sample(docs, ~held_out))
+    found = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), langid.predict(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = learning_rows(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1, toxicity.LEARN_ROWS)
+    model = toxicity.fit(sample)
+    return _predictions(docs, bucket_of(F.col("doc_id"), 3) == 1, toxicity.toxicity(docs, model))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.fit(learning_rows(docs, labels, "quality", 4, 2, quality.LEARN_ROWS))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    score = quality.quality(docs, quality_model(spark, sf_dir))
+    return _predictions(docs, bucket_of(F.col("doc_id"), 4) == 2, score)
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,6 +79,9 @@ def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_toxicity": op2_toxicity,
+        "op9_quality": op9_quality,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_url_filter": op5_url_filter,
         "op7_minhash_neardup": op7_minhash_neardup,
