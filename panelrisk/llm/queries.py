@@ -13,6 +13,7 @@ from .bpe import encode_decode
 from . import langid, quality, toxicity
 from .common import bucket_of, learning_rows, table
 from .minhash import near_duplicates
+from .secrets import find_secrets
 from .urls import judge_urls
 
 
@@ -69,6 +70,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_url_filter": op5_url_filter,
+        "op6_secret_scan": op6_secret_scan,
         "op7_minhash_neardup": op7_minhash_neardup,
         "op10_ball_tree_top_k": op10_ball_tree_top_k,
     }
