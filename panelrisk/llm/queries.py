@@ -12,6 +12,7 @@ from .balltree import exact_top_k
 from .bpe import encode_decode
 from . import langid, quality, toxicity
 from .common import bucket_of, learning_rows, table
+from .decontaminate import contaminated
 from .minhash import near_duplicates
 from .secrets import find_secrets
 from .urls import judge_urls
@@ -20,6 +21,12 @@ from .urls import judge_urls
 SYMBOL_RUN = r"\*\*\*|###|%%%|\$\$\$"
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item it holds; clean documents have none."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "hamming", F.round("similarity", 6).alias("similarity"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public tokenizer's file; other callers pass their own path."""
     import public_tokenizers
@@ -87,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op2_toxicity": op2_toxicity,
         "op9_quality": op9_quality,
+        "op3_decontamination": op3_decontamination,
         "op4_bpe_encoding": op4_bpe_encoding,
         "op5_url_filter": op5_url_filter,
         "op6_secret_scan": op6_secret_scan,
