@@ -36,11 +36,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Units in the lexicon, and the bytes of the longest one.
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 262_144
 LEXICON_BYTES = 48
 #: Distinct units a Python worker remembers, or counts, before it starts anew.
-UNIT_CACHE = 600_000
+UNIT_CACHE, COUNT_CACHE = 900_000, 600_000
 #: Texts looked up together.
 GROUP = 256
 
@@ -190,7 +192,9 @@ def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
     def freeze(depth: int) -> None:
         while len(path) > depth:
             parent, byte, child = path.pop()
-            nodes[parent][byte] = seen.setdefault((final[child], tuple(nodes[child].items())), child)
+            same = nodes[parent][byte] = seen.setdefault((final[child], tuple(nodes[child].items())), child)
+            if same != child:
+                nodes[child] = {}
 
     last = b""
     for word in words:
@@ -253,19 +257,13 @@ class Encoder:
         self.cut = regex.compile(PATTERN)
         self.special = re.compile("|".join(map(re.escape, sorted(tables.added, key=len, reverse=True)))) if tables.added else None
         self.cache: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        #: A mark after a Latin letter is a pre-token of its own.
+        self.marks = {m: _bytes(tables.word(m.encode())) for m in ".,;:!?"}
 
     def merged(self, text: str) -> list[int]:
         out: list[int] = []
         for word in self.cut.findall(text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.tables.word(word.encode())
-                if len(self.words) >= UNIT_CACHE // 2:
-                    self.words.clear()
-                if len(word) <= LEXICON_BYTES:
-                    self.words[word] = ids
-            out += ids
+            out += self.tables.word(word.encode())
         return out
 
     def whole(self, text: str) -> bytes:
@@ -284,6 +282,11 @@ class Encoder:
             if k >= 0:
                 a, b = self.lexicon.start[k], self.lexicon.start[k + 1]
                 self.cache[u] = self.lexicon.ids[a:b].astype("<u4").tobytes()
+            elif u[-1:] in self.marks and u[-2:-1].isalpha() and u[-2] < "\u0250":
+                stem = self.cache.get(u[:-1])
+                if stem is None:
+                    stem = self.cache[u[:-1]] = _bytes(self.merged(" " + u[:-1]))
+                self.cache[u] = stem + self.marks[u[-1]]
             else:
                 self.cache[u] = _bytes(self.merged(" " + u))
 
@@ -341,7 +344,7 @@ def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 cut = units(text.as_py() or "")
                 if cut:
                     seen.update(cut[1:])
-                if len(seen) > UNIT_CACHE:
+                if len(seen) > COUNT_CACHE:
                     yield flush()
         yield flush()
 
@@ -350,18 +353,22 @@ def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tables: Tables, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
-    """The lexicon of the ``size`` most frequent units of all texts.
+    """The lexicon of the most frequent units of all texts, at most ``size``.
 
-    Only these units (a bounded number of bounded length) reach the driver.
+    The least count is read off the histogram of counts; only units that reach
+    it (a bounded number of bounded length) come to the driver.
     """
-    top = (
-        count_units(docs, text_col)
-        .where(F.octet_length("unit") < LEXICON_BYTES)
-        .orderBy(F.desc("n"), "unit")
-        .limit(size)
-        .select("unit")
+    counts = materialize(
+        count_units(docs, text_col).where((F.col("n") > 1) & (F.octet_length("unit") < LEXICON_BYTES))
     )
-    words = sorted(b" " + r.unit.encode() for r in top.toLocalIterator())
+    total, least = 0, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("units")).orderBy(F.desc("n")).toLocalIterator():
+        total += r.units
+        if total > size:
+            break
+        least = r.n
+    top = counts.where(F.col("n") >= least) if least else counts.limit(0)
+    words = sorted(b" " + r.unit.encode() for r in top.select("unit").toLocalIterator())
     exact = Encoder(tables, None)
     return compile_lexicon(words, [exact.merged(w.decode()) for w in words])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .balltree import exact_top_k
 from .bpe import encode_decode
-from . import langid, quality, toxicity
+from . import langid, pii, quality, toxicity
 from .common import bucket_of, learning_rows, table
 from .decontaminate import contaminated
 from .minhash import near_duplicates
@@ -85,6 +85,11 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
 def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -99,5 +104,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_secret_scan": op6_secret_scan,
         "op7_minhash_neardup": op7_minhash_neardup,
+        "op8_personal_data": op8_personal_data,
         "op10_ball_tree_top_k": op10_ball_tree_top_k,
     }
