@@ -29,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, stored
 
 WORDS, PERCENT = 5, 80
 #: Blocks of a fingerprint, their bits, and the greatest Hamming distance.
@@ -109,7 +109,7 @@ def contaminated(
         windows = windows.union(more)
     windows = materialize(windows.distinct())
 
-    held = materialize(texts.join(small(windows.select("text_key").distinct()), "text_key", "left_semi"))
+    held = stored(texts.join(small(windows.select("text_key").distinct()), "text_key", "left_semi"))
     cut = (
         held.select("text_key", "text")
         .dropDuplicates(["text_key"])

@@ -1,12 +1,29 @@
-"""The stages of ``corpus_pipeline.py``: operators applied to what came before."""
+"""The stages of ``corpus_pipeline.py``: operators applied to what came before.
+
+Every stage works on all rows of ``docs`` and returns its columns; only the last
+returns tokens. A row with a null id or null text passes where no rule applies to
+it: it is scored, it can't be named as a duplicate, it holds no benchmark passage
+and no secret, and it encodes to no token.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small
+from . import quality
+from .bpe import encode_decode
+from .common import learning_rows, materialize, small, table
+from .decontaminate import contaminated
 from .minhash import near_duplicates
+from .queries import tokenizer_path
+from .secrets import redact_secrets
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the pairwise ranking scores 0.7 or more."""
+    sample = learning_rows(docs, table(spark, sf_dir, "labels"), "quality", 4, 2, quality.LEARN_ROWS)
+    return docs.where(quality.quality(docs, quality.fit(sample)) >= quality.THRESHOLD)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +33,29 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an id with the same text count as one document.
     """
     found = near_duplicates(docs, words=5, percent=80)
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
+    gone = materialize(found.where("doc_id is not null and not kept").select("doc_id").distinct())
     rest = docs.join(small(gone), "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
+    repeated = materialize(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        return rest.select(*docs.columns)
     once = rest.join(small(repeated), "doc_id", "left_anti")
     again = rest.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(again).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of the benchmark."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    texts = materialize(found.select(F.col("text_key").alias("_held")).distinct())
+    return docs.join(small(texts), F.xxhash64(docs["text"]) == F.col("_held"), "left_anti")
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask every secret in the text; ``n_chars`` follows the new text."""
+    masked = redact_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, with digests of ids and decoded text."""
+    return encode_decode(docs, tokenizer_path(), keep_ids=True)
