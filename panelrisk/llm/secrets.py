@@ -176,7 +176,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
     Overlapping spans become one mask; texts without spans stay as they are,
     null ones included.
     """
-    _, spans = _scan(docs.withColumn("_row", F.lit(0)), "_row", text_col, scope)
+    _, spans = _scan(docs.withColumn("__secret_row", F.lit(0)), "__secret_row", text_col, scope)
     before = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True))
     run = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
@@ -185,21 +185,21 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
         .groupBy("key", "run")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__secret_cuts"))
     )
-    merged = materialize(merged.withColumnRenamed("key", "_key"))
+    merged = materialize(merged.withColumnRenamed("key", "__secret_key"))
     text = F.col(text_col)
-    starts = F.transform("_cuts", lambda c: c["start"])
-    ends = F.transform("_cuts", lambda c: c["end"])
+    starts = F.transform("__secret_cuts", lambda c: c["start"])
+    ends = F.transform("__secret_cuts", lambda c: c["end"])
     # What stands between the cuts: from each end to the next start.
     kept = F.zip_with(
         F.concat(F.array(F.lit(0).cast("long")), ends),
         F.concat(starts, F.array(F.length(text).cast("long"))),
         lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int")),
     )
-    masked = F.when(F.col("_cuts").isNull(), text).otherwise(F.array_join(kept, mask))
+    masked = F.when(F.col("__secret_cuts").isNull(), text).otherwise(F.array_join(kept, mask))
     return (
-        docs.withColumn("_key", F.sha2(text, 256))
-        .join(small(merged), "_key", "left")
+        docs.withColumn("__secret_key", F.sha2(text, 256))
+        .join(small(merged), "__secret_key", "left")
         .select(*[masked.alias(c) if c == text_col else F.col(c) for c in docs.columns])
     )

@@ -46,8 +46,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a passage of the benchmark."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    texts = materialize(found.select(F.col("text_key").alias("_held")).distinct())
-    return docs.join(small(texts), F.xxhash64(docs["text"]) == F.col("_held"), "left_anti")
+    texts = materialize(found.select(F.col("text_key").alias("__held_text")).distinct())
+    return docs.join(small(texts), F.xxhash64(docs["text"]) == F.col("__held_text"), "left_anti")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
