@@ -158,9 +158,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.filter("items", lambda s: s["kind"] < 3)
     count = lambda kind: F.size(F.filter("items", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    # Rows without a key stay out of the join: nulls would all meet in one task.
+    held = rows.where("key is not null").join(of_text, "key", "left").select("doc_id", F.coalesce("items", none).alias("items"))
     return (
-        rows.join(of_text, "key", "left")
-        .withColumn("items", F.coalesce("items", none))
+        held.union(rows.where("key is null").select("doc_id", none.alias("items")))
         .select(
             "doc_id",
             *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
