@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: 512-bit blocks of the filter (2 MiB) and bits set for each URL.
 BLOCKS, BITS = 1 << 15, 6
 
@@ -147,11 +149,11 @@ def judge_urls(
     probed = rows.select(F.coalesce(F.xxhash64(name), F.lit(0)).alias("h"), "page_id", "host", "path", name.alias("name")).mapInArrow(
         probe, "page_id long, host string, path string, name string, possible_hit boolean"
     )
-    # Rows that can't hit have a null key, which stays out of the join.
-    key = F.when(F.col("possible_hit"), F.col("name"))
-    exact = probed.withColumn("key", key).join(
-        names.select(F.col("canonical").alias("key"), F.lit(True).alias("listed")), "key", "left"
-    )
+    # Only possible hits go through the join's shuffle.
+    probed = materialize(probed)
+    sure = probed.where("not possible_hit").withColumn("listed", F.lit(False))
+    hits = probed.where("possible_hit").join(names.select(F.col("canonical").alias("name"), F.lit(True).alias("listed")), "name", "left")
+    exact = hits.select(*sure.columns).union(sure)
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     in_list = F.coalesce("listed", F.lit(False))
     by_list = F.when(in_list, F.lit("block")).otherwise(F.lit("allow"))
