@@ -231,12 +231,11 @@ def near_duplicates(
     own = classes.select("digest", "min_id").join(linked, "digest", "left").select(
         "digest", F.coalesce("top", "min_id").alias("component")
     )
-    return (
-        rows.select("doc_id", "n_shingles", "digest")
-        .join(own, "digest", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    # Rows without a shingle stay out of the join: nulls would all meet in one task.
+    placed = rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
+    empty = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = placed.select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(empty)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 class _Verifier:
