@@ -141,19 +141,32 @@ def disaggregate(
     metrics,
     by,
     indicator: DataFrame | None = None,
+    method: str = "trend",
     year: str = "year",
     order: str = "period_start",
     agg: str = "sum",
 ) -> DataFrame:
-    """Disaggregate every metric; per key, the indicator branch when its
-    indicator is long enough (>= 4·n rows), else the trend branch."""
-    keys = as_list(by)
-    trend = disaggregate_trend(annual, metrics, keys, year, agg)
-    if indicator is None:
-        return trend
+    """Disaggregate every metric by the named method.
+
+    ``"trend"`` and ``"indicator"`` (which takes the indicator's whole series;
+    keys with fewer than 4·n indicator rows have no result) are explicit
+    choices; ``"by_length"`` is the surveyed rule, per key the indicator where
+    its series is long enough, else the trend — one left join, in which the
+    indicator is evaluated once.
+    """
+    keys, metrics = as_list(by), as_list(metrics)
+    if method not in ("trend", "indicator", "by_length"):
+        raise ValueError("method must be 'trend', 'indicator' or 'by_length'")
+    if method == "trend":
+        return disaggregate_trend(annual, metrics, keys, year, agg)
     ind = disaggregate_indicator(annual, indicator, metrics, keys, year, order, agg=agg)
-    long_enough = ind.select(*keys).distinct()
-    return ind.unionByName(trend.join(long_enough, keys, "left_anti"))
+    if method == "indicator":
+        return ind
+    trend = disaggregate_trend(annual, metrics, keys, year, agg)
+    cells = [*keys, year, "quarter"]
+    found = ind.select(*cells, F.lit(True).alias("__found"), *[F.col(m).alias(f"__i_{m}") for m in metrics])
+    pick = [F.when(F.col("__found"), F.col(f"__i_{m}")).otherwise(F.col(m)).alias(m) for m in metrics]
+    return trend.join(found, cells, "left").select(*cells, "period_start", *pick)
 
 
 def aggregation_check(annual: DataFrame, quarterly: DataFrame, metrics, by, year: str = "year", agg: str = "sum") -> DataFrame:

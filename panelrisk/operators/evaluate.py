@@ -4,31 +4,37 @@ CV folds, exponential decline fit (M3, M4, M6, M10, M11, B2, B4).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import as_list
 
 
 def regression_metrics(pred: DataFrame, y: str = "y_true", p: str = "y_pred", by=None) -> DataFrame:
-    """MAE, RMSE, R² (1 - SSE/SST; null when SST = 0), MAPE over
-    rows with y != 0 (0 when none), n — per group, two-pass SST via a
-    window mean (no catastrophic cancellation)."""
+    """MAE, RMSE, R² = 1 - SSE/SST, MAPE over rows with y != 0 (0 when
+    none), n — per group, in one aggregate with map-side partials (SST is the
+    population variance times n, which Spark merges stably). With a constant y
+    R² is 1 for a perfect fit, else 0."""
     keys = as_list(by)
-    w = Window.partitionBy(*keys)
-    df = pred.withColumn("__ybar", F.avg(y).over(w))
-    e = F.col(y) - F.col(p)
+    t = F.col(y).cast("double")
+    e = t - F.col(p)
     sse = F.sum(e * e)
-    sst = F.sum(F.pow(F.col(y) - F.col("__ybar"), 2))
-    ape = F.when(F.col(y) != 0, F.abs((F.col(y) - F.col(p)) / F.col(y)))
+    ape = F.when(t != 0, F.abs(e / t))
+    constant = F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
     aggs = [
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.when(sst == 0, F.lit(None).cast("double")).otherwise(F.lit(1.0) - sse / sst).alias("r2"),
+        F.when(F.min(t) == F.max(t), constant).otherwise(F.lit(1.0) - sse / (F.var_pop(t) * F.count(t))).alias("r2"),
         F.coalesce(F.avg(ape) * F.lit(100.0), F.lit(0.0)).alias("mape"),
         F.count(F.lit(1)).alias("n"),
     ]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    return pred.groupBy(*keys).agg(*aggs)
+
+
+def report_rounding(metrics: DataFrame) -> DataFrame:
+    """B2 at the surveyed digits: MAE, RMSE, R² 4, MAPE 2."""
+    digits = {"mae": 4, "rmse": 4, "r2": 4, "mape": 2}
+    return metrics.withColumns({c: F.round(c, d) for c, d in digits.items() if c in metrics.columns})
 
 
 def naive_forecasts(df: DataFrame, y: str, by, order, split: str = "split") -> DataFrame:
@@ -79,58 +85,67 @@ def decline_fit(
     order,
     q_bounds=(100.0, 1000.0),
     lam_bounds=(0.001, 0.2),
-    grid: int = 1000,
+    points: int = 41,
+    rounds: int = 6,
     fallback_lambda: float = 0.035,
 ) -> DataFrame:
     """M3: least-squares fit of y ≈ q·exp(-λ t), t = 0, 1, … by position.
 
-    Profile least squares: for each λ on a grid the optimal q has the
-    closed form clip(Σ y e / Σ e², q bounds) with e = exp(-λ t); SSE(λ) =
-    Σ y² - 2 q Σ y e + q² Σ e². Per key the λ with the smallest SSE wins
-    (``min_by``). The grid is a generator on each key's rows (rows × grid,
-    bounded by the calendar length); no solver loop. As surveyed, a
-    series whose first value lies outside the q bounds falls back to
-    (y0, fallback_lambda).
+    Profile least squares: for each λ the optimal q has the closed form
+    clip(Σ y e / Σ e², q bounds) with e = exp(-λ t); SSE(λ) = Σ y² - 2 q Σ y e +
+    q² Σ e². λ is searched from coarse to fine: each round spreads ``points``
+    values over the last round's best value and its neighbours, so six rounds
+    place λ to about 1e-9. A key's series (one value per period of the
+    calendar) is one array; each round is a fold over it. As surveyed, a series
+    whose first value lies outside the q bounds falls back to (y0,
+    fallback_lambda). Output: keys, q, lam, fitted, n (length of the series).
     """
     keys = as_list(by)
-    lo, hi = lam_bounds
-    step = (hi - lo) / (grid - 1)
-    w = Window.partitionBy(*keys).orderBy(order)
-    pts = df.select(
-        *keys,
-        (F.row_number().over(w) - F.lit(1)).cast("double").alias("t"),
-        F.col(y).cast("double").alias("y"),
-        F.first(F.col(y).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("y0"),
+    lo, hi = (float(x) for x in lam_bounds)
+    series = df.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(y).cast("double").alias("y")))), lambda r: r["y"]).alias("ys")
     )
-    lam = F.lit(lo) + F.col("j").cast("double") * F.lit(step)
-    g = pts.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("j")).withColumn("lam", lam)
-    g = g.withColumn("e", F.exp(-F.col("lam") * F.col("t")))
-    sums = g.groupBy(*keys, "j", "lam").agg(
-        F.sum(F.col("y") * F.col("e")).alias("sye"),
-        F.sum(F.col("e") * F.col("e")).alias("see"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"),
-        F.first("y0").alias("y0"),
+    ql, qh = q_bounds
+    sums = (
+        "aggregate(sequence(0, size(ys) - 1), named_struct('a', 0D, 'b', 0D), (p, t) -> named_struct("
+        "'a', p.a + ys[t] * exp(-lam * t), 'b', p.b + exp(-2 * lam * t)))"
     )
-    q = F.least(F.greatest(F.col("sye") / F.col("see"), F.lit(q_bounds[0])), F.lit(q_bounds[1]))
-    sums = sums.withColumn("q", q).withColumn(
-        "sse", F.col("syy") - F.lit(2.0) * F.col("q") * F.col("sye") + F.col("q") * F.col("q") * F.col("see")
+    best = (
+        f"array_min(transform(sequence(0, {points - 1}), j -> transform(array(s.start + j * s.width), lam -> "
+        f"transform(array({sums}), m -> transform(array(least(greatest(m.a / m.b, {float(ql)!r}D), {float(qh)!r}D)), q -> "
+        "named_struct('sse', q * q * m.b - 2 * q * m.a, 'lam', lam, 'q', q))[0])[0])[0]))"
     )
-    best = sums.groupBy(*keys).agg(
-        F.min_by(F.struct("q", "lam", "sse"), F.struct("sse", "j")).alias("b"),
-        F.first("y0").alias("y0"),
+    width = (hi - lo) / (points - 1)
+    # One fold over the rounds; the next covers one step to either side of the best.
+    fold = (
+        f"aggregate(sequence(1, {rounds}), named_struct('start', {lo!r}D, 'width', {width!r}D, 'lam', 0D, 'q', 0D), "
+        f"(s, i) -> transform(array({best}), b -> named_struct("
+        f"'start', least(greatest(b.lam - s.width, {lo!r}D), {hi!r}D - 2 * s.width), "
+        f"'width', 2 * s.width / {points - 1}D, 'lam', b.lam, 'q', b.q))[0])"
     )
-    inside = (F.col("y0") >= q_bounds[0]) & (F.col("y0") <= q_bounds[1])
-    return best.select(
+    series = series.withColumn("best", F.expr(fold))
+    inside = F.col("ys")[0].between(*q_bounds)
+    return series.select(
         *keys,
-        F.when(inside, F.col("b.q")).otherwise(F.col("y0")).alias("q"),
-        F.when(inside, F.col("b.lam")).otherwise(F.lit(fallback_lambda)).alias("lam"),
+        F.when(inside, F.col("best.q")).otherwise(F.col("ys")[0]).alias("q"),
+        F.when(inside, F.col("best.lam")).otherwise(F.lit(fallback_lambda)).alias("lam"),
         inside.alias("fitted"),
+        F.size("ys").alias("n"),
     )
 
 
-def decline_curve(params: DataFrame, by, start: int, n: int) -> DataFrame:
-    """M4: q·exp(-λ t) for t = start … start+n-1 per key."""
+def decline_curve(params: DataFrame, by, origin: str = "reference", steps: Column | None = None) -> DataFrame:
+    """M4: q·exp(-λ t) per key over as many steps as its series has values.
+
+    ``origin="reference"`` starts at t = n (t = n … 2n-1), as surveyed;
+    ``"train"`` gives the in-sample curve (t = 0 … n-1). ``steps`` overrides the
+    number of steps.
+    """
+    if origin not in ("reference", "train"):
+        raise ValueError("origin must be 'reference' or 'train'")
     keys = as_list(by)
-    return params.select(
-        *keys, "q", "lam", F.explode(F.sequence(F.lit(start), F.lit(start + n - 1))).alias("t")
-    ).select(*keys, "t", (F.col("q") * F.exp(-F.col("lam") * F.col("t").cast("double"))).alias("y_decline"))
+    start = F.col("n") if origin == "reference" else F.lit(0)
+    n = F.col("n") if steps is None else steps
+    return params.select(*keys, "q", "lam", F.explode(F.sequence(start, start + n - 1)).alias("t")).select(
+        *keys, "t", (F.col("q") * F.exp(-F.col("lam") * F.col("t").cast("double"))).alias("y_decline")
+    )

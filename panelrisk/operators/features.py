@@ -102,7 +102,7 @@ def risk_index(df: DataFrame, spec: IndexSpec = REFERENCE_INDEX, by=None, keep_p
     return out.drop(*drop)
 
 
-def risk_index_stats(df: DataFrame, column: str = "irfc", by=None) -> DataFrame:
+def risk_index_stats(df: DataFrame, column: str = "risk_index", by=None) -> DataFrame:
     """Mean, sample std, min, max of the index (per key or whole table)."""
     c = F.col(column)
     aggs = [
@@ -136,7 +136,7 @@ def fixed_index_expr(terms, multiplier: float = 100.0) -> Column:
     return sum_columns([fixed_term_expr(t) for t in terms]) * F.lit(float(multiplier))
 
 
-def fixed_index(df: DataFrame, terms, out: str = "irfc", multiplier: float = 100.0) -> DataFrame:
+def fixed_index(df: DataFrame, terms, out: str = "risk_index", multiplier: float = 100.0) -> DataFrame:
     return df.withColumn(out, fixed_index_expr(terms, multiplier))
 
 
@@ -163,7 +163,3 @@ def corr_matrix(df: DataFrame, cols, by=None) -> DataFrame:
         )
     ).alias("p")
     return wide.select(*keys, stack).select(*keys, "p.feature_a", "p.feature_b", "p.corr")
-
-
-def col_or(c):
-    return col(c)

@@ -15,17 +15,21 @@ from ..specs import (
     INDEX_CUTS,
     PROB_CUTS,
     PRODUCTION_ALERT,
+    R2_CUTS,
+    R2_LABELS,
+    REFERENCE_RULES,
     SCORE_EDGES,
     SCORE_LABELS,
     SPLIT_LABELS,
     ZONE_EDGES,
     ZONE_LABELS,
+    RuleSet,
 )
 from .rules import badge_expr
 from .stats import as_list
 
 
-def risk_zones(df: DataFrame, index: str = "irfc") -> DataFrame:
+def risk_zones(df: DataFrame, index: str = "risk_index") -> DataFrame:
     """V1: index with its zone and the alert-line flag."""
     return df.withColumns(
         {"zone": bands(index, ZONE_EDGES, ZONE_LABELS), "above_alert": F.col(index) >= F.lit(INDEX_ALERT)}
@@ -39,17 +43,17 @@ def debt_bands(df: DataFrame, debt: str = "debt_ratio") -> DataFrame:
     )
 
 
-def score_classes(hist: DataFrame, breach_at: int = 5) -> DataFrame:
+def score_classes(hist: DataFrame, ruleset: RuleSet = REFERENCE_RULES) -> DataFrame:
     """V4: histogram bucket class (< 3 / < 5 / >= 5) and collapse/stable."""
     return hist.withColumns(
         {
             "class": bands("score", SCORE_EDGES, SCORE_LABELS),
-            "outcome": F.when(F.col("score") >= breach_at, F.lit(SPLIT_LABELS[0])).otherwise(F.lit(SPLIT_LABELS[1])),
+            "outcome": F.when(F.col("score") >= ruleset.breach_at, F.lit(SPLIT_LABELS[0])).otherwise(F.lit(SPLIT_LABELS[1])),
         }
     )
 
 
-def scenario_long(proj: DataFrame, by, indicators=("production", "debt_ratio", "reserves", "irfc")) -> DataFrame:
+def scenario_long(proj: DataFrame, by, indicators=("production", "debt_ratio", "reserves", "risk_index")) -> DataFrame:
     """V5: indicator × scenario × year, long."""
     keys = as_list(by)
     return proj.select(*keys, "scenario", "year", *indicators).unpivot(
@@ -67,7 +71,7 @@ def production_timeline(history: DataFrame, proj: DataFrame, by, value: str = "p
     return out.withColumn("below_reference", F.col("production") < F.lit(PRODUCTION_ALERT))
 
 
-def kpi_badges(df: DataFrame, index_mean: str = "irfc_mean", prob_pct: str = "p_collapse_pct") -> DataFrame:
+def kpi_badges(df: DataFrame, index_mean: str = "risk_index_mean", prob_pct: str = "p_collapse_pct") -> DataFrame:
     """V8: badge colours with strict '>' cut points."""
     return df.withColumns(
         {
@@ -75,3 +79,8 @@ def kpi_badges(df: DataFrame, index_mean: str = "irfc_mean", prob_pct: str = "p_
             "prob_badge": badge_expr(prob_pct, PROB_CUTS, tuple(reversed(BADGE_COLORS))),
         }
     )
+
+
+def r2_badges(df: DataFrame, r2: str = "r2") -> DataFrame:
+    """V8: the label of a model's R² (strict '>' cut points, best first)."""
+    return df.withColumn("r2_badge", badge_expr(r2, R2_CUTS, R2_LABELS))

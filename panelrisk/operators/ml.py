@@ -1,5 +1,4 @@
-"""Supervised models, PCA and k-means on ``pyspark.ml`` (E6–E8, K1, M1, M2,
-M5, M7–M10, M12, M13, B1).
+"""Supervised models, PCA and k-means on ``pyspark.ml``.
 
 Fits are eager Spark jobs (distributed tree building, Gram-matrix
 aggregation, Lloyd iterations); predictions are lazy ``transform``s. Model
@@ -8,16 +7,13 @@ parameters default to the surveyed values.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,50 +78,6 @@ def feature_importance(model, features) -> list:
     return sorted(zip(features, imp), key=lambda t: -t[1])
 
 
-def fourier_features(df: DataFrame, cols, out: str = "rff", dim: int = 64, gamma: float | None = None, seed: int = 42) -> DataFrame:
-    """Random Fourier features approximating an RBF kernel (Rahimi & Recht).
-
-    z(x) = sqrt(2/D) · cos(W x + b), W ~ N(0, 2γ), b ~ U(0, 2π). W and b are
-    a D × p parameter matrix drawn on the driver from the seed (size fixed
-    by D and p) and compiled into column expressions.
-    """
-    import numpy as np
-
-    p = len(cols)
-    gamma = gamma if gamma is not None else 1.0 / p  # 'scale'/'auto' on z-scored inputs
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(dim, p))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=dim)
-    scale = math.sqrt(2.0 / dim)
-    comps = []
-    for i in range(dim):
-        lin = F.lit(float(b[i]))
-        for j, c in enumerate(cols):
-            lin = lin + F.lit(float(w[i, j])) * F.col(c)
-        comps.append(F.lit(scale) * F.cos(lin))
-    return df.withColumn(out, array_to_vector(F.array(*comps)))
-
-
-def fit_kernel_regression(df: DataFrame, features, target: str, fold_col: str = "fold", c_grid=(0.1, 1.0, 10.0, 100.0), dim: int = 64):
-    """Z-score -> RBF random features -> robust linear regression,
-    C grid searched by contiguous K-fold CV scored on MAE (refit on best)."""
-    zcols = [f + "_z" for f in features]
-    # cached: CV runs one job per optimiser iteration over the same rows
-    work = fourier_features(zscore(df, features, suffix="_z"), zcols, out="features", dim=dim).cache()
-    lr = LinearRegression(featuresCol="features", labelCol=target, loss="huber", maxIter=100)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / c for c in c_grid]).build()
-    cv = CrossValidator(
-        estimator=lr,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol=target, metricName="mae"),
-        foldCol=fold_col,
-        parallelism=4,
-        seed=42,
-    )
-    model = cv.fit(work)
-    return model, work
-
-
 def pca_fit(df: DataFrame, cols, k: int = 4):
     """PCA on z-scored columns (population std). Returns (model, data)."""
     zcols = [c + "_z" for c in cols]

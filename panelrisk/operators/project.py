@@ -1,35 +1,18 @@
-"""Forward projections: deterministic scenarios (N1–N14) and stochastic
-paths (T1–T10).
-
-Both are recurrences over a short horizon (8 years). Scenarios (few rows)
-are unrolled into one projection per year. Paths (many rows) are one
-``aggregate`` fold over the years with a struct state, so the plan has a
-constant size whatever the horizon; intermediates are bound once with a
-one-element ``aggregate`` (``let``). Everything stays in built-in JVM
-expressions — no per-row Python.
-
-Scenarios: one row per (key, scenario) generated by exploding a literal
-array of scenario structs — the scenario table is a parameter, never
-joined.
-
-Paths: one row per (key, path). Rows are generated, not read: each key
-explodes into chunk rows, the chunk rows are hash-repartitioned on
-(key, chunk) into a fixed number of partitions, and each chunk explodes into
-its paths. A key with a third of all paths is therefore spread over many
-tasks. Random draws are counter-based (``functions.draws``): a path's
-numbers depend only on (seed, key, path, year, stream), so results do not
-depend on partitioning and a retried task recomputes the same values.
+"""Forward projections (deterministic scenarios, N1–N14) and the summaries of
+scored rows (T6–T10).
+
+Scenarios are a recurrence over a short horizon (8 years), unrolled into one
+projection per year: one row per (key, scenario), generated by exploding a
+literal array of scenario structs — the scenario table is a parameter, never
+joined. The summaries read any table of scored observations (a score and a
+breach flag per key and period) in single aggregates with map-side partials.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import box_muller, step, uniform
-from ..functions.draws import with_stream as stream_column
 from ..functions.exprs import sum_columns
 from ..specs import (
     FIXED_INDEX_B,
@@ -37,7 +20,6 @@ from ..specs import (
     REFERENCE_RULES,
     REFERENCE_SCENARIOS,
     Horizon,
-    PathModel,
     RuleSet,
     ScenarioModel,
 )
@@ -151,15 +133,15 @@ def scenario_projection(
         exports = q * p * days / kyear * F.lit(m.export_share)
         invest = F.lit(m.investment_base) * (rev / F.lit(m.revenue_base))
         values = {"debt_ratio": d, "rp_ratio": rp, "deficit": de, "employment": emp, "revenue_share": rev}
-        irfc = _index(index_terms, values)
-        df = df.withColumn(f"__irfc{t}", irfc)
-        irfc = F.col(f"__irfc{t}")
+        risk_index = _index(index_terms, values)
+        df = df.withColumn(f"__risk_index{t}", risk_index)
+        risk_index = F.col(f"__risk_index{t}")
         colmap = {
             "debt_ratio": d,
             "rp_ratio": rp,
             "deficit": de,
             "production": q,
-            "irfc": irfc,
+            "risk_index": risk_index,
             "employment": emp,
             "reserves": r,
         }
@@ -179,7 +161,7 @@ def scenario_projection(
                 rp.alias("rp_ratio"),
                 exports.alias("exports"),
                 invest.alias("investment"),
-                irfc.alias("irfc"),
+                risk_index.alias("risk_index"),
                 score.alias("collapse_score"),
                 (score >= F.lit(rules.breach_at)).alias("collapse"),
             )
@@ -197,7 +179,7 @@ def scenario_collapse_share(proj: DataFrame, by) -> DataFrame:
 def scenario_comparison(proj: DataFrame, by, yes_no=("SÍ", "NO")) -> DataFrame:
     """Final-year row per (key, scenario), capitalised name, yes/no."""
     keys = as_list(by)
-    cols = ["production", "debt_ratio", "reserves", "irfc", "collapse_score", "collapse"]
+    cols = ["production", "debt_ratio", "reserves", "risk_index", "collapse_score", "collapse"]
     last = proj.groupBy(*keys, "scenario").agg(
         F.max_by(F.struct("year", *cols), F.col("year")).alias("__l")
     )
@@ -210,304 +192,45 @@ def scenario_comparison(proj: DataFrame, by, yes_no=("SÍ", "NO")) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- stochastic paths
-
-
-def path_rows(init: DataFrame, by, n_paths: int, chunk: int = 2048, partitions: int | None = None) -> DataFrame:
-    """T1 grid: (key…, initial state…, path) for path = 0..n_paths-1.
-
-    Two-level generation spreads a key's paths over ``partitions`` tasks.
-    """
-    keys = as_list(by)
-    spark = init.sparkSession
-    if partitions is None:
-        partitions = max(1, spark.sparkContext.defaultParallelism * 2)
-    n_chunks = max(1, math.ceil(n_paths / chunk))
-    chunks = init.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("__chunk"))
-    chunks = chunks.repartition(partitions, *keys, "__chunk")
-    lo = F.col("__chunk").cast("long") * F.lit(chunk)
-    hi = F.least(lo + F.lit(chunk), F.lit(n_paths).cast("long")) - F.lit(1)
-    return chunks.select("*", F.explode(F.sequence(lo, hi)).alias("path")).drop("__chunk")
-
-
-def with_stream(paths: DataFrame, by, model: PathModel = PathModel()) -> DataFrame:
-    """Attach the per-path random stream id ``__st`` (seed, keys, path)."""
-    keys = as_list(by)
-    return stream_column(paths, "__st", model.seed, *keys, "path")
-
-
-def path_draws(paths: DataFrame, by, model: PathModel = PathModel()) -> DataFrame:
-    """Per-path parameters δ (decline), W (price level), γ (growth),
-    drawn from step 0 of the path's stream."""
-    df = paths if "__st" in paths.columns else with_stream(paths, by, model)
-    df = df.withColumn("__h0", step(F.col("__st"), 0))
-    df = df.withColumns({f"__p{i}": uniform(F.col("__h0"), i) for i in range(1, 5)})
-    z1, z2 = box_muller(F.col("__p1"), F.col("__p2"))
-    z3, _ = box_muller(F.col("__p3"), F.col("__p4"))
-
-    def draw(z, spec):
-        mu, sd, lo, hi = spec
-        return _clip(F.lit(float(mu)) + F.lit(float(sd)) * z, lo, hi)
-
-    out = df.withColumns(
-        {"delta": draw(z1, model.delta), "price": draw(z2, model.price), "growth": draw(z3, model.growth)}
-    )
-    return out.drop("__h0", "__p1", "__p2", "__p3", "__p4")
-
-
-SHOCKS = ("__e_price", "__e_growth", "__e_prod", "__e_rate", "__e_def", "__e_emp", "__u")
-
-
-def year_shocks(df: DataFrame, t, model: PathModel = PathModel()) -> DataFrame:
-    """The seven shocks of step t (int or integer column) as columns
-    ``__e_price, __e_growth, __e_prod, __e_rate, __e_def, __e_emp, __u``.
-    Requires the stream column ``__st``."""
-    df = df.withColumn("__h", step(F.col("__st"), t))
-    df = df.withColumns({f"__u{i}": uniform(F.col("__h"), i) for i in range(1, 8)})
-
-    def radius(i):
-        return F.sqrt(F.lit(-2.0) * F.log(F.col(f"__u{i}")))
-
-    df = df.withColumns({"__ra": radius(1), "__rb": radius(3), "__rc": radius(5)})
-    two_pi = F.lit(2.0 * math.pi)
-
-    def z(r, i, fn):
-        return F.col(r) * fn(two_pi * F.col(f"__u{i}"))
-
-    df = df.withColumns(
-        {
-            "__e_price": F.lit(model.price_shock) * z("__ra", 2, F.cos),
-            "__e_growth": F.lit(model.growth_shock) * z("__ra", 2, F.sin),
-            "__e_prod": F.lit(model.production_shock) * z("__rb", 4, F.cos),
-            "__e_rate": F.lit(model.rate_shock) * z("__rb", 4, F.sin),
-            "__e_def": F.lit(model.deficit_shock) * z("__rc", 6, F.cos),
-            "__e_emp": F.lit(model.employment_shock) * z("__rc", 6, F.sin),
-            "__u": F.col("__u7"),
-        }
-    )
-    return df.drop("__h", "__ra", "__rb", "__rc", *[f"__u{i}" for i in range(1, 8)])
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (a lambda on Column).
-
-    A one-element ``aggregate`` acts as a let-binding inside higher-order
-    functions, where an intermediate referenced several times would
-    otherwise be evaluated several times.
-    """
-    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _: acc, body)
-
-
-def _step_fold(m: PathModel):
-    """Merge function of the path fold: (state, shocks of year t) -> state.
-
-    The shocks arrive precomputed (codegen'd columns), so the interpreted
-    lambda only evaluates the recurrence arithmetic.
-    """
-    days, kyear = F.lit(365.0), F.lit(1000.0)
-
-    def merge(acc: Column, e: Column) -> Column:
-        first = F.struct(
-            _max0(F.col("price") + e["price"], m.price_floor).alias("py"),
-            (F.col("growth") + e["growth"]).alias("gy"),
-            _max0(acc["q"] * (F.lit(1.0) - F.col("delta")) + e["prod"], m.production_floor).alias("q"),
-        )
-
-        def second(a: Column) -> Column:
-            rate = F.lit(m.base_rate) + e["rate"]
-            d = acc["d"] * (F.lit(1.0) + rate) / (F.lit(1.0) + a["gy"] / F.lit(100.0))
-            d = _max0(d + acc["def"] * (F.lit(m.carry_base) + F.lit(m.carry_uniform) * e["u"]), m.debt_floor)
-            st = F.struct(
-                a["q"].alias("q"),
-                _clip(F.col("__rev0") * (a["py"] / F.lit(m.price_ref)) * (a["q"] / F.col("__q0")),
-                      *m.revenue_bounds).alias("rev"),
-                d.alias("d"),
-                _max0(acc["def"] + F.lit(m.deficit_drift) + e["def"], m.deficit_floor).alias("def"),
-                _max0(acc["r"] - a["q"] * days / kyear, 0.0).alias("r"),
-                _clip(acc["emp"] + F.lit(m.employment_drift) + a["gy"] * F.lit(m.employment_per_growth)
-                      + e["emp"], *m.employment_bounds).alias("emp"),
-            )
-            return let(st, score_state)
-
-        def score_state(s: Column) -> Column:
-            annual = s["q"] * days / kyear
-            rp = F.when(annual > 0, s["r"] / annual).otherwise(F.lit(0.0))
-
-            def finish(rp_v: Column) -> Column:
-                values = {"debt_ratio": s["d"], "rp_ratio": rp_v, "deficit": s["def"],
-                          "employment": s["emp"], "revenue_share": s["rev"]}
-                irfc = _index(m.index, values)
-                colmap = {"debt_ratio": s["d"], "rp_ratio": rp_v, "deficit": s["def"], "production": s["q"],
-                          "irfc": irfc, "employment": s["emp"], "reserves": s["r"]}
-                score = score_expr(m.rules, colmap).cast("int")
-                return F.struct(
-                    s["q"].alias("q"),
-                    s["d"].alias("d"),
-                    s["r"].alias("r"),
-                    s["def"].alias("def"),
-                    s["emp"].alias("emp"),
-                    F.concat(acc["scores"], F.array(score)).alias("scores"),
-                )
-
-            return let(rp, finish)
-
-        return let(first, second)
-
-    return merge
-
-
-def shock_table(df: DataFrame, horizon: Horizon, m: PathModel) -> DataFrame:
-    """Add ``__shocks``: ARRAY of per-year shock structs, computed as plain
-    (codegen'd) columns from the path stream — one level of independent
-    expressions per stage, no dependency chain across years."""
-    years = range(1, horizon.years + 1)
-    df = df.withColumns({f"__h{t}": step(F.col("__st"), t) for t in years})
-    df = df.withColumns({f"__u{t}_{i}": uniform(F.col(f"__h{t}"), i) for t in years for i in range(1, 8)})
-
-    def radius(t, i):
-        return F.sqrt(F.lit(-2.0) * F.log(F.col(f"__u{t}_{i}")))
-
-    df = df.withColumns({f"__r{t}_{i}": radius(t, i) for t in years for i in (1, 3, 5)})
-    two_pi = F.lit(2.0 * math.pi)
-
-    def z(t, r, i, fn):
-        return F.col(f"__r{t}_{r}") * fn(two_pi * F.col(f"__u{t}_{i}"))
-
-    shocks = [
-        F.struct(
-            (F.lit(m.price_shock) * z(t, 1, 2, F.cos)).alias("price"),
-            (F.lit(m.growth_shock) * z(t, 1, 2, F.sin)).alias("growth"),
-            (F.lit(m.production_shock) * z(t, 3, 4, F.cos)).alias("prod"),
-            (F.lit(m.rate_shock) * z(t, 3, 4, F.sin)).alias("rate"),
-            (F.lit(m.deficit_shock) * z(t, 5, 6, F.cos)).alias("def"),
-            (F.lit(m.employment_shock) * z(t, 5, 6, F.sin)).alias("emp"),
-            F.col(f"__u{t}_7").alias("u"),
-        )
-        for t in years
-    ]
-    df = df.withColumn("__shocks", F.array(*shocks))
-    drop = [f"__h{t}" for t in years] + [f"__u{t}_{i}" for t in years for i in range(1, 8)]
-    drop += [f"__r{t}_{i}" for t in years for i in (1, 3, 5)]
-    return df.drop(*drop)
+# ---------------------------------------------------------------- summaries of scored rows
 
 
-def simulate_paths(
-    init: DataFrame,
-    by,
-    n_paths: int,
-    model: PathModel = PathModel(),
-    horizon: Horizon = Horizon(),
-    defaults: dict = INITIAL_DEFAULTS,
-    chunk: int = 2048,
-    partitions: int | None = None,
-) -> DataFrame:
-    """One row per (key, path).
-
-    The yearly recurrence is a single ``aggregate`` fold over
-    ``sequence(1, H)`` whose state is (q, d, r, def, emp, scores): a
-    constant-size plan whatever the horizon. Columns: keys, path, delta,
-    price, growth, max_score INT, collapse BOOLEAN, final_production,
-    final_debt, final_reserves, scores ARRAY<INT> (every year's score).
-    """
-    keys = as_list(by)
-    m = model
-    base = init.select(*_initial(init, keys, defaults))
-    df = path_draws(with_stream(path_rows(base, keys, n_paths, chunk, partitions), keys, m), keys, m)
-    df = df.select(
-        *keys,
-        "path",
-        "__st",
-        "delta",
-        "price",
-        "growth",
-        F.col("__production0").alias("__q0"),
-        F.col("__revenue_share0").alias("__rev0"),
-        F.col("__debt_ratio0").alias("__d0"),
-        F.col("__reserves0").alias("__r0"),
-        F.col("__deficit0").alias("__def0"),
-        F.col("__employment0").alias("__emp0"),
-    )
-    zero = F.struct(
-        F.col("__q0").alias("q"),
-        F.col("__d0").alias("d"),
-        F.col("__r0").alias("r"),
-        F.col("__def0").alias("def"),
-        F.col("__emp0").alias("emp"),
-        F.array().cast("array<int>").alias("scores"),
-    )
-    df = shock_table(df, horizon, m)
-    df = df.withColumn("__end", F.aggregate(F.col("__shocks"), zero, _step_fold(m)))
-    scores = F.col("__end.scores")
-    max_score = F.array_max(scores)
-    return df.select(
-        *keys,
-        "path",
-        "delta",
-        "price",
-        "growth",
-        max_score.alias("max_score"),
-        (max_score >= F.lit(m.rules.breach_at)).alias("collapse"),
-        F.col("__end.q").alias("final_production"),
-        F.col("__end.d").alias("final_debt"),
-        F.col("__end.r").alias("final_reserves"),
-        scores.alias("scores"),
+def breach_probability(scored: DataFrame, by, breach: str = "breach") -> DataFrame:
+    """P(breach) per key = share of its scored rows that breach."""
+    return scored.groupBy(*as_list(by)).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.avg(F.col(breach).cast("double")).alias("p_collapse")
     )
 
 
-def collapse_probability(paths: DataFrame, by) -> DataFrame:
-    """P(collapse) per key = mean of the path flags."""
-    keys = as_list(by)
-    return paths.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_paths"),
-        F.avg(F.col("collapse").cast("double")).alias("p_collapse"),
-    )
+def yearly_breach_rate(scored: DataFrame, by, year: str = "year", breach: str = "breach") -> DataFrame:
+    """Per (key, year), share of rows that breach."""
+    return scored.groupBy(*as_list(by), year).agg(F.avg(F.col(breach).cast("double")).alias("collapse_rate"))
 
 
-def yearly_collapse_rate(paths: DataFrame, by, horizon: Horizon = Horizon(), breach_at: int = 5) -> DataFrame:
-    """Per (key, year), share of paths whose score that year >= breach_at.
-
-    One conditional average per year in a single aggregate (map-side
-    partial), then an explode of the small per-key result.
-    """
-    keys = as_list(by)
-    rates = paths.groupBy(*keys).agg(
-        F.array(
-            *[F.avg((F.col("scores")[i] >= F.lit(breach_at)).cast("double")) for i in range(horizon.years)]
-        ).alias("__r")
-    )
-    return rates.select(*keys, F.posexplode("__r").alias("__i", "collapse_rate")).select(
-        *keys, (F.col("__i") + F.lit(horizon.start_year)).cast("int").alias("year"), "collapse_rate"
-    )
-
-
-def score_histogram(paths: DataFrame, by, max_score: int = 7) -> DataFrame:
-    """Zero-filled histogram of max scores 0..max_score per key.
+def score_histogram(scored: DataFrame, by, ruleset: RuleSet = REFERENCE_RULES, score: str = "score") -> DataFrame:
+    """Zero-filled histogram of the scores 0 … number of rules per key.
 
     One aggregate with one conditional count per bucket, then an explode —
     no join against a bucket table.
     """
     keys = as_list(by)
-    counts = paths.groupBy(*keys).agg(
-        F.array(*[F.count_if(F.col("max_score") == F.lit(s)) for s in range(max_score + 1)]).alias("__h")
-    )
-    return counts.select(*keys, F.posexplode("__h").alias("score", "n_paths")).withColumn(
-        "score", F.col("score").cast("int")
+    counts = scored.groupBy(*keys).agg(
+        F.array(*[F.count_if(F.col(score) == F.lit(s)) for s in range(len(ruleset.rules) + 1)]).alias("__h")
     )
+    return counts.select(*keys, F.posexplode("__h").alias("score", "n_obs")).withColumn("score", F.col("score").cast("int"))
 
 
-def path_summary(paths: DataFrame, by) -> DataFrame:
-    """Mean / median / population std of max score and mean finals."""
-    keys = as_list(by)
-    s = F.col("max_score").cast("double")
-    return paths.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_paths"),
-        (F.avg(F.col("collapse").cast("double")) * F.lit(100.0)).alias("collapse_pct"),
+def score_summary(scored: DataFrame, by, means=(), score: str = "score", breach: str = "breach") -> DataFrame:
+    """Breach share, mean / median / population std of the score, and the
+    means of further columns."""
+    s = F.col(score).cast("double")
+    return scored.groupBy(*as_list(by)).agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        (F.avg(F.col(breach).cast("double")) * F.lit(100.0)).alias("collapse_pct"),
         F.avg(s).alias("mean_score"),
         F.median(s).alias("median_score"),
         F.stddev_pop(s).alias("std_score"),
-        F.avg("final_production").alias("mean_final_production"),
-        F.avg("final_debt").alias("mean_final_debt"),
-        F.avg("final_reserves").alias("mean_final_reserves"),
+        *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in means],
     )
 
 

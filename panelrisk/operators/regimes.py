@@ -53,9 +53,13 @@ def cluster_centroids(points: DataFrame, features: str = "features", label: str
 
 
 def cluster_inertia(points: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
-    """K3: Σ squared distance to the centroid per cluster = Q - |S|² / n."""
+    """K3: Σ squared distance to the cluster's centroid, from the differences
+    themselves (no cancellation for tight clusters far from the origin)."""
     st = cluster_stats(points, features, label)
-    return st.select(label, "n", (F.col("Q") - _norm2(F.col("S")) / F.col("n")).alias("inertia"))
+    centre = st.select(label, "n", F.transform("S", lambda s: s / F.col("n")).alias("__c"))
+    diff = F.zip_with(F.col(features), F.col("__c"), lambda x, c: x - c)
+    joined = points.select(label, features).join(centre, label)
+    return joined.groupBy(label).agg(F.any_value("n").alias("n"), F.sum(_norm2(diff)).alias("inertia"))
 
 
 def silhouette(points: DataFrame, features: str = "features", label: str = "label", id_col: str = "vec_id") -> DataFrame:

@@ -51,7 +51,3 @@ def badge_expr(x, cuts, labels=BADGE_COLORS) -> Column:
         cond = c > F.lit(float(cut))
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     return out.otherwise(F.lit(labels[len(cuts)]))
-
-
-def band_column(df: DataFrame, column: str, edges, labels, out: str) -> DataFrame:
-    return df.withColumn(out, bands(column, edges, labels))

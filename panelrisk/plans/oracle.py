@@ -45,7 +45,7 @@ SELECT nation_key, year, {round_cols(PANEL_Q_COLS)}, n_orders FROM panel_year"""
 
 
 def risk_index_cte(spec=REFERENCE_INDEX, by=None, name="ri") -> str:
-    """CTE ``name`` = risk_panel + irfc (whole-table scaling unless ``by``)."""
+    """CTE ``name`` = risk_panel + risk_index (whole-table scaling unless ``by``)."""
     exprs = index_terms_sql(spec)
     o_cols = ", ".join(f"{e} AS t{i}" for i, e in enumerate(exprs))
     if by:
@@ -74,7 +74,7 @@ def risk_index_cte(spec=REFERENCE_INDEX, by=None, name="ri") -> str:
 @oracle("risk_index")
 def o_risk_index():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())}
-SELECT nation_key, period_start, year, quarter, irfc FROM ri"""
+SELECT nation_key, period_start, year, quarter, risk_index FROM ri"""
 
 
 @oracle("risk_orient")
@@ -103,8 +103,8 @@ SELECT nation_key, period_start, {", ".join(parts)} FROM panel_quarter"""
 @oracle("risk_index_stats")
 def o_risk_index_stats():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())}
-SELECT nation_key, {r6("avg(irfc)")} AS mean, {r6("stddev_samp(irfc)")} AS std,
-       {r6("min(irfc)")} AS min, {r6("max(irfc)")} AS max, count(irfc) AS n
+SELECT nation_key, {r6("avg(risk_index)")} AS mean, {r6("stddev_samp(risk_index)")} AS std,
+       {r6("min(risk_index)")} AS min, {r6("max(risk_index)")} AS max, count(risk_index) AS n
 FROM ri GROUP BY nation_key"""
 
 
@@ -138,10 +138,10 @@ def o_corr_matrix():
 @oracle("risk_index_fixed_a")
 def o_risk_index_fixed_a():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL)}
-SELECT nation_key, period_start, {r6(fixed_index_sql(FIXED_INDEX_A))} AS irfc_a FROM risk_panel"""
+SELECT nation_key, period_start, {r6(fixed_index_sql(FIXED_INDEX_A))} AS risk_index_a FROM risk_panel"""
 
 
 @oracle("risk_index_fixed_b")
 def o_risk_index_fixed_b():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL)}
-SELECT nation_key, period_start, {r6(fixed_index_sql(FIXED_INDEX_B))} AS irfc_b FROM risk_panel"""
+SELECT nation_key, period_start, {r6(fixed_index_sql(FIXED_INDEX_B))} AS risk_index_b FROM risk_panel"""

@@ -6,7 +6,7 @@ from .oracle import PANEL_METRICS, oracle, round_cols
 from .sqlparts import D, EVENTS_DAILY, PANEL_QUARTER, PANEL_YEAR, RISK_PANEL, cte, r6
 
 CUT_YEAR = 1997
-INDICATOR_ROWS = 16
+FIRST_ROWS = 16
 LINEITEM_COLS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
@@ -65,10 +65,11 @@ SELECT nation_key, period_start, split FROM (
 
 @oracle("min_sample_gate")
 def o_min_sample_gate():
-    return f"""{cte(EVENTS_DAILY)}
-SELECT user_id, count(*) FILTER (WHERE pos <= 20) AS n_train, count(*) FILTER (WHERE pos > 20) AS n_test
-FROM events_daily WHERE value IS NOT NULL GROUP BY user_id
-HAVING count(*) FILTER (WHERE pos <= 20) >= 10 AND count(*) FILTER (WHERE pos > 20) >= 2"""
+    return f"""{cte(EVENTS_DAILY)},
+ed AS (SELECT floor(max(pos) * 2 / 3) AS edge FROM events_daily),
+ct AS (SELECT user_id, count(*) FILTER (WHERE pos <= edge) AS n_train, count(*) FILTER (WHERE pos > edge) AS n_test
+       FROM events_daily CROSS JOIN ed WHERE value IS NOT NULL GROUP BY user_id)
+SELECT * FROM ct WHERE n_train >= 10 AND n_test >= 2"""
 
 
 INITIAL = f"""init_m AS (
@@ -78,7 +79,7 @@ INITIAL = f"""init_m AS (
          {D(4.7)} * volume / n_orders * ({D(1.5)} + open_pct / {D(30)}) AS reserves,
          disc_pct AS deficit,
          {D(15)} + {D(0.5)} * open_pct AS employment,
-         {D(11)} AS revenue_share, {D(8300)} AS vat_take,
+         revenue_share, vat_take,
          row_number() OVER (PARTITION BY nation_key ORDER BY period_start DESC) AS rn
   FROM risk_panel),
 init AS (SELECT * EXCLUDE (rn) FROM init_m WHERE rn = 1)"""
@@ -105,7 +106,7 @@ def o_first_n():
     return f"""{cte(PANEL_QUARTER)}
 SELECT nation_key, period_start, year, quarter, {round_cols(cols)}, n_orders FROM (
   SELECT *, row_number() OVER (PARTITION BY nation_key ORDER BY period_start) AS rn FROM panel_quarter)
-WHERE rn <= {INDICATOR_ROWS}"""
+WHERE rn <= {FIRST_ROWS}"""
 
 
 @oracle("clip_bounds")
@@ -296,12 +297,10 @@ SELECT * FROM tr_chk UNION ALL SELECT * FROM di_chk"""
 
 
 def auto_sql(annual: str, quarterly: str, name: str) -> str:
-    """Per-key branch: indicator (first 16 quarterly rows) when long enough, else trend."""
+    """Per-key branch: indicator (the whole quarterly series) when long enough, else trend."""
     return ",\n".join(
         [
-            f"""{name}_ind AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nation_key ORDER BY period_start) AS __rn
-   FROM {quarterly}) WHERE __rn <= {INDICATOR_ROWS})""",
-            indicator_sql(annual, f"{name}_ind", f"{name}_di", M),
+            indicator_sql(annual, quarterly, f"{name}_di", M),
             trend_sql(annual, f"{name}_tr", M),
             f"""{name} AS (SELECT * FROM {name}_di UNION ALL
   SELECT * FROM {name}_tr WHERE nation_key NOT IN (SELECT nation_key FROM {name}_di))""",
@@ -319,17 +318,29 @@ def o_disaggregate_all():
 SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM da"""
 
 
+@oracle("disaggregate_trend_all")
+def o_disaggregate_trend_all():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, ANNUAL, trend_sql("ann", "da", M))}
+SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM da"""
+
+
+@oracle("disaggregate_indicator_all")
+def o_disaggregate_indicator_all():
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, ANNUAL, QUARTERLY, indicator_sql("ann", "qtr", "da", M))}
+SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM da"""
+
+
 MASTER_SEL = f"{', '.join(DIS_COLS)}, {', '.join(M)}"
 
 
 @oracle("harmonize_panel")
 def o_harmonize_panel():
-    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, ANNUAL, QUARTERLY, auto_sql("ann", "qtr", "da"))},
+    return f"""{cte(PANEL_QUARTER, PANEL_YEAR, PQ_DOUBLE, ANNUAL, QUARTERLY, trend_sql("ann", "da", M))},
 h AS (SELECT {MASTER_SEL} FROM da UNION ALL SELECT {MASTER_SEL} FROM qtr)
 SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM h"""
 
 
-def master_sql() -> str:
+def master_sql(branch: str) -> str:
     return cte(
         PANEL_QUARTER,
         PANEL_YEAR,
@@ -338,7 +349,7 @@ def master_sql() -> str:
         QUARTERLY,
         clean_sql("ann", "ann_c", "nation_key", "year", M),
         clean_sql("qtr", "qtr_c", "nation_key", "period_start", M),
-        auto_sql("ann_c", "qtr_c", "mda"),
+        trend_sql("ann_c", "mda", M) if branch == "trend" else indicator_sql("ann_c", "qtr_c", "mda", M),
         f"mh AS (SELECT {MASTER_SEL} FROM mda UNION ALL SELECT {MASTER_SEL} FROM qtr_c)",
         clean_sql("mh", "master", "nation_key", "period_start", M),
     )
@@ -346,34 +357,40 @@ def master_sql() -> str:
 
 @oracle("clean_two_pass")
 def o_clean_two_pass():
-    return f"""{master_sql()}
+    return f"""{master_sql("indicator")}
 SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM master"""
 
 
 @oracle("master_panel")
 def o_master_panel():
-    return o_clean_two_pass()
+    return f"""{master_sql("trend")}
+SELECT {", ".join(DIS_COLS)}, {all_r6(M)} FROM master"""
 
 
 # ---------------------------------------------------------------- rules / projections SQL
 
-import math  # noqa: E402
-
-from ..specs import FIXED_INDEX_A, FIXED_INDEX_B, REFERENCE_RULES, REFERENCE_SCENARIOS, Horizon, PathModel  # noqa: E402
+from ..specs import FIXED_INDEX_B, REFERENCE_RULES, REFERENCE_SCENARIOS, Horizon  # noqa: E402
 from .oracle import risk_index_cte  # noqa: E402
 from .sqlparts import fixed_index_sql, rules_sql  # noqa: E402
 
-PATHS_PER_KEY = 2000
 H = Horizon()
 
 
+PANEL_RULES = [("ret_pct", ">", 36.0), ("open_pct", ">", 52.0), ("disc_pct", ">", 5.2),
+               ("unit_price", "<", 2100.0), ("n_orders", "<", 60.0), ("risk_index", ">", 60.0)]
+
+
+def scored_cte() -> str:
+    """CTE ``sp``: every nation-quarter with its rule score (breach at 3)."""
+    s = " + ".join(f"coalesce(CAST(CAST({c} AS DOUBLE) {op} {D(v)} AS INTEGER), 0)" for c, op, v in PANEL_RULES)
+    return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())},
+sp AS (SELECT *, CAST({s} AS INTEGER) AS score, ({s}) >= 3 AS breach FROM ri)"""
+
+
 @oracle("breach_score")
 def o_breach_score():
-    rules = [("ret_pct", ">", 36.0), ("open_pct", ">", 52.0), ("disc_pct", ">", 5.2),
-             ("unit_price", "<", 2100.0), ("n_orders", "<", 60.0), ("irfc", ">", 60.0)]
-    s = " + ".join(f"coalesce(CAST(CAST({c} AS DOUBLE) {op} {D(v)} AS INTEGER), 0)" for c, op, v in rules)
-    return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())}
-SELECT nation_key, period_start, CAST({s} AS INTEGER) AS score, ({s}) >= 3 AS breach FROM ri"""
+    return f"""{scored_cte()}
+SELECT nation_key, period_start, score, breach FROM sp"""
 
 
 SCEN_VALUES = "scen(scenario, price, growth, decline, trend) AS (VALUES " + ", ".join(
@@ -407,7 +424,7 @@ sc{t}c AS (SELECT *, CASE WHEN q > 0 THEN r / (q * {D(365)} / {D(1000)}) ELSE {D
     least(greatest({D(11)} * (price / {D(65)}) * (q / {D(470)}) * {D(0.85)}, {D(2)}), {D(25)}) AS revenue_share,
     {D(8300)} * ({D(1)} + growth / {D(100)}) AS vat_take,
     {D(38)} + growth * {D(2)} AS employment FROM sc{t}b),
-sc{t}d AS (SELECT *, {fixed_index_sql(FIXED_INDEX_B).replace("debt_ratio", "d").replace("deficit", "def")} AS irfc FROM sc{t}c),
+sc{t}d AS (SELECT *, {fixed_index_sql(FIXED_INDEX_B).replace("debt_ratio", "d").replace("deficit", "def")} AS risk_index FROM sc{t}c),
 sc{t}e AS (SELECT *, CAST({rules_sql(REFERENCE_RULES, {"debt_ratio": "d", "deficit": "def", "production": "q", "reserves": "r"})} AS INTEGER) AS collapse_score FROM sc{t}d),
 sc{t} AS (SELECT nation_key, scenario, price, growth, decline, trend, q, d, r, def FROM sc{t}e)"""
         )
@@ -415,13 +432,13 @@ sc{t} AS (SELECT nation_key, scenario, price, growth, decline, trend, q, d, r, d
             f"""SELECT nation_key, scenario, {H.start_year + t - 1} AS year, q AS production, price, growth AS gdp_growth,
     d AS debt_ratio, r AS reserves, revenue_share, vat_take, def AS deficit, employment, rp_ratio,
     q * price * {D(365)} / {D(1000)} * {D(0.65)} AS exports, {D(14.3)} * (revenue_share / {D(11)}) AS investment,
-    irfc, collapse_score, collapse_score >= {REFERENCE_RULES.breach_at} AS collapse FROM sc{t}e"""
+    risk_index, collapse_score, collapse_score >= {REFERENCE_RULES.breach_at} AS collapse FROM sc{t}e"""
         )
     return ",\n".join(steps) + ",\nproj AS (" + "\nUNION ALL\n".join(outs) + ")"
 
 
 PROJ_D = ["production", "price", "gdp_growth", "debt_ratio", "reserves", "revenue_share", "vat_take", "deficit",
-          "employment", "rp_ratio", "exports", "investment", "irfc"]
+          "employment", "rp_ratio", "exports", "investment", "risk_index"]
 
 
 @oracle("scenario_projection")
@@ -440,212 +457,57 @@ SELECT nation_key, scenario, {r6("avg(CAST(collapse AS DOUBLE))")} AS collapse_s
 def o_scenario_comparison():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
 SELECT nation_key, upper(substr(scenario, 1, 1)) || lower(substr(scenario, 2)) AS scenario, year,
-  {all_r6(["production", "debt_ratio", "reserves", "irfc"])}, collapse_score,
+  {all_r6(["production", "debt_ratio", "reserves", "risk_index"])}, collapse_score,
   CASE WHEN collapse THEN 'SÍ' ELSE 'NO' END AS collapse
 FROM proj WHERE year = {H.end_year}"""
 
 
-# ---- stochastic paths: counter-based draws, unrolled years
-
-TWO_PI = D(2.0 * math.pi)
-
-
-MASK = 0xFFFFFFFF
-MIX_C = 0x45D9F3B
-GOLDEN = 0x9E3779B9
-
-
-def mix_int(x: int) -> int:
-    x = ((x >> 16) ^ x) * MIX_C & MASK
-    x = ((x >> 16) ^ x) * MIX_C & MASK
-    return (x >> 16) ^ x
-
-
-def MIX(x: str) -> str:
-    """32-bit integer mixer on a BIGINT expression (kept short: x repeats)."""
-    a = f"((xor(({x}) >> 16, ({x})) * {MIX_C}) & {MASK})"
-    b = f"((xor({a} >> 16, {a}) * {MIX_C}) & {MASK})"
-    return f"xor({b} >> 16, {b})"
-
-
-def stream_ctes(src: str, name: str) -> str:
-    """CTE ``name`` = src + __st, the path stream id (mix chain over the low
-    and high words of nation_key and path), one CTE per mixer stage."""
-    parts = [("nation_key", 0), ("nation_key", 32), ("path", 0), ("path", 32)]
-    prev_src, prev = src, str(mix_int(42 & MASK))
-    out = []
-    for i, (c, sh) in enumerate(parts):
-        word = f"(CAST({c} AS BIGINT) & {MASK})" if sh == 0 else f"((CAST({c} AS BIGINT) >> 32) & {MASK})"
-        cur = f"{name}_{i}"
-        out.append(f"{cur} AS (SELECT *, {MIX(f'xor({prev}, {word})')} AS __s{i} FROM {prev_src})")
-        prev_src, prev = cur, f"__s{i}"
-    out.append(f"{name} AS (SELECT * EXCLUDE (__s0, __s1, __s2) RENAME (__s3 AS __st) FROM {prev_src})")
-    return ",\n".join(out)
-
-
-def STEP(t) -> str:
-    return MIX(f"xor(__st, CAST({t} AS BIGINT))")
-
-
-def U(h: str, slot: int) -> str:
-    return f"((CAST({MIX(f'(({h}) + {slot * GOLDEN}) & {MASK}')} AS DOUBLE) + {D(0.5)}) / {D(2.0**32)})"
-
-
-def BMR(u: str) -> str:
-    return f"sqrt({D(-2.0)} * ln({u}))"
-
-
-def clip_sql(x: str, lo: float, hi: float) -> str:
-    return f"least(greatest({x}, {D(lo)}), {D(hi)})"
-
-
-def paths_base_sql(n: int = PATHS_PER_KEY) -> str:
-    m = PathModel()
-    return f"""pth AS (SELECT i.*, CAST(g.path AS BIGINT) AS path FROM init i, range(0, {n}) AS g(path)),
-{stream_ctes("pth", "pst")},
-ph0 AS (SELECT *, {STEP(0)} AS __h0 FROM pst),
-pu AS (SELECT *, {U("__h0", 1)} AS __p1, {U("__h0", 2)} AS __p2, {U("__h0", 3)} AS __p3, {U("__h0", 4)} AS __p4 FROM ph0),
-par AS (SELECT nation_key, path, __st, production, debt_ratio, reserves, deficit, employment, revenue_share,
-    {clip_sql(f"{D(m.delta[0])} + {D(m.delta[1])} * ({BMR('__p1')} * cos({TWO_PI} * __p2))", m.delta[2], m.delta[3])} AS delta,
-    {clip_sql(f"{D(m.price[0])} + {D(m.price[1])} * ({BMR('__p1')} * sin({TWO_PI} * __p2))", m.price[2], m.price[3])} AS price,
-    {clip_sql(f"{D(m.growth[0])} + {D(m.growth[1])} * ({BMR('__p3')} * cos({TWO_PI} * __p4))", m.growth[2], m.growth[3])} AS growth
-  FROM pu)"""
-
-
-def shocks_sql(src: str, t) -> str:
-    """SELECT of src plus the seven shocks of step t (SQL integer expr)."""
-    m = PathModel()
-    us = ", ".join(f"{U('__h', i)} AS __u{i}" for i in range(1, 8))
-    return f"""SELECT * EXCLUDE (__h, __u1, __u2, __u3, __u4, __u5, __u6, __ra, __rb, __rc) RENAME (__u7 AS u),
-    {D(m.price_shock)} * (__ra * cos({TWO_PI} * __u2)) AS e_price,
-    {D(m.growth_shock)} * (__ra * sin({TWO_PI} * __u2)) AS e_growth,
-    {D(m.production_shock)} * (__rb * cos({TWO_PI} * __u4)) AS e_prod,
-    {D(m.rate_shock)} * (__rb * sin({TWO_PI} * __u4)) AS e_rate,
-    {D(m.deficit_shock)} * (__rc * cos({TWO_PI} * __u6)) AS e_def,
-    {D(m.employment_shock)} * (__rc * sin({TWO_PI} * __u6)) AS e_emp
-  FROM (SELECT *, {BMR('__u1')} AS __ra, {BMR('__u3')} AS __rb, {BMR('__u5')} AS __rc
-        FROM (SELECT *, {us} FROM (SELECT *, {STEP(t)} AS __h FROM {src})))"""
-
-
-def paths_sql(n: int = PATHS_PER_KEY) -> str:
-    m = PathModel()
-    carry = "nation_key, path, __st, delta, price, growth, q0, rev0"
-    steps = [
-        paths_base_sql(n),
-        f"""p0 AS (SELECT nation_key, path, __st, delta, price, growth, production AS q0, revenue_share AS rev0,
-    production AS q, debt_ratio AS d, reserves AS r, deficit AS def, employment AS emp FROM par)""",
-    ]
-    scores = []
-    for t in range(1, H.years + 1):
-        prev = f"p{t - 1}"
-        prev_scores = "".join(f", s{k}" for k in range(1, t))
-        steps.append(
-            f"""p{t}e AS ({shocks_sql(prev, t)}),
-p{t}a AS (SELECT *, greatest(price + e_price, {D(m.price_floor)}) AS py, growth + e_growth AS gy,
-    greatest(q * ({D(1)} - delta) + e_prod, {D(m.production_floor)}) AS nq FROM p{t}e),
-p{t}b AS (SELECT {carry}{prev_scores}, nq AS q,
-    least(greatest(rev0 * (py / {D(m.price_ref)}) * (nq / q0), {D(2)}), {D(25)}) AS rev,
-    greatest(d * ({D(1)} + ({D(m.base_rate)} + e_rate)) / ({D(1)} + gy / {D(100)})
-             + def * ({D(m.carry_base)} + {D(m.carry_uniform)} * u), {D(m.debt_floor)}) AS d,
-    greatest(def + {D(m.deficit_drift)} + e_def, {D(m.deficit_floor)}) AS def,
-    greatest(r - nq * {D(365)} / {D(1000)}, {D(0)}) AS r,
-    least(greatest(emp + {D(m.employment_drift)} + gy * {D(m.employment_per_growth)} + e_emp, {D(15)}), {D(65)}) AS emp
-  FROM p{t}a),
-p{t}c AS (SELECT *, CASE WHEN q * {D(365)} / {D(1000)} > 0 THEN r / (q * {D(365)} / {D(1000)}) ELSE {D(0)} END AS rp FROM p{t}b),
-p{t}d AS (SELECT *, {fixed_index_sql(FIXED_INDEX_A).replace("debt_ratio", "d").replace("rp_ratio", "rp").replace("deficit", "def").replace("employment", "emp").replace("revenue_share", "rev")} AS irfc FROM p{t}c),
-p{t} AS (SELECT {carry}{prev_scores}, q, d, r, def, emp,
-    CAST({rules_sql(REFERENCE_RULES, {"debt_ratio": "d", "rp_ratio": "rp", "deficit": "def", "production": "q", "employment": "emp", "reserves": "r"})} AS INTEGER) AS s{t}
-  FROM p{t}d)"""
-        )
-        scores.append(f"s{t}")
-    steps.append(
-        f"""paths AS (SELECT nation_key, path, delta, price, growth, greatest({", ".join(scores)}) AS max_score,
-    greatest({", ".join(scores)}) >= {REFERENCE_RULES.breach_at} AS collapse,
-    q AS final_production, d AS final_debt, r AS final_reserves, {", ".join(scores)} FROM p{H.years})"""
-    )
-    return ",\n".join(steps)
-
-
-def paths_cte() -> str:
-    return cte(PANEL_QUARTER, RISK_PANEL, INITIAL, paths_sql())
-
-
-@oracle("path_draws")
-def o_path_draws():
-    return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, paths_base_sql())}
-SELECT nation_key, path, {all_r6(["delta", "price", "growth"])} FROM par"""
-
-
-@oracle("year_shocks")
-def o_year_shocks():
-    base = f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, paths_base_sql())},
-yrs AS (SELECT p.nation_key, p.path, p.__st, CAST(y.t AS INTEGER) AS t FROM par p, range(1, {H.years + 1}) AS y(t)),
-sh AS ({shocks_sql("yrs", "t")})"""
-    cols = ["e_price", "e_growth", "e_prod", "e_rate", "e_def", "e_emp", "u"]
-    return f"""{base}
-SELECT nation_key, path, t + {H.start_year - 1} AS year, {all_r6(cols)} FROM sh"""
-
-
-@oracle("path_projection")
-def o_path_projection():
-    sel = " UNION ALL ".join(
-        f"SELECT nation_key, path, {H.start_year + t} AS year, s{t + 1} AS score FROM paths" for t in range(H.years)
-    )
-    return f"""{paths_cte()}
-{sel}"""
-
-
-PATH_D = ["delta", "price", "growth", "final_production", "final_debt", "final_reserves"]
-
-
-@oracle("path_results")
-def o_path_results():
-    return f"""{paths_cte()}
-SELECT nation_key, path, max_score, collapse, {all_r6(PATH_D)} FROM paths"""
+# ---- summaries of the scored panel
 
 
 @oracle("collapse_probability")
 def o_collapse_probability():
-    return f"""{paths_cte()}
-SELECT nation_key, count(*) AS n_paths, {r6("avg(CAST(collapse AS DOUBLE))")} AS p_collapse FROM paths GROUP BY ALL"""
+    return f"""{scored_cte()}
+SELECT nation_key, count(*) AS n_obs, {r6("avg(CAST(breach AS DOUBLE))")} AS p_collapse FROM sp GROUP BY ALL"""
 
 
 @oracle("yearly_collapse_rate")
 def o_yearly_collapse_rate():
-    sel = " UNION ALL ".join(
-        f"SELECT nation_key, {H.start_year + t} AS year, s{t + 1} AS score FROM paths" for t in range(H.years)
-    )
-    return f"""{paths_cte()}
-SELECT nation_key, year, {r6(f"avg(CAST(score >= {REFERENCE_RULES.breach_at} AS DOUBLE))")} AS collapse_rate
-FROM ({sel}) GROUP BY ALL"""
+    return f"""{scored_cte()}
+SELECT nation_key, year, {r6("avg(CAST(breach AS DOUBLE))")} AS collapse_rate FROM sp GROUP BY ALL"""
+
+
+def histogram_sql() -> str:
+    return f"""{scored_cte()},
+keys AS (SELECT DISTINCT nation_key FROM sp),
+cnt AS (SELECT nation_key, score, count(*) AS n FROM sp GROUP BY ALL),
+hg AS (SELECT k.nation_key, CAST(s.score AS INTEGER) AS score, coalesce(c.n, 0) AS n_obs
+  FROM keys k CROSS JOIN range(0, {len(PANEL_RULES) + 1}) AS s(score)
+  LEFT JOIN cnt c ON c.nation_key = k.nation_key AND c.score = s.score)"""
 
 
 @oracle("score_histogram")
 def o_score_histogram():
-    return f"""{paths_cte()},
-keys AS (SELECT DISTINCT nation_key FROM paths),
-cnt AS (SELECT nation_key, max_score, count(*) AS n FROM paths GROUP BY ALL)
-SELECT k.nation_key, CAST(s.score AS INTEGER) AS score, coalesce(c.n, 0) AS n_paths
-FROM keys k CROSS JOIN range(0, 8) AS s(score)
-LEFT JOIN cnt c ON c.nation_key = k.nation_key AND c.max_score = s.score"""
+    return f"""{histogram_sql()}
+SELECT * FROM hg"""
 
 
 @oracle("path_summary")
 def o_path_summary():
-    s = "CAST(max_score AS DOUBLE)"
-    return f"""{paths_cte()}
-SELECT nation_key, count(*) AS n_paths, {r6(f"avg(CAST(collapse AS DOUBLE)) * {D(100)}")} AS collapse_pct,
+    s = "CAST(score AS DOUBLE)"
+    means = ", ".join(f"{r6(f'avg(CAST({c} AS DOUBLE))')} AS mean_{c}" for c in ("production", "debt_ratio", "rp_ratio"))
+    return f"""{scored_cte()}
+SELECT nation_key, count(*) AS n_obs, {r6(f"avg(CAST(breach AS DOUBLE)) * {D(100)}")} AS collapse_pct,
   {r6(f"avg({s})")} AS mean_score, {r6(f"median({s})")} AS median_score, {r6(f"stddev_pop({s})")} AS std_score,
-  {r6("avg(final_production)")} AS mean_final_production, {r6("avg(final_debt)")} AS mean_final_debt,
-  {r6("avg(final_reserves)")} AS mean_final_reserves
-FROM paths GROUP BY ALL"""
+  {means}
+FROM sp GROUP BY ALL"""
 
 
 @oracle("traffic_light")
 def o_traffic_light():
-    return f"""{paths_cte()},
-pc AS (SELECT nation_key, count(*) AS n_paths, avg(CAST(collapse AS DOUBLE)) AS p FROM paths GROUP BY ALL)
-SELECT nation_key, n_paths, {r6("p")} AS p_collapse,
+    return f"""{scored_cte()},
+pc AS (SELECT nation_key, count(*) AS n_obs, avg(CAST(breach AS DOUBLE)) AS p FROM sp GROUP BY ALL)
+SELECT nation_key, n_obs, {r6("p")} AS p_collapse,
   CASE WHEN p < {D(0.3)} THEN 'VERDE' WHEN p < {D(0.6)} THEN 'AMARILLO' ELSE 'ROJO' END AS light FROM pc"""
 
 
@@ -664,7 +526,7 @@ fc AS (SELECT s.nation_key, s.period_start, CAST(s.volume AS DOUBLE) AS y_true,
 def metrics_sql(src: str, keys: str) -> str:
     return f"""SELECT {keys}, {r6("avg(abs(y_true - y_pred))")} AS mae,
   {r6("sqrt(avg((y_true - y_pred) * (y_true - y_pred)))")} AS rmse,
-  {r6(f"CASE WHEN sum(pow(y_true - ybar, 2)) = 0 THEN NULL ELSE {D(1)} - sum((y_true - y_pred) * (y_true - y_pred)) / sum(pow(y_true - ybar, 2)) END")} AS r2,
+  {r6(f"CASE WHEN min(y_true) = max(y_true) THEN CASE WHEN sum(abs(y_true - y_pred)) = 0 THEN {D(1)} ELSE {D(0)} END ELSE {D(1)} - sum((y_true - y_pred) * (y_true - y_pred)) / sum(pow(y_true - ybar, 2)) END")} AS r2,
   {r6(f"coalesce(avg(CASE WHEN y_true <> 0 THEN abs((y_true - y_pred) / y_true) END) * {D(100)}, {D(0)})")} AS mape,
   count(*) AS n
 FROM (SELECT *, avg(y_true) OVER (PARTITION BY {keys}) AS ybar FROM {src}) GROUP BY {keys}"""
@@ -699,33 +561,52 @@ SELECT nation_key, period_start, CAST(ntile(3) OVER (PARTITION BY nation_key ORD
 FROM panel_quarter"""
 
 
+# The fit is found here by a recursive search: λ is halved around the better
+# side of the profile error's slope, from the best of 400 starting cells.
 PROD = f"""prod AS (SELECT nation_key, period_start, {D(4.7)} * volume / n_orders AS production FROM panel_quarter),
 pts AS (SELECT nation_key, CAST(row_number() OVER w - 1 AS DOUBLE) AS t, production AS y,
    first_value(production) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y0
    FROM prod WINDOW w AS (PARTITION BY nation_key ORDER BY period_start)),
-grid AS (SELECT p.*, g.j, {D(0.001)} + CAST(g.j AS DOUBLE) * {D((0.2 - 0.001) / 999)} AS lam FROM pts p, range(0, 1000) AS g(j)),
-sums AS (SELECT nation_key, j, lam, sum(y * exp(-lam * t)) AS sye, sum(exp(-lam * t) * exp(-lam * t)) AS see,
-   sum(y * y) AS syy, first(y0) AS y0 FROM grid GROUP BY ALL),
-qs AS (SELECT *, least(greatest(sye / see, {D(100)}), {D(1000)}) AS q FROM sums),
-ss AS (SELECT *, syy - {D(2)} * q * sye + q * q * see AS sse FROM qs),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nation_key ORDER BY sse, j) AS rn FROM ss) WHERE rn = 1),
-dfit AS (SELECT nation_key,
+ser AS (SELECT nation_key, list(y ORDER BY t) AS ys, list(t ORDER BY t) AS ts, first(y0) AS y0, count(*) AS n FROM pts GROUP BY nation_key),
+cell AS (SELECT p.nation_key, g.j, {D(0.001)} + CAST(g.j AS DOUBLE) * {D(0.199 / 400)} AS lam,
+   sum(y * exp(-({D(0.001)} + CAST(g.j AS DOUBLE) * {D(0.199 / 400)}) * t)) AS a,
+   sum(exp({D(-2)} * ({D(0.001)} + CAST(g.j AS DOUBLE) * {D(0.199 / 400)}) * t)) AS b
+   FROM pts p, range(0, 401) AS g(j) GROUP BY ALL),
+start AS (SELECT nation_key, arg_min(lam, least(greatest(a / b, {D(100)}), {D(1000)}) * least(greatest(a / b, {D(100)}), {D(1000)}) * b
+   - {D(2)} * least(greatest(a / b, {D(100)}), {D(1000)}) * a) AS lam0 FROM cell GROUP BY nation_key),
+fit0 AS (SELECT nation_key, 0 AS i, greatest(lam0 - {D(0.199 / 400)}, {D(0.001)}) AS lo, least(lam0 + {D(0.199 / 400)}, {D(0.2)}) AS hi FROM start),
+step AS (
+  WITH RECURSIVE r AS (
+    SELECT * FROM fit0
+    UNION ALL
+    SELECT nation_key, i + 1, CASE WHEN e1 <= e2 THEN lo ELSE m1 END, CASE WHEN e1 <= e2 THEN m2 ELSE hi END
+    FROM (SELECT nation_key, i, lo, hi, m1, m2,
+        q1 * q1 * b1 - 2 * q1 * a1 AS e1, q2 * q2 * b2 - 2 * q2 * a2 AS e2
+      FROM (SELECT *, least(greatest(a1 / b1, 100), 1000) AS q1, least(greatest(a2 / b2, 100), 1000) AS q2
+        FROM (SELECT r.nation_key, r.i, r.lo, r.hi, r.lo + (r.hi - r.lo) / 3 AS m1, r.hi - (r.hi - r.lo) / 3 AS m2,
+            sum(p.y * exp(-(r.lo + (r.hi - r.lo) / 3) * p.t)) AS a1, sum(exp(-2 * (r.lo + (r.hi - r.lo) / 3) * p.t)) AS b1,
+            sum(p.y * exp(-(r.hi - (r.hi - r.lo) / 3) * p.t)) AS a2, sum(exp(-2 * (r.hi - (r.hi - r.lo) / 3) * p.t)) AS b2
+          FROM r JOIN pts p USING (nation_key) WHERE r.i < 36 GROUP BY r.nation_key, r.i, r.lo, r.hi))))
+  SELECT nation_key, (lo + hi) / 2 AS lam FROM r WHERE i = 36),
+best AS (SELECT s.nation_key, s.lam, least(greatest(sum(p.y * exp(-s.lam * p.t)) / sum(exp(-2 * s.lam * p.t)), 100), 1000) AS q
+  FROM step s JOIN pts p USING (nation_key) GROUP BY s.nation_key, s.lam),
+dfit AS (SELECT nation_key, n,
    CASE WHEN y0 >= 100 AND y0 <= 1000 THEN q ELSE y0 END AS q,
    CASE WHEN y0 >= 100 AND y0 <= 1000 THEN lam ELSE {D(0.035)} END AS lam,
-   y0 >= 100 AND y0 <= 1000 AS fitted FROM best)"""
+   y0 >= 100 AND y0 <= 1000 AS fitted FROM best JOIN ser USING (nation_key))"""
 
 
 @oracle("decline_fit")
 def o_decline_fit():
     return f"""{cte(PANEL_QUARTER, PROD)}
-SELECT nation_key, {r6("q")} AS q, {r6("lam")} AS lam, fitted FROM dfit"""
+SELECT nation_key, round(q, 2) AS q, round(lam, 5) AS lam, fitted FROM dfit"""
 
 
 @oracle("decline_curve")
 def o_decline_curve():
     return f"""{cte(PANEL_QUARTER, PROD)}
-SELECT nation_key, CAST(g.t AS INTEGER) AS t, {r6("q * exp(-lam * CAST(g.t AS DOUBLE))")} AS y_decline
-FROM dfit, range(28, 56) AS g(t)"""
+SELECT nation_key, CAST(g.t AS INTEGER) AS t, round(q * exp(-lam * CAST(g.t AS DOUBLE)), 1) AS y_decline
+FROM dfit, LATERAL range(n, 2 * n) AS g(t)"""
 
 
 @oracle("component_errors")
@@ -734,11 +615,11 @@ def o_component_errors():
 s AS (SELECT nation_key, production AS y_true, CAST(row_number() OVER w - 1 AS DOUBLE) AS t,
    coalesce(lag(production) OVER w, production) AS y_ml FROM prod WINDOW w AS (PARTITION BY nation_key ORDER BY period_start)),
 p AS (SELECT s.*, d.q * exp(-d.lam * s.t) AS y_decline FROM s JOIN dfit d USING (nation_key)),
-pp AS (SELECT *, {D(0.5)} * y_ml + {D(0.5)} * y_decline AS y_pred FROM p),
-hm AS (SELECT * EXCLUDE (mape, n) FROM ({metrics_sql("pp", "nation_key")})),
-pm AS (SELECT nation_key, {r6("avg(abs(y_true - y_ml))")} AS mae_ml, {r6("avg(abs(y_true - y_decline))")} AS mae_decline
-       FROM pp GROUP BY nation_key)
-SELECT * FROM hm JOIN pm USING (nation_key)"""
+pp AS (SELECT *, {D(0.5)} * y_ml + {D(0.5)} * y_decline AS y_pred, avg(y_true) OVER (PARTITION BY nation_key) AS ybar FROM p)
+SELECT nation_key, round(avg(abs(y_true - y_pred)), 3) AS mae, round(sqrt(avg((y_true - y_pred) * (y_true - y_pred))), 3) AS rmse,
+  round({D(1)} - sum((y_true - y_pred) * (y_true - y_pred)) / sum(pow(y_true - ybar, 2)), 3) AS r2,
+  round(avg(abs(y_true - y_ml)), 3) AS mae_ml, round(avg(abs(y_true - y_decline)), 3) AS mae_decline
+FROM pp GROUP BY nation_key"""
 
 
 # ---------------------------------------------------------------- regimes SQL
@@ -759,21 +640,25 @@ NAME_CASE = (
 
 @oracle("silhouette")
 def o_silhouette():
+    # Mean squared distance to a cluster: to its centroid, plus the cluster's own spread.
     return f"""{cte(PTS)},
-dots AS (SELECT p.vec_id, s.c, sum(p.x * s.s) AS dot FROM pl p JOIN cs s ON p.d = s.d GROUP BY ALL),
-md AS (SELECT x.vec_id, x.label, t.c, n.n, (CAST(n.n AS DOUBLE) * x.xx - {D(2)} * t.dot + n.q) AS tot
-       FROM px x JOIN dots t ON t.vec_id = x.vec_id JOIN cn n ON n.c = t.c),
+ce AS (SELECT label AS c, d, avg(x) AS m FROM pl GROUP BY ALL),
+far AS (SELECT p.vec_id, p.label, ce.c, sum((p.x - ce.m) * (p.x - ce.m)) AS sq FROM pl p JOIN ce ON p.d = ce.d GROUP BY ALL),
+own AS (SELECT c, count(*) AS n, avg(sq) AS spread FROM far WHERE c = label GROUP BY c),
+md AS (SELECT f.vec_id, f.label, f.c, o.n, f.sq + o.spread AS mean_sq FROM far f JOIN own o USING (c)),
 ab AS (SELECT vec_id, label,
          max(CASE WHEN c = label THEN n END) AS n_own,
-         max(CASE WHEN c = label AND n > 1 THEN tot / (n - 1) END) AS a,
-         min(CASE WHEN c <> label THEN tot / n END) AS b FROM md GROUP BY vec_id, label)
+         max(CASE WHEN c = label AND n > 1 THEN mean_sq * n / (n - 1) END) AS a,
+         min(CASE WHEN c <> label THEN mean_sq END) AS b FROM md GROUP BY vec_id, label)
 SELECT vec_id, label, {r6(f"CASE WHEN n_own <= 1 OR b IS NULL THEN {D(0)} ELSE (b - a) / greatest(a, b) END")} AS silhouette FROM ab"""
 
 
 @oracle("cluster_inertia")
 def o_cluster_inertia():
-    return f"""{cte(PTS)}
-SELECT n.c AS label, n.n, {r6("n.q - q.ss / n.n")} AS inertia FROM cn n JOIN cq q USING (c)"""
+    return f"""{cte(PTS)},
+ce AS (SELECT label, d, avg(x) AS c FROM pl GROUP BY ALL),
+dd AS (SELECT p.label, p.vec_id, sum((p.x - ce.c) * (p.x - ce.c)) AS sq FROM pl p JOIN ce USING (label, d) GROUP BY ALL)
+SELECT label, count(*) AS n, {r6("sum(sq)")} AS inertia FROM dd GROUP BY label"""
 
 
 @oracle("cluster_centroids")
@@ -794,18 +679,17 @@ def o_regime_names():
 
 @oracle("regime_summary")
 def o_regime_summary():
-    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(4))
-    aggs = ", ".join(f"{r6(f'avg(x{i})')} AS x{i}_mean, {r6(f'stddev_samp(x{i})')} AS x{i}_std" for i in range(4))
-    return f"""SELECT regime_name, {aggs} FROM (SELECT {NAME_CASE.format(c="label")} AS regime_name, {cols} FROM embeddings)
-GROUP BY regime_name"""
+    return f"""{cte(PTS)}
+SELECT {NAME_CASE.format(c="label")} AS regime_name, CAST(d AS INTEGER) AS dim, {r6("avg(x)")} AS mean,
+  {r6("stddev_samp(x)")} AS std FROM pl GROUP BY 1, 2"""
 
 
 @oracle("feature_metadata")
 def o_feature_metadata():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())}
-SELECT count(irfc) AS n_rows, 7 AS n_features_original, 20 AS n_features_final,
-  {r6("avg(irfc)")} AS irfc_mean, {r6("stddev_samp(irfc)")} AS irfc_std, {r6("min(irfc)")} AS irfc_min,
-  {r6("max(irfc)")} AS irfc_max FROM ri"""
+SELECT count(risk_index) AS n_rows, 7 AS n_features_original, 20 AS n_features_final,
+  {r6("avg(risk_index)")} AS risk_index_mean, {r6("stddev_samp(risk_index)")} AS risk_index_std, {r6("min(risk_index)")} AS risk_index_min,
+  {r6("max(risk_index)")} AS risk_index_max FROM ri"""
 
 
 # ---------------------------------------------------------------- marts SQL
@@ -814,9 +698,9 @@ SELECT count(irfc) AS n_rows, 7 AS n_features_original, 20 AS n_features_final,
 @oracle("risk_zones")
 def o_risk_zones():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL, risk_index_cte())}
-SELECT nation_key, period_start, irfc,
-  CASE WHEN irfc < {D(35)} THEN 'Bajo Riesgo' WHEN irfc < {D(65)} THEN 'Riesgo Moderado' ELSE 'Riesgo Crítico' END AS zone,
-  irfc >= {D(75)} AS above_alert FROM ri"""
+SELECT nation_key, period_start, risk_index,
+  CASE WHEN risk_index < {D(35)} THEN 'Bajo Riesgo' WHEN risk_index < {D(65)} THEN 'Riesgo Moderado' ELSE 'Riesgo Crítico' END AS zone,
+  risk_index >= {D(75)} AS above_alert FROM ri"""
 
 
 @oracle("debt_bands")
@@ -829,15 +713,16 @@ SELECT nation_key, scenario, year, {r6("debt_ratio")} AS debt_ratio,
 
 @oracle("score_classes")
 def o_score_classes():
-    return f"""SELECT *, CASE WHEN score < 3 THEN 'low' WHEN score < 5 THEN 'warning' ELSE 'collapse' END AS class,
-  CASE WHEN score >= 5 THEN 'Colapso' ELSE 'Estable' END AS outcome FROM ({o_score_histogram()})"""
+    return f"""{histogram_sql()}
+SELECT *, CASE WHEN score < 3 THEN 'low' WHEN score < 5 THEN 'warning' ELSE 'collapse' END AS class,
+  CASE WHEN score >= 3 THEN 'Colapso' ELSE 'Estable' END AS outcome FROM hg"""
 
 
 @oracle("scenario_long")
 def o_scenario_long():
     parts = " UNION ALL ".join(
         f"SELECT nation_key, scenario, year, '{c}' AS indicator, {r6(f'CAST({c} AS DOUBLE)')} AS value FROM proj"
-        for c in ("production", "debt_ratio", "reserves", "irfc")
+        for c in ("production", "debt_ratio", "reserves", "risk_index")
     )
     return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
 {parts}"""
@@ -854,18 +739,16 @@ SELECT nation_key, year, series, {r6("production")} AS production, production <
 
 
 def kpis_sql() -> str:
-    return f"""{paths_cte()},
-{risk_index_cte()},
-im AS (SELECT nation_key, count(*) AS n_quarters, avg(irfc) AS irfc_mean FROM ri GROUP BY nation_key),
-pc AS (SELECT nation_key, avg(CAST(collapse AS DOUBLE)) AS p, count(*) AS n_paths FROM paths GROUP BY nation_key),
-k AS (SELECT im.*, pc.n_paths, pc.p * {D(100)} AS p_collapse_pct, pc.p FROM im JOIN pc USING (nation_key))"""
+    return f"""{scored_cte()},
+k AS (SELECT nation_key, count(*) AS n_quarters, avg(risk_index) AS risk_index_mean, avg(CAST(breach AS DOUBLE)) AS p,
+  avg(CAST(breach AS DOUBLE)) * {D(100)} AS p_collapse_pct FROM sp GROUP BY nation_key)"""
 
 
 @oracle("kpi_badges")
 def o_kpi_badges():
     return f"""{kpis_sql()}
-SELECT nation_key, {r6("irfc_mean")} AS irfc_mean, n_paths, {r6("p_collapse_pct")} AS p_collapse_pct,
-  CASE WHEN irfc_mean > {D(65)} THEN 'red' WHEN irfc_mean > {D(40)} THEN 'yellow' ELSE 'green' END AS index_badge,
+SELECT nation_key, {r6("risk_index_mean")} AS risk_index_mean, {r6("p_collapse_pct")} AS p_collapse_pct,
+  CASE WHEN risk_index_mean > {D(65)} THEN 'red' WHEN risk_index_mean > {D(40)} THEN 'yellow' ELSE 'green' END AS index_badge,
   CASE WHEN p_collapse_pct > {D(60)} THEN 'red' WHEN p_collapse_pct > {D(30)} THEN 'yellow' ELSE 'green' END AS prob_badge
 FROM k"""
 
@@ -877,10 +760,11 @@ def o_run_summary():
         for s in REFERENCE_SCENARIOS
     )
     return f"""{kpis_sql()},
+{INITIAL},
 {SCEN_VALUES},
 {scenario_sql()},
 sh AS (SELECT nation_key, {shares} FROM proj GROUP BY nation_key)
-SELECT nation_key, n_quarters, {r6("irfc_mean")} AS irfc_mean, n_paths, {r6("p_collapse_pct")} AS p_collapse_pct,
+SELECT nation_key, n_quarters, {r6("risk_index_mean")} AS risk_index_mean, {r6("p_collapse_pct")} AS p_collapse_pct,
   CASE WHEN p < {D(0.3)} THEN 'VERDE' WHEN p < {D(0.6)} THEN 'AMARILLO' ELSE 'ROJO' END AS light,
   share_optimistic, share_base, share_pessimistic
 FROM k JOIN sh USING (nation_key)"""

@@ -85,7 +85,7 @@ def q_panel_year(spark, sf_dir):
 @register("risk_index")
 def q_risk_index(spark, sf_dir):
     df = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
-    return df.select(KEY, "period_start", "year", "quarter", "irfc")
+    return df.select(KEY, "period_start", "year", "quarter", "risk_index")
 
 
 @register("risk_orient")
@@ -104,7 +104,7 @@ def q_minmax_scale(spark, sf_dir):
 @register("risk_index_stats")
 def q_risk_index_stats(spark, sf_dir):
     df = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
-    return rounded(feat.risk_index_stats(df, "irfc", by=KEY))
+    return rounded(feat.risk_index_stats(df, "risk_index", by=KEY))
 
 
 @register("zscore")
@@ -120,11 +120,11 @@ def q_corr_matrix(spark, sf_dir):
 
 @register("risk_index_fixed_a")
 def q_risk_index_fixed_a(spark, sf_dir):
-    df = feat.fixed_index(risk_panel(spark, sf_dir), FIXED_INDEX_A, out="irfc_a")
-    return rounded(df.select(KEY, "period_start", "irfc_a"))
+    df = feat.fixed_index(risk_panel(spark, sf_dir), FIXED_INDEX_A, out="risk_index_a")
+    return rounded(df.select(KEY, "period_start", "risk_index_a"))
 
 
 @register("risk_index_fixed_b")
 def q_risk_index_fixed_b(spark, sf_dir):
-    df = feat.fixed_index(risk_panel(spark, sf_dir), FIXED_INDEX_B, out="irfc_b")
-    return rounded(df.select(KEY, "period_start", "irfc_b"))
+    df = feat.fixed_index(risk_panel(spark, sf_dir), FIXED_INDEX_B, out="risk_index_b")
+    return rounded(df.select(KEY, "period_start", "risk_index_b"))

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators import clean as cl
 from ..operators import disagg as dg
 from ..operators import panel_ops as po
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import panels
 from ..sources.tables import read_table
 from ..specs import INITIAL_DEFAULTS
 from .queries import KEY, PANEL_METRICS, quarter_panel, register, risk_panel, rounded, year_panel
 
 # Disaggregation / harmonising binding: annual rows up to CUT_YEAR are
-# disaggregated, true quarterly rows follow; the indicator is the first
-# INDICATOR_ROWS quarterly rows per key (positional, as surveyed).
+# disaggregated, true quarterly rows follow.
 CUT_YEAR = 1997
-INDICATOR_ROWS = 16
+FIRST_ROWS = 16  # of the ``first_n`` query
 EVENT_COLS = ["value", "avg_value"]
 
 
@@ -68,8 +71,11 @@ def q_temporal_split(spark, sf_dir):
 
 
 def event_split(spark, sf_dir):
-    ev = po.complete_rows(events(spark, sf_dir), ["value"])
-    return ev.withColumn("split", F.when(F.col("pos") <= 20, F.lit("train")).otherwise(F.lit("test")))
+    """The first two thirds of the calendar's days train, the rest tests."""
+    days = events(spark, sf_dir)
+    ev = po.complete_rows(days, ["value"])
+    edge = days.agg(F.floor(F.max("pos") * 2 / 3).alias("edge")).scalar()
+    return ev.withColumn("split", F.when(F.col("pos") <= edge, F.lit("train")).otherwise(F.lit("test")))
 
 
 @register("min_sample_gate")
@@ -82,8 +88,8 @@ INITIAL_COLS = ["production", "debt_ratio", "reserves", "deficit", "employment",
 
 def initial_conditions(spark, sf_dir):
     """Per-nation starting point for projections: the last panel quarter,
-    mapped affinely into the surveyed numeric ranges. Fields the panel does
-    not carry (revenue share, VAT take) take the surveyed defaults."""
+    mapped affinely into the surveyed numeric ranges; missing fields take the
+    surveyed defaults."""
     rp = risk_panel(spark, sf_dir)
     mapped = rp.select(
         KEY,
@@ -95,8 +101,8 @@ def initial_conditions(spark, sf_dir):
         ),
         F.col("disc_pct").alias("deficit"),
         (F.lit(15.0) + F.lit(0.5) * F.col("open_pct")).alias("employment"),
-        F.lit(None).cast("double").alias("revenue_share"),
-        F.lit(None).cast("double").alias("vat_take"),
+        "revenue_share",
+        "vat_take",
     )
     return po.last_observation(mapped, KEY, "period_start", INITIAL_COLS, INITIAL_DEFAULTS)
 
@@ -113,7 +119,7 @@ def q_quarter_calendar(spark, sf_dir):
 
 @register("first_n")
 def q_first_n(spark, sf_dir):
-    return rounded(po.first_n(quarter_panel(spark, sf_dir), KEY, "period_start", INDICATOR_ROWS))
+    return rounded(po.first_n(quarter_panel(spark, sf_dir), KEY, "period_start", FIRST_ROWS))
 
 
 CLIP_BOUNDS = {"debt_ratio": (None, 40.0), "rp_ratio": (25.0, None), "deficit": (4.0, 6.0)}
@@ -159,12 +165,17 @@ def q_null_counts(spark, sf_dir):
 # ---------------------------------------------------------------- disaggregation
 
 
-def annual_part(spark, sf_dir):
-    return metrics_double(year_panel(spark, sf_dir)).where(F.col("year") <= CUT_YEAR)
+def both_grains(spark, sf_dir):
+    """(annual, quarterly) panels of one scan: the quarter sums (a row per key
+    and quarter) are materialised once, the years are summed from them."""
+    base = materialize(panels.nation_quarters(spark, sf_dir))
+    return metrics_double(panels.panel_of(base, "year")), metrics_double(panels.panel_of(base))
 
 
-def quarterly_part(spark, sf_dir):
-    return metrics_double(quarter_panel(spark, sf_dir)).where(F.col("year") > CUT_YEAR)
+def source_parts(spark, sf_dir):
+    """The annual source up to CUT_YEAR and the quarterly source after it."""
+    annual, quarterly = both_grains(spark, sf_dir)
+    return annual.where(F.col("year") <= CUT_YEAR), quarterly.where(F.col("year") > CUT_YEAR)
 
 
 @register("disaggregate_trend")
@@ -174,15 +185,13 @@ def q_disaggregate_trend(spark, sf_dir):
 
 @register("disaggregate_indicator")
 def q_disaggregate_indicator(spark, sf_dir):
-    annual = metrics_double(year_panel(spark, sf_dir))
-    indicator = metrics_double(quarter_panel(spark, sf_dir))
+    annual, indicator = both_grains(spark, sf_dir)
     return rounded(dg.disaggregate_indicator(annual, indicator, PANEL_METRICS, KEY))
 
 
 @register("disaggregate_check")
 def q_disaggregate_check(spark, sf_dir):
-    annual = metrics_double(year_panel(spark, sf_dir))
-    indicator = metrics_double(quarter_panel(spark, sf_dir))
+    annual, indicator = both_grains(spark, sf_dir)
     t = dg.aggregation_check(annual, dg.disaggregate_trend(annual, PANEL_METRICS, KEY), PANEL_METRICS, KEY)
     i = dg.aggregation_check(
         annual, dg.disaggregate_indicator(annual, indicator, PANEL_METRICS, KEY), PANEL_METRICS, KEY
@@ -191,14 +200,24 @@ def q_disaggregate_check(spark, sf_dir):
     return rounded(out)
 
 
-def disaggregated(annual, quarterly):
-    indicator = po.first_n(quarterly, KEY, "period_start", INDICATOR_ROWS)
-    return dg.disaggregate(annual, PANEL_METRICS, KEY, indicator=indicator)
+def disaggregated_parts(spark, sf_dir, method):
+    annual, quarterly = source_parts(spark, sf_dir)
+    return rounded(dg.disaggregate(annual, PANEL_METRICS, KEY, indicator=quarterly, method=method))
 
 
 @register("disaggregate_all")
 def q_disaggregate_all(spark, sf_dir):
-    return rounded(disaggregated(annual_part(spark, sf_dir), quarterly_part(spark, sf_dir)))
+    return disaggregated_parts(spark, sf_dir, "by_length")
+
+
+@register("disaggregate_trend_all")
+def q_disaggregate_trend_all(spark, sf_dir):
+    return disaggregated_parts(spark, sf_dir, "trend")
+
+
+@register("disaggregate_indicator_all")
+def q_disaggregate_indicator_all(spark, sf_dir):
+    return disaggregated_parts(spark, sf_dir, "indicator")
 
 
 MASTER_COLS = [KEY, "year", "quarter", "period_start", *PANEL_METRICS]
@@ -206,29 +225,29 @@ MASTER_COLS = [KEY, "year", "quarter", "period_start", *PANEL_METRICS]
 
 @register("harmonize_panel")
 def q_harmonize_panel(spark, sf_dir):
-    a, q = annual_part(spark, sf_dir), quarterly_part(spark, sf_dir)
-    return rounded(dg.harmonize(disaggregated(a, q), q, MASTER_COLS))
+    a, q = source_parts(spark, sf_dir)
+    return rounded(dg.harmonize(dg.disaggregate(a, PANEL_METRICS, KEY, method="trend"), q, MASTER_COLS))
 
 
-def master(annual, quarterly):
+def master(annual, quarterly, method="trend"):
     """Clean each source, disaggregate, union, clean the union again."""
     a = cl.clean(annual, PANEL_METRICS, KEY, "year")
     q = cl.clean(quarterly, PANEL_METRICS, KEY, "period_start")
-    h = dg.harmonize(disaggregated(a, q), q, MASTER_COLS)
+    h = dg.harmonize(dg.disaggregate(a, PANEL_METRICS, KEY, indicator=q, method=method), q, MASTER_COLS)
     return cl.clean(h, PANEL_METRICS, KEY, "period_start")
 
 
 @register("clean_two_pass")
 def q_clean_two_pass(spark, sf_dir):
-    return rounded(master(annual_part(spark, sf_dir), quarterly_part(spark, sf_dir)))
+    return rounded(master(*source_parts(spark, sf_dir), method="indicator"))
 
 
 def master_from_sources(spark, sf_dir):
     """Full ETL (H2) from source-shaped inputs: the quarterly source carries
     'YYYY Tq' labels that are parsed back (S4/P8) before the pipeline."""
-    labelled = panels.period_labels(metrics_double(quarter_panel(spark, sf_dir)))
-    parsed = panels.parse_period(labelled).where(F.col("year") > CUT_YEAR)
-    return master(annual_part(spark, sf_dir), parsed)
+    annual, quarterly = both_grains(spark, sf_dir)
+    parsed = panels.parse_period(panels.period_labels(quarterly)).where(F.col("year") > CUT_YEAR)
+    return master(annual.where(F.col("year") <= CUT_YEAR), parsed)
 
 
 @register("master_panel")
@@ -241,8 +260,7 @@ def q_master_panel(spark, sf_dir):
 from ..operators import features as feat  # noqa: E402
 from ..operators import project as pj  # noqa: E402
 from ..operators import rules as rl  # noqa: E402
-from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..specs import REFERENCE_INDEX, REFERENCE_SCENARIOS, Horizon, PathModel, Rule, RuleSet  # noqa: E402
+from ..specs import REFERENCE_INDEX, REFERENCE_SCENARIOS, Horizon, Rule, RuleSet  # noqa: E402
 
 # Panel rule table: each rule fires on some but not all nation-quarters.
 PANEL_RULES = RuleSet(
@@ -252,20 +270,21 @@ PANEL_RULES = RuleSet(
         Rule("disc_pct", ">", 5.2),
         Rule("unit_price", "<", 2100.0),
         Rule("n_orders", "<", 60.0),
-        Rule("irfc", ">", 60.0),
+        Rule("risk_index", ">", 60.0),
     ),
     breach_at=3,
 )
-# Paths per nation for the registered path queries: 25 nations x 2,000
-# paths = 50,000 paths, the surveyed work size.
-PATHS_PER_KEY = 2000
 HORIZON = Horizon()
 
 
+def scored_panel(spark, sf_dir):
+    """Every nation-quarter with its rule score and breach flag."""
+    return rl.breach_score(feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX), PANEL_RULES)
+
+
 @register("breach_score")
 def q_breach_score(spark, sf_dir):
-    df = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
-    return rl.breach_score(df, PANEL_RULES).select(KEY, "period_start", "score", "breach")
+    return scored_panel(spark, sf_dir).select(KEY, "period_start", "score", "breach")
 
 
 @register("scenario_grid")
@@ -297,83 +316,36 @@ def q_scenario_comparison(spark, sf_dir):
     return rounded(pj.scenario_comparison(projections(spark, sf_dir), KEY))
 
 
-def paths(spark, sf_dir, n_paths=PATHS_PER_KEY):
-    return pj.simulate_paths(initial_conditions(spark, sf_dir), KEY, n_paths, PathModel(), HORIZON)
-
-
-def paths_table(spark, sf_dir, n_paths=PATHS_PER_KEY):
-    """The path table materialised once (checkpoint into the session's
-    shared checkpoint folder); per-year summaries read it instead of
-    re-planning the fold."""
-    ensure_checkpoint_dir(spark)
-    return paths(spark, sf_dir, n_paths).checkpoint(eager=True)
-
-
-@register("path_draws")
-def q_path_draws(spark, sf_dir):
-    init = initial_conditions(spark, sf_dir).select(KEY)
-    return rounded(pj.path_draws(pj.path_rows(init, KEY, PATHS_PER_KEY), KEY).drop("__st"))
-
-
-@register("year_shocks")
-def q_year_shocks(spark, sf_dir):
-    init = initial_conditions(spark, sf_dir).select(KEY)
-    rows = pj.path_rows(init, KEY, PATHS_PER_KEY)
-    rows = rows.select(KEY, "path", F.explode(F.sequence(F.lit(1), F.lit(HORIZON.years))).alias("t"))
-    model = PathModel()
-    rows = pj.year_shocks(pj.with_stream(rows, KEY, model), F.col("t"), model)
-    shocks = pj.SHOCKS
-    return rounded(
-        rows.select(
-            KEY,
-            "path",
-            (F.col("t") + F.lit(HORIZON.start_year - 1)).alias("year"),
-            *[F.col(c).alias(c[2:]) for c in shocks],
-        )
-    )
-
-
-@register("path_projection")
-def q_path_projection(spark, sf_dir):
-    p = paths_table(spark, sf_dir)
-    return p.select(KEY, "path", F.posexplode("scores").alias("i", "score")).select(
-        KEY, "path", (F.col("i") + F.lit(HORIZON.start_year)).cast("int").alias("year"), "score"
-    )
-
-
-@register("path_results")
-def q_path_results(spark, sf_dir):
-    return rounded(paths(spark, sf_dir).drop("scores"))
-
-
 @register("collapse_probability")
 def q_collapse_probability(spark, sf_dir):
-    return rounded(pj.collapse_probability(paths(spark, sf_dir), KEY))
+    return rounded(pj.breach_probability(scored_panel(spark, sf_dir), KEY))
 
 
 @register("yearly_collapse_rate")
 def q_yearly_collapse_rate(spark, sf_dir):
-    return rounded(pj.yearly_collapse_rate(paths_table(spark, sf_dir), KEY, HORIZON))
+    return rounded(pj.yearly_breach_rate(scored_panel(spark, sf_dir), KEY))
 
 
 @register("score_histogram")
 def q_score_histogram(spark, sf_dir):
-    return pj.score_histogram(paths(spark, sf_dir), KEY)
+    return pj.score_histogram(scored_panel(spark, sf_dir), KEY, PANEL_RULES)
 
 
 @register("path_summary")
 def q_path_summary(spark, sf_dir):
-    return rounded(pj.path_summary(paths(spark, sf_dir), KEY))
+    return rounded(pj.score_summary(scored_panel(spark, sf_dir), KEY, ("production", "debt_ratio", "rp_ratio")))
 
 
 @register("traffic_light")
 def q_traffic_light(spark, sf_dir):
-    return rounded(pj.traffic_light(pj.collapse_probability(paths(spark, sf_dir), KEY)))
+    return rounded(pj.traffic_light(pj.breach_probability(scored_panel(spark, sf_dir), KEY)))
 
 
 # ---------------------------------------------------------------- evaluation (SQL-exact)
 
+from ..operators import ecosystem as eco  # noqa: E402
 from ..operators import evaluate as ev  # noqa: E402
+from ..operators import marts as mt  # noqa: E402
 from ..operators import ml  # noqa: E402
 from ..operators import regimes as rg  # noqa: E402
 
@@ -433,13 +405,14 @@ def decline_params(spark, sf_dir):
 
 @register("decline_fit")
 def q_decline_fit(spark, sf_dir):
-    return rounded(decline_params(spark, sf_dir))
+    p = decline_params(spark, sf_dir)
+    return p.select(KEY, F.round("q", 2).alias("q"), F.round("lam", 5).alias("lam"), "fitted")
 
 
 @register("decline_curve")
 def q_decline_curve(spark, sf_dir):
-    n = 28  # forecast window: t = n … 2n-1 (surveyed time origin)
-    return rounded(ev.decline_curve(decline_params(spark, sf_dir), KEY, n, n))
+    c = ev.decline_curve(decline_params(spark, sf_dir), KEY)
+    return c.select(KEY, "t", F.round("y_decline", 1).alias("y_decline"))
 
 
 @register("component_errors")
@@ -460,7 +433,8 @@ def q_component_errors(spark, sf_dir):
         F.avg(F.abs(F.col("y_true") - F.col("y_ml"))).alias("mae_ml"),
         F.avg(F.abs(F.col("y_true") - F.col("y_decline"))).alias("mae_decline"),
     )
-    return rounded(hyb.join(parts, KEY))
+    joined = hyb.join(parts, KEY)
+    return joined.select(KEY, *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "r2", "mae_ml", "mae_decline")])
 
 
 # ---------------------------------------------------------------- regimes on labelled points
@@ -495,29 +469,27 @@ def q_regime_names(spark, sf_dir):
     return rg.regime_names(labelled_points(spark, sf_dir).select("vec_id", "label"))
 
 
-SUMMARY_DIMS = ["x0", "x1", "x2", "x3"]
-
-
 @register("regime_summary")
 def q_regime_summary(spark, sf_dir):
-    p = labelled_points(spark, sf_dir)
-    p = p.select("label", *[F.col("features")[i].alias(f"x{i}") for i in range(len(SUMMARY_DIMS))])
-    return rounded(rg.regime_summary(rg.regime_names(p), SUMMARY_DIMS))
+    """Mean and deviation of every dimension per regime, long form."""
+    p = rg.regime_names(labelled_points(spark, sf_dir))
+    long = p.select("regime_name", F.posexplode("features").alias("dim", "x"))
+    return rounded(long.groupBy("regime_name", "dim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")))
 
 
 @register("feature_metadata")
 def q_feature_metadata(spark, sf_dir):
     df = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
-    st = feat.risk_index_stats(df, "irfc")
+    st = feat.risk_index_stats(df, "risk_index")
     return rounded(
         st.select(
             F.col("n").alias("n_rows"),
             F.lit(len(PANEL_METRICS)).alias("n_features_original"),
             F.lit(len(df.columns)).alias("n_features_final"),
-            F.col("mean").alias("irfc_mean"),
-            F.col("std").alias("irfc_std"),
-            F.col("min").alias("irfc_min"),
-            F.col("max").alias("irfc_max"),
+            F.col("mean").alias("risk_index_mean"),
+            F.col("std").alias("risk_index_std"),
+            F.col("min").alias("risk_index_min"),
+            F.col("max").alias("risk_index_max"),
         )
     )
 
@@ -525,142 +497,165 @@ def q_feature_metadata(spark, sf_dir):
 # ---------------------------------------------------------------- pyspark.ml models (statistical checks)
 
 
-# Fitted models (and their cached training rows) are shared by every query
-# of one application on one data folder: train once, score many times.
-_FITTED: dict = {}
-
-
-def _memo(spark, sf_dir, name, make):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _FITTED:
-        _FITTED[key] = make()
-    return _FITTED[key]
+PANEL = eco.PanelSpec(KEY, "period_start", tuple(PANEL_METRICS))
+# One list drives training, prediction, backtest and reports. The hybrid's target
+# is the production series; the surveyed roles of the others as in TARGETS.
+MODELS = [
+    eco.ModelSpec("hybrid", "hybrid", "production"),
+    eco.ModelSpec("boost_revenue", "boosting", TARGETS["boost_revenue"]),
+    eco.ModelSpec("boost_debt", "boosting", TARGETS["boost_debt"]),
+    eco.ModelSpec("kernel", "kernel", TARGETS["kernel"]),
+    eco.ModelSpec("regimes", "kmeans"),
+]
+REGRESSORS = [m for m in MODELS if m.kind != "kmeans"]
+ROWS_PER_PARTITION = 50_000
 
 
 def training_data(spark, sf_dir):
-    return _memo(spark, sf_dir, "training_data", lambda: metrics_double(quarter_panel(spark, sf_dir)).cache())
+    """The assembled quarter panel with the production series, materialised and
+    in as many partitions as its rows need (a fit runs a job per iteration)."""
+    q = metrics_double(quarter_panel(spark, sf_dir))
+    rows = materialize(q.withColumn("production", F.lit(4.7) * F.col("volume") / F.col("n_orders")))
+    return rows.coalesce(1 + rows.count() // ROWS_PER_PARTITION)
+
+
+def fitted_models(spark, train, specs, tag):
+    """Models of these training rows: read from the session's model folder if
+    they have been fitted there before, else fitted and saved (S7).
+
+    The folder's name holds a hash of the rows and the specifications, so other
+    rows never meet old models.
+    """
+    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        return eco.train_all(train, specs, PANEL)
+    mark = train.agg(F.bit_xor(F.xxhash64(*sorted(train.columns))).alias("h"), F.count("*").alias("n")).first()
+    out = {}
+    for spec in specs:
+        about = hashlib.sha256(repr((tag, spec, mark.h, mark.n)).encode()).hexdigest()[:20]
+        path = f"{ensure_checkpoint_dir(spark)}/models-{about}"
+        try:
+            out |= eco.load(path, spark)
+        except AnalysisException:  # not there yet
+            one = eco.train_all(train, [spec], PANEL)
+            eco.save(one, path, spark)
+            out |= one
+    return out
+
 
+def model_rows(spark, sf_dir, name):
+    """Predictions of one model over its own training rows."""
+    df = training_data(spark, sf_dir)
+    fitted = fitted_models(spark, df, [m for m in MODELS if m.name == name], "full")
+    return eco.predict_all(fitted, df, PANEL, origin="train"), fitted
 
-def fitted_models(spark, sf_dir, names, fit_df, tag):
-    """Fit the named models on ``fit_df`` (missing ones concurrently)."""
-    def fit(name):
-        t = TARGETS[name]
-        fitter = ml.fit_forest if name == "forest" else ml.fit_boosting
-        return lambda: fitter(fit_df, feature_cols(t), t)
 
-    key = lambda n: (spark.sparkContext.applicationId, sf_dir, f"{tag}:{n}")
-    missing = [n for n in names if key(n) not in _FITTED]
-    for n, m in zip(missing, ml.fit_concurrently([fit(n) for n in missing], workers=3) if missing else []):
-        _FITTED[key(n)] = m
-    return [_FITTED[key(n)] for n in names]
+def plain(predictions):
+    return predictions.select("model", KEY, "period_start", "y_true", "y_pred")
 
 
-def model_predictions(name, model, df, target):
-    return model.transform(df).select(
-        F.lit(name).alias("model"), KEY, "period_start",
-        F.col(target).alias("y_true"), F.col("prediction").alias("y_pred"),
-    )
+def forest_of(spark, df):
+    return ml.fit_forest(df, feature_cols(TARGETS["forest"]), TARGETS["forest"])
 
 
 @register("rf_predictions")
 def q_rf_predictions(spark, sf_dir):
     df = training_data(spark, sf_dir)
-    t = TARGETS["forest"]
-    return model_predictions("forest", fitted_models(spark, sf_dir, ["forest"], df, "full")[0], df, t)
+    return forest_of(spark, df).transform(df).select(
+        F.lit("forest").alias("model"), KEY, "period_start",
+        F.col(TARGETS["forest"]).alias("y_true"), F.col("prediction").alias("y_pred"),
+    )
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     df = training_data(spark, sf_dir)
-    t = TARGETS["forest"]
-    ranked = ml.feature_importance(fitted_models(spark, sf_dir, ["forest"], df, "full")[0], feature_cols(t))
+    ranked = ml.feature_importance(forest_of(spark, df), feature_cols(TARGETS["forest"]))
     rows = [(i + 1, f, float(v)) for i, (f, v) in enumerate(ranked)]
     return spark.createDataFrame(rows, "rank int, feature string, importance double")
 
 
 @register("hybrid_forecast")
 def q_hybrid_forecast(spark, sf_dir):
-    from pyspark.sql import Window
-
-    df = training_data(spark, sf_dir).join(production_series(spark, sf_dir), [KEY, "period_start"])
-    feats = feature_cols("volume")
-    model = ml.fit_forest(df, feats, "production")
-    w = Window.partitionBy(KEY).orderBy("period_start")
-    pred = model.transform(df).withColumn("t", (F.row_number().over(w) - 1).cast("double"))
-    pred = pred.join(decline_params(spark, sf_dir), KEY).withColumn(
-        "y_decline", F.col("q") * F.exp(-F.col("lam") * F.col("t"))
-    )
-    return pred.select(
-        KEY, "period_start", F.col("production").alias("y_true"), F.col("prediction").alias("y_ml"), "y_decline",
-        (F.lit(0.5) * F.col("prediction") + F.lit(0.5) * F.col("y_decline")).alias("y_pred"),
-    )
+    """The hybrid with the surveyed time origin (t = n … 2n-1)."""
+    df = training_data(spark, sf_dir)
+    fitted = fitted_models(spark, df, [MODELS[0]], "full")
+    return eco.predict_all(fitted, df, PANEL, origin="reference").drop("model", "error")
 
 
 @register("gbt_revenue")
 def q_gbt_revenue(spark, sf_dir):
-    df = training_data(spark, sf_dir)
-    t = TARGETS["boost_revenue"]
-    return model_predictions("boost_revenue", fitted_models(spark, sf_dir, ["boost_revenue"], df, "full")[0], df, t)
+    return plain(model_rows(spark, sf_dir, "boost_revenue")[0])
 
 
 @register("gbt_debt")
 def q_gbt_debt(spark, sf_dir):
-    df = training_data(spark, sf_dir)
-    t = TARGETS["boost_debt"]
-    return model_predictions("boost_debt", fitted_models(spark, sf_dir, ["boost_debt"], df, "full")[0], df, t)
-
-
-def kernel_fit(spark, sf_dir):
-    t = TARGETS["kernel"]
-
-    def make():
-        df = ev.cv_folds(training_data(spark, sf_dir), KEY, "period_start")
-        return ml.fit_kernel_regression(df, feature_cols(t), t)
-
-    return _memo(spark, sf_dir, "kernel", make), t
+    return plain(model_rows(spark, sf_dir, "boost_debt")[0])
 
 
 @register("kernel_regression")
 def q_kernel_regression(spark, sf_dir):
-    (model, work), t = kernel_fit(spark, sf_dir)
-    return model_predictions("kernel", model.bestModel, work, t)
+    return plain(model_rows(spark, sf_dir, "kernel")[0])
 
 
 @register("cv_scores")
 def q_cv_scores(spark, sf_dir):
-    (model, _), _ = kernel_fit(spark, sf_dir)
-    rows = [(1.0 / pm[list(pm)[0]] if pm[list(pm)[0]] else None, float(m)) for pm, m in zip(model.getEstimatorParamMaps(), model.avgMetrics)]
-    return spark.createDataFrame(rows, "c double, mae double")
-
-
-def all_predictions(spark, sf_dir, df=None, fit_df=None, tag="full"):
-    df = df if df is not None else training_data(spark, sf_dir)
-    fit_df = fit_df if fit_df is not None else df
-    names = ("forest", "boost_revenue", "boost_debt")
-    models = fitted_models(spark, sf_dir, names, fit_df, tag)
-    outs = [model_predictions(n, m, df, TARGETS[n]) for n, m in zip(names, models)]
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    fitted = model_rows(spark, sf_dir, "kernel")[1]["kernel"]
+    return spark.createDataFrame(fitted.scores, "c double, mae double")
 
 
 @register("predict_all")
 def q_predict_all(spark, sf_dir):
-    return all_predictions(spark, sf_dir)
+    df = training_data(spark, sf_dir)
+    return eco.predict_all(fitted_models(spark, df, REGRESSORS, "full"), df, PANEL)
 
 
 @register("training_report")
 def q_training_report(spark, sf_dir):
-    return ev.regression_metrics(all_predictions(spark, sf_dir), by="model")
+    """A row per model: the regressors' errors, the regimes' clustering metrics."""
+    df = training_data(spark, sf_dir)
+    fitted = fitted_models(spark, df, MODELS, "full")
+    scored = eco.model_metrics(eco.predict_all(fitted, df, PANEL, origin="train"))
+    return mt.r2_badges(scored.unionByName(eco.cluster_metrics(fitted["regimes"], df), allowMissingColumns=True))
+
+
+@register("cluster_metrics")
+def q_cluster_metrics(spark, sf_dir):
+    df = training_data(spark, sf_dir)
+    return eco.cluster_metrics(fitted_models(spark, df, [MODELS[-1]], "full")["regimes"], df)
+
+
+@register("fitted_regime_summary")
+def q_fitted_regime_summary(spark, sf_dir):
+    """Means and deviations of the panel's metrics by fitted regime."""
+    df = training_data(spark, sf_dir)
+    fitted = fitted_models(spark, df, [MODELS[-1]], "full")["regimes"]
+    labelled = fitted.model.transform(eco.regime_vectors(df, fitted.stats))
+    return rg.regime_summary(rg.regime_names(labelled, "regime"), PANEL_METRICS)
+
+
+def backtest_rows(spark, sf_dir):
+    df = training_data(spark, sf_dir)
+    sp = po.temporal_split(df, TRAIN_END, TEST_START, date="period_start")
+    train, test = (sp.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    if test.count() < eco.MIN_BACKTEST[1]:
+        return eco.backtest(train, test, REGRESSORS, PANEL)
+    return eco.predict_all(fitted_models(spark, train, REGRESSORS, "past"), test, PANEL)
 
 
 @register("backtest_predictions")
 def q_backtest_predictions(spark, sf_dir):
-    sp = split_panel(spark, sf_dir).cache()
-    return all_predictions(
-        spark, sf_dir, df=sp.where(F.col("split") == "test"), fit_df=sp.where(F.col("split") == "train"), tag="train"
-    )
+    return backtest_rows(spark, sf_dir)
+
+
+@register("backtest_model_metrics")
+def q_backtest_model_metrics(spark, sf_dir):
+    return eco.model_metrics(backtest_rows(spark, sf_dir))
+
+
+@register("validation_report")
+def q_validation_report(spark, sf_dir):
+    """The backtest's report without the models that failed."""
+    return mt.r2_badges(eco.without_errors(eco.model_metrics(backtest_rows(spark, sf_dir))))
 
 
 def panel_pca(spark, sf_dir):
@@ -693,8 +688,11 @@ def panel_regimes(spark, sf_dir):
     model, data = panel_pca(spark, sf_dir)
     pcs = ml.pca_scores(model, data, [KEY, "period_start"])
     pcs = feat.zscore(pcs, ["PC1", "PC2", "PC3", "PC4"], suffix="_z")
-    vec = VectorAssembler(inputCols=[f"PC{i}_z" for i in range(1, 5)], outputCol="__v").transform(pcs).cache()
-    km = ml.kmeans_restarts(vec, "__v", k=7, restarts=20)
+    vec = VectorAssembler(inputCols=[f"PC{i}_z" for i in range(1, 5)], outputCol="__v").transform(pcs).persist()
+    try:
+        km = ml.kmeans_restarts(vec, "__v", k=7, restarts=20)
+    finally:
+        vec.unpersist()
     return rg.regime_names(km.transform(vec), "regime")
 
 
@@ -710,13 +708,11 @@ def q_pca_regime_points(spark, sf_dir):
 
 # ---------------------------------------------------------------- marts
 
-from ..operators import marts as mt  # noqa: E402
-
 
 @register("risk_zones")
 def q_risk_zones(spark, sf_dir):
     df = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
-    return mt.risk_zones(df).select(KEY, "period_start", "irfc", "zone", "above_alert")
+    return mt.risk_zones(df).select(KEY, "period_start", "risk_index", "zone", "above_alert")
 
 
 @register("debt_bands")
@@ -726,7 +722,7 @@ def q_debt_bands(spark, sf_dir):
 
 @register("score_classes")
 def q_score_classes(spark, sf_dir):
-    return mt.score_classes(pj.score_histogram(paths(spark, sf_dir), KEY))
+    return mt.score_classes(pj.score_histogram(scored_panel(spark, sf_dir), KEY, PANEL_RULES), PANEL_RULES)
 
 
 @register("scenario_long")
@@ -743,12 +739,10 @@ def q_production_timeline(spark, sf_dir):
 
 
 def nation_kpis(spark, sf_dir):
-    idx = feat.risk_index(risk_panel(spark, sf_dir), REFERENCE_INDEX)
-    im = idx.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_quarters"), F.avg("irfc").alias("irfc_mean"))
-    pc = pj.collapse_probability(paths(spark, sf_dir), KEY).select(
-        KEY, "n_paths", (F.col("p_collapse") * F.lit(100.0)).alias("p_collapse_pct"), "p_collapse"
+    k = scored_panel(spark, sf_dir).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n_quarters"), F.avg("risk_index").alias("risk_index_mean"), F.avg(F.col("breach").cast("double")).alias("p_collapse")
     )
-    return im.join(pc, KEY)
+    return k.withColumn("p_collapse_pct", F.col("p_collapse") * F.lit(100.0))
 
 
 @register("kpi_badges")

@@ -7,9 +7,8 @@ pass one in. ``build_session`` is for tests, the bench and the CLI.
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job wants: adaptive execution (coalescing, skew-join split,
 # runtime broadcast conversion), UTC session time, Arrow for pandas paths.
@@ -49,21 +48,27 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting one only when unset.
+    """The session's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as-is. Only when nothing is configured (local tests) is a fresh
-    scratch folder created.
+    A session without one is an error: a folder of the driver's own would not
+    be seen by executors. Tests and the bench set it when they build a session.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="panelrisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return configured
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder. Local
+    sessions without one (a driver that runs everything itself) keep the plan."""
+    spark = df.sparkSession
+    if spark.sparkContext.master.startswith("local[") and not (
+        spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    ):
+        return df
+    ensure_checkpoint_dir(spark)
+    return df.checkpoint()

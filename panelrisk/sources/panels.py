@@ -7,15 +7,15 @@ key.
 
 Scale notes
 -----------
-* ``nation_panel``: orders ⋈ customer first (shuffle on custkey), then
-  lineitem ⋈ that on orderkey, so the join output stays hash-partitioned by
-  orderkey. The first aggregate groups by (key, period, orderkey), which
-  that partitioning already satisfies — no extra exchange — and collapses
-  line items to one row per order and period. ``count(*)`` of those rows is
-  the exact distinct-order count, without a separate distinct-aggregate
-  shuffle. The second aggregate shrinks to (key, period) with a map-side
-  partial aggregate, so a hot key (one nation with a third of the rows)
-  only ever ships one partial row per task.
+* ``nation_quarters``: lineitem is first reduced to one row per (order,
+  quarter), map-side before its shuffle on orderkey, so the fact table's raw
+  lines never cross the network. orders ⋈ customer joins it on orderkey, on
+  whose partitioning each order's first quarter of a year is flagged. The
+  second aggregate shrinks to (key, quarter) with a map-side partial
+  aggregate, so a hot key (one nation with a third of the rows) only ever
+  ships one partial row per task. Counts of rows and of first flags are the
+  exact distinct orders per quarter and per year: the year panel is a sum
+  over the quarter panel, not a second scan.
 * ``events_daily``: events are pre-aggregated to (user, day) with a
   map-side combine before any shuffle, so a user with a third of all
   events still costs one row per day. The calendar is a generator per user
@@ -24,7 +24,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import read_table
@@ -41,15 +41,15 @@ def _order_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nation_panel(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
-    """lineitem ⋈ orders ⋈ customer aggregated to nation × quarter (or year).
+_SUMS = ("volume", "cents", "cents_disc", "tax_units", "n_r", "n_o", "n_lines")
 
-    Columns: nation_key INT, period_start DATE, year INT, quarter INT
-    (quarter grain only), volume, unit_price, disc_pct, ret_pct, open_pct,
-    tax_take DOUBLE, n_orders BIGINT.
+
+def nation_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additive sums of lineitem ⋈ orders ⋈ customer per nation × quarter.
+
+    nation_key INT, period_start DATE, the sums, n_orders (orders with a line
+    in the quarter), n_first (orders whose first quarter of the year it is).
     """
-    if grain not in ("quarter", "year"):
-        raise ValueError("grain must be 'quarter' or 'year'")
     li = read_table(
         spark,
         sf_dir,
@@ -65,17 +65,15 @@ def nation_panel(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> Da
             "l_shipdate",
         ],
     )
-    on = _order_nation(spark, sf_dir)
-    joined = li.join(on, li.l_orderkey == on.o_orderkey)
-    period = F.trunc(F.to_date("l_shipdate"), grain).alias("period_start")
+    period = F.trunc(F.to_date("l_shipdate"), "quarter").alias("period_start")
     # Money is summed exactly as integers: cents, discount and tax in whole
     # percent (the inputs are 2-decimal values). Long sums are codegen'd,
     # order-independent, and give bit-identical ratios on any engine.
     cents = F.rint(F.col("l_extendedprice") * F.lit(100.0)).cast("long")
     disc = F.rint(F.col("l_discount") * F.lit(100.0)).cast("long")
     tax = F.rint(F.col("l_tax") * F.lit(100.0)).cast("long")
-    per_order = joined.groupBy(NATION_KEY, period, "l_orderkey").agg(
-        F.sum("l_quantity").alias("qty"),
+    per_order = li.groupBy("l_orderkey", period).agg(
+        F.sum("l_quantity").alias("volume"),
         F.sum(cents).alias("cents"),
         F.sum(cents * disc).alias("cents_disc"),
         # c * (100 - k) * t stays an exact integer in a double (< 2^53 per
@@ -85,24 +83,35 @@ def nation_panel(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> Da
         F.count_if(F.col("l_linestatus") == "O").alias("n_o"),
         F.count(F.lit(1)).alias("n_lines"),
     )
-    agg = per_order.groupBy(NATION_KEY, "period_start").agg(
-        F.sum("qty").alias("volume"),
-        F.sum("cents").alias("cents"),
-        F.sum("cents_disc").alias("cents_disc"),
-        F.sum("tax_units").alias("tax_units"),
-        F.sum("n_r").alias("n_r"),
-        F.sum("n_o").alias("n_o"),
-        F.sum("n_lines").alias("n_lines"),
-        F.count(F.lit(1)).alias("n_orders"),
+    on = _order_nation(spark, sf_dir)
+    joined = per_order.join(on, per_order.l_orderkey == on.o_orderkey).drop("o_orderkey")
+    in_year = Window.partitionBy("l_orderkey", F.year("period_start")).orderBy("period_start")
+    flagged = joined.withColumn("first", (F.row_number().over(in_year) == 1).cast("int"))
+    return (
+        flagged.groupBy(NATION_KEY, "period_start")
+        .agg(*[F.sum(c).alias(c) for c in _SUMS], F.count(F.lit(1)).alias("n_orders"), F.sum("first").alias("n_first"))
+        .withColumn(NATION_KEY, F.col(NATION_KEY).cast("int"))
     )
-    cols = [
-        F.col(NATION_KEY).cast("int").alias(NATION_KEY),
-        "period_start",
-        F.year("period_start").alias("year"),
-    ]
-    if grain == "quarter":
-        cols.append(F.quarter("period_start").alias("quarter"))
-    cols += [
+
+
+def panel_of(quarters: DataFrame, grain: str = "quarter") -> DataFrame:
+    """The nation panel of ``nation_quarters`` rows.
+
+    Columns: nation_key INT, period_start DATE and quarter INT (quarter grain
+    only), year INT, volume, unit_price, disc_pct, ret_pct, open_pct,
+    tax_take DOUBLE, n_orders BIGINT.
+    """
+    if grain not in ("quarter", "year"):
+        raise ValueError("grain must be 'quarter' or 'year'")
+    base = quarters.withColumn("year", F.year("period_start"))
+    if grain == "year":
+        base = base.groupBy(NATION_KEY, "year").agg(
+            *[F.sum(c).alias(c) for c in _SUMS], F.sum("n_first").alias("n_orders")
+        )
+    dates = ["period_start", "year", F.quarter("period_start").alias("quarter")] if grain == "quarter" else ["year"]
+    return base.select(
+        NATION_KEY,
+        *dates,
         F.col("volume"),
         (F.col("cents").cast("double") / (F.lit(100.0) * F.col("volume"))).alias("unit_price"),
         (F.col("cents_disc").cast("double") / F.col("cents").cast("double")).alias("disc_pct"),
@@ -110,11 +119,12 @@ def nation_panel(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> Da
         (F.lit(100.0) * F.col("n_o") / F.col("n_lines")).alias("open_pct"),
         (F.col("tax_units") / F.lit(1e6)).alias("tax_take"),
         F.col("n_orders").cast("bigint").alias("n_orders"),
-    ]
-    out = agg.select(*cols)
-    if grain == "year":
-        out = out.drop("period_start")
-    return out
+    )
+
+
+def nation_panel(spark: SparkSession, sf_dir: str, grain: str = "quarter") -> DataFrame:
+    """lineitem ⋈ orders ⋈ customer aggregated to nation × quarter (or year)."""
+    return panel_of(nation_quarters(spark, sf_dir), grain)
 
 
 def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +142,11 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("value").alias("value"),
         F.avg("value").alias("avg_value"),
     )
-    bounds = ev.agg(F.min(day).alias("d0"), F.max(day).alias("d1"))
+    # Users and bounds come from the small daily rows, not from the raw events.
+    bounds = daily.agg(F.min("day").alias("d0"), F.max("day").alias("d1"))
     d0 = bounds.select("d0").scalar()
     d1 = bounds.select("d1").scalar()
-    users = ev.select("user_id").distinct()
+    users = daily.select("user_id").distinct()
     calendar = users.select(
         "user_id", F.explode(F.sequence(d0, d1, F.expr("INTERVAL 1 DAY"))).alias("day")
     )

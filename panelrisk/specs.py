@@ -85,7 +85,7 @@ class IndexTerm:
 @dataclass(frozen=True)
 class IndexSpec:
     terms: tuple
-    out: str = "irfc"
+    out: str = "risk_index"
     multiplier: float = 100.0
     round_digits: int | None = 2
 
@@ -154,7 +154,7 @@ REFERENCE_RULES = RuleSet(
         Rule("rp_ratio", "<", 5.5),
         Rule("deficit", ">", 6.2),
         Rule("production", "<", 355.0),
-        Rule("irfc", ">", 66.5),
+        Rule("risk_index", ">", 66.5),
         Rule("employment", "<", 33.5),
         Rule("reserves", "<", 625.0),
     ),
@@ -211,7 +211,6 @@ INITIAL_DEFAULTS = {
 @dataclass(frozen=True)
 class ScenarioModel:
     production_floor: float = 50.0
-    days_per_kyear: float = 0.365  # q * 365 / 1000
     interest: float = 0.05
     deficit_carry: float = 0.5
     debt_floor: float = 10.0
@@ -227,44 +226,6 @@ class ScenarioModel:
     investment_base: float = 14.3
 
 
-# ---------------------------------------------------------------------------
-# Stochastic path model
-# ---------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class PathModel:
-    # per-path parameter draws: mean, sd, lower clip, upper clip
-    delta: tuple = (0.040, 0.015, 0.005, 0.10)
-    price: tuple = (57.5, 17.0, 15.0, 150.0)
-    growth: tuple = (1.3, 1.8, -10.0, 10.0)
-    # per-year shock standard deviations
-    price_shock: float = 8.0
-    growth_shock: float = 1.2
-    production_shock: float = 8.0
-    rate_shock: float = 0.008
-    deficit_shock: float = 0.4
-    employment_shock: float = 1.3
-    # recurrence constants
-    price_floor: float = 18.0
-    price_ref: float = 65.0
-    production_floor: float = 50.0
-    revenue_bounds: tuple = (2.0, 25.0)
-    base_rate: float = 0.058
-    carry_base: float = 0.8
-    carry_uniform: float = 0.2
-    debt_floor: float = 10.0
-    deficit_drift: float = 0.12
-    deficit_floor: float = 0.5
-    days_per_kyear: float = 0.365
-    employment_drift: float = -0.15
-    employment_per_growth: float = 0.6
-    employment_bounds: tuple = (15.0, 65.0)
-    seed: int = 42
-    index: tuple = FIXED_INDEX_A
-    rules: RuleSet = field(default_factory=lambda: REFERENCE_RULES)
-
-
 # Traffic light cut points on P(collapse) (strict "<").
 LIGHT_CUTS = (0.30, 0.60)
 

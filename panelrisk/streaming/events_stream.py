@@ -42,15 +42,32 @@ def events_daily_stream(spark: SparkSession, source_dir: str, glob: str = "event
     return daily.select("user_id", F.to_date("w.start").alias("day"), "n_events", "value", "avg_value")
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str):
-    """Drain all available input into an in-memory table (append mode)."""
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Append every closed day to a parquet folder until the input is drained."""
     q = (
         df.writeStream.outputMode("append")
-        .format("memory")
-        .queryName(name)
+        .format("parquet")
+        .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return q
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_open_days(spark: SparkSession, closed: DataFrame, source_dir: str, glob: str = "events*.parquet") -> DataFrame:
+    """The closed days plus the days the watermark still holds open.
+
+    A day closes only when a later event arrives; at the end of a finite input
+    the last days are taken from the events after the last closed day.
+    """
+    ev = spark.read.schema(EVENT_SCHEMA).option("pathGlobFilter", glob).parquet(source_dir)
+    last = closed.agg(F.max("day")).scalar()
+    day = F.to_date(F.col("ts").cast("timestamp"))
+    tail = (
+        ev.where(day > F.coalesce(last, F.lit("0001-01-01").cast("date")))
+        .groupBy("user_id", day.alias("day"))
+        .agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("value"), F.avg("value").alias("avg_value"))
+    )
+    return closed.unionByName(tail)

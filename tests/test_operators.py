@@ -59,7 +59,7 @@ def test_minmax_constant_is_zero_and_zscore_pop(spark):
 def test_risk_index_bounds(spark):
     spec = IndexSpec(terms=(IndexTerm("a", "direct", 0.5), IndexTerm("b", "inverse", 0.5)))
     df = spark.createDataFrame([(1.0, 0.0), (2.0, 1.0), (3.0, 4.0)], "a double, b double")
-    out = [r["irfc"] for r in rows(feat.risk_index(df, spec), ["a"])]
+    out = [r["risk_index"] for r in rows(feat.risk_index(df, spec), ["a"])]
     assert all(0.0 <= v <= 100.0 for v in out)
     assert out[0] == 50.0  # a at min, 1/max(b, .1) at max
 
@@ -84,7 +84,7 @@ def test_disaggregation_indicator_branch_and_zero_indicator(spark):
         + [("z", dt.date(2010, 1 + 3 * i, 1), 0.0) for i in range(4)],
         "k string, period_start date, y double",
     )
-    out = dg.disaggregate(annual, ["y"], "k", indicator=ind)
+    out = dg.disaggregate(annual, ["y"], "k", indicator=ind, method="by_length")
     sums = {(r["k"], r["year"]): r["s"] for r in out.groupBy("k", "year").agg(F.sum("y").alias("s")).collect()}
     assert sums[("a", 2000)] == pytest.approx(8.0) and sums[("a", 2001)] == pytest.approx(12.0)
     assert [r["y"] for r in rows(out.where("k = 'z'"), ["quarter"])] == pytest.approx([1.0] * 4)
@@ -107,8 +107,8 @@ def test_decline_fit_recovers_curve_and_falls_back(spark):
     data = [("a", dt.date(2000, 1, 1) + dt.timedelta(days=30 * t), 700.0 * math.exp(-0.031 * t)) for t in range(30)]
     data += [("b", dt.date(2000, 1, 1) + dt.timedelta(days=30 * t), 70.0) for t in range(5)]
     df = spark.createDataFrame(data, "k string, d date, y double")
-    out = {r["k"]: r for r in ev.decline_fit(df, "y", "k", "d", grid=2000).collect()}
-    assert out["a"]["q"] == pytest.approx(700.0, rel=1e-2) and out["a"]["lam"] == pytest.approx(0.031, abs=2e-4)
+    out = {r["k"]: r for r in ev.decline_fit(df, "y", "k", "d").collect()}
+    assert out["a"]["q"] == pytest.approx(700.0, abs=1e-3) and out["a"]["lam"] == pytest.approx(0.031, abs=1e-6)
     assert out["b"]["fitted"] is False and out["b"]["q"] == 70.0 and out["b"]["lam"] == 0.035
 
 
@@ -117,7 +117,9 @@ def test_metrics_mape_mask_and_zero_variance(spark):
     m = ev.regression_metrics(df).collect()[0]
     assert m["mape"] == pytest.approx(50.0)
     c = ev.regression_metrics(spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "y_true double, y_pred double")).collect()[0]
-    assert c["r2"] is None
+    assert c["r2"] == 0.0
+    p = ev.regression_metrics(spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y_true double, y_pred double")).collect()[0]
+    assert p["r2"] == 1.0
 
 
 def test_regime_fallback_name_and_silhouette_singleton(spark):
@@ -130,25 +132,16 @@ def test_regime_fallback_name_and_silhouette_singleton(spark):
     assert sil[3] == 0.0 and sil[1] > 0.9
 
 
-def test_paths_partition_invariant(spark):
-    init = spark.createDataFrame([(1,), (2,)], "nation_key int")
-    a = pj.simulate_paths(init, "nation_key", 300, partitions=1).drop("scores")
-    b = pj.simulate_paths(init.repartition(3), "nation_key", 300, chunk=17, partitions=17).drop("scores")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    res = a.collect()
-    assert all(0 <= r["max_score"] <= 7 for r in res)
-    assert all(r["collapse"] == (r["max_score"] >= REFERENCE_RULES.breach_at) for r in res)
-
-
-def test_scenario_defaults_and_histogram_sums(spark):
+def test_scenario_defaults_and_histogram_covers_all_rules(spark):
     init = spark.createDataFrame([(1, None)], "nation_key int, production double")
     proj = pj.scenario_projection(init, "nation_key")
     assert proj.count() == 24
     first = proj.where("scenario = 'base' AND year = 2025").collect()[0]
     assert first["production"] == pytest.approx(470.0 * (1 - 0.035))
-    paths = pj.simulate_paths(init, "nation_key", 500)
-    hist = pj.score_histogram(paths, "nation_key").collect()
-    assert len(hist) == 8 and sum(r["n_paths"] for r in hist) == 500
+    scored = spark.range(500).selectExpr("1 as nation_key", "cast(id % 9 as int) as score")
+    rules = RuleSet(rules=tuple(Rule(f"x{i}", ">", 0.0) for i in range(9)), breach_at=5)
+    hist = pj.score_histogram(scored, "nation_key", rules).collect()
+    assert len(hist) == 10 and sum(r["n_obs"] for r in hist) == 500
 
 
 def test_csv_source_rename_and_period_parse(spark, tmp_path):

@@ -1,35 +1,20 @@
-"""Registered queries vs their DuckDB oracles on sf0.001 (fast subset)."""
+"""Registered queries vs their DuckDB oracles on sf0.001 (all of them)."""
 
 import os
 
 import pytest
 
 from panelrisk.plans.check import compare, duck
+from panelrisk.plans.oracle import oracle_sql
 
 SF = "/root/testdata/sf0.001"
-FAST = [
-    "panel_quarter",
-    "risk_index",
-    "interpolate_linear",
-    "iqr_winsorize",
-    "disaggregate_all",
-    "master_panel",
-    "scenario_projection",
-    "breach_score",
-    "decline_fit",
-    "silhouette",
-    "regression_metrics",
-    "path_results",
-]
-
-
 @pytest.fixture(scope="module")
 def con():
     return duck(SF)
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     res = compare(spark, name, SF, con, verbose=False)
     assert res["status"] == "match", res
