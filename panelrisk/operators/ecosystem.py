@@ -4,8 +4,8 @@ training, prediction, backtesting, reports and persistence.
 * ``hybrid``  — half a random forest on the panel metrics, half each key's
   exponential decline curve.
 * ``boosting`` — gradient-boosted trees.
-* ``kernel``  — random Fourier features of z-scored metrics, Huber regression,
-  the penalty chosen by contiguous cross-validation.
+* ``kernel``  — ridge regression on random Fourier features of z-scored metrics,
+  the penalty chosen by contiguous cross-validation, in two passes over the rows.
 * ``kmeans``  — regimes of the z-scored metrics (a clustering row in reports).
 
 A fit is an explicit step that returns a ``Fitted``; nothing is cached. Models
@@ -20,22 +20,25 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clean import fill_forward_back
 from .evaluate import cv_folds, decline_fit, regression_metrics, report_rounding
-from .ml import BoostSpec, ForestSpec, fit_boosting, fit_concurrently, fit_forest, kmeans_restarts
+from .ml import BoostSpec, ForestSpec, fit_boosting, fit_forest, kmeans_restarts
 
 MIN_TRAIN_ROWS = 10
 MIN_BACKTEST = (5, 2)
 C_GRID = (0.1, 1.0, 10.0, 100.0)
+#: Random features that stand for the RBF kernel.
+FOURIER_DIM = 64
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,7 @@ class Fitted:
     decline: list = field(default_factory=list)  # hybrid: (key, q, lam, n) rows
     stats: dict = field(default_factory=dict)  # kernel, kmeans: means and deviations
     scores: list = field(default_factory=list)  # kernel: (c, mae) of the search
+    weights: list = field(default_factory=list)  # kernel: constant and features
     error: str | None = None
 
 
@@ -83,44 +87,92 @@ def _scaled(stats: dict, col: str):
     return (F.col(col) - F.lit(mean)) / F.lit(deviation)
 
 
-def kernel_features(df: DataFrame, stats: dict, out: str = "features", dim: int = 64, seed: int = 42) -> DataFrame:
-    """z(x) = sqrt(2/D) cos(W x + b) of the columns scaled by the *training*
-    means and deviations; W and b are drawn from the seed (size D × p)."""
-    cols = sorted(stats)
+def _directions(p: int, dim: int = FOURIER_DIM, seed: int = 42) -> tuple:
     rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 / len(cols)), size=(dim, len(cols)))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=dim)
-    scaled = df.withColumns({f"__z{j}": _scaled(stats, c) for j, c in enumerate(cols)})
-    parts = []
-    for i in range(dim):
-        angle = F.lit(float(b[i]))
-        for j in range(len(cols)):
-            angle = angle + F.lit(float(w[i, j])) * F.col(f"__z{j}")
-        parts.append(F.lit(math.sqrt(2.0 / dim)) * F.cos(angle))
-    return scaled.withColumn(out, array_to_vector(F.array(*parts))).drop(*[f"__z{j}" for j in range(len(cols))])
+    return rng.normal(0.0, math.sqrt(2.0 / p), size=(dim, p)), rng.uniform(0.0, 2.0 * math.pi, size=dim)
+
+
+def _fourier(batch: pa.RecordBatch, stats: dict) -> np.ndarray:
+    """A constant and z(x) = sqrt(2/D) cos(W x + b) of the columns, scaled by
+    the *training* means and deviations; W and b are drawn from a seed."""
+    cols = sorted(stats)
+    x = np.column_stack([(batch.column(c).to_numpy(zero_copy_only=False) - stats[c][0]) / stats[c][1] for c in cols])
+    w, b = _directions(len(cols))
+    return np.hstack([np.ones((len(x), 1)), math.sqrt(2.0 / FOURIER_DIM) * np.cos(x @ w.T + b)])
+
+
+def _grams(rows: DataFrame, stats: dict, target: str) -> dict:
+    """Per fold n, Z'Z, Z'y and y'y: one pass; the matrices have a fixed size."""
+    size = FOURIER_DIM + 2
+
+    def part(batches):
+        out = {}
+        for batch in batches:
+            zy = np.hstack([_fourier(batch, stats), batch.column(target).to_numpy(zero_copy_only=False)[:, None]])
+            folds = batch.column("fold").to_numpy(zero_copy_only=False)
+            for f in np.unique(folds):
+                z = zy[folds == f]
+                out[int(f)] = out.get(int(f), 0) + z.T @ z
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(out), pa.int32()), pa.array([g.ravel() for g in out.values()], pa.list_(pa.float64()))], names=["fold", "gram"]
+        )
+
+    def total(group: pa.Table) -> pa.Table:
+        gram = np.sum([np.array(g) for g in group["gram"].to_pylist()], axis=0)
+        return pa.table({"fold": group["fold"][:1], "gram": pa.array([gram], pa.list_(pa.float64()))})
+
+    schema = "fold int, gram array<double>"
+    summed = rows.select("fold", target, *sorted(stats)).mapInArrow(part, schema).groupBy("fold").applyInArrow(total, schema)
+    return {r.fold: np.array(r.gram).reshape(size, size) for r in summed.collect()}
+
+
+def _ridge(gram: np.ndarray, c: float) -> np.ndarray:
+    """Weights for the penalty 1/c on all but the constant."""
+    penalty = np.eye(len(gram) - 1) / c
+    penalty[0, 0] = 1e-9
+    return np.linalg.solve(gram[:-1, :-1] + penalty, gram[:-1, -1])
+
+
+def kernel_predict(df: DataFrame, fitted: "Fitted") -> DataFrame:
+    """``df`` with the column ``prediction``."""
+    stats, weights = fitted.stats, np.array(fitted.weights)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(_fourier(batch, stats) @ weights)], names=[*batch.schema.names, "prediction"]
+            )
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("prediction", T.DoubleType())]))
 
 
 def _fit_kernel(train: DataFrame, spec: ModelSpec, panel: PanelSpec) -> Fitted:
-    """min(3, n // 2) contiguous folds, MAE of every C, refit on the best."""
+    """min(3, n // 2) contiguous folds, MAE of every C, refit on the best.
+
+    The normal equations of a fold are those of the whole less its own, so one
+    pass gives every fold's weights for every C and a second pass their errors.
+    """
     stats = _stats(train, panel.features(spec.target))
-    n = train.count()
-    folds = max(2, min(3, n // 2))
-    work = kernel_features(cv_folds(train, panel.key, panel.order, folds), stats).persist()
-    try:
-        def score(c, fold):
-            lr = LinearRegression(labelCol=spec.target, loss="huber", maxIter=100, regParam=1.0 / c)
-            model = lr.fit(work.where(F.col("fold") != fold))
-            held = model.transform(work.where(F.col("fold") == fold))
-            return held.agg(F.avg(F.abs(F.col(spec.target) - F.col("prediction")))).first()[0]
-
-        tries = [(c, f) for c in C_GRID for f in range(folds)]
-        maes = fit_concurrently([lambda c=c, f=f: score(c, f) for c, f in tries])
-        scores = [(c, float(np.mean([m for (d, _), m in zip(tries, maes) if d == c]))) for c in C_GRID]
-        best = min(scores, key=lambda s: s[1])[0]
-        model = LinearRegression(labelCol=spec.target, loss="huber", maxIter=100, regParam=1.0 / best).fit(work)
-    finally:
-        work.unpersist()
-    return Fitted(spec, model, stats=stats, scores=scores)
+    folds = max(2, min(3, train.count() // 2))
+    work = cv_folds(train, panel.key, panel.order, folds)
+    grams = _grams(work, stats, spec.target)
+    whole = np.sum(list(grams.values()), axis=0)
+    tries = {f: np.column_stack([_ridge(whole - g, c) for c in C_GRID]) for f, g in grams.items()}
+
+    def errors(batches):
+        for batch in batches:
+            z, y = _fourier(batch, stats), batch.column(spec.target).to_numpy(zero_copy_only=False)
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            e = np.zeros((len(y), len(C_GRID)))
+            for f, w in tries.items():
+                e[fold == f] = np.abs(z[fold == f] @ w - y[fold == f, None])
+            yield pa.RecordBatch.from_arrays([pa.array(list(e), pa.list_(pa.float64()))], names=["e"])
+
+    each = work.select("fold", spec.target, *sorted(stats)).mapInArrow(errors, "e array<double>")
+    maes = each.agg(*[F.avg(F.col("e")[i]).alias(f"e{i}") for i in range(len(C_GRID))]).first()
+    scores = list(zip(C_GRID, (float(x) for x in maes)))
+    best = min(scores, key=lambda s: s[1])[0]
+    return Fitted(spec, weights=_ridge(whole, best).tolist(), stats=stats, scores=scores)
 
 
 def _fit_hybrid(train: DataFrame, spec: ModelSpec, panel: PanelSpec, forest: ForestSpec) -> Fitted:
@@ -184,8 +236,8 @@ def predict_one(fitted: Fitted, df: DataFrame, panel: PanelSpec, origin: str = "
         return only.select(
             F.lit(spec.name).alias("model"), *keep, *[none.alias(c) for c in ("y_true", "y_ml", "y_decline", "y_pred")], F.lit(fitted.error).alias("error")
         )
-    data = kernel_features(df, fitted.stats) if spec.kind == "kernel" else df
-    scored = fitted.model.transform(data).select(*keep, F.col(spec.target).cast("double").alias("y_true"), F.col("prediction").alias("y_ml"))
+    data = kernel_predict(df, fitted) if spec.kind == "kernel" else fitted.model.transform(df)
+    scored = data.select(*keep, F.col(spec.target).cast("double").alias("y_true"), F.col("prediction").alias("y_ml"))
     if spec.kind == "hybrid":
         params = spark.createDataFrame(fitted.decline, f"{panel.key} {df.schema[panel.key].dataType.simpleString()}, q double, lam double, n int")
         step = F.row_number().over(Window.partitionBy(panel.key).orderBy(panel.order)) - 1
@@ -263,14 +315,14 @@ def save(fitted: dict, path: str, spark: SparkSession) -> str:
     """Each model under ``path``/name, what belongs to them in ``path``/about."""
     about = []
     for name, f in fitted.items():
-        if f.error is None:
+        if f.model is not None:
             f.model.write().overwrite().save(f"{path}/{name}")
-        about.append((name, json.dumps({"kind": f.spec.kind, "target": f.spec.target, "k": f.spec.k, "decline": f.decline, "stats": f.stats, "scores": f.scores, "error": f.error})))
+        about.append((name, json.dumps({"kind": f.spec.kind, "target": f.spec.target, "k": f.spec.k, "decline": f.decline, "stats": f.stats, "scores": f.scores, "weights": f.weights, "error": f.error})))
     spark.createDataFrame(about, "name string, about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
     return path
 
 
-_READERS = {"hybrid": PipelineModel, "boosting": PipelineModel, "kernel": LinearRegressionModel, "kmeans": KMeansModel}
+_READERS = {"hybrid": PipelineModel, "boosting": PipelineModel, "kmeans": KMeansModel}
 
 
 def load(path: str, spark: SparkSession) -> dict:
@@ -279,7 +331,7 @@ def load(path: str, spark: SparkSession) -> dict:
     for r in spark.read.schema("name string, about string").json(f"{path}/about").collect():
         a = json.loads(r.about)
         spec = ModelSpec(r.name, a["kind"], a["target"], a["k"])
-        model = None if a["error"] else _READERS[a["kind"]].load(f"{path}/{r.name}")
+        model = None if a["error"] or a["kind"] == "kernel" else _READERS[a["kind"]].load(f"{path}/{r.name}")
         stats = {c: tuple(v) for c, v in a["stats"].items()}
-        out[r.name] = Fitted(spec, model, [tuple(x) for x in a["decline"]], stats, [tuple(x) for x in a["scores"]], a["error"])
+        out[r.name] = Fitted(spec, model, [tuple(x) for x in a["decline"]], stats, [tuple(x) for x in a["scores"]], a["weights"], a["error"])
     return out
