@@ -9,9 +9,8 @@ from .stats import as_list
 
 
 def profile_table(df: DataFrame, date_col: str | None = None) -> DataFrame:
-    """One-row profile — rows, columns, date range, total nulls.
-
-    One aggregate pass; the column count is schema metadata.
+    """One-row profile — rows, columns and their names, date range, total
+    nulls. One aggregate pass; count and names of columns are schema metadata.
     """
     nulls = [F.count_if(F.col(c).isNull()) for c in df.columns]
     total_nulls = nulls[0]
@@ -20,6 +19,7 @@ def profile_table(df: DataFrame, date_col: str | None = None) -> DataFrame:
     aggs = [
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(df.columns)).alias("n_cols"),
+        F.array(*map(F.lit, df.columns)).alias("columns"),
         total_nulls.alias("n_nulls"),
     ]
     if date_col:
@@ -27,6 +27,11 @@ def profile_table(df: DataFrame, date_col: str | None = None) -> DataFrame:
     return df.agg(*aggs)
 
 
+def sample_rows(df: DataFrame, order, n: int = 5) -> DataFrame:
+    """The first ``n`` rows in the given order (the profile's sample)."""
+    return df.orderBy(*as_list(order)).limit(n)
+
+
 def year_slice(df: DataFrame, first: int, last: int, year: str = "year") -> DataFrame:
     """Inclusive year range (pushed to the scan when year is a column)."""
     return df.where(F.col(year).between(first, last))

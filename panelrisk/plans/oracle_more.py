@@ -25,10 +25,16 @@ def all_r6(cols):
 def o_profile_table():
     nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in LINEITEM_COLS)
     return f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, {len(LINEITEM_COLS)} AS n_cols,
-  CAST({nulls} AS BIGINT) AS n_nulls, CAST(min(l_shipdate) AS DATE) AS min_date,
+  CAST({nulls} AS BIGINT) AS n_nulls, '{",".join(LINEITEM_COLS)}' AS columns, CAST(min(l_shipdate) AS DATE) AS min_date,
   CAST(max(l_shipdate) AS DATE) AS max_date FROM lineitem"""
 
 
+@oracle("profile_sample")
+def o_profile_sample():
+    cols = "l_orderkey, l_linenumber, l_quantity, l_returnflag"
+    return f"SELECT {cols} FROM lineitem ORDER BY {cols} LIMIT 5"
+
+
 @oracle("parse_period")
 def o_parse_period():
     return f"""{cte(PANEL_QUARTER)},

@@ -39,11 +39,17 @@ def q_profile_table(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem")
     p = po.profile_table(li, "l_shipdate")
     return p.select(
-        "n_rows", "n_cols", "n_nulls",
+        "n_rows", "n_cols", "n_nulls", F.array_join("columns", ",").alias("columns"),
         F.to_date("min_date").alias("min_date"), F.to_date("max_date").alias("max_date"),
     )
 
 
+@register("profile_sample")
+def q_profile_sample(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
+    return po.sample_rows(li, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
+
+
 @register("parse_period")
 def q_parse_period(spark, sf_dir):
     labelled = panels.period_labels(quarter_panel(spark, sf_dir))
@@ -682,6 +688,18 @@ def q_pca_loadings(spark, sf_dir):
     return ml.pca_tables(model, PANEL_METRICS, spark)[1]
 
 
+@register("feature_metadata_pca")
+def q_feature_metadata_pca(spark, sf_dir):
+    """The principal components' block of the feature metadata."""
+    model, _ = panel_pca(spark, sf_dir)
+    variance = ml.pca_tables(model, PANEL_METRICS, spark)[0]
+    return variance.agg(
+        F.count("*").alias("n_components"),
+        F.max("cumulative_pct").alias("variance_pct"),
+        F.bool_or("meets_target").alias("meets_target"),
+    )
+
+
 def panel_regimes(spark, sf_dir):
     from pyspark.ml.feature import VectorAssembler
 

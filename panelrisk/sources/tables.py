@@ -91,6 +91,14 @@ def write_table(df: DataFrame, path: str, partition_by=None, fmt: str = "parquet
     return path
 
 
+def export_by(df: DataFrame, path: str, column: str = "scenario", fmt: str = "csv") -> dict:
+    """One folder per value of ``column`` (a scenario name), written in one
+    pass; returns value -> path. Meant for columns of few values."""
+    write_table(df, path, partition_by=column, fmt=fmt)
+    values = [r[0] for r in df.select(column).distinct().collect()]
+    return {v: f"{path}/{column}={v}" for v in sorted(values)}
+
+
 def to_json_records(df: DataFrame, out: str = "record") -> DataFrame:
     """One JSON string per row (S9) — for serving result tables."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(out))

@@ -10,12 +10,14 @@ from panelrisk.operators import clean as cl
 from panelrisk.operators import disagg as dg
 from panelrisk.operators import evaluate as ev
 from panelrisk.operators import features as feat
+from panelrisk.operators import marts as mt
+from panelrisk.operators import panel_ops as po
 from panelrisk.operators import project as pj
 from panelrisk.operators import regimes as rg
 from panelrisk.operators import rules as rl
 from panelrisk.sources import panels
-from panelrisk.sources.tables import annual_schema, read_csv_source
-from panelrisk.specs import REFERENCE_RULES, IndexSpec, IndexTerm, Rule, RuleSet
+from panelrisk.sources.tables import annual_schema, export_by, quarterly_schema, read_csv_source, to_json_records, write_table
+from panelrisk.specs import IndexSpec, IndexTerm, Rule, RuleSet
 
 
 def rows(df, order):
@@ -155,3 +157,40 @@ def test_csv_source_rename_and_period_parse(spark, tmp_path):
     lab = spark.createDataFrame([("2005 T3",)], "period string")
     r = panels.parse_period(lab).collect()[0]
     assert (r["year"], r["quarter"], r["period_start"]) == (2005, 3, dt.date(2005, 7, 1))
+
+
+def test_quarterly_csv_source(spark, tmp_path):
+    schema = quarterly_schema(headers=True)
+    header = ",".join(f'"{f.name}"' for f in schema.fields)
+    lines = [",".join(["2005 T1"] + ["1.5"] * 12), ",".join(["2005 T4"] + [""] * 12)]
+    p = tmp_path / "quarterly.csv"
+    p.write_text("\n".join([header, *lines]) + "\n", encoding="utf-8")
+    df = panels.parse_period(read_csv_source(spark, str(p), schema))
+    got = rows(df, ["period_start"])
+    assert [r["period_start"] for r in got] == [dt.date(2005, 1, 1), dt.date(2005, 10, 1)]
+    assert got[0]["production"] == 1.5 and got[1]["production"] is None
+
+
+def test_writers_and_json_records(spark, tmp_path):
+    df = spark.createDataFrame([("base", 2025, 1.5), ("base", 2026, None), ("low", 2025, 2.5)], "scenario string, year int, v double")
+    paths = export_by(df, str(tmp_path / "out"))
+    assert sorted(paths) == ["base", "low"]
+    back = spark.read.option("header", True).schema("year int, v double").csv(paths["base"])
+    assert [r["v"] for r in rows(back, ["year"])] == [1.5, None]
+    for fmt in ("parquet", "json"):
+        where = write_table(df, str(tmp_path / fmt), fmt=fmt)
+        assert spark.read.format(fmt).schema(df.schema).load(where).count() == 3
+    records = [r["record"] for r in to_json_records(df).collect()]
+    assert '{"scenario":"low","year":2025,"v":2.5}' in records
+
+
+def test_profile_lists_columns(spark):
+    df = spark.createDataFrame([(1, None), (2, dt.date(2020, 1, 1))], "a int, d date")
+    r = po.profile_table(df, "d").first()
+    assert (r["n_rows"], r["n_cols"], list(r["columns"]), r["n_nulls"]) == (2, 2, ["a", "d"], 1)
+    assert [x["a"] for x in po.sample_rows(df, "a", 1).collect()] == [1]
+
+
+def test_r2_badges(spark):
+    df = spark.createDataFrame([(0.95,), (0.9,), (0.7,)], "r2 double")
+    assert [r["r2_badge"] for r in rows(mt.r2_badges(df), ["r2"])] == ["Mejorable", "Bueno", "Excelente"]
