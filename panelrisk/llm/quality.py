@@ -105,14 +105,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + math.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
-def fit_pairs(better: np.ndarray, worse: np.ndarray) -> np.ndarray:
-    """Bradley-Terry weights: Newton's method on log(1 + exp(-w.(better - worse)))."""
-    d = better - worse
-    w = np.zeros(d.shape[1])
-    fixed = RIDGE * np.eye(d.shape[1])
+def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """Bradley-Terry weights: Newton's method on log(1 + exp(-w.(x[better] -
+    x[worse]))), the pairs taken in blocks."""
+    w = np.zeros(x.shape[1])
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p) + 1e-9)[:, None]).T @ d + fixed, -d.T @ p + fixed @ w)
+        grad, hess = RIDGE * w, RIDGE * np.eye(len(w))
+        for a in range(0, len(better), 4096):
+            d = x[better[a : a + 4096]] - x[worse[a : a + 4096]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            grad -= d.T @ p
+            hess += (d * (p * (1 - p) + 1e-9)[:, None]).T @ d
+        step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -159,7 +163,7 @@ def fit(sample: DataFrame, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     n = min(PAIRS, len(good) * len(bad))
-    model.weight = fit_pairs(x[rng.choice(good, n)], x[rng.choice(bad, n)])
+    model.weight = fit_pairs(x, rng.choice(good, n), rng.choice(bad, n))
     s = model.strength(m)
     model.edge = quantile_edge(s, y)
     model.spread = max(1e-6, float(np.abs(s - model.edge).mean()) / 2)
