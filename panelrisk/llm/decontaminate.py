@@ -120,7 +120,9 @@ def contaminated(
         .where(F.size("w") >= F.col("size"))
         .dropDuplicates(["text_key", "wanted", "start"])
     )
-    prints = materialize(cut.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("print", _fingerprint("h")).drop("h"))
+    # Few bytes, but much work a row: dealt anew, so that it is spread over all tasks.
+    dealt = cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_key", "wanted", "start")
+    prints = materialize(dealt.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("print", _fingerprint("h")).drop("h"))
 
     masks = F.array(*map(F.lit, _neighbours(radius)))
     index = items.select("item", "item_id", "wanted", "item_words", "item_print", F.posexplode(_block_values(F.col("item_print"))).alias("block", "v")).select(
