@@ -9,8 +9,7 @@ swapped for the others of its group, and every group's terms are swapped in a
 neutral sentence besides. So mentioning one group rather than another, or rather
 than ``people``, moves no score.
 
-Scores go through a shift so that ``THRESHOLD`` lies where the fitted model is
-undecided. Cases: a null or empty text has no feature and gets the model's base
+Scores are shifted so that ``THRESHOLD`` lies where the learning rows part best. Cases: a null or empty text has no feature and gets the model's base
 score; rows with null ids or labels, labels other than 0 and 1, or contradicting
 labels teach nothing; if either label is missing, all scores are 0. Repeated rows
 count each; other columns are ignored; an empty table gives no rows.
@@ -79,7 +78,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z + _EDGE))))
 
 
-#: An undecided text (z = 0) gets just less than the threshold.
+#: A text on the dividing point (z = 0) gets just less than the threshold.
 _EDGE = math.log(THRESHOLD / (1 - THRESHOLD)) - 1e-6
 
 
@@ -155,15 +154,18 @@ def fit_weights(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray
     """Newton's method on logistic loss with balanced labels, ridge and swaps."""
     n, k = x.shape
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
-    xb = np.hstack([x.astype(np.float64), np.ones((n, 1))])
     fixed = np.zeros((k + 1, k + 1))
     fixed[:k, :k] = RIDGE * np.eye(k) + SWAP_PENALTY * (d.T.astype(np.float64) @ d)
     fixed[k, k] = 1e-6
     w = np.zeros(k + 1)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))
-        grad = xb.T @ (share * (p - y)) + fixed @ w
-        hess = (xb * (share * p * (1 - p) + 1e-9)[:, None]).T @ xb + fixed
+        grad, hess = fixed @ w, fixed.copy()
+        for a in range(0, n, 1024):  # rows in blocks
+            xb = np.hstack([x[a : a + 1024].astype(np.float64), np.ones((len(x[a : a + 1024]), 1))])
+            s = share[a : a + 1024]
+            p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))
+            grad += xb.T @ (s * (p - y[a : a + 1024]))
+            hess += (xb * (s * p * (1 - p) + 1e-9)[:, None]).T @ xb
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -171,6 +173,20 @@ def fit_weights(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray
     return w[:k], float(w[k])
 
 
+def dividing_point(z: np.ndarray, y: np.ndarray) -> float:
+    """Where the labels part with the fewest errors per label; of equally good
+    points the middle one."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    below = np.cumsum(1 - y)[:-1] / (1 - y).sum() - np.cumsum(y)[:-1] / y.sum()
+    below = np.where(z[1:] > z[:-1], below, -np.inf)
+    if not np.isfinite(below).any():
+        return 0.0
+    best = np.flatnonzero(below >= below.max() - 1e-12)
+    at = best[len(best) // 2]
+    return float((z[at] + z[at + 1]) / 2)
+
+
 def fit(sample: DataFrame, limit: int = FEATURES) -> Model:
     """Model of a bounded sample (text, label); the driver gets, of each row, the
     kept features and the sentences that mention a group."""
@@ -198,7 +214,7 @@ def fit(sample: DataFrame, limit: int = FEATURES) -> Model:
     for i, r in enumerate(rows):
         x[i, r.held] = 1
     weight, base = fit_weights(x, y, swaps((s for r in rows for s in r.said), index))
-    return Model(index, weight, base)
+    return Model(index, weight, base - dividing_point(x @ weight + base, y))
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
