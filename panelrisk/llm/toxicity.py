@@ -84,7 +84,7 @@ _EDGE = math.log(THRESHOLD / (1 - THRESHOLD)) - 1e-6
 
 def informative_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
     """Features whose presence speaks for or against label 1 beyond chance:
-    those with the largest log-odds ratio less two standard errors."""
+    those with the largest log-odds ratio less two and a half standard errors."""
     rows = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = rows.get(0, 0), rows.get(1, 0)
     if not n0 or not n1:
@@ -118,7 +118,7 @@ def informative_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
         .groupBy("f")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .where(F.col("n0") + F.col("n1") >= LEAST_ROWS)
-        .withColumn("gain", F.abs(ratio) - 2 * error)
+        .withColumn("gain", F.abs(ratio) - 2.5 * error)
         .where("gain > 0")
         .orderBy(F.desc("gain"), "f")
         .limit(limit)
