@@ -42,6 +42,12 @@ def quantize(values: np.ndarray) -> np.ndarray:
     return np.floor(256.0 * values.astype(np.float64))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The integers of ``x`` in two bytes each where they fit: trees are copied
+    to the tasks of every block."""
+    return x.astype(np.int16) if np.abs(x).max(initial=0.0) < 2**15 else x
+
+
 def build_tree(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF_ROWS) -> dict[str, np.ndarray]:
     """Arrays of a ball tree; a node holds the rows from ``lo`` to ``hi``.
 
@@ -72,7 +78,7 @@ def build_tree(ids: np.ndarray, x: np.ndarray, leaf: int = LEAF_ROWS) -> dict[st
         node(a + mid, b)  # the right child follows the left one
         todo += [left[n], left[n] + 1]
     return {
-        "ids": ids[order], "x": x[order], "lo": np.array(lo), "hi": np.array(hi), "left": np.array(left),
+        "ids": ids[order], "x": narrow(x[order]), "lo": np.array(lo), "hi": np.array(hi), "left": np.array(left),
         "centre": np.array(centre), "radius": np.array(radius),
     }
 
@@ -123,7 +129,7 @@ class Best:
                 continue
             lo, hi = tree["lo"][n], tree["hi"][n]
             ids = tree["ids"][lo:hi]
-            scores = _products(self.x[live], tree["x"][lo:hi])
+            scores = _products(self.x[live], tree["x"][lo:hi].astype(np.float64))
             for i, row in zip(live.tolist(), scores, strict=True):
                 keep = np.flatnonzero((row >= self.kth[i]) & (ids != self.ids[i]))
                 if len(keep):
