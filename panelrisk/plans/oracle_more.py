@@ -659,6 +659,17 @@ ab AS (SELECT vec_id, label,
 SELECT vec_id, label, {r6(f"CASE WHEN n_own <= 1 OR b IS NULL THEN {D(0)} ELSE (b - a) / greatest(a, b) END")} AS silhouette FROM ab"""
 
 
+@oracle("silhouette_score")
+def o_silhouette_score():
+    # In the mean of all points, from whole pairwise distances (not the centroid form).
+    return f"""{cte(PTS)},
+pr AS (SELECT a.vec_id, a.label, b.label AS c, sum((a.x - b.x) * (a.x - b.x)) AS sq
+       FROM pl a JOIN pl b ON a.d = b.d AND a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.vec_id, b.label),
+mn AS (SELECT vec_id, label, c, avg(sq) AS m FROM pr GROUP BY ALL),
+ab AS (SELECT vec_id, label, max(CASE WHEN c = label THEN m END) AS a, min(CASE WHEN c <> label THEN m END) AS b FROM mn GROUP BY vec_id, label)
+SELECT {r6(f"avg(CASE WHEN a IS NULL OR b IS NULL THEN {D(0)} ELSE (b - a) / greatest(a, b) END)")} AS silhouette FROM ab"""
+
+
 @oracle("cluster_inertia")
 def o_cluster_inertia():
     return f"""{cte(PTS)},

@@ -455,6 +455,11 @@ def q_silhouette(spark, sf_dir):
     return rounded(rg.silhouette(labelled_points(spark, sf_dir)))
 
 
+@register("silhouette_score")
+def q_silhouette_score(spark, sf_dir):
+    return rounded(rg.silhouette_score(labelled_points(spark, sf_dir)))
+
+
 @register("cluster_inertia")
 def q_cluster_inertia(spark, sf_dir):
     return rounded(rg.cluster_inertia(labelled_points(spark, sf_dir)))

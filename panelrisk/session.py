@@ -20,11 +20,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # HotSpot does not JIT methods above 8000 bytes of bytecode. Long
-    # unrolled folds (the projection engine) generate whole-stage methods
-    # above that; with this limit Spark compiles such stages per operator
-    # (small, JIT-able methods) instead of running one huge interpreted
-    # method — about 4x faster on the path job.
+    # HotSpot does not JIT methods above 8000 bytes of bytecode. The unrolled
+    # scenario recurrence can exceed that; with this limit Spark then compiles
+    # the stage per operator. It changes speed only, never a result.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
