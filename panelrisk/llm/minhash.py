@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small
 
 #: Distinct words whose hashes a Python worker remembers before it starts anew.
-WORD_CACHE = 500_000
+WORD_CACHE = 150_000
 
 #: Classes of a kind in one block around a hub.
 BLOCK = 256
