@@ -52,5 +52,29 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+NEAR_SQL = """
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[r.i] || ' ' || ws[r.i + 1] END AS g
+  FROM cut, LATERAL range(1, greatest(len(ws), 2)) AS r(i) WHERE len(ws) > 0
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.node = l.a
+)
+SELECT doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, min(node) AS component_id, doc_id = min(node) AS kept
+FROM reach LEFT JOIN size s USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": URL_SQL, "op10_ball_tree_top_k": TOP_K_SQL}
+    return {"op5_url_filter": URL_SQL, "op7_minhash_neardup": NEAR_SQL, "op10_ball_tree_top_k": TOP_K_SQL}
