@@ -537,8 +537,6 @@ def fitted_models(spark, train, specs, tag):
     The folder's name holds a hash of the rows and the specifications, so other
     rows never meet old models.
     """
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        return eco.train_all(train, specs, PANEL)
     mark = train.agg(F.bit_xor(F.xxhash64(*sorted(train.columns))).alias("h"), F.count("*").alias("n")).first()
     out = {}
     for spec in specs:

@@ -7,6 +7,8 @@ pass one in. ``build_session`` is for tests, the bench and the CLI.
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,25 +50,22 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A session without one is an error: a folder of the driver's own would not
-    be seen by executors. Tests and the bench set it when they build a session.
+    On a cluster a session without one is an error: a folder of the driver's
+    own would not be seen by executors. Only in local mode, where the driver
+    runs everything itself, as in tests, is a scratch folder made.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="panelrisk-checkpoint-")
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder. Local
-    sessions without one (a driver that runs everything itself) keep the plan."""
-    spark = df.sparkSession
-    if spark.sparkContext.master.startswith("local[") and not (
-        spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    ):
-        return df
-    ensure_checkpoint_dir(spark)
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
