@@ -36,7 +36,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: Units in the lexicon, and the bytes of the longest one.
 LEXICON_WORDS = 262_144
@@ -329,6 +329,7 @@ def _worker_encoder(name: str, tables: Tables) -> Encoder:
 def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(unit, n): how often each space-led unit occurs in all texts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
@@ -394,6 +395,7 @@ def encode_decode(
     sc.addFile(source)
     shared = sc.broadcast(tables)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(name, shared.value)
         for batch in batches:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,23 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def tidy(run):
+    """A batch function that hands Arrow's unused memory back when its task ends.
+
+    Python workers outlive their tasks, and the pool would keep what the largest
+    batch took.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def drawn_share(key: Column, share: float, salt: str) -> Column:
     """True for rows whose salted key hash falls in the lowest ``share`` of its
     range. Deterministic, so a lost task draws the same rows again."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn_share
+from .common import drawn_share, tidy
 
 BUCKETS, MAX_N = 1 << 15, 3
 #: Labelled rows drawn of each language, about.
@@ -94,6 +94,7 @@ def fit(rows: DataFrame) -> Model:
     """Model of rows (text, lang). The driver gets counts, at most one for each
     bucket and language, never texts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -133,6 +134,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @tidy
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([shared.value.score(t) for t in texts], columns=["lang_pred", "score"])

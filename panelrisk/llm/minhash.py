@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, tidy
 
 #: Distinct words whose hashes a Python worker remembers before it starts anew.
 WORD_CACHE = 150_000
@@ -99,6 +99,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signatures(words: int, coords: int, seed: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = _WordHashes(), _permutations(coords, seed)
         for batch in batches:
@@ -124,6 +125,7 @@ def _signatures(words: int, coords: int, seed: int):
 
 
 def _sets(words: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:

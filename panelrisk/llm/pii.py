@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn_share
+from .common import drawn_share, tidy
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents to learn from, about; size of the hashed feature space.
@@ -214,6 +214,7 @@ def _listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+@tidy
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per node: features, label, and the labels next to it by edge kind."""
     for batch in batches:
@@ -292,6 +293,7 @@ def find_personal_data(docs: DataFrame, model: Model | None, id_col: str = "doc_
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, listed = [], [], []

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Labelled rows to learn from, preference pairs drawn, ridge.
 LEARN_ROWS, PAIRS, RIDGE = 12_000, 120_000, 1.0
 THRESHOLD = 0.7
@@ -144,6 +146,7 @@ def quantile_edge(strength: np.ndarray, y: np.ndarray) -> float:
 def fit(sample: DataFrame, seed: int = 11) -> Model:
     """Model of a bounded sample (text, label); the driver gets its measures."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = [measures(t.as_py()) for t in batch.column(0)]
@@ -175,6 +178,7 @@ def quality(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             m = np.array([measures(t) for t in texts]).reshape(len(texts), -1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: Labelled rows to learn from, features kept at most, and rows a feature needs.
 LEARN_ROWS, FEATURES, LEAST_ROWS = 12_000, 768, 3
@@ -90,6 +90,7 @@ def informative_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
     if not n0 or not n1:
         return []
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
 
@@ -195,6 +196,7 @@ def fit(sample: DataFrame, limit: int = FEATURES) -> Model:
     index = {f: i for i, f in enumerate(names)}
     terms = {t for g in IDENTITY_GROUPS for t in g}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, said = [], []
@@ -222,6 +224,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shared.value.score(t) for t in texts], dtype="float64")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: 512-bit blocks of the filter (2 MiB) and bits set for each URL.
 BLOCKS, BITS = 1 << 15, 6
@@ -88,6 +88,7 @@ def bloom_filter(listed: DataFrame, blocks: int = BLOCKS, bits: int = BITS) -> n
     the driver gets at most ``blocks`` rows of 64 bytes, however long the list.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = np.zeros((blocks, 8), np.uint64)
         for batch in batches:
@@ -134,6 +135,7 @@ def judge_urls(
     names = listed.select(canonical(listed_host, listed_path).alias("canonical")).where("canonical is not null").distinct()
     shared = pages.sparkSession.sparkContext.broadcast(bloom_filter(names, blocks, bits))
 
+    @tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
