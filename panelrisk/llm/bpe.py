@@ -42,7 +42,7 @@ from .common import materialize, tidy
 LEXICON_WORDS = 262_144
 LEXICON_BYTES = 48
 #: Distinct units a Python worker remembers, or counts, before it starts anew.
-UNIT_CACHE, COUNT_CACHE = 450_000, 400_000
+UNIT_CACHE, COUNT_CACHE = 700_000, 400_000
 #: Texts looked up together.
 GROUP = 256
 
