@@ -3,10 +3,11 @@ operations only.
 
 1. Windows. A document can hold a passage that is similar to an item only where
    it shares some of the item's shingles; of these the rarest are indexed, just
-   so many that a similar passage can't miss them all. Where one occurs, the
-   window of the item's number of words that puts it in its place is cut out
-   (shifted inside the document at its ends). All other windows of the item's
-   size have a similarity below the threshold.
+   so many that a similar passage can't miss them all. In a document where one
+   occurs, all places of the item's shingles are looked up, and every window of
+   the item's number of words that holds enough of them for the threshold is cut
+   out, in whatever order they stand (the whole document, if it is shorter). All
+   other windows of the item's size have a similarity below the threshold.
 2. Fingerprints. A window's SimHash has 64 bits, each the majority of its words'
    hash bits. It is cut into ``BLOCKS`` blocks; items are indexed under each
    block and all its neighbours at a distance of up to radius / BLOCKS, so that
@@ -68,11 +69,17 @@ def _shingles(words: str, size: str) -> str:
     return f"transform(sequence(0, size({words}) - {size}), i -> array_join(slice({words}, i + 1, {size}), ' '))"
 
 
-def _similarity_parts() -> tuple[Column, Column]:
-    """Weights shared by and united in the shingles ``ws`` and ``vs``."""
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Like ``withColumn``, but the value is computed once a row: a generator, so
+    that the optimizer doesn't write the expression out wherever it is used."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _shared() -> Column:
+    """Weight shared by the shingles ``ws`` and ``vs``."""
     n = "size(filter({0}, y -> y = x))"
-    shared = F.expr(f"aggregate(array_distinct(ws), 0, (n, x) -> n + least({n.format('ws')}, {n.format('vs')}))")
-    return shared, F.size("ws") + F.size("vs") - shared
+    repeats = f"aggregate(array_intersect(ws, vs), 0, (n, x) -> n + least({n.format('ws')}, {n.format('vs')}))"
+    return F.expr(f"if(size(array_distinct(vs)) = size(vs), size(array_intersect(ws, vs)), {repeats})")
 
 
 def contaminated(
@@ -98,47 +105,47 @@ def contaminated(
         .withColumn("size", F.least(F.lit(words), F.size("item_words")))
         .withColumn("h", F.transform("item_words", lambda w: F.xxhash64(w)))
         .withColumn("item_print", _fingerprint("h"))
+        .withColumn("vs", F.expr(_shingles("item_words", "size")))
     )
     sizes = [r.size for r in items.select("size").distinct().collect()]  # at most ``words`` values
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     texts = texts.withColumn("text_key", F.xxhash64("text"))
 
-    found = [_windows(texts, items.where(F.col("size") == s), s, percent) for s in sorted(sizes)]
-    windows = found[0] if found else texts.limit(0).select("text_key", F.lit(0).alias("wanted"), F.lit(0).alias("size"), F.lit(0).alias("start"))
-    for more in found[1:]:
-        windows = windows.union(more)
+    placed = {s: _placed(items.where(F.col("size") == s), s) for s in sorted(sizes)}
+    pairs = {s: materialize(_pairs(texts, placed[s], s, percent)) for s in placed}
+    named = texts.limit(0).select("text_key")
+    for found in pairs.values():
+        named = named.union(found.select("text_key"))
+    held = stored(texts.join(small(materialize(named.distinct())), "text_key", "left_semi"))
+    once = held.select("text_key", "text").dropDuplicates(["text_key"])
+    windows = texts.limit(0).select("text_key", F.lit(0).alias("wanted"), F.lit(0).alias("size"), F.lit(0).alias("start"))
+    for s, found in pairs.items():
+        windows = windows.union(_windows(once, found, placed[s], s, percent))
     windows = materialize(windows.distinct())
 
-    held = stored(texts.join(small(windows.select("text_key").distinct()), "text_key", "left_semi"))
     cut = (
-        held.select("text_key", "text")
-        .dropDuplicates(["text_key"])
-        .select("text_key", _words(F.col("text")).alias("all_words"))
+        once.select("text_key", _words(F.col("text")).alias("all_words"))
         .join(windows, "text_key")
-        .withColumn("start", F.greatest(F.lit(0), F.least("start", F.size("all_words") - F.col("wanted"))))
         .select("text_key", "wanted", "size", "start", F.slice("all_words", F.col("start") + 1, F.col("wanted")).alias("w"))
-        .where(F.size("w") >= F.col("size"))
-        .dropDuplicates(["text_key", "wanted", "start"])
     )
     # Few bytes, but much work a row: dealt anew, so that it is spread over all tasks.
     dealt = cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_key", "wanted", "start")
-    prints = materialize(dealt.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("print", _fingerprint("h")).drop("h"))
+    hashed = _once(dealt, "h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("ws", F.expr(_shingles("w", "size")))
+    prints = materialize(_once(hashed, "print", _fingerprint("h")).drop("h", "w"))
 
     masks = F.array(*map(F.lit, _neighbours(radius)))
-    index = items.select("item", "item_id", "wanted", "item_words", "item_print", F.posexplode(_block_values(F.col("item_print"))).alias("block", "v")).select(
-        "item", "item_id", "wanted", "item_words", "item_print", "block", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("value")
+    index = items.select("item", "item_id", "wanted", "vs", "item_print", F.posexplode(_block_values(F.col("item_print"))).alias("block", "v")).select(
+        "item", "item_id", "wanted", "vs", "item_print", "block", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("value")
     )
     probes = prints.select("*", F.posexplode(_block_values(F.col("print"))).alias("block", "value"))
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     # A pair may share several entries; it is taken at the first block that meets.
     near = F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> bit_count(shiftrightunsigned(print ^ item_print, b * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L) <= {radius // BLOCKS})")
-    shared, united = _similarity_parts()
+    met = probes.join(index, ["wanted", "block", "value"]).where(
+        (hamming <= radius) & (F.array_position(near, True) == F.col("block") + 1)
+    )
     hits = (
-        probes.join(index, ["wanted", "block", "value"])
-        .where((hamming <= radius) & (F.array_position(near, True) == F.col("block") + 1))
-        .withColumn("ws", F.expr(_shingles("w", "size")))
-        .withColumn("vs", F.expr(_shingles("item_words", "size")))
-        .withColumn("shared", shared)
+        _once(met, "shared", _shared())
         .withColumn("united", F.size("ws") + F.size("vs") - F.col("shared"))
         .where(100 * F.col("shared") >= percent * F.col("united"))
         .select("text_key", "item", "item_id", "start", hamming.alias("hamming"), (F.col("shared") / F.col("united")).alias("similarity"))
@@ -158,30 +165,58 @@ def contaminated(
     )
 
 
-def _windows(texts: DataFrame, items: DataFrame, size: int, percent: int) -> DataFrame:
-    """(text_key, wanted, size, start): where an indexed shingle of an item of
-    this shingle size puts a window."""
-    placed = items.select("item", "wanted", F.posexplode(_shingle_hashes("h", size)).alias("j", "s"))
-    weight = placed.groupBy("item", "wanted", "s").agg(F.collect_list("j").alias("places"))
-    common = placed.groupBy("s").agg(F.count("*").alias("df"))
-    rare_first = Window.partitionBy("item").orderBy("df", "s").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy("item")
-    n = F.size("places")
+def _placed(items: DataFrame, size: int) -> DataFrame:
+    """(body, wanted, total, s, n): the shingles of each different item text of
+    this shingle size, their number in it, and how many it has in all."""
+    bodies = items.select(F.xxhash64("item_words").alias("body"), "wanted", "h").dropDuplicates(["body"])
+    shingles = bodies.select("body", "wanted", F.explode(_shingle_hashes("h", size)).alias("s"))
+    total = F.col("wanted") - size + 1
+    return materialize(shingles.groupBy("body", "wanted", "s").agg(F.count("*").alias("n")).withColumn("total", total))
+
+
+def _text_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(text_key, n_words, pos, s) of every shingle."""
+    hashed = texts.select("text_key", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.select("text_key", F.size("h").alias("n_words"), F.posexplode(_shingle_hashes("h", size)).alias("pos", "s"))
+
+
+def _pairs(texts: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """(text_key, body): texts that hold an indexed shingle of an item."""
+    common = placed.groupBy("s").agg(F.sum("n").alias("df"))
+    rare_first = Window.partitionBy("body").orderBy("df", "s").rowsBetween(Window.unboundedPreceding, -1)
     indexed = (
-        weight.join(common, "s")
-        .withColumn("before", F.coalesce(F.sum(n).over(rare_first), F.lit(0)))
-        .withColumn("total", F.sum(n).over(total))
+        placed.join(common, "s")
+        .withColumn("before", F.coalesce(F.sum("n").over(rare_first), F.lit(0)))
         .where(100 * F.col("before") <= (100 - percent) * F.col("total"))
-        .select("s", F.explode("places").alias("j"), "wanted")
-        .distinct()
     )
-    indexed = materialize(indexed.groupBy("s").agg(F.collect_list(F.struct("j", "wanted")).alias("at")))
-    shingles = (
-        texts.select("text_key", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-        .select("text_key", F.posexplode(_shingle_hashes("h", size)).alias("pos", "s"))
+    indexed = materialize(indexed.groupBy("s").agg(F.collect_list("body").alias("bodies")))
+    shingles = _text_shingles(texts, size).select("text_key", "s")
+    return shingles.join(small(indexed), "s").select("text_key", F.explode("bodies").alias("body")).distinct()
+
+
+def _windows(texts: DataFrame, pairs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """(text_key, wanted, size, start): the windows in which enough shingles are
+    the item's for the threshold.
+
+    A window of ``held`` shingles needs ``least`` in common with the item's
+    ``total``. ``least`` places in a row (p[i - 1] to p[i + least - 2]) that fit
+    into a window allow the starts from ``low`` to ``high``; those up to the place
+    before are left to it, so no start is listed twice.
+    """
+    placed = placed.select("body", "wanted", "total", "s")
+    hits = _text_shingles(texts, size).join(pairs.join(placed, "body"), ["text_key", "s"])
+    places = (
+        hits.groupBy("text_key", "body", "wanted", "total", "n_words")
+        .agg(F.sort_array(F.collect_list("pos")).alias("p"))
+        .withColumn("held", F.expr(f"least(total, n_words - {size} + 1)"))
+        .withColumn("least", F.expr(f"int(greatest(1, ({percent} * (held + total) + {99 + percent}) div {100 + percent}))"))
+        .where(F.size("p") >= F.col("least"))
     )
-    return (
-        shingles.join(small(indexed), "s")
-        .select("text_key", "pos", F.explode("at").alias("a"))
-        .select("text_key", F.col("a.wanted").alias("wanted"), F.lit(size).alias("size"), (F.col("pos") - F.col("a.j")).alias("start"))
+    ranges = F.expr(
+        """transform(sequence(1, size(p) - least + 1), i -> named_struct(
+            'fits', p[i + least - 2] - p[i - 1] < held,
+            'low', greatest(0, p[i + least - 2] - held + 1, if(i > 1, get(p, i - 2) + 1, 0)),
+            'high', least(p[i - 1], greatest(0, n_words - wanted))))"""
     )
+    starts = places.select("text_key", "wanted", F.explode(F.filter(ranges, lambda r: r["fits"] & (r["low"] <= r["high"]))).alias("r"))
+    return starts.select("text_key", "wanted", F.lit(size).alias("size"), F.explode(F.sequence("r.low", "r.high")).alias("start"))

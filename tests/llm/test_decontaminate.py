@@ -64,3 +64,29 @@ def test_long_document_and_empty_tables(spark, docs_of):
     assert [(r.doc_id, r.item_id, r.start_word, r.hamming) for r in got] == [(1, 5, 40_000, 0)]
     assert run(spark, docs_of, [], [(5, passage)]) == []
     assert run(spark, docs_of, [(1, passage)], []) == []
+
+
+def test_reordered_passages_match_brute_force(spark, docs_of):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(n))) for i, n in enumerate([60, 80, 100, 100, 140, 200])]
+    items += [(50, items[2][1]), (51, "once more with feeling " * 15)]
+    docs = []
+    for i, text in items:
+        passage = text.split()
+        n = len(passage)
+        for moved in (0, 3, n // 8, n // 5, n // 3, n // 2):
+            turned = passage[n - moved :] + passage[: n - moved]
+            for changed in (0, 1, 2):
+                body = list(turned)
+                for _ in range(changed):
+                    body[rng.randrange(n)] = "changed"
+                before = [f"x{rng.randrange(99)}" for _ in range(rng.randrange(40) * (changed < 2))]
+                docs.append((len(docs), " ".join(before + body + before[: len(before) // 2])))
+        docs.append((len(docs), " ".join(passage[n // 2 :] + passage[: n // 2] + passage)))
+        docs.append((len(docs), " ".join(passage[: n - n // 10])))
+    got = run(spark, docs_of, docs, items)
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    moved = " ".join(["x"] * 30 + items[2][1].split()[50:] + items[2][1].split()[:50] + ["y"] * 30)
+    (hit,) = [r for r in run(spark, docs_of, [(1, moved)], items) if r.item_id == 2]
+    assert hit.start_word == 30 and hit.hamming == 0 and round(hit.similarity, 6) == round(92 / 100, 6)
