@@ -34,7 +34,7 @@ from .common import materialize, small, stored
 
 WORDS, PERCENT = 5, 80
 #: Blocks of a fingerprint, their bits, and the greatest Hamming distance.
-BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 15
+BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
 
 
 def _words(text: Column) -> Column:

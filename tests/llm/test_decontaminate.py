@@ -90,3 +90,11 @@ def test_reordered_passages_match_brute_force(spark, docs_of):
     moved = " ".join(["x"] * 30 + items[2][1].split()[50:] + items[2][1].split()[:50] + ["y"] * 30)
     (hit,) = [r for r in run(spark, docs_of, [(1, moved)], items) if r.item_id == 2]
     assert hit.start_word == 30 and hit.hamming == 0 and round(hit.similarity, 6) == round(92 / 100, 6)
+
+
+def test_fingerprints_at_the_limit(spark, docs_of):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(100))) for i in range(300)]
+    docs = [(i, " ".join(t.split()[:90] + [f"d{i}w{j}" for j in range(10)])) for i, t in items]
+    got = run(spark, docs_of, docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(300)}
+    assert any(r.hamming > 15 for r in got)
