@@ -13,8 +13,11 @@ from .bpe import encode_decode
 from . import langid, pii, quality, toxicity
 from .common import bucket_of, learning_rows, table
 from .decontaminate import contaminated
+from .merkle import manifest, verified
 from .minhash import near_duplicates
 from .secrets import find_secrets
+from .spelling import spelling_groups
+from .suffix import remove_repeats
 from .urls import judge_urls
 
 
@@ -94,6 +97,27 @@ def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = verified(manifest(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -106,4 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash_neardup": op7_minhash_neardup,
         "op8_personal_data": op8_personal_data,
         "op10_ball_tree_top_k": op10_ball_tree_top_k,
+        "op11_suffix_array_dedup": op11_suffix_array_dedup,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
