@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import positions
 from .stats import as_list
 
 
@@ -71,9 +72,18 @@ def backtest_series(pred: DataFrame, band: float = 0.1) -> DataFrame:
     )
 
 
-def cv_folds(df: DataFrame, by, order, k: int = 3) -> DataFrame:
-    """Contiguous, unshuffled folds over time per key (ntile)."""
+def cv_folds(df: DataFrame, by, order, k: int = 3, block: float | None = None) -> DataFrame:
+    """Contiguous, unshuffled folds over time per key: k runs of equal length,
+    the first ones longer by a row where k doesn't divide. ``block`` scans long
+    series by time block, else a key is one window."""
     keys = as_list(by)
+    if block is not None:
+        work = positions(df, keys, order, block)
+        i, size, longer = F.col("__pos") - 1, F.floor(F.col("__n") / k), F.col("__n") % k
+        early = F.floor(i / (size + 1))
+        late = longer + F.floor((i - longer * (size + 1)) / F.greatest(size, F.lit(1)))
+        fold = F.when(i < longer * (size + 1), early).otherwise(late).cast("int")
+        return work.withColumn("fold", fold).select(*df.columns, "fold")
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("fold", (F.ntile(k).over(w) - F.lit(1)).cast("int"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import positions
 from .stats import as_list
 
 
@@ -94,7 +95,10 @@ def quarter_calendar(df: DataFrame, by, date: str = "period_start") -> DataFrame
     )
 
 
-def first_n(df: DataFrame, by, order, n: int) -> DataFrame:
-    """P10: first n rows per key by time (row_number window, no global sort)."""
+def first_n(df: DataFrame, by, order, n: int, block: float | None = None) -> DataFrame:
+    """P10: first n rows per key by time (row_number window, no global sort; by
+    time block where ``block`` is given)."""
+    if block is not None:
+        return positions(df, by, order, block).where(F.col("__pos") <= n).select(*df.columns)
     w = Window.partitionBy(*as_list(by)).orderBy(order)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")

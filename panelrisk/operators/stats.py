@@ -13,9 +13,14 @@ without a join:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most rows of a narrow side that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
 
 def as_list(x):
     if x is None:
@@ -41,3 +46,14 @@ def unpivot_metrics(df: DataFrame, keys, metrics, var: str = "metric", val: str
     """Wide -> long on ``metrics`` (all cast to double)."""
     base = df.select(*as_list(keys), *[F.col(m).cast("double").alias(m) for m in metrics])
     return base.unpivot(as_list(keys), list(metrics), var, val)
+
+
+def same_keys(keys, prefix: str) -> Column:
+    """Join condition: each key equals the other side's ``prefix``-named one (null
+    equals null, as in a grouping)."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys], F.lit(True))
+
+
+def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a materialised narrow side for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

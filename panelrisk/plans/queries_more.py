@@ -21,6 +21,7 @@ from .queries import KEY, PANEL_METRICS, quarter_panel, register, risk_panel, ro
 CUT_YEAR = 1997
 FIRST_ROWS = 16  # of the ``first_n`` query
 EVENT_COLS = ["value", "avg_value"]
+BLOCK_DAYS = 64  # time block of scans along a series
 
 
 def events(spark, sf_dir):
@@ -125,7 +126,7 @@ def q_quarter_calendar(spark, sf_dir):
 
 @register("first_n")
 def q_first_n(spark, sf_dir):
-    return rounded(po.first_n(quarter_panel(spark, sf_dir), KEY, "period_start", FIRST_ROWS))
+    return rounded(po.first_n(quarter_panel(spark, sf_dir), KEY, "period_start", FIRST_ROWS, block=730))
 
 
 CLIP_BOUNDS = {"debt_ratio": (None, 40.0), "rp_ratio": (25.0, None), "deficit": (4.0, 6.0)}
@@ -142,25 +143,26 @@ def q_clip_bounds(spark, sf_dir):
 
 @register("interpolate_linear")
 def q_interpolate_linear(spark, sf_dir):
-    df = cl.interpolate_linear(events(spark, sf_dir), EVENT_COLS, "user_id", "day", pos="pos")
+    df = cl.interpolate_linear(events(spark, sf_dir), EVENT_COLS, "user_id", "day", pos="pos", block=BLOCK_DAYS)
     return rounded(df.select("user_id", "day", *EVENT_COLS))
 
 
 @register("fill_forward_back")
 def q_fill_forward_back(spark, sf_dir):
-    df = cl.fill_forward_back(events(spark, sf_dir), EVENT_COLS, "user_id", "day")
+    df = cl.fill_forward_back(events(spark, sf_dir), EVENT_COLS, "user_id", "day", block=BLOCK_DAYS)
     return rounded(df.select("user_id", "day", *EVENT_COLS))
 
 
 @register("iqr_winsorize")
 def q_iqr_winsorize(spark, sf_dir):
-    df = cl.iqr_winsorize(metrics_double(quarter_panel(spark, sf_dir)), PANEL_METRICS, by=KEY)
+    df = cl.iqr_winsorize(materialize(metrics_double(quarter_panel(spark, sf_dir))), PANEL_METRICS, by=KEY)
     return rounded(df.select(KEY, "period_start", *PANEL_METRICS))
 
 
 @register("iqr_outlier_report")
 def q_iqr_outlier_report(spark, sf_dir):
-    return rounded(cl.iqr_outlier_report(metrics_double(quarter_panel(spark, sf_dir)), PANEL_METRICS, by=KEY))
+    panel = materialize(metrics_double(quarter_panel(spark, sf_dir)))
+    return rounded(cl.iqr_outlier_report(panel, PANEL_METRICS, by=KEY))
 
 
 @register("null_counts")
@@ -397,7 +399,8 @@ def q_backtest_series(spark, sf_dir):
 
 @register("cv_folds")
 def q_cv_folds(spark, sf_dir):
-    return ev.cv_folds(quarter_panel(spark, sf_dir), KEY, "period_start").select(KEY, "period_start", "fold")
+    df = ev.cv_folds(quarter_panel(spark, sf_dir), KEY, "period_start", block=730)
+    return df.select(KEY, "period_start", "fold")
 
 
 def production_series(spark, sf_dir):
