@@ -4,23 +4,23 @@ training, prediction, backtesting, reports and persistence.
 * ``hybrid``  — half a random forest on the panel metrics, half each key's
   exponential decline curve.
 * ``boosting`` — gradient-boosted trees.
-* ``kernel``  — ridge regression on random Fourier features of z-scored metrics,
-  the penalty chosen by contiguous cross-validation, in two passes over the rows.
+* ``kernel``  — regression on random Fourier features of z-scored metrics with a loss
+  robust to outliers; penalty and γ by contiguous cross-validation (see ``kernel``).
 * ``kmeans``  — regimes of the z-scored metrics (a clustering row in reports).
 
-A fit is an explicit step that returns a ``Fitted``; nothing is cached. Models
-are saved to and loaded from a folder. A model that lacks rows, or whose fit
-fails, becomes a row with its ``error``; the others go on.
+A fit is an explicit step that returns a ``Fitted``; nothing is cached. What a
+model knows about single keys is a table, never a list on the driver. Models are
+saved to and loaded from a folder (see ``store``). A model that lacks rows, or that
+its data don't allow, becomes a row with its ``error``; the others go on. Failures
+of the cluster are raised.
 """
 
 from __future__ import annotations
 
-import json
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -28,17 +28,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import materialize
+from . import kernel, store
 from .clean import fill_forward_back
-from .evaluate import cv_folds, decline_fit, regression_metrics, report_rounding
-from .ml import BoostSpec, ForestSpec, fit_boosting, fit_forest, kmeans_restarts
+from .evaluate import component_errors, decline_fit, regression_metrics, report_rounding
+from .ml import BoostSpec, ForestSpec, fit_boosting, fit_concurrently, fit_forest, kmeans_restarts
 
 MIN_TRAIN_ROWS = 10
 MIN_BACKTEST = (5, 2)
-C_GRID = (0.1, 1.0, 10.0, 100.0)
-#: Random features that stand for the RBF kernel.
-FOURIER_DIM = 64
+#: What data can do to a fit; anything else is the cluster's failure and is raised.
+DATA_ERRORS = (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException, AnalysisException)
 
 
 @dataclass(frozen=True)
@@ -65,10 +65,11 @@ class PanelSpec:
 class Fitted:
     spec: ModelSpec
     model: object = None
-    decline: list = field(default_factory=list)  # hybrid: (key, q, lam, n) rows
+    decline: DataFrame | None = None  # hybrid: (key, q, lam, n)
     stats: dict = field(default_factory=dict)  # kernel, kmeans: means and deviations
-    scores: list = field(default_factory=list)  # kernel: (c, mae) of the search
+    scores: list = field(default_factory=list)  # kernel: (c, gamma's name, gamma, mae) of the search
     weights: list = field(default_factory=list)  # kernel: constant and features
+    gamma: float | None = None  # kernel
     error: str | None = None
 
 
@@ -77,108 +78,21 @@ def prepared(df: DataFrame, panel: PanelSpec) -> DataFrame:
     return fill_forward_back(df, list(panel.metrics), panel.key, panel.order)
 
 
-def _stats(df: DataFrame, cols) -> dict:
-    row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
-    return {c: (float(row[f"m_{c}"]), float(row[f"s_{c}"]) or 1.0) for c in cols}
-
-
 def _scaled(stats: dict, col: str):
     mean, deviation = stats[col]
     return (F.col(col) - F.lit(mean)) / F.lit(deviation)
 
 
-def _directions(p: int, dim: int = FOURIER_DIM, seed: int = 42) -> tuple:
-    rng = np.random.default_rng(seed)
-    return rng.normal(0.0, math.sqrt(2.0 / p), size=(dim, p)), rng.uniform(0.0, 2.0 * math.pi, size=dim)
-
-
-def _fourier(batch: pa.RecordBatch, stats: dict) -> np.ndarray:
-    """A constant and z(x) = sqrt(2/D) cos(W x + b) of the columns, scaled by
-    the *training* means and deviations; W and b are drawn from a seed."""
-    cols = sorted(stats)
-    x = np.column_stack([(batch.column(c).to_numpy(zero_copy_only=False) - stats[c][0]) / stats[c][1] for c in cols])
-    w, b = _directions(len(cols))
-    return np.hstack([np.ones((len(x), 1)), math.sqrt(2.0 / FOURIER_DIM) * np.cos(x @ w.T + b)])
-
-
-def _grams(rows: DataFrame, stats: dict, target: str) -> dict:
-    """Per fold n, Z'Z, Z'y and y'y: one pass; the matrices have a fixed size."""
-    size = FOURIER_DIM + 2
-
-    def part(batches):
-        out = {}
-        for batch in batches:
-            zy = np.hstack([_fourier(batch, stats), batch.column(target).to_numpy(zero_copy_only=False)[:, None]])
-            folds = batch.column("fold").to_numpy(zero_copy_only=False)
-            for f in np.unique(folds):
-                z = zy[folds == f]
-                out[int(f)] = out.get(int(f), 0) + z.T @ z
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(out), pa.int32()), pa.array([g.ravel() for g in out.values()], pa.list_(pa.float64()))], names=["fold", "gram"]
-        )
-
-    def total(group: pa.Table) -> pa.Table:
-        gram = np.sum([np.array(g) for g in group["gram"].to_pylist()], axis=0)
-        return pa.table({"fold": group["fold"][:1], "gram": pa.array([gram], pa.list_(pa.float64()))})
-
-    schema = "fold int, gram array<double>"
-    summed = rows.select("fold", target, *sorted(stats)).mapInArrow(part, schema).groupBy("fold").applyInArrow(total, schema)
-    return {r.fold: np.array(r.gram).reshape(size, size) for r in summed.collect()}
-
-
-def _ridge(gram: np.ndarray, c: float) -> np.ndarray:
-    """Weights for the penalty 1/c on all but the constant."""
-    penalty = np.eye(len(gram) - 1) / c
-    penalty[0, 0] = 1e-9
-    return np.linalg.solve(gram[:-1, :-1] + penalty, gram[:-1, -1])
-
-
-def kernel_predict(df: DataFrame, fitted: "Fitted") -> DataFrame:
-    """``df`` with the column ``prediction``."""
-    stats, weights = fitted.stats, np.array(fitted.weights)
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(_fourier(batch, stats) @ weights)], names=[*batch.schema.names, "prediction"]
-            )
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("prediction", T.DoubleType())]))
-
-
 def _fit_kernel(train: DataFrame, spec: ModelSpec, panel: PanelSpec) -> Fitted:
-    """min(3, n // 2) contiguous folds, MAE of every C, refit on the best.
-
-    The normal equations of a fold are those of the whole less its own, so one
-    pass gives every fold's weights for every C and a second pass their errors.
-    """
-    stats = _stats(train, panel.features(spec.target))
-    folds = max(2, min(3, train.count() // 2))
-    work = cv_folds(train, panel.key, panel.order, folds)
-    grams = _grams(work, stats, spec.target)
-    whole = np.sum(list(grams.values()), axis=0)
-    tries = {f: np.column_stack([_ridge(whole - g, c) for c in C_GRID]) for f, g in grams.items()}
-
-    def errors(batches):
-        for batch in batches:
-            z, y = _fourier(batch, stats), batch.column(spec.target).to_numpy(zero_copy_only=False)
-            fold = batch.column("fold").to_numpy(zero_copy_only=False)
-            e = np.zeros((len(y), len(C_GRID)))
-            for f, w in tries.items():
-                e[fold == f] = np.abs(z[fold == f] @ w - y[fold == f, None])
-            yield pa.RecordBatch.from_arrays([pa.array(list(e), pa.list_(pa.float64()))], names=["e"])
-
-    each = work.select("fold", spec.target, *sorted(stats)).mapInArrow(errors, "e array<double>")
-    maes = each.agg(*[F.avg(F.col("e")[i]).alias(f"e{i}") for i in range(len(C_GRID))]).first()
-    scores = list(zip(C_GRID, (float(x) for x in maes)))
-    best = min(scores, key=lambda s: s[1])[0]
-    return Fitted(spec, weights=_ridge(whole, best).tolist(), stats=stats, scores=scores)
+    """The search over (C, γ) and the fit of its best."""
+    stats, weights, gamma, scores = kernel.search(train, spec.target, panel.features(spec.target), panel.key, panel.order)
+    return Fitted(spec, weights=weights, stats=stats, scores=scores, gamma=gamma)
 
 
 def _fit_hybrid(train: DataFrame, spec: ModelSpec, panel: PanelSpec, forest: ForestSpec) -> Fitted:
     model = fit_forest(train, panel.features(spec.target), spec.target, forest)
-    rows = decline_fit(train, spec.target, panel.key, panel.order).select(panel.key, "q", "lam", "n").collect()  # a row per key
-    return Fitted(spec, model, decline=[tuple(r) for r in rows])
+    curves = decline_fit(train, spec.target, panel.key, panel.order).select(panel.key, "q", "lam", "n")
+    return Fitted(spec, model, decline=materialize(curves))
 
 
 def regime_vectors(df: DataFrame, stats: dict, out: str = "features") -> DataFrame:
@@ -189,7 +103,7 @@ def regime_vectors(df: DataFrame, stats: dict, out: str = "features") -> DataFra
 
 
 def _fit_kmeans(train: DataFrame, spec: ModelSpec, panel: PanelSpec, restarts: int = 20) -> Fitted:
-    stats = _stats(train, panel.metrics)
+    stats = kernel.column_stats(train, panel.metrics)
     work = regime_vectors(train, stats).persist()
     try:
         return Fitted(spec, kmeans_restarts(work, "features", k=spec.k, restarts=restarts), stats=stats)
@@ -210,16 +124,17 @@ def train_one(train: DataFrame, spec: ModelSpec, panel: PanelSpec, min_rows: int
         if spec.kind == "kernel":
             return _fit_kernel(train, spec, panel)
         return _fit_kmeans(train, spec, panel)
-    except Exception as e:  # noqa: BLE001  (a failed model is a row of the report)
+    except DATA_ERRORS as e:  # a model its data don't allow is a row of the report
         return Fitted(spec, error=f"{type(e).__name__}: {str(e).splitlines()[0][:200]}")
 
 
 def train_all(train: DataFrame, specs, panel: PanelSpec, min_rows: int = MIN_TRAIN_ROWS, **sizes) -> dict:
-    """Every model of the list. The assembled rows are persisted for the
-    fits and released after them."""
+    """Every model of the list, as concurrent jobs. The assembled rows are
+    persisted for the fits and released after them."""
     rows = prepared(train, panel).persist()
     try:
-        return {s.name: train_one(rows, s, panel, min_rows, **sizes) for s in specs}
+        fits = [lambda s=s: train_one(rows, s, panel, min_rows, **sizes) for s in specs]
+        return {f.spec.name: f for f in fit_concurrently(fits)}
     finally:
         rows.unpersist()
 
@@ -236,15 +151,17 @@ def predict_one(fitted: Fitted, df: DataFrame, panel: PanelSpec, origin: str = "
         return only.select(
             F.lit(spec.name).alias("model"), *keep, *[none.alias(c) for c in ("y_true", "y_ml", "y_decline", "y_pred")], F.lit(fitted.error).alias("error")
         )
-    data = kernel_predict(df, fitted) if spec.kind == "kernel" else fitted.model.transform(df)
+    if spec.kind == "kernel":
+        data = kernel.predicted(df, fitted.stats, fitted.weights, fitted.gamma)
+    else:
+        data = fitted.model.transform(df)
     scored = data.select(*keep, F.col(spec.target).cast("double").alias("y_true"), F.col("prediction").alias("y_ml"))
     if spec.kind == "hybrid":
-        params = spark.createDataFrame(fitted.decline, f"{panel.key} {df.schema[panel.key].dataType.simpleString()}, q double, lam double, n int")
         step = F.row_number().over(Window.partitionBy(panel.key).orderBy(panel.order)) - 1
         t = F.col("n") + F.col("__i") if origin == "reference" else F.col("__i")
         scored = (
             scored.withColumn("__i", step)
-            .join(params, panel.key, "left")
+            .join(fitted.decline, panel.key, "left")
             .withColumn("y_decline", F.col("q") * F.exp(-F.col("lam") * t))
             .withColumn("y_pred", F.coalesce(0.5 * F.col("y_ml") + 0.5 * F.col("y_decline"), F.col("y_ml")))
         )
@@ -266,6 +183,12 @@ def predict_all(fitted: dict, df: DataFrame, panel: PanelSpec, origin: str = "re
     return out
 
 
+def hybrid_errors(fitted: Fitted, df: DataFrame, panel: PanelSpec, by=None) -> DataFrame:
+    """M6: errors of the fitted hybrid over its training rows, and of its forest
+    and its decline curve alone."""
+    return component_errors(predict_one(fitted, prepared(df, panel), panel, origin="train"), by)
+
+
 def model_metrics(predictions: DataFrame) -> DataFrame:
     """M11/B2 per model at the surveyed digits, with the error text of models
     that gave no prediction."""
@@ -311,27 +234,37 @@ def without_errors(report: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- persistence
 
 
+_READERS = {"hybrid": PipelineModel, "boosting": PipelineModel, "kmeans": KMeansModel}
+
+
 def save(fitted: dict, path: str, spark: SparkSession) -> str:
-    """Each model under ``path``/name, what belongs to them in ``path``/about."""
-    about = []
+    """Publish models as one version of the store at ``path``."""
+    failed = [name for name, f in fitted.items() if f.error]
+    if failed:
+        raise ValueError(f"models with errors are not saved: {failed}")
+    about, writers = [], {}
     for name, f in fitted.items():
         if f.model is not None:
-            f.model.write().overwrite().save(f"{path}/{name}")
-        about.append((name, json.dumps({"kind": f.spec.kind, "target": f.spec.target, "k": f.spec.k, "decline": f.decline, "stats": f.stats, "scores": f.scores, "weights": f.weights, "error": f.error})))
-    spark.createDataFrame(about, "name string, about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+            writers[f"{name}/model"] = f.model.write().save
+        if f.decline is not None:
+            writers[f"{name}/decline"] = f.decline.write.parquet
+        about.append(
+            {"name": name, "kind": f.spec.kind, "target": f.spec.target, "k": f.spec.k, "decline": f.decline is not None}
+            | {"stats": f.stats, "scores": f.scores, "weights": f.weights, "gamma": f.gamma}
+        )
+    store.publish(spark, path, about, writers)
     return path
 
 
-_READERS = {"hybrid": PipelineModel, "boosting": PipelineModel, "kmeans": KMeansModel}
-
-
 def load(path: str, spark: SparkSession) -> dict:
-    """The models that ``save`` wrote."""
+    """The models of the store at ``path``; ``store.NotSaved`` where there are none."""
+    folder, about = store.committed(spark, path)
     out = {}
-    for r in spark.read.schema("name string, about string").json(f"{path}/about").collect():
-        a = json.loads(r.about)
-        spec = ModelSpec(r.name, a["kind"], a["target"], a["k"])
-        model = None if a["error"] or a["kind"] == "kernel" else _READERS[a["kind"]].load(f"{path}/{r.name}")
+    for a in about:
+        name = a["name"]
+        spec = ModelSpec(name, a["kind"], a["target"], a["k"])
+        model = _READERS[a["kind"]].load(f"{folder}/{name}/model") if a["kind"] in _READERS else None
+        decline = spark.read.parquet(f"{folder}/{name}/decline") if a["decline"] else None
         stats = {c: tuple(v) for c, v in a["stats"].items()}
-        out[r.name] = Fitted(spec, model, [tuple(x) for x in a["decline"]], stats, [tuple(x) for x in a["scores"]], a["weights"], a["error"])
+        out[name] = Fitted(spec, model, decline, stats, [tuple(x) for x in a["scores"]], a["weights"], a["gamma"])
     return out

@@ -4,11 +4,14 @@ CV folds, exponential decline fit (M3, M4, M6, M10, M11, B2, B4).
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .segments import positions
-from .stats import as_list
+from .stats import as_list, same_keys
 
 
 def regression_metrics(pred: DataFrame, y: str = "y_true", p: str = "y_pred", by=None) -> DataFrame:
@@ -88,6 +91,24 @@ def cv_folds(df: DataFrame, by, order, k: int = 3, block: float | None = None) -
     return df.withColumn("fold", (F.ntile(k).over(w) - F.lit(1)).cast("int"))
 
 
+def component_errors(pred: DataFrame, by=None) -> DataFrame:
+    """M6: MAE, RMSE, R² of a combined prediction and the MAE of its two parts
+    alone (``mae_ml``, ``mae_decline``), in one aggregate."""
+    keys = as_list(by)
+    e = F.col("y_true") - F.col("y_pred")
+    sse = F.sum(e * e)
+    constant = F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return pred.groupBy(*keys).agg(
+        F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.when(F.min("y_true") == F.max("y_true"), constant)
+        .otherwise(F.lit(1.0) - sse / (F.var_pop("y_true") * F.count("y_true")))
+        .alias("r2"),
+        F.avg(F.abs(F.col("y_true") - F.col("y_ml"))).alias("mae_ml"),
+        F.avg(F.abs(F.col("y_true") - F.col("y_decline"))).alias("mae_decline"),
+    )
+
+
 def decline_fit(
     df: DataFrame,
     y: str,
@@ -98,6 +119,7 @@ def decline_fit(
     points: int = 41,
     rounds: int = 6,
     fallback_lambda: float = 0.035,
+    block: float | None = None,
 ) -> DataFrame:
     """M3: least-squares fit of y ≈ q·exp(-λ t), t = 0, 1, … by position.
 
@@ -105,42 +127,53 @@ def decline_fit(
     clip(Σ y e / Σ e², q bounds) with e = exp(-λ t); SSE(λ) = Σ y² - 2 q Σ y e +
     q² Σ e². λ is searched from coarse to fine: each round spreads ``points``
     values over the last round's best value and its neighbours, so six rounds
-    place λ to about 1e-9. A key's series (one value per period of the
-    calendar) is one array; each round is a fold over it. As surveyed, a series
-    whose first value lies outside the q bounds falls back to (y0,
-    fallback_lambda). Output: keys, q, lam, fitted, n (length of the series).
+    place λ to about 1e-9. A round is one aggregate by key of the sums of all its
+    λ, with partial sums on the map side, joined to the rows for the next one; no
+    series is ever gathered. ``block`` finds the positions of long series by time
+    block. As surveyed, a series whose first value lies outside the q bounds falls
+    back to (y0, fallback_lambda). Missing values don't count in the sums.
+    Output: keys, q, lam, fitted, n (length of the series).
     """
     keys = as_list(by)
     lo, hi = (float(x) for x in lam_bounds)
-    series = df.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(y).cast("double").alias("y")))), lambda r: r["y"]).alias("ys")
-    )
-    ql, qh = q_bounds
-    sums = (
-        "aggregate(sequence(0, size(ys) - 1), named_struct('a', 0D, 'b', 0D), (p, t) -> named_struct("
-        "'a', p.a + ys[t] * exp(-lam * t), 'b', p.b + exp(-2 * lam * t)))"
-    )
-    best = (
-        f"array_min(transform(sequence(0, {points - 1}), j -> transform(array(s.start + j * s.width), lam -> "
-        f"transform(array({sums}), m -> transform(array(least(greatest(m.a / m.b, {float(ql)!r}D), {float(qh)!r}D)), q -> "
-        "named_struct('sse', q * q * m.b - 2 * q * m.a, 'lam', lam, 'q', q))[0])[0])[0]))"
-    )
-    width = (hi - lo) / (points - 1)
-    # One fold over the rounds; the next covers one step to either side of the best.
-    fold = (
-        f"aggregate(sequence(1, {rounds}), named_struct('start', {lo!r}D, 'width', {width!r}D, 'lam', 0D, 'q', 0D), "
-        f"(s, i) -> transform(array({best}), b -> named_struct("
-        f"'start', least(greatest(b.lam - s.width, {lo!r}D), {hi!r}D - 2 * s.width), "
-        f"'width', 2 * s.width / {points - 1}D, 'lam', b.lam, 'q', b.q))[0])"
+    ql, qh = (float(x) for x in q_bounds)
+    if block is not None:
+        placed = positions(df, keys, order, block).withColumn("__t", F.col("__pos") - 1)
+    else:
+        placed = df.withColumn("__t", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    rows = materialize(placed.select(*keys, F.col("__t").cast("double").alias("t"), F.col(y).cast("double").alias("y")))
+    firsts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("t") == 0, F.col("y"))).alias("y0"))
+    named = [F.col(k).alias(f"__k_{k}") for k in keys]
+    state = firsts.select(*named, F.lit(lo).alias("start"), F.lit((hi - lo) / (points - 1)).alias("width"))
+    grid = F.sequence(F.lit(0), F.lit(points - 1))
+    known = rows.where(F.col("y").isNotNull())
+
+    def lam(j):
+        return F.col("start") + j * F.col("width")
+
+    terms = F.concat(
+        F.transform(grid, lambda j: F.col("y") * F.exp(-lam(j) * F.col("t"))), F.transform(grid, lambda j: F.exp(-2 * lam(j) * F.col("t")))
     )
-    series = series.withColumn("best", F.expr(fold))
-    inside = F.col("ys")[0].between(*q_bounds)
-    return series.select(
+
+    def tried(j):
+        a, b = F.col("sums")[j], F.col("sums")[j + points]
+        q = F.least(F.greatest(a / b, F.lit(ql)), F.lit(qh))
+        return F.struct((q * q * b - 2 * q * a).alias("sse"), lam(j).alias("lam"), q.alias("q"))
+
+    for _ in range(rounds):
+        met = known.join(state, same_keys(keys, "__k_")).groupBy(*named, "start", "width")
+        summed = met.agg(vector_to_array(Summarizer.sum(array_to_vector(terms))).alias("sums"))
+        best = summed.select(*[f"__k_{k}" for k in keys], "width", F.array_min(F.transform(grid, tried)).alias("best"))
+        # The next round covers one step to either side of the best.
+        start = F.least(F.greatest(F.col("best.lam") - F.col("width"), F.lit(lo)), F.lit(hi) - 2 * F.col("width"))
+        state = best.select(*[f"__k_{k}" for k in keys], start.alias("start"), (2 * F.col("width") / (points - 1)).alias("width"), "best")
+    inside = F.col("y0").between(*q_bounds)
+    return firsts.join(state, same_keys(keys, "__k_"), "left").select(
         *keys,
-        F.when(inside, F.col("best.q")).otherwise(F.col("ys")[0]).alias("q"),
+        F.when(inside, F.col("best.q")).otherwise(F.col("y0")).alias("q"),
         F.when(inside, F.col("best.lam")).otherwise(F.lit(fallback_lambda)).alias("lam"),
         inside.alias("fitted"),
-        F.size("ys").alias("n"),
+        F.col("n").cast("int").alias("n"),
     )
 
 

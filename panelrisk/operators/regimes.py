@@ -46,6 +46,18 @@ def regime_names(df: DataFrame, label: str = "label", out: str = "regime_name")
     return df.withColumn(out, F.coalesce(mapping[F.col(label)], fallback))
 
 
+def in_time_order(df: DataFrame, order: str, label: str = "label") -> DataFrame:
+    """K6: labels numbered 0, 1, … by the mean of ``order`` (a date or a number)
+    over their rows, ties by label. A row per label is all that is sorted."""
+    is_date = df.schema[order].dataType.simpleString() == "date"
+    when = F.unix_date(F.col(order)) if is_date else F.col(order).cast("double")
+    means = df.groupBy(F.col(label).alias("__old")).agg(F.avg(when).alias("__mean"))
+    ordered = means.agg(F.array_sort(F.collect_list(F.struct("__mean", "__old"))).alias("o")).select(F.col("o.__old").alias("o")).scalar()
+    return df.withColumn("__order", ordered).withColumn(
+        label, (F.array_position("__order", F.col(label)) - 1).cast("int")
+    ).drop("__order")
+
+
 def cluster_centroids(points: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """K4: centroid coordinates, long form (label, dim, value)."""
     long = points.select(label, F.posexplode(features).alias("dim", "x"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle import PANEL_METRICS, oracle, round_cols
-from .sqlparts import D, EVENTS_DAILY, PANEL_QUARTER, PANEL_YEAR, RISK_PANEL, cte, r6
+from .sqlparts import D, EVENTS_DAILY, PANEL_QUARTER, PANEL_YEAR, RISK_PANEL, cte, r2, r6
 
 CUT_YEAR = 1997
 FIRST_ROWS = 16
@@ -697,8 +697,8 @@ def o_regime_names():
 @oracle("regime_summary")
 def o_regime_summary():
     return f"""{cte(PTS)}
-SELECT {NAME_CASE.format(c="label")} AS regime_name, CAST(d AS INTEGER) AS dim, {r6("avg(x)")} AS mean,
-  {r6("stddev_samp(x)")} AS std FROM pl GROUP BY 1, 2"""
+SELECT {NAME_CASE.format(c="label")} AS regime_name, CAST(d AS INTEGER) AS dim, {r2("avg(x)")} AS mean,
+  {r2("stddev_samp(x)")} AS std FROM pl GROUP BY 1, 2"""
 
 
 @oracle("feature_metadata")

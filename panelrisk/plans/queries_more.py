@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators import clean as cl
@@ -356,6 +355,7 @@ from ..operators import evaluate as ev  # noqa: E402
 from ..operators import marts as mt  # noqa: E402
 from ..operators import ml  # noqa: E402
 from ..operators import regimes as rg  # noqa: E402
+from ..operators.store import NotSaved  # noqa: E402
 
 TARGETS = {"forest": "volume", "boost_revenue": "tax_take", "boost_debt": "ret_pct", "kernel": "n_orders"}
 TRAIN_END, TEST_START = 1999, 2000
@@ -437,13 +437,8 @@ def q_component_errors(spark, sf_dir):
     p = p.withColumn("y_pred", F.lit(0.5) * F.col("y_ml") + F.lit(0.5) * F.col("y_decline")).withColumnRenamed(
         "production", "y_true"
     )
-    hyb = ev.regression_metrics(p, by=KEY).select(KEY, "mae", "rmse", "r2")
-    parts = p.groupBy(KEY).agg(
-        F.avg(F.abs(F.col("y_true") - F.col("y_ml"))).alias("mae_ml"),
-        F.avg(F.abs(F.col("y_true") - F.col("y_decline"))).alias("mae_decline"),
-    )
-    joined = hyb.join(parts, KEY)
-    return joined.select(KEY, *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "r2", "mae_ml", "mae_decline")])
+    errors = ev.component_errors(p, KEY)
+    return errors.select(KEY, *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "r2", "mae_ml", "mae_decline")])
 
 
 # ---------------------------------------------------------------- regimes on labelled points
@@ -488,7 +483,8 @@ def q_regime_summary(spark, sf_dir):
     """Mean and deviation of every dimension per regime, long form."""
     p = rg.regime_names(labelled_points(spark, sf_dir))
     long = p.select("regime_name", F.posexplode("features").alias("dim", "x"))
-    return rounded(long.groupBy("regime_name", "dim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")))
+    summary = long.groupBy("regime_name", "dim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    return rounded(summary, digits=2)
 
 
 @register("feature_metadata")
@@ -533,25 +529,36 @@ def training_data(spark, sf_dir):
     return rows.coalesce(1 + rows.count() // ROWS_PER_PARTITION)
 
 
-def fitted_models(spark, train, specs, tag):
-    """Models of these training rows: read from the session's model folder if
-    they have been fitted there before, else fitted and saved (S7).
+def rows_mark(rows):
+    """Sum of the rows' hashes and their number: equal rows don't cancel."""
+    hashes = F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")
+    return rows.agg(F.sum(hashes).cast("string").alias("h"), F.count("*").alias("n")).first()
+
+
+def fitted_models(spark, train, specs, tag, panel=None):
+    """Models of these training rows: read from the session's model store if they
+    have been fitted there before, else fitted, concurrently, and saved (S7).
 
-    The folder's name holds a hash of the rows and the specifications, so other
-    rows never meet old models.
+    A store's name holds a mark of the rows and the specification, so other rows
+    never meet old models. Models with an error are returned, never saved.
     """
-    mark = train.agg(F.bit_xor(F.xxhash64(*sorted(train.columns))).alias("h"), F.count("*").alias("n")).first()
-    out = {}
+    panel = panel or PANEL
+    mark = rows_mark(train)
+    paths, out, missing = {}, {}, []
     for spec in specs:
-        about = hashlib.sha256(repr((tag, spec, mark.h, mark.n)).encode()).hexdigest()[:20]
-        path = f"{ensure_checkpoint_dir(spark)}/models-{about}"
+        about = hashlib.sha256(repr((tag, spec, panel, mark.h, mark.n)).encode()).hexdigest()[:20]
+        paths[spec.name] = f"{ensure_checkpoint_dir(spark)}/models-{about}"
         try:
-            out |= eco.load(path, spark)
-        except AnalysisException:  # not there yet
-            one = eco.train_all(train, [spec], PANEL)
-            eco.save(one, path, spark)
-            out |= one
-    return out
+            out |= eco.load(paths[spec.name], spark)
+        except NotSaved:
+            missing.append(spec)
+    if missing:
+        for name, one in eco.train_all(train, missing, panel).items():
+            out[name] = one
+            if not one.error:
+                eco.save({name: one}, paths[name], spark)
+                out |= eco.load(paths[name], spark)  # what another writer saved first
+    return {s.name: out[s.name] for s in specs}
 
 
 def model_rows(spark, sf_dir, name):
@@ -612,7 +619,16 @@ def q_kernel_regression(spark, sf_dir):
 @register("cv_scores")
 def q_cv_scores(spark, sf_dir):
     fitted = model_rows(spark, sf_dir, "kernel")[1]["kernel"]
-    return spark.createDataFrame(fitted.scores, "c double, mae double")
+    return spark.createDataFrame(fitted.scores, "c double, gamma_name string, gamma double, mae double")
+
+
+@register("hybrid_component_errors")
+def q_hybrid_component_errors(spark, sf_dir):
+    """M6: the trained hybrid's errors by nation, and those of its forest and its
+    decline curve alone."""
+    df = training_data(spark, sf_dir)
+    fitted = fitted_models(spark, df, [MODELS[0]], "full")["hybrid"]
+    return eco.hybrid_errors(fitted, df, PANEL, KEY)
 
 
 @register("predict_all")
@@ -642,7 +658,8 @@ def q_fitted_regime_summary(spark, sf_dir):
     df = training_data(spark, sf_dir)
     fitted = fitted_models(spark, df, [MODELS[-1]], "full")["regimes"]
     labelled = fitted.model.transform(eco.regime_vectors(df, fitted.stats))
-    return rg.regime_summary(rg.regime_names(labelled, "regime"), PANEL_METRICS)
+    ordered = rg.in_time_order(labelled, "period_start", "regime")
+    return rounded(rg.regime_summary(rg.regime_names(ordered, "regime"), PANEL_METRICS), digits=2)
 
 
 def backtest_rows(spark, sf_dir):
@@ -706,18 +723,19 @@ def q_feature_metadata_pca(spark, sf_dir):
     )
 
 
-def panel_regimes(spark, sf_dir):
-    from pyspark.ml.feature import VectorAssembler
+COMPONENTS = tuple(f"PC{i}" for i in range(1, 5))
 
+
+def panel_regimes(spark, sf_dir):
+    """Regimes of the z-scored components, numbered in order of their mean date
+    before they get their names (cluster ids carry no order)."""
     model, data = panel_pca(spark, sf_dir)
-    pcs = ml.pca_scores(model, data, [KEY, "period_start"])
-    pcs = feat.zscore(pcs, ["PC1", "PC2", "PC3", "PC4"], suffix="_z")
-    vec = VectorAssembler(inputCols=[f"PC{i}_z" for i in range(1, 5)], outputCol="__v").transform(pcs).persist()
-    try:
-        km = ml.kmeans_restarts(vec, "__v", k=7, restarts=20)
-    finally:
-        vec.unpersist()
-    return rg.regime_names(km.transform(vec), "regime")
+    pcs = materialize(ml.pca_scores(model, data, [KEY, "period_start"]))
+    components = eco.PanelSpec(KEY, "period_start", COMPONENTS)
+    spec = eco.ModelSpec("pca_regimes", "kmeans")
+    fitted = fitted_models(spark, pcs, [spec], "components", components)[spec.name]
+    labelled = fitted.model.transform(eco.regime_vectors(pcs, fitted.stats))
+    return rg.regime_names(rg.in_time_order(labelled, "period_start", "regime"), "regime")
 
 
 @register("kmeans_regimes")

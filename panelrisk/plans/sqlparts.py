@@ -115,6 +115,11 @@ def rules_sql(ruleset, colmap=None) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
+def r2(x: str) -> str:
+    """Two digits, as the surveyed tables show them."""
+    return f"(round_even(({x}) * {D(100)}, 0) / {D(100)})"
+
+
 def r6(x: str) -> str:
     """Edge rounding, bit-identical to Spark's rint(x * 1e6) / 1e6."""
     return f"(round_even(({x}) * {D(1e6)}, 0) / {D(1e6)})"

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from panelrisk.operators import ecosystem as eco
-from panelrisk.operators import ml
+from panelrisk.operators import kernel, ml, store
 from panelrisk.operators import regimes as rg
 from panelrisk.operators.ml import BoostSpec, ForestSpec
 
@@ -51,7 +51,7 @@ def test_report_has_all_models_without_errors(fitted, panel):
 def test_hybrid_is_half_forest_half_decline(fitted, panel):
     rows = eco.predict_one(fitted["hybrid"], panel, PANEL, origin="train").collect()
     assert all(r.y_pred == pytest.approx(0.5 * r.y_ml + 0.5 * r.y_decline) for r in rows)
-    params = {k: (q, lam, n) for k, q, lam, n in fitted["hybrid"].decline}
+    params = {r.k: (r.q, r.lam, r.n) for r in fitted["hybrid"].decline.collect()}
     late = eco.predict_one(fitted["hybrid"], panel, PANEL).where("k = 1").orderBy("d").collect()
     q, lam, n = params[1]
     assert [r.y_decline for r in late] == pytest.approx([q * math.exp(-lam * (n + i)) for i in range(n)])
@@ -63,7 +63,7 @@ def test_kernel_follows_a_smooth_function(spark):
     df = spark.createDataFrame(data, "k int, d date, a double, b double, c double").coalesce(1)
     f = eco.train_all(df, [eco.ModelSpec("kernel", "kernel", "c")], PANEL)["kernel"]
     mae = eco.predict_one(f, df, PANEL).agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred")))).first()[0]
-    assert mae < 0.15 and [c for c, _ in f.scores] == list(eco.C_GRID)
+    assert mae < 0.15 and [(c, g) for c, g, _, _ in f.scores] == [(c, g) for c in kernel.C_GRID for g in kernel.GAMMA_GRID]
 
 
 def test_save_load_gives_equal_predictions(spark, fitted, panel, tmp_path):
@@ -139,3 +139,115 @@ def test_disaggregation_equals_dense_least_squares(spark):
     beta = np.linalg.pinv((c @ x).T @ g @ (c @ x)) @ (c @ x).T @ g @ np.array(y)
     want = x @ beta + c.T @ g @ (np.array(y) - c @ x @ beta)
     assert np.allclose(got, want)
+
+
+def test_outliers_pull_the_robust_loss_less(spark):
+    rng = random.Random(3)
+    data = []
+    for i in range(600):
+        x = rng.uniform(-2, 2)
+        y = math.sin(x)
+        data.append((0, i, x, y + (40.0 if rng.random() < 0.08 else rng.gauss(0, 0.02)), y))
+    df = spark.createDataFrame(data, "k int, d int, x double, y double, clean double").coalesce(2).cache()
+    errors = {}
+    for loss in kernel.LOSSES:
+        stats, weights, gamma, scores = kernel.search(df, "y", ["x"], "k", "d", loss, gammas=(0.5, "auto"))
+        p = kernel.predicted(df, stats, weights, gamma)
+        errors[loss] = p.agg(F.avg(F.abs(F.col("prediction") - F.col("clean")))).first()[0]
+        assert [(c, name) for c, name, _, _ in scores] == [(c, g) for c in kernel.C_GRID for g in ("0.5", "auto")]
+    df.unpersist()
+    assert errors["robust"] < 0.2 < errors["squared"]
+
+
+def test_unknown_loss_and_gammas(spark, panel):
+    with pytest.raises(ValueError, match="loss"):
+        kernel.search(panel, "c", ["a"], "k", "d", "odd")
+    stats = kernel.column_stats(panel.withColumn("same", F.lit(2.0)), ["a", "same"])
+    assert kernel.gamma_of(panel, {"a": stats["a"]}, "scale") == pytest.approx(1.0)
+    assert kernel.gamma_of(panel.withColumn("same", F.lit(2.0)), stats, "scale") == pytest.approx(1.0)
+    assert kernel.gamma_of(panel, stats, "auto") == 0.5 and kernel.gamma_of(panel, stats, 3) == 3.0
+
+
+def test_decline_state_is_a_table_of_all_keys(spark):
+    df = spark.range(60_000).select(
+        (F.col("id") % 20_000).alias("k"), F.floor(F.col("id") / 20_000).alias("d"),
+        (F.lit(500.0) * F.exp(-0.05 * F.floor(F.col("id") / 20_000))).alias("y"),
+    )
+    from panelrisk.operators.evaluate import decline_fit
+
+    for block in (None, 2):
+        got = decline_fit(df, "y", "k", "d", block=block)
+        row = got.agg(F.count("*"), F.min("q"), F.max("q"), F.min("lam"), F.max("lam"), F.max("n")).first()
+        assert row[0] == 20_000 and row[5] == 3
+        assert row[1:5] == pytest.approx((500.0, 500.0, 0.05, 0.05), rel=1e-6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_component_errors_of_the_hybrid(fitted, panel):
+    rows = eco.predict_one(fitted["hybrid"], panel, PANEL, origin="train").collect()
+    got = eco.hybrid_errors(fitted["hybrid"], panel, PANEL).first()
+    y = np.array([r.y_true for r in rows])
+    for name, p in (("mae", "y_pred"), ("mae_ml", "y_ml"), ("mae_decline", "y_decline")):
+        assert got[name] == pytest.approx(np.abs(y - np.array([r[p] for r in rows])).mean())
+    e = y - np.array([r.y_pred for r in rows])
+    assert got.rmse == pytest.approx(np.sqrt((e**2).mean())) and got.r2 == pytest.approx(1 - (e**2).sum() / ((y - y.mean()) ** 2).sum())
+    assert {r.k for r in eco.hybrid_errors(fitted["hybrid"], panel, PANEL, "k").collect()} == {0, 1, 2, 3}
+
+
+def test_a_failed_fit_is_neither_caught_nor_saved(spark, panel, monkeypatch, tmp_path):
+    from panelrisk.plans import queries_more as qm
+
+    spec = eco.ModelSpec("kernel", "kernel", "c")
+    whole = kernel.search
+
+    def lost(*args, **more):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(kernel, "search", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        qm.fitted_models(spark, panel, [spec], str(tmp_path), PANEL)
+    monkeypatch.setattr(kernel, "search", whole)
+    assert qm.fitted_models(spark, panel, [spec], str(tmp_path), PANEL)["kernel"].weights
+    bad = eco.ModelSpec("odd", "boosting", "nothing")
+    for _ in range(2):
+        assert qm.fitted_models(spark, panel, [bad], str(tmp_path), PANEL)["odd"].error
+    with pytest.raises(ValueError, match="odd"):
+        eco.save(eco.train_all(panel, [bad], PANEL), str(tmp_path / "m"), spark)
+
+
+def test_uncommitted_and_damaged_versions_are_not_read(spark, fitted, tmp_path):
+    path = str(tmp_path / "models")
+    with pytest.raises(store.NotSaved):
+        eco.load(path, spark)
+
+    def broken(folder):
+        fitted["hybrid"].decline.write.parquet(folder)
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        store.publish(spark, path, [], {"hybrid/decline": broken})
+    with pytest.raises(store.NotSaved):
+        eco.load(path, spark)
+    one = {"hybrid": fitted["hybrid"]}
+    eco.save(one, path, spark)
+    eco.save(one, path, spark)  # a second writer
+    first, second = [r.version for r in store.versions(spark, path).orderBy("version").collect()]
+    assert store.committed(spark, path)[0] == f"{path}/{first}" == store.committed(spark, path)[0]
+    fitted["hybrid"].decline.limit(1).write.mode("append").parquet(f"{path}/{first}/hybrid/decline")
+    assert store.committed(spark, path)[0] == f"{path}/{second}"
+    assert eco.load(path, spark)["hybrid"].decline.count() == fitted["hybrid"].decline.count()
+
+
+def test_equal_rows_do_not_cancel_in_the_mark(spark):
+    from panelrisk.plans.queries_more import rows_mark
+
+    a, b = (spark.createDataFrame([(x,) for x in xs], "x int") for xs in ((1, 1, 2), (7, 7, 2)))
+    assert rows_mark(a) != rows_mark(b) and rows_mark(a) == rows_mark(a.orderBy(F.desc("x")))
+
+
+def test_regimes_are_numbered_in_time_order(spark):
+    data = [(1990 + i, label) for i, label in enumerate([4, 4, 0, 0, 2, 2, 4])]
+    df = spark.createDataFrame([(dt.date(y, 1, 1), label) for y, label in data], "d date, regime int")
+    got = [r.regime for r in rg.in_time_order(df, "d", "regime").orderBy("d").collect()]
+    assert got == [0, 0, 1, 1, 2, 2, 0]  # the mean of 4 comes just before that of 0
