@@ -125,6 +125,12 @@ def pca_tables(model, cols, spark):
     return variance, loadings
 
 
+def variance_map(variance: DataFrame) -> DataFrame:
+    """One row: a map from each component to its share of the variance."""
+    pairs = F.array_sort(F.collect_list(F.struct("component", (F.col("variance_pct") / 100.0).alias("share"))))
+    return variance.agg(F.map_from_entries(pairs).alias("pca_variance"))
+
+
 def fit_concurrently(fits, workers: int = 4) -> list:
     """Run independent fits as concurrent Spark jobs (driver threads); the
     scheduler interleaves their stages across the cluster."""

@@ -5,15 +5,19 @@ per-cluster sufficient statistics — count n_c, vector sum S_c and sum of
 squared norms Q_c — so every point-to-cluster quantity is O(k·D) per point:
 no pairwise self-join. The k × D statistics (bounded by the number of
 clusters and the dimension, not by the data) reach every row as one
-scalar subquery.
+scalar subquery. The Euclidean silhouette meets points block by block.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ..specs import REGIME_FALLBACK, REGIME_NAMES
+from .stats import small
 
 
 def _dot(a, b):
@@ -74,14 +78,101 @@ def cluster_inertia(points: DataFrame, features: str = "features", label: str =
     return joined.groupBy(label).agg(F.any_value("n").alias("n"), F.sum(_norm2(diff)).alias("inertia"))
 
 
-def silhouette(points: DataFrame, features: str = "features", label: str = "label", id_col: str = "vec_id") -> DataFrame:
-    """K2: silhouette per point with squared Euclidean distance, exact.
+#: Points on one side of a block pair.
+BLOCK = 512
+
+
+def _distance_sums(group: pa.Table) -> pa.Table:
+    """(id, c, total): the summed distances of a block of points to a block of a
+    cluster's; a block without its partner gives none."""
+    sides = {r["side"]: r for r in group.to_pylist()}
+    ids, total, c = [], [], None
+    if len(sides) == 2:
+        c, ids = sides["points"]["c"], sides["points"]["ids"]
+        x, y = np.array(sides["points"]["xs"], float), np.array(sides["cluster"]["xs"], float)
+        total = [float(np.sqrt(((y - row) ** 2).sum(axis=1)).sum()) for row in x]
+    kind = group.schema.field("ids").type.value_type
+    return pa.table({"id": pa.array(ids, kind), "c": pa.array([c] * len(ids), group.schema.field("c").type), "total": pa.array(total, pa.float64())})
+
+
+def _mean_distances(wanted: DataFrame, points: DataFrame) -> DataFrame:
+    """(id, c, total) for every wanted (id, x, c): the point's distances to all
+    points of the cluster, block against block.
+
+    Every pair of blocks is a group of two rows, so that neither a large cluster
+    nor a point asked for by many is one task.
+    """
+
+    def blocked(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
+        """(c, part, ids, xs): the rows of a cluster in blocks, and their number."""
+        parts = materialize(rows.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))
+        dealt = rows.join(small(parts), "c").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        held = dealt.groupBy("c", "part").agg(F.collect_list(F.struct("id", "x")).alias("held"))
+        return materialize(held.select("c", "part", F.col("held.id").alias("ids"), F.col("held.x").alias("xs"), F.lit(side).alias("side"))), parts
+
+    asked, n_asked = blocked(wanted, "points")
+    held, n_held = blocked(points, "cluster")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    left = asked.join(small(n_held), "c").select("c", F.col("part").alias("a"), other, "side", "ids", "xs").withColumnRenamed("other", "b")
+    right = held.join(small(n_asked), "c").select("c", F.col("part").alias("b"), other, "side", "ids", "xs").withColumnRenamed("other", "a")
+    pairs = left.unionByName(right)
+    schema = f"id {wanted.schema['id'].dataType.simpleString()}, c {wanted.schema['c'].dataType.simpleString()}, total double"
+    return pairs.groupBy("c", "a", "b").applyInArrow(_distance_sums, schema).groupBy("id", "c").agg(F.sum("total").alias("total"))
+
+
+def euclidean_silhouette(points: DataFrame, features: str = "features", label: str = "label", id_col: str = "vec_id") -> DataFrame:
+    """K2: silhouette per point with Euclidean distance, exact.
+
+    Only clusters that can be a point's nearest are met. By the triangle inequality
+    a point's mean distance to a cluster is at least its distance to the centroid,
+    and at most the root of its mean squared distance; both come from the cluster's
+    sums. A cluster whose least value exceeds another one's greatest is left out.
+    Ids must be unique. A point alone in its cluster scores 0.
+    """
+    st = materialize(cluster_stats(points, features, label))
+    packed = st.agg(F.collect_list(F.struct(F.col(label).alias("c"), "n", "Q", "S")).alias("cs")).scalar()
+    named = points.select(F.col(id_col).alias("id"), F.col(label).alias("own"), F.col(features).alias("x"))
+
+    def bounds(c):
+        apart = _norm2(F.zip_with(F.col("x"), c["S"], lambda v, s: v - s / c["n"]))
+        spread = F.greatest(c["Q"] / c["n"] - _norm2(c["S"]) / (c["n"] * c["n"]), F.lit(0.0))
+        return F.struct(c["c"].alias("c"), F.sqrt(apart).alias("least"), F.sqrt(apart + spread).alias("most"))
+
+    others = F.transform(F.filter("cs", lambda c: c["c"] != F.col("own")), bounds)
+    judged = named.withColumn("cs", packed).withColumn("alone", F.exists("cs", lambda c: (c["c"] == F.col("own")) & (c["n"] == 1)))
+    near = judged.withColumn("others", others).withColumn("edge", F.array_min(F.transform("others", lambda o: o["most"])))
+    slack = 1 + 1e-9  # rounding of the bounds
+    met = F.transform(F.filter("others", lambda o: o["least"] <= F.col("edge") * slack), lambda o: o["c"])
+    wanted = near.where(~F.col("alone")).select("id", "x", F.explode(F.concat(F.array("own"), met)).alias("c"))
+    cluster = named.select("id", F.col("own").alias("c"), "x")
+    totals = _mean_distances(wanted, cluster).join(named.select("id", "own"), "id").join(
+        st.select(F.col(label).alias("c"), "n"), "c"
+    )
+    inside = F.col("c") == F.col("own")
+    ab = totals.groupBy("id").agg(
+        F.max(F.when(inside, F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~inside, F.col("total") / F.col("n"))).alias("b")
+    )
+    s = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise(
+        (F.col("b") - F.col("a")) / F.greatest("a", "b")
+    )
+    return named.join(ab, "id", "left").select(F.col("id").alias(id_col), F.col("own").alias(label), s.alias("silhouette"))
+
+
+def silhouette(
+    points: DataFrame, features: str = "features", label: str = "label", id_col: str = "vec_id", metric: str = "squared"
+) -> DataFrame:
+    """K2: silhouette per point, exact: ``metric="euclidean"`` as surveyed (see
+    ``euclidean_silhouette``), or ``"squared"`` distance from the clusters' sums.
 
     Mean squared distance from x to cluster c is (n_c|x|² - 2x·S_c + Q_c)
     divided by n_c (other clusters) or n_c - 1 (own cluster). s = (b - a) /
     max(a, b); a point alone in its cluster scores 0. Returns one row per
     point; average it for the overall score.
     """
+    if metric not in ("squared", "euclidean"):
+        raise ValueError("metric must be 'squared' or 'euclidean'")
+    if metric == "euclidean":
+        return euclidean_silhouette(points, features, label, id_col)
     st = cluster_stats(points, features, label)
     packed = st.agg(F.collect_list(F.struct(F.col(label).alias("c"), "n", "Q", "S")).alias("cs")).scalar()
     x = F.col(features)
@@ -107,9 +198,11 @@ def silhouette(points: DataFrame, features: str = "features", label: str = "labe
     return df.select(id_col, label, s.alias("silhouette"))
 
 
-def silhouette_score(points: DataFrame, features: str = "features", label: str = "label", id_col: str = "vec_id") -> DataFrame:
+def silhouette_score(
+    points: DataFrame, features: str = "features", label: str = "label", id_col: str = "vec_id", metric: str = "squared"
+) -> DataFrame:
     """Overall silhouette (mean over points); 0 with a single cluster."""
-    return silhouette(points, features, label, id_col).agg(F.avg("silhouette").alias("silhouette"))
+    return silhouette(points, features, label, id_col, metric).agg(F.avg("silhouette").alias("silhouette"))
 
 
 def regime_summary(df: DataFrame, cols, label: str = "regime_name") -> DataFrame:

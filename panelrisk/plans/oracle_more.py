@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle import PANEL_METRICS, oracle, round_cols
-from .sqlparts import D, EVENTS_DAILY, PANEL_QUARTER, PANEL_YEAR, RISK_PANEL, cte, r2, r6
+from .sqlparts import D, EVENTS_DAILY, PANEL_QUARTER, PANEL_YEAR, RISK_PANEL, cte, r2, r4, r6
 
 CUT_YEAR = 1997
 FIRST_ROWS = 16
@@ -31,8 +31,9 @@ def o_profile_table():
 
 @oracle("profile_sample")
 def o_profile_sample():
-    cols = "l_orderkey, l_linenumber, l_quantity, l_returnflag"
-    return f"SELECT {cols} FROM lineitem ORDER BY {cols} LIMIT 5"
+    first = "l_orderkey, l_linenumber, "
+    rest = ", ".join(c for c in LINEITEM_COLS if c not in ("l_orderkey", "l_linenumber"))
+    return f"SELECT * FROM lineitem ORDER BY {first}{rest} LIMIT 5"
 
 
 @oracle("parse_period")
@@ -670,6 +671,25 @@ ab AS (SELECT vec_id, label, max(CASE WHEN c = label THEN m END) AS a, min(CASE
 SELECT {r6(f"avg(CASE WHEN a IS NULL OR b IS NULL THEN {D(0)} ELSE (b - a) / greatest(a, b) END)")} AS silhouette FROM ab"""
 
 
+# Every pair of points, with the distance itself.
+EUCLIDEAN = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+me AS (SELECT p.vec_id, p.label, q.label AS c, sum(list_distance(p.x, q.x)) AS total, count(*) AS n
+  FROM e p JOIN e q ON p.vec_id <> q.vec_id GROUP BY p.vec_id, p.label, q.label),
+ae AS (SELECT vec_id, label, max(CASE WHEN c = label THEN total / n END) AS a, min(CASE WHEN c <> label THEN total / n END) AS b
+  FROM me GROUP BY vec_id, label),
+se AS (SELECT vec_id, label, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ae)"""
+
+
+@oracle("silhouette_euclidean")
+def o_silhouette_euclidean():
+    return f"{cte(EUCLIDEAN)} SELECT vec_id, label, {r6('s')} AS silhouette FROM se"
+
+
+@oracle("silhouette_score_euclidean")
+def o_silhouette_score_euclidean():
+    return f"{cte(EUCLIDEAN)} SELECT {r6('avg(s)')} AS silhouette FROM se"
+
+
 @oracle("cluster_inertia")
 def o_cluster_inertia():
     return f"""{cte(PTS)},
@@ -709,6 +729,71 @@ SELECT count(risk_index) AS n_rows, 7 AS n_features_original, 20 AS n_features_f
   {r6("max(risk_index)")} AS risk_index_max FROM ri"""
 
 
+# ---------------------------------------------------------------- principal components SQL
+
+
+def pca_cte(k: int = 4, squarings: int = 45) -> str:
+    """Components by powers of the correlation matrix and deflation.
+
+    Squaring a symmetric matrix and dividing by its trace leads to v v' of its
+    leading eigenvector; v is the row of the largest diagonal entry, which makes
+    that entry positive. The matrix less its component gives the next one.
+    """
+    p = len(M)
+    z = ", ".join(f"(CAST({m} AS DOUBLE) - avg({m}) OVER ()) / stddev_pop({m}) OVER () AS z{i}" for i, m in enumerate(M))
+    rows = ", ".join("[" + ", ".join(f"avg(z{i} * z{j})" for j in range(p)) + "]" for i in range(p))
+    parts = [
+        PANEL_QUARTER,
+        PQ_DOUBLE,
+        f"z AS (SELECT nation_key, period_start, {z} FROM pq)",
+        f"c1 AS (SELECT [{rows}] AS c FROM z)",
+    ]
+    trace = f"list_sum(list_transform(range(1, {p + 1}), lambda i: m[i][i]))"
+    for n in range(1, k + 1):
+        parts.append(f"""p{n}(i, b) AS (
+  SELECT 0, c FROM c{n}
+  UNION ALL
+  SELECT i + 1, list_transform(m, lambda r: list_transform(r, lambda x: x / {trace}))
+  FROM (SELECT i, list_transform(b, lambda r: list_transform(b, lambda q: list_dot_product(r, q))) AS m FROM p{n} WHERE i < {squarings}))""")
+        parts.append(f"""d{n} AS (SELECT b, list_transform(range(1, {p + 1}), lambda i: b[i][i]) AS d FROM p{n} WHERE i = {squarings})""")
+        parts.append(f"""v{n} AS (SELECT {n} AS k, list_transform(b[list_position(d, list_max(d))], lambda x: x / sqrt(list_max(d))) AS v FROM d{n})""")
+        parts.append(f"""e{n} AS (SELECT k, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) AS lam FROM v{n}, c{n})""")
+        parts.append(f"""c{n + 1} AS (SELECT list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 1}), lambda j: c[i][j] - lam * v[i] * v[j])) AS c
+  FROM c{n}, e{n})""")
+    parts.append("pc AS (" + " UNION ALL ".join(f"SELECT * FROM e{n}" for n in range(1, k + 1)) + ")")
+    return "WITH RECURSIVE " + ",\n".join(parts)
+
+
+PCA_VARIANCE = f"""SELECT 'PC' || k AS component, {D(100)} * lam / {len(M)} AS variance_pct,
+  {D(100)} * sum(lam) OVER (ORDER BY k) / {len(M)} AS cumulative_pct, sum(lam) OVER (ORDER BY k) / {len(M)} >= {D(0.8)} AS meets_target FROM pc"""
+
+
+@oracle("pca_variance")
+def o_pca_variance():
+    return f"{pca_cte()} SELECT component, {r4('variance_pct')} AS variance_pct, {r4('cumulative_pct')} AS cumulative_pct, meets_target FROM ({PCA_VARIANCE})"
+
+
+@oracle("feature_metadata_pca")
+def o_feature_metadata_pca():
+    return f"""{pca_cte()} SELECT count(*) AS n_components, {r4('max(cumulative_pct)')} AS variance_pct, bool_or(meets_target) AS meets_target
+FROM ({PCA_VARIANCE})"""
+
+
+@oracle("pca_loadings")
+def o_pca_loadings():
+    names = ", ".join(f"'{m}'" for m in M)
+    return f"""{pca_cte()} SELECT 'PC' || k AS component, unnest([{names}]) AS feature,
+  unnest(list_transform(v, lambda x: {r4('x')})) AS loading, unnest(list_transform(v, lambda x: abs(x) > {D(0.4)})) AS significant FROM pc"""
+
+
+@oracle("pca_scores")
+def o_pca_scores():
+    scores = ", ".join(
+        r4(" + ".join(f"z{i} * (SELECT v[{i + 1}] FROM e{n})" for i in range(len(M)))) + f" AS PC{n}" for n in range(1, 5)
+    )
+    return f"{pca_cte()} SELECT nation_key, period_start, {scores} FROM z"
+
+
 # ---------------------------------------------------------------- marts SQL
 
 

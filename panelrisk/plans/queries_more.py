@@ -46,8 +46,8 @@ def q_profile_table(spark, sf_dir):
 
 @register("profile_sample")
 def q_profile_sample(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
-    return po.sample_rows(li, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"])
+    li = read_table(spark, sf_dir, "lineitem")
+    return po.sample_rows(li, ["l_orderkey", "l_linenumber", *[c for c in li.columns if c not in ("l_orderkey", "l_linenumber")]])
 
 
 @register("parse_period")
@@ -458,6 +458,16 @@ def q_silhouette_score(spark, sf_dir):
     return rounded(rg.silhouette_score(labelled_points(spark, sf_dir)))
 
 
+@register("silhouette_euclidean")
+def q_silhouette_euclidean(spark, sf_dir):
+    return rounded(rg.silhouette(labelled_points(spark, sf_dir), metric="euclidean"))
+
+
+@register("silhouette_score_euclidean")
+def q_silhouette_score_euclidean(spark, sf_dir):
+    return rounded(rg.silhouette_score(labelled_points(spark, sf_dir), metric="euclidean"))
+
+
 @register("cluster_inertia")
 def q_cluster_inertia(spark, sf_dir):
     return rounded(rg.cluster_inertia(labelled_points(spark, sf_dir)))
@@ -696,26 +706,26 @@ def panel_pca(spark, sf_dir):
 @register("pca_scores")
 def q_pca_scores(spark, sf_dir):
     model, data = panel_pca(spark, sf_dir)
-    return ml.pca_scores(model, data, [KEY, "period_start"])
+    return rounded(ml.pca_scores(model, data, [KEY, "period_start"]), digits=4)
 
 
 @register("pca_variance")
 def q_pca_variance(spark, sf_dir):
     model, _ = panel_pca(spark, sf_dir)
-    return ml.pca_tables(model, PANEL_METRICS, spark)[0]
+    return rounded(ml.pca_tables(model, PANEL_METRICS, spark)[0], digits=4)
 
 
 @register("pca_loadings")
 def q_pca_loadings(spark, sf_dir):
     model, _ = panel_pca(spark, sf_dir)
-    return ml.pca_tables(model, PANEL_METRICS, spark)[1]
+    return rounded(ml.pca_tables(model, PANEL_METRICS, spark)[1], digits=4)
 
 
 @register("feature_metadata_pca")
 def q_feature_metadata_pca(spark, sf_dir):
     """The principal components' block of the feature metadata."""
     model, _ = panel_pca(spark, sf_dir)
-    variance = ml.pca_tables(model, PANEL_METRICS, spark)[0]
+    variance = rounded(ml.pca_tables(model, PANEL_METRICS, spark)[0], digits=4)
     return variance.agg(
         F.count("*").alias("n_components"),
         F.max("cumulative_pct").alias("variance_pct"),
@@ -723,6 +733,21 @@ def q_feature_metadata_pca(spark, sf_dir):
     )
 
 
+@register("feature_metadata_nested")
+def q_feature_metadata_nested(spark, sf_dir):
+    """The whole metadata as one row: a map of the components' variances, a
+    struct of the index statistics, and the numbers of columns."""
+    model, _ = panel_pca(spark, sf_dir)
+    variance = ml.pca_tables(model, PANEL_METRICS, spark)[0]
+    flat = q_feature_metadata(spark, sf_dir)
+    return flat.join(ml.variance_map(variance)).select(
+        "pca_variance",
+        F.struct(*[F.col(f"risk_index_{x}").alias(x) for x in ("mean", "std", "min", "max")]).alias("risk_index_stats"),
+        "n_features_original",
+        (F.col("n_features_final") + model.getK()).alias("n_features_final"),
+    )
+
+
 COMPONENTS = tuple(f"PC{i}" for i in range(1, 5))
 
 

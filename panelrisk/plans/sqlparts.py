@@ -120,6 +120,11 @@ def r2(x: str) -> str:
     return f"(round_even(({x}) * {D(100)}, 0) / {D(100)})"
 
 
+def r4(x: str) -> str:
+    """Four digits: components and errors."""
+    return f"(round_even(({x}) * {D(1e4)}, 0) / {D(1e4)})"
+
+
 def r6(x: str) -> str:
     """Edge rounding, bit-identical to Spark's rint(x * 1e6) / 1e6."""
     return f"(round_even(({x}) * {D(1e6)}, 0) / {D(1e6)})"

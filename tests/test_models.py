@@ -251,3 +251,28 @@ def test_regimes_are_numbered_in_time_order(spark):
     df = spark.createDataFrame([(dt.date(y, 1, 1), label) for y, label in data], "d date, regime int")
     got = [r.regime for r in rg.in_time_order(df, "d", "regime").orderBy("d").collect()]
     assert got == [0, 0, 1, 1, 2, 2, 0]  # the mean of 4 comes just before that of 0
+
+
+def test_euclidean_silhouette_of_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(rg, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 4, (6, 3))
+    pts = [(i, [float(v) for v in rng.normal(centres[i % 5], 1 + i % 3)], i % 5) for i in range(150)]
+    pts += [(900, [50.0, 0.0, 0.0], 7), (901, [1.0, 1.0, 1.0], 8), (902, [1.0, 1.0, 1.0], 8)]
+    x, labels = np.array([p for _, p, _ in pts]), np.array([c for _, _, c in pts])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {}
+    for k, (i, _, c) in enumerate(pts):
+        own = labels == c
+        a = d[k, own].sum() / (own.sum() - 1) if own.sum() > 1 else None
+        b = min(d[k, labels == o].mean() for o in set(labels.tolist()) if o != c)
+        want[i] = 0.0 if a is None else (b - a) / max(a, b)
+    df = spark.createDataFrame(pts, "vec_id long, features array<double>, label int")
+    got = {r.vec_id: r.silhouette for r in rg.silhouette(df, metric="euclidean").collect()}
+    assert got == pytest.approx(want)
+    assert rg.silhouette_score(df, metric="euclidean").first()[0] == pytest.approx(np.mean(list(want.values())))
+    one = df.where("label = 0")
+    assert {r.silhouette for r in rg.silhouette(one, metric="euclidean").collect()} == {0.0}
+    assert rg.silhouette(df.limit(0), metric="euclidean").collect() == []
+    with pytest.raises(ValueError, match="metric"):
+        rg.silhouette(df, metric="odd")
