@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import sum_columns
+from ..functions.exprs import round_to, sum_columns
 from ..specs import (
     FIXED_INDEX_B,
     INITIAL_DEFAULTS,
@@ -176,6 +176,25 @@ def scenario_collapse_share(proj: DataFrame, by) -> DataFrame:
     return proj.groupBy(*keys, "scenario").agg(F.avg(F.col("collapse").cast("double")).alias("collapse_share"))
 
 
+#: Columns of a scenario row that are shown with two digits.
+SCENARIO_DIGITS = (
+    "production", "debt_ratio", "reserves", "revenue_share", "vat_take", "deficit",
+    "employment", "rp_ratio", "exports", "investment", "risk_index",
+)
+
+
+def scenario_rounding(proj: DataFrame) -> DataFrame:
+    """Scenario rows at their digits (price and growth are given, not computed)."""
+    return proj.withColumns({c: round_to(c, 2) for c in SCENARIO_DIGITS if c in proj.columns})
+
+
+def summary_rounding(summary: DataFrame) -> DataFrame:
+    """A score summary at its digits: two, and one for the further means."""
+    two = {c: 2 for c in ("collapse_pct", "mean_score", "median_score", "std_score")}
+    digits = {c: two.get(c, 1) for c in summary.columns if c in two or c.startswith("mean_")}
+    return summary.withColumns({c: round_to(c, d) for c, d in digits.items()})
+
+
 def scenario_comparison(proj: DataFrame, by, yes_no=("SÍ", "NO")) -> DataFrame:
     """Final-year row per (key, scenario), capitalised name, yes/no."""
     keys = as_list(by)

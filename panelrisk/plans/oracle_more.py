@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle import PANEL_METRICS, oracle, round_cols
-from .sqlparts import D, EVENTS_DAILY, PANEL_QUARTER, PANEL_YEAR, RISK_PANEL, cte, r2, r4, r6
+from .sqlparts import D, EVENTS_DAILY, PANEL_QUARTER, PANEL_YEAR, RISK_PANEL, cte, r1, r2, r4, r6
 
 CUT_YEAR = 1997
 FIRST_ROWS = 16
@@ -451,7 +451,8 @@ PROJ_D = ["production", "price", "gdp_growth", "debt_ratio", "reserves", "revenu
 @oracle("scenario_projection")
 def o_scenario_projection():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
-SELECT nation_key, scenario, year, {all_r6(PROJ_D)}, collapse_score, collapse FROM proj"""
+SELECT nation_key, scenario, year, {r6("price")} AS price, {r6("gdp_growth")} AS gdp_growth,
+  {", ".join(f"{r2(c)} AS {c}" for c in PROJ_D if c not in ("price", "gdp_growth"))}, collapse_score, collapse FROM proj"""
 
 
 @oracle("scenario_collapse_share")
@@ -464,7 +465,7 @@ SELECT nation_key, scenario, {r6("avg(CAST(collapse AS DOUBLE))")} AS collapse_s
 def o_scenario_comparison():
     return f"""{cte(PANEL_QUARTER, RISK_PANEL, INITIAL, SCEN_VALUES, scenario_sql())}
 SELECT nation_key, upper(substr(scenario, 1, 1)) || lower(substr(scenario, 2)) AS scenario, year,
-  {all_r6(["production", "debt_ratio", "reserves", "risk_index"])}, collapse_score,
+  {", ".join(f"{r2(c)} AS {c}" for c in ("production", "debt_ratio", "reserves", "risk_index"))}, collapse_score,
   CASE WHEN collapse THEN 'SÍ' ELSE 'NO' END AS collapse
 FROM proj WHERE year = {H.end_year}"""
 
@@ -502,10 +503,10 @@ SELECT * FROM hg"""
 @oracle("path_summary")
 def o_path_summary():
     s = "CAST(score AS DOUBLE)"
-    means = ", ".join(f"{r6(f'avg(CAST({c} AS DOUBLE))')} AS mean_{c}" for c in ("production", "debt_ratio", "rp_ratio"))
+    means = ", ".join(f"{r1(f'avg(CAST({c} AS DOUBLE))')} AS mean_{c}" for c in ("production", "debt_ratio", "rp_ratio"))
     return f"""{scored_cte()}
-SELECT nation_key, count(*) AS n_obs, {r6(f"avg(CAST(breach AS DOUBLE)) * {D(100)}")} AS collapse_pct,
-  {r6(f"avg({s})")} AS mean_score, {r6(f"median({s})")} AS median_score, {r6(f"stddev_pop({s})")} AS std_score,
+SELECT nation_key, count(*) AS n_obs, {r2(f"avg(CAST(breach AS DOUBLE)) * {D(100)}")} AS collapse_pct,
+  {r2(f"avg({s})")} AS mean_score, {r2(f"median({s})")} AS median_score, {r2(f"stddev_pop({s})")} AS std_score,
   {means}
 FROM sp GROUP BY ALL"""
 
@@ -868,5 +869,6 @@ def o_run_summary():
 sh AS (SELECT nation_key, {shares} FROM proj GROUP BY nation_key)
 SELECT nation_key, n_quarters, {r6("risk_index_mean")} AS risk_index_mean, {r6("p_collapse_pct")} AS p_collapse_pct,
   CASE WHEN p < {D(0.3)} THEN 'VERDE' WHEN p < {D(0.6)} THEN 'AMARILLO' ELSE 'ROJO' END AS light,
-  share_optimistic, share_base, share_pessimistic
+  share_optimistic, share_base, share_pessimistic, (SELECT count(*) FROM panel_quarter) AS panel_rows,
+  (SELECT len(list(column_name)) FROM (DESCRIBE SELECT * FROM panel_quarter)) AS panel_columns
 FROM k JOIN sh USING (nation_key)"""

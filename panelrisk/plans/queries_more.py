@@ -92,11 +92,11 @@ def q_min_sample_gate(spark, sf_dir):
 INITIAL_COLS = ["production", "debt_ratio", "reserves", "deficit", "employment", "revenue_share", "vat_take"]
 
 
-def initial_conditions(spark, sf_dir):
+def initial_conditions(spark, sf_dir, panel=None):
     """Per-nation starting point for projections: the last panel quarter,
     mapped affinely into the surveyed numeric ranges; missing fields take the
     surveyed defaults."""
-    rp = risk_panel(spark, sf_dir)
+    rp = risk_panel(spark, sf_dir) if panel is None else panels.risk_roles(panel)
     mapped = rp.select(
         KEY,
         "period_start",
@@ -304,13 +304,13 @@ def q_scenario_grid(spark, sf_dir):
     )
 
 
-def projections(spark, sf_dir):
-    return pj.scenario_projection(initial_conditions(spark, sf_dir), KEY, REFERENCE_SCENARIOS, HORIZON)
+def projections(spark, sf_dir, panel=None):
+    return pj.scenario_projection(initial_conditions(spark, sf_dir, panel), KEY, REFERENCE_SCENARIOS, HORIZON)
 
 
 @register("scenario_projection")
 def q_scenario_projection(spark, sf_dir):
-    return rounded(projections(spark, sf_dir))
+    return rounded(pj.scenario_rounding(projections(spark, sf_dir)))
 
 
 @register("scenario_collapse_share")
@@ -320,7 +320,7 @@ def q_scenario_collapse_share(spark, sf_dir):
 
 @register("scenario_comparison")
 def q_scenario_comparison(spark, sf_dir):
-    return rounded(pj.scenario_comparison(projections(spark, sf_dir), KEY))
+    return pj.scenario_rounding(pj.scenario_comparison(projections(spark, sf_dir), KEY))
 
 
 @register("collapse_probability")
@@ -340,7 +340,7 @@ def q_score_histogram(spark, sf_dir):
 
 @register("path_summary")
 def q_path_summary(spark, sf_dir):
-    return rounded(pj.score_summary(scored_panel(spark, sf_dir), KEY, ("production", "debt_ratio", "rp_ratio")))
+    return pj.summary_rounding(pj.score_summary(scored_panel(spark, sf_dir), KEY, ("production", "debt_ratio", "rp_ratio")))
 
 
 @register("traffic_light")
@@ -403,8 +403,8 @@ def q_cv_folds(spark, sf_dir):
     return df.select(KEY, "period_start", "fold")
 
 
-def production_series(spark, sf_dir):
-    rp = quarter_panel(spark, sf_dir)
+def production_series(spark, sf_dir, panel=None):
+    rp = quarter_panel(spark, sf_dir) if panel is None else panel
     return rp.select(KEY, "period_start", (F.lit(4.7) * F.col("volume") / F.col("n_orders")).alias("production"))
 
 
@@ -799,10 +799,11 @@ def q_scenario_long(spark, sf_dir):
 
 @register("production_timeline")
 def q_production_timeline(spark, sf_dir):
-    hist = production_series(spark, sf_dir).groupBy(KEY, F.year("period_start").alias("year")).agg(
+    panel = materialize(quarter_panel(spark, sf_dir))  # one scan for history and projections
+    hist = production_series(spark, sf_dir, panel).groupBy(KEY, F.year("period_start").alias("year")).agg(
         F.avg("production").alias("production")
     )
-    return rounded(mt.production_timeline(hist, projections(spark, sf_dir), KEY))
+    return rounded(mt.production_timeline(hist, projections(spark, sf_dir, panel), KEY))
 
 
 def nation_kpis(spark, sf_dir):
@@ -823,4 +824,7 @@ def q_run_summary(spark, sf_dir):
     shares = pj.scenario_collapse_share(projections(spark, sf_dir), KEY)
     wide = shares.groupBy(KEY).pivot("scenario", [s.name for s in REFERENCE_SCENARIOS]).agg(F.first("collapse_share"))
     wide = wide.select(KEY, *[F.col(s.name).alias(f"share_{s.name}") for s in REFERENCE_SCENARIOS])
-    return rounded(k.join(wide, KEY).drop("p_collapse"))
+    panel = quarter_panel(spark, sf_dir)
+    shape = k.agg(F.sum("n_quarters").alias("n")).scalar()  # a row per nation and quarter
+    found = k.join(wide, KEY).drop("p_collapse")
+    return rounded(found.select("*", shape.alias("panel_rows"), F.lit(len(panel.columns)).alias("panel_columns")))

@@ -115,6 +115,10 @@ def rules_sql(ruleset, colmap=None) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
+def r1(x: str) -> str:
+    return f"(round_even(({x}) * {D(10)}, 0) / {D(10)})"
+
+
 def r2(x: str) -> str:
     """Two digits, as the surveyed tables show them."""
     return f"(round_even(({x}) * {D(100)}, 0) / {D(100)})"
