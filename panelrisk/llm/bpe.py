@@ -36,13 +36,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import kept_in_worker, materialize, tidy
 
 #: Units in the lexicon, and the bytes of the longest one.
 LEXICON_WORDS = 262_144
 LEXICON_BYTES = 48
-#: Distinct units a Python worker remembers, or counts, before it starts anew.
-UNIT_CACHE, COUNT_CACHE = 700_000, 400_000
+#: Bytes of units and ids that a Python worker remembers, and distinct units it
+#: counts, before it starts anew; what an entry takes besides its contents.
+CACHE_BYTES, COUNT_CACHE, ENTRY_BYTES = 128 << 20, 400_000, 150
 #: Texts looked up together.
 GROUP = 256
 
@@ -257,6 +258,7 @@ class Encoder:
         self.cut = regex.compile(PATTERN)
         self.special = re.compile("|".join(map(re.escape, sorted(tables.added, key=len, reverse=True)))) if tables.added else None
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # bytes of the cache
         #: A mark after a Latin letter is a pre-token of its own.
         self.marks = {m: _bytes(tables.word(m.encode())) for m in ".,;:!?"}
 
@@ -275,28 +277,34 @@ class Encoder:
             at = m.end()
         return _bytes(out + self.merged(text[at:]))
 
+    def remember(self, unit: str, ids: bytes) -> None:
+        self.cache[unit] = ids
+        self.held += ENTRY_BYTES + len(unit) + len(ids)
+
     def learn(self, new: list[str]) -> None:
         data = [b" " + u.encode() for u in new]
         numbers = self.lexicon.numbers(data).tolist() if self.lexicon else [-1] * len(new)
         for u, k in zip(new, numbers, strict=True):
             if k >= 0:
                 a, b = self.lexicon.start[k], self.lexicon.start[k + 1]
-                self.cache[u] = self.lexicon.ids[a:b].astype("<u4").tobytes()
+                self.remember(u, self.lexicon.ids[a:b].astype("<u4").tobytes())
             elif u[-1:] in self.marks and u[-2:-1].isalpha() and u[-2] < "\u0250":
                 stem = self.cache.get(u[:-1])
                 if stem is None:
-                    stem = self.cache[u[:-1]] = _bytes(self.merged(" " + u[:-1]))
-                self.cache[u] = stem + self.marks[u[-1]]
+                    stem = _bytes(self.merged(" " + u[:-1]))
+                    self.remember(u[:-1], stem)
+                self.remember(u, stem + self.marks[u[-1]])
             else:
-                self.cache[u] = _bytes(self.merged(" " + u))
+                self.remember(u, _bytes(self.merged(" " + u)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         for k in range(0, len(texts), GROUP):
             group = texts[k : k + GROUP]
             cut = [None if self.special and self.special.search(t) else units(t) for t in group]
-            if len(self.cache) > UNIT_CACHE:
+            if self.held > CACHE_BYTES:
                 self.cache.clear()
+                self.held = 0
             new: set[str] = set()
             for u in cut:
                 if u is not None:
@@ -315,15 +323,10 @@ class Encoder:
         return b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _worker_encoder(name: str, tables: Tables) -> Encoder:
-    """The one encoder of a Python worker; its memory of units outlives a task."""
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(tables, Transducer(SparkFiles.get(name)))
-    return _ENCODERS[name]
+    """The one encoder of a Python worker; its memory of units outlives a task, and
+    goes when the worker turns to another stage."""
+    return kept_in_worker(name, lambda: Encoder(tables, Transducer(SparkFiles.get(name))))
 
 
 def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -395,7 +398,6 @@ def encode_decode(
     sc.addFile(source)
     shared = sc.broadcast(tables)
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(name, shared.value)
         for batch in batches:
@@ -416,4 +418,4 @@ def encode_decode(
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run, name), schema)

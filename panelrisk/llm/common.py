@@ -66,15 +66,36 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def tidy(run):
-    """A batch function that hands Arrow's unused memory back when its task ends.
+#: What a Python worker keeps beyond its task, for one owner at a time.
+_KEPT: dict[str, object] = {}
 
-    Python workers outlive their tasks, and the pool would keep what the largest
-    batch took.
+
+def kept_in_worker(owner: str, make):
+    """The owner's object of this Python worker, made anew if another owner came
+    between: a worker never holds the memories of two stages."""
+    if owner not in _KEPT:
+        forget_others(owner)
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
+def forget_others(owner: str | None = None) -> None:
+    """Drop what other stages left in this worker."""
+    for other in [o for o in _KEPT if o != owner]:
+        del _KEPT[other]
+
+
+def tidy(run, owner: str | None = None):
+    """A batch function that leaves its worker small.
+
+    Python workers outlive their tasks. What an earlier stage kept in this one is
+    dropped first (all but the ``owner``'s own), and Arrow's unused memory, as much
+    as the largest batch took, is handed back when the task ends.
     """
 
     @functools.wraps(run)
     def wrapped(batches):
+        forget_others(owner)
         try:
             yield from run(batches)
         finally:
