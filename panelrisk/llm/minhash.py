@@ -35,13 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, tidy
+from .common import BROADCAST_ROWS, materialize, small, tidy
 
 #: Distinct words whose hashes a Python worker remembers before it starts anew.
 WORD_CACHE = 150_000
 
-#: Classes of a kind in one block around a hub.
-BLOCK = 256
+#: Classes of a kind in one block around a hub; keys that a hub's members are
+#: dealt over where hubs are too many to broadcast.
+BLOCK, SALTS = 256, 32
 
 _K1 = np.uint64(0x9E3779B97F4A7C15)
 _K2 = np.uint64(0xD6E8FEB86659FD93)
@@ -104,7 +105,7 @@ def _signatures(words: int, coords: int, seed: int):
         hashes, (a, b) = _WordHashes(), _permutations(coords, seed)
         for batch in batches:
             n, digest, sig = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), words, hashes)
                 n.append(len(s))
                 digest.append(
@@ -113,12 +114,13 @@ def _signatures(words: int, coords: int, seed: int):
                 sig.append(signature(s, a, b) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).cast(pa.int64()),
+                    batch.column(0),
+                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.array(digest, pa.int64()),
                     pa.array(sig, pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sig"],
+                names=["doc_id", "text_key", "n_shingles", "digest", "sig"],
             )
 
     return run
@@ -177,7 +179,9 @@ def near_duplicates(
     matches: int = 14,
     seed: int = 7,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, and besides
+    text_key (xxhash64 of the text) and group, which tells components of one
+    component_id apart where ids repeat (null for texts without a word).
 
     Texts are linked when ``100 * |A & B| >= percent * |A | B|`` on their full
     shingle sets. A pair at similarity 0.8 agrees in fewer than 14 of 48
@@ -185,9 +189,9 @@ def near_duplicates(
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(
-        base.mapInArrow(
+        base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
             _signatures(words, coords, seed),
-            "doc_id long, n_shingles long, digest long, sig array<int>",
+            "doc_id long, text_key long, n_shingles long, digest long, sig array<int>",
         )
     )
     classes = materialize(
@@ -229,14 +233,15 @@ def near_duplicates(
 
     named = classes.join(joined.withColumnRenamed("node", "digest"), "digest").select("digest", "label", "min_id")
     top = named.groupBy("label").agg(F.min("min_id").alias("top"))
-    linked = named.join(top, "label").select("digest", "top")
+    linked = named.join(top, "label").select("digest", "label", "top")
     own = classes.select("digest", "min_id").join(linked, "digest", "left").select(
-        "digest", F.coalesce("top", "min_id").alias("component")
+        "digest", F.coalesce("label", "digest").alias("group"), F.coalesce("top", "min_id").alias("component")
     )
     # Rows without a shingle stay out of the join: nulls would all meet in one task.
-    placed = rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(own, "digest", "left")
-    empty = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = placed.select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(empty)
+    placed = rows.where("digest is not null").drop("sig").join(own, "digest", "left")
+    none = F.lit(None).cast("long").alias("group")
+    empty = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", none)
+    found = placed.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "text_key", "group").union(empty)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -288,7 +293,7 @@ class _Verifier:
         named = labels.withColumnRenamed("node", "digest")
         members = met.join(named, "digest", "left").select("hub", "digest", F.coalesce("label", "digest").alias("label"))
         home = members.where("hub = digest").select("hub", F.col("label").alias("home"))
-        members = materialize(members.join(home, "hub").withColumn("out", F.col("label") != F.col("home")))
+        members = materialize(_hub_join(members, home).withColumn("out", F.col("label") != F.col("home")))
         sig = self.classes.select("digest", F.col("sig").cast("array<long>").alias("items"))
         near = _blocks(members, sig, _partners(self.matches), "hub long, digest long")
         members = materialize(members.join(near.distinct(), ["hub", "digest"], "left_semi"))
@@ -296,6 +301,17 @@ class _Verifier:
         return materialize(_blocks(members, sets, _links(self.percent), "a long, b long").distinct())
 
 
+def _hub_join(members: DataFrame, per_hub: DataFrame) -> DataFrame:
+    """Join rows of many hubs with one row per hub: broadcast where these are few,
+    else with every hub's members dealt over ``SALTS`` keys."""
+    per_hub = materialize(per_hub)
+    if per_hub.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return members.join(F.broadcast(per_hub), "hub")
+    salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int").alias("salt")
+    many = per_hub.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.select("*", salt).join(many, ["hub", "salt"]).drop("salt")
+
+
 def _blocks(members: DataFrame, items: DataFrame, fn, schema: str) -> DataFrame:
     """Apply ``fn`` to blocks of a hub's classes against blocks of its outsiders.
 
@@ -306,7 +322,7 @@ def _blocks(members: DataFrame, items: DataFrame, fn, schema: str) -> DataFrame:
     sizes = members.groupBy("hub").agg(
         F.ceil(F.count("*") / BLOCK).alias("bt"), F.ceil(F.count_if("out") / BLOCK).alias("bq")
     ).where("bq > 0")
-    held = members.join(sizes, "hub").join(items, "digest")
+    held = _hub_join(members, sizes).join(items, "digest")
     spread = F.pmod(F.xxhash64("digest"), F.lit(1 << 30))
     columns = ["hub", "t", "q", "query", "digest", "label", "items"]
     targets = held.withColumn("query", F.lit(False)).withColumn("t", spread % F.col("bt")).withColumn(

@@ -29,13 +29,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates (five words, 0.8).
 
-    Rows with a null id can't be named by the result and stay; rows that repeat
-    an id with the same text count as one document.
+    A row goes by its id and its text, so that other texts of a repeated id stay.
+    Of a group's texts under its smallest id one stays, and of rows that repeat an
+    id with the same text one. Rows with a null id can't be named and stay.
     """
-    found = near_duplicates(docs, words=5, percent=80)
-    gone = materialize(found.where("doc_id is not null and not kept").select("doc_id").distinct())
-    rest = docs.join(small(gone), "doc_id", "left_anti")
-    repeated = materialize(docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))
+    found = near_duplicates(docs, words=5, percent=80).where("doc_id is not null")
+    found = materialize(found.select("doc_id", "text_key", "group", "kept"))
+    stay = found.where("kept and group is not null").groupBy("doc_id", "group")
+    several = stay.agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first < last")
+    second = found.where("kept").join(several, ["doc_id", "group"]).where("text_key > first")
+    gone = materialize(found.where("not kept").union(second.select(found.columns)).select("doc_id", "text_key").distinct())
+    named = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_text"))
+    same = (docs["doc_id"] == F.col("__gone_id")) & (F.xxhash64(docs["text"]) == F.col("__gone_text"))
+    rest = docs.join(small(named), same, "left_anti")
+    repeated = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not repeated.limit(1).count():
         return rest.select(*docs.columns)
     once = rest.join(small(repeated), "doc_id", "left_anti")

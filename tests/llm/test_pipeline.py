@@ -66,6 +66,21 @@ def test_stage_edge_rows(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
 
 
+def test_dedup_of_repeated_ids_keeps_every_other_text(spark, sf):
+    """Against all pairs: one row of each group stays, whatever ids repeat."""
+    words = [f"word{i}" for i in range(60)]
+    b, near_b = " ".join(words), " ".join(words[:-1] + ["other"])
+    a, c = " ".join(words[::-1]), " ".join(w[::-1] for w in words)
+    rows = [(3, b), (5, b), (5, a), (7, c), (7, c.replace("0drow", "x")), (7, near_b), (8, a), (9, a[:-3]), (None, b), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = rows_of(stages.dedup_stage(spark, docs, sf))
+    left = [t for _, t in got]
+    assert (5, a) in got and (3, b) in got and (None, b) in got
+    assert sum(t in (b, near_b) for i, t in got if i is not None) == 1
+    assert sum(t in (a, a[:-3]) for t in left) == 1 and sum(i == 7 for i, _ in got) == 1
+    assert (5, "") in got and (5, None) in got
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     n = table(spark, sf, "documents").count()
