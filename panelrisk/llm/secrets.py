@@ -8,10 +8,10 @@ Besides the base kinds (assign, access, hex) three weak kinds are candidates:
 ``id`` (an access identifier given by name), ``opaque`` (a long mixed string, or
 an assigned value too short for the base) and ``endpoint`` (a service address).
 Parts are identifiers (access, id), secrets (assign, hex, opaque) and endpoints.
-An interval join links parts whose starts lie at most ``scope`` characters apart:
-parts are reduced to the least and greatest start of each role in each
-``scope``-wide bucket, and a candidate meets its own and the two neighbouring
-buckets. A weak identifier is reported if a secret is in its scope, a weak
+An interval join links parts that don't overlap and whose starts lie at most
+``scope`` characters apart: parts are dealt by ``scope``-wide buckets of their
+starts, and a candidate meets its own and the two neighbouring buckets. A weak
+identifier is reported if a secret is in its scope, a weak
 secret if an identifier is, an endpoint if both are.
 
 Equal texts are scanned for spans once. Cases: a null text counts as empty;
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import BROADCAST_ROWS, materialize
 
 #: Characters between the starts of parts that belong together.
 SCOPE = 400
@@ -96,26 +96,30 @@ def _spans_of(marked: DataFrame) -> DataFrame:
 
 
 def link_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak spans that have their complementary parts within the scope."""
+    """The weak spans that have their complementary parts within the scope.
+
+    A complement doesn't overlap the span: no value vouches for itself. Parts meet
+    within a ``scope``-wide bucket and its neighbours, so a span meets no more
+    parts than fit into three scopes of text.
+    """
     bucket = F.floor(F.col("start") / scope)
-    role = lambda kinds: F.col("kind").isin(_number(kinds))
-    roles = {"identifier": role(_IDENTIFIER), "secret": role(_SECRET)}
-    edges = [
-        agg(F.when(cond, F.col("start"))).alias(f"{name}_{side}")
-        for name, cond in roles.items()
-        for side, agg in (("lo", F.min), ("hi", F.max))
-    ]
-    parts = spans.groupBy("key", bucket.alias("near")).agg(*edges)
+    role = F.when(F.col("kind").isin(_number(_IDENTIFIER)), F.lit("identifier")).when(
+        F.col("kind").isin(_number(_SECRET)), F.lit("secret")
+    )
+    parts = (
+        spans.select("key", bucket.alias("near"), role.alias("role"), F.col("start").alias("from"), F.col("end").alias("to"))
+        .where("role is not null")
+        .distinct()
+    )
     weak = spans.where(F.col("kind").isin(_number(["id", "opaque", "endpoint"]))).withColumn(
         "near", F.explode(F.sequence(bucket - 1, bucket + 1))
     )
-    within = lambda name: F.coalesce(
-        (F.abs(F.col("start") - F.col(f"{name}_lo")) <= scope) | (F.abs(F.col("start") - F.col(f"{name}_hi")) <= scope), F.lit(False)
-    )
+    apart = (F.col("to") <= F.col("start")) | (F.col("from") >= F.col("end"))
     seen = (
         weak.join(parts, ["key", "near"])
+        .where(apart & (F.abs(F.col("start") - F.col("from")) <= scope))
         .groupBy("key", "kind", "start", "end")
-        .agg(F.bool_or(within("identifier")).alias("identifier"), F.bool_or(within("secret")).alias("secret"))
+        .agg(F.bool_or(F.col("role") == "identifier").alias("identifier"), F.bool_or(F.col("role") == "secret").alias("secret"))
     )
     wanted = (
         F.when(F.col("kind") == KINDS.index("id"), F.col("secret"))
@@ -171,6 +175,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _small_cuts(merged: DataFrame) -> DataFrame:
+    """Cuts are broadcast by their number in all texts, not by the texts."""
+    n = merged.agg(F.sum(F.size("__secret_cuts"))).first()[0] or 0
+    return F.broadcast(merged) if n <= BROADCAST_ROWS else merged
+
+
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every found span of the text column replaced by ``mask``.
 
@@ -201,6 +211,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
     masked = F.when(F.col("__secret_cuts").isNull(), text).otherwise(F.array_join(kept, mask))
     return (
         docs.withColumn("__secret_key", F.sha2(text, 256))
-        .join(small(merged), "__secret_key", "left")
+        .join(_small_cuts(merged), "__secret_key", "left")
         .select(*[masked.alias(c) if c == text_col else F.col(c) for c in docs.columns])
     )
