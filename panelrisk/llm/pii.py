@@ -6,12 +6,15 @@ other, email, ip, card and phone. Edges join neighbouring tokens, distant tokens
 of equal normal form, and tokens of equal shape (each to its last occurrence
 before, so that edges grow with the tokens). Tokens inside pattern matches are
 observed. Loopy belief propagation passes messages over all edges; tokens whose
-marginal for a label reaches ``SURE`` become further spans of that kind, adjacent
-ones together. So a number written again without its prefix takes the label it
+marginal for a label reaches ``SURE`` become further spans of that kind; parts of a
+card or phone number that follow each other become one span where together, and
+not alone, they have a number's digits. So a number written again without its prefix takes the label it
 has elsewhere in the document.
 
 Weights are trained by pseudo-likelihood on a bounded, documented sample of
-texts, with the pattern matches as labels.
+texts, with the pattern matches as labels: about equal numbers of texts that show
+each kind and of texts that show none. Equal nodes are counted in Spark; the driver
+gets at most about ``LEARN_NODES`` different ones.
 
 All patterns run in time proportional to the text. Cases: null and empty texts
 have no spans; texts without a digit or ``@`` need no field; rows are returned
@@ -32,11 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn_share, tidy
+from .common import drawn_share, materialize, tidy
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Documents to learn from, about; size of the hashed feature space.
-LEARN_DOCS, SPACE = 3000, 512
+#: Documents, and different nodes, to learn from, about; size of the hashed feature space.
+LEARN_DOCS, LEARN_NODES, SPACE = 3000, 300_000, 512
+#: What a text of each kind holds, roughly: to draw texts by.
+HINTS = {
+    "email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.",
+    "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11}",
+    "phone": r"\+[0-9][\x20().0-9-]{7}",
+}
 #: Rounds of messages, damping, marginal from which a span is added.
 ROUNDS, DAMPING, SURE = 8, 0.3, 0.9
 EDGE_KINDS = ["next", "equal", "similar"]
@@ -186,6 +196,19 @@ class Model:
         return p / p.sum(axis=1, keepdims=True)
 
 
+def whole_number(kind: int, text: str) -> bool:
+    """Whether a text has the digits of one card or phone number."""
+    digits = "".join(c for c in text if "0" <= c <= "9")
+    if KINDS[kind] == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return KINDS[kind] == "phone" and 9 <= len(digits) <= 15
+
+
+def joinable(kind: int, left: str, right: str, both: str) -> bool:
+    """Two parts of one number: together whole, and neither whole by itself."""
+    return whole_number(kind, both) and not whole_number(kind, left) and not whole_number(kind, right)
+
+
 def all_spans(text: str, model: Model | None) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans)."""
     base = base_spans(text)
@@ -202,8 +225,10 @@ def all_spans(text: str, model: Model | None) -> tuple[list[Span], list[Span]]:
         label = int(p[i].argmax())
         if f.labels[i] or not label or p[i, label] < SURE or b <= a:
             continue
-        if added and last == i - 1 and (last, i) in joined and added[-1][1] == label - 1:
-            added[-1] = (added[-1][0], label - 1, b)
+        start = added[-1][0] if added else a
+        follows = added and last == i - 1 and (last, i) in joined and added[-1][1] == label - 1
+        if follows and joinable(label - 1, text[start : added[-1][2]], text[a:b], text[start:b]):
+            added[-1] = (start, label - 1, b)
         else:
             added.append((a, label - 1, b))
         last = i
@@ -230,20 +255,17 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 near[j].append(kind * 8 + f.labels[i])
             inputs += f.inputs
             labels += f.labels
-            around += near
+            around += map(sorted, near)
         yield pa.RecordBatch.from_arrays(
             [pa.array(inputs, pa.list_(pa.int32())), pa.array(labels, pa.int32()), pa.array(around, pa.list_(pa.int32()))], names=["x", "y", "near"]
         )
 
 
-def fit_field(inputs: list[list[int]], labels: list[int], around: list[list[int]], steps: int = 250) -> Model:
+def fit_field(nodes: dict[tuple, int], steps: int = 250) -> Model:
     """Pseudo-likelihood: every node's label given its features and the labels
-    around it; equal nodes are trained once, by their number."""
+    around it. ``nodes``: the number of each (features, label, labels around)."""
     k = len(KINDS) + 1
-    counts: dict[tuple, int] = {}
-    for x, y, near in zip(inputs, labels, around, strict=True):
-        key = (tuple(x), y, tuple(sorted(near)))
-        counts[key] = counts.get(key, 0) + 1
+    counts = nodes
     keys = sorted(counts)
     weight = np.array([counts[q] for q in keys], np.float64)
     y = np.array([q[1] for q in keys])
@@ -272,21 +294,28 @@ def fit_field(inputs: list[list[int]], labels: list[int], around: list[list[int]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_docs: int = LEARN_DOCS) -> Model | None:
-    """Model of about ``learn_docs`` documents, drawn by a hash of their id from
-    those with a digit or an ``@``; None if there is none."""
+    """Model of about ``learn_docs`` documents with a digit or an ``@``, drawn by a
+    hash of their id: as many for each kind that texts show, and for those that
+    show none; None if there is nothing to learn from."""
     hinted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")
     )
-    n = hinted.count()
-    if not n:
+    shown = {k: F.col("text").rlike(pattern) for k, pattern in HINTS.items()}
+    shown["none"] = ~(shown["email"] | shown["ip"] | shown["card"] | shown["phone"])
+    counts = hinted.agg(*[F.count_if(c).alias(k) for k, c in shown.items()]).first()
+    present = [k for k in shown if counts[k]]
+    if not present:
         return None
-    rows = (
-        hinted.where(drawn_share(F.col("doc_id"), learn_docs / n, "pii"))
-        .select("text")
-        .mapInArrow(_training_rows, "x array<int>, y int, near array<int>")
-        .collect()
-    )
-    return fit_field([r.x for r in rows], [r.y for r in rows], [r.near for r in rows]) if rows else None
+    drawn = F.lit(False)
+    for k in present:
+        drawn = drawn | (shown[k] & drawn_share(F.col("doc_id"), learn_docs / len(present) / counts[k], f"pii {k}"))
+    each = hinted.where(drawn).select("text").mapInArrow(_training_rows, "x array<int>, y int, near array<int>")
+    nodes = materialize(each.groupBy("x", "y", "near").agg(F.count("*").alias("n")))
+    different = nodes.count()
+    if different > LEARN_NODES:
+        nodes = nodes.where(drawn_share(F.xxhash64("x", "y", "near"), LEARN_NODES / different, "nodes"))
+    held = {(tuple(r.x), r.y, tuple(r.near)): r.n for r in nodes.collect()}
+    return fit_field(held) if held else None
 
 
 def find_personal_data(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
