@@ -1,10 +1,11 @@
 """Toxicity: a counterfactual-regularised logistic classifier.
 
-Features are the words of a text and the beginnings of its words (4 and 5
-letters), present or absent anywhere in the whole text. Those that speak for or
-against label 1 beyond chance, in a bounded sample of labelled rows, are kept.
-The weights minimise logistic loss, a ridge term, and the squared score change
-under identity swaps: in labelled sentences that mention a group, the term is
+Features are the words of a text and the 4 and 5 letter pieces of its words, their
+ends marked, present or absent anywhere in the whole text; so a word that no
+learning row holds is known by its parts. All features that speak for or against
+label 1 beyond three standard errors, in a bounded sample of labelled rows, are
+kept. The weights minimise logistic loss, a ridge term, and the squared score change
+under identity swaps: in all labelled sentences that mention a group, the term is
 swapped for the others of its group, and every group's terms are swapped in a
 neutral sentence besides. So mentioning one group rather than another, or rather
 than ``people``, moves no score.
@@ -17,11 +18,11 @@ count each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tidy
 
-#: Labelled rows to learn from, features kept at most, and rows a feature needs.
-LEARN_ROWS, FEATURES, LEAST_ROWS = 12_000, 768, 3
+#: Labelled rows to learn from, rows a feature needs, and the standard errors by
+#: which it has to speak.
+LEARN_ROWS, LEAST_ROWS, ERRORS = 12_000, 3, 3.0
 #: Weight of a swap's squared score change, ridge, score from which it is toxic.
 SWAP_PENALTY, RIDGE, THRESHOLD = 10.0, 0.5, 0.7
-#: Distinct features a task counts before it hands them on.
-COUNT_CACHE = 400_000
+#: Distinct features a task counts before it hands them on, and words whose
+#: features it remembers.
+COUNT_CACHE, WORD_CACHE = 400_000, 50_000
 
 #: Groups of terms that may stand for one another; the first is the neutral one.
 IDENTITY_GROUPS = [
@@ -54,26 +57,38 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 
 
+@functools.lru_cache(WORD_CACHE)
+def word_features(word: str) -> tuple[str, ...]:
+    """The word, and the pieces of ``<word>``."""
+    marked = f"<{word}>"
+    return (word, *{f"~{marked[i : i + n]}" for n in (4, 5) for i in range(len(marked) - n + 1)})
+
+
 def features(text: str | None) -> set[str]:
-    words = set(_WORD.findall((text or "").lower()))
-    return words | {f"{w[:n]}*" for n in (4, 5) for w in words if len(w) > n}
+    return {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}
 
 
-@dataclass
 class Model:
-    index: dict[str, int]
-    weight: np.ndarray
-    base: float
+    def __init__(self, index: dict[str, int], weight: np.ndarray, base: float):
+        self.index, self.weight, self.base = index, weight, base
+        self.known: dict[str, frozenset[int]] = {}
+
+    def __reduce__(self):
+        return Model, (self.index, self.weight, self.base)
+
+    def of_word(self, word: str) -> frozenset[int]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= WORD_CACHE:
+                self.known.clear()
+            found = self.known[word] = frozenset(self.index[f] for f in word_features(word) if f in self.index)
+        return found
 
     def score(self, text: str | None) -> float:
         if not len(self.weight):
             return 0.0
-        index, words = self.index, _WORD.findall((text or "").lower())
-        held = set()
-        for w in set(words):
-            for f in (w, f"{w[:4]}*", f"{w[:5]}*"):
-                if f in index and (f is w or len(w) >= len(f)):
-                    held.add(index[f])
+        held: set[int] = set()
+        held.update(*map(self.of_word, set(_WORD.findall((text or "").lower()))))
         z = self.base + float(self.weight[sorted(held)].sum())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z + _EDGE))))
 
@@ -82,9 +97,8 @@ class Model:
 _EDGE = math.log(THRESHOLD / (1 - THRESHOLD)) - 1e-6
 
 
-def informative_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
-    """Features whose presence speaks for or against label 1 beyond chance:
-    those with the largest log-odds ratio less two and a half standard errors."""
+def informative_features(sample: DataFrame) -> list[str]:
+    """All features whose log-odds ratio for label 1 is beyond ``ERRORS`` standard errors."""
     rows = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = rows.get(0, 0), rows.get(1, 0)
     if not n0 or not n1:
@@ -119,57 +133,98 @@ def informative_features(sample: DataFrame, limit: int = FEATURES) -> list[str]:
         .groupBy("f")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .where(F.col("n0") + F.col("n1") >= LEAST_ROWS)
-        .withColumn("gain", F.abs(ratio) - 2.5 * error)
-        .where("gain > 0")
-        .orderBy(F.desc("gain"), "f")
-        .limit(limit)
+        .where(F.abs(ratio) > ERRORS * error)
     )
     return sorted(r.f for r in top.select("f").collect())
 
 
-def swaps(sentences: Iterable[str], index: dict[str, int]) -> np.ndarray:
-    """Feature differences between sentences and their identity-swapped forms."""
+Swap = tuple[tuple[int, int], ...]
+
+
+def swap_differences(sentences: Iterable[str], index: dict[str, int]) -> set[Swap]:
+    """Distinct feature differences, (feature, +1 or -1), between sentences and
+    their identity-swapped forms."""
     partners: dict[str, set[str]] = {}
     for group in IDENTITY_GROUPS:
         for term in group:
             partners.setdefault(term, set()).update(x for x in group if x != term)
-    rows: set[tuple[tuple[int, int], ...]] = set()
-    neutral = [f"they are {term} here" for term in sorted(partners)]
-    for sentence in [*sentences, *neutral]:
+    rows: set[Swap] = set()
+    for sentence in sentences:
         low = sentence.lower()
         before = features(low)
         for term in sorted(before & partners.keys()):
             for other in sorted(partners[term]):
                 after = features(re.sub(rf"\b{term}\b", other, low))
-                diff = {index[f]: 1 for f in before - after if f in index} | {index[f]: -1 for f in after - before if f in index}
-                if diff:
-                    rows.add(tuple(sorted(diff.items())))
-    out = np.zeros((len(rows), len(index)), np.float32)
-    for i, row in enumerate(sorted(rows)):
-        for j, v in row:
-            out[i, j] = v
-    return out
-
-
-def fit_weights(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, float]:
-    """Newton's method on logistic loss with balanced labels, ridge and swaps."""
+                gone = [(index[f], 1) for f in before - after if f in index]
+                if diff := gone + [(index[f], -1) for f in after - before if f in index]:
+                    rows.add(tuple(sorted(diff)))
+    return rows
+
+
+def neutral_sentences() -> list[str]:
+    return [f"they are {term} here" for term in sorted({t for g in IDENTITY_GROUPS for t in g})]
+
+
+class Sparse:
+    """Rows of (feature, value); products with vectors take time with the values."""
+
+    def __init__(self, rows: Iterable[Iterable[tuple[int, float]]], width: int):
+        rows = [list(r) for r in rows]
+        self.shape = (len(rows), width)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.column = np.array([c for r in rows for c, _ in r], np.int64)
+        self.value = np.array([v for r in rows for _, v in r], np.float64)
+
+    def dot(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * v[self.column], self.shape[0])
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * r[self.row], self.shape[1])
+
+
+def _solved(product, right: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Conjugate gradients with a diagonal scale."""
+    x, r = np.zeros_like(right), right.copy()
+    z = r / scale
+    p, rz = z.copy(), float(r @ z)
+    for _ in range(300):
+        if np.abs(r).max() <= 1e-4 * np.abs(right).max():
+            break
+        q = product(p)
+        step = rz / float(p @ q)
+        x += step * p
+        r -= step * q
+        z = r / scale
+        rz, old = float(r @ z), rz
+        p = z + rz / old * p
+    return x
+
+
+def fit_weights(x: Sparse, y: np.ndarray, d: Sparse) -> tuple[np.ndarray, float]:
+    """Newton's method on logistic loss with balanced labels, ridge and swaps; its
+    steps by conjugate gradients, so that no matrix of all features is made."""
     n, k = x.shape
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
-    fixed = np.zeros((k + 1, k + 1))
-    fixed[:k, :k] = RIDGE * np.eye(k) + SWAP_PENALTY * (d.T.astype(np.float64) @ d)
-    fixed[k, k] = 1e-6
+    ridge = np.append(np.full(k, RIDGE), 1e-6)
+
+    def fixed(v: np.ndarray) -> np.ndarray:
+        return ridge * v + np.append(SWAP_PENALTY * d.back(d.dot(v[:k])), 0.0)
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return x.dot(v[:k]) + v[k]
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        return np.append(x.back(r), r.sum())
+
+    swap_scale = SWAP_PENALTY * np.bincount(d.column, d.value**2, k)
     w = np.zeros(k + 1)
     for _ in range(30):
-        grad, hess = fixed @ w, fixed.copy()
-        for a in range(0, n, 1024):  # rows in blocks
-            xb = np.hstack([x[a : a + 1024].astype(np.float64), np.ones((len(x[a : a + 1024]), 1))])
-            s = share[a : a + 1024]
-            p = 1 / (1 + np.exp(-np.clip(xb @ w, -30, 30)))
-            grad += xb.T @ (s * (p - y[a : a + 1024]))
-            hess += (xb * (s * p * (1 - p) + 1e-9)[:, None]).T @ xb
-        step = np.linalg.solve(hess, grad)
+        p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        curve = share * p * (1 - p) + 1e-9
+        scale = ridge + np.append(x.back(curve) + swap_scale, curve.sum())
+        step = _solved(lambda v, c=curve: fixed(v) + backward(c * forward(v)), fixed(w) + backward(share * (p - y)), scale)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w[:k], float(w[k])
 
@@ -188,35 +243,40 @@ def dividing_point(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[at] + z[at + 1]) / 2)
 
 
-def fit(sample: DataFrame, limit: int = FEATURES) -> Model:
+def fit(sample: DataFrame) -> Model:
     """Model of a bounded sample (text, label); the driver gets, of each row, the
-    kept features and the sentences that mention a group."""
+    kept features, and the distinct swap differences of all its sentences."""
     sample = materialize(sample)
-    names = sorted({*informative_features(sample, limit), *(t for g in IDENTITY_GROUPS for t in g)})
-    index = {f: i for i, f in enumerate(names)}
     terms = {t for g in IDENTITY_GROUPS for t in g}
+    names = sorted({*informative_features(sample), *terms})
+    index = {f: i for i, f in enumerate(names)}
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, said = [], []
+            held, swapped = [], []
             for text in batch.column(0):
                 found = features(text.as_py())
                 held.append(sorted(index[f] for f in found if f in index))
-                said.append([s for s in _SENTENCE.split(text.as_py() or "") if features(s) & terms][:20] if found & terms else [])
+                said = _SENTENCE.split(text.as_py() or "") if found & terms else []
+                diffs = swap_differences((s for s in said if features(s) & terms), index)
+                swapped.append([[c if v > 0 else -1 - c for c, v in diff] for diff in sorted(diffs)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(held, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.string())), batch.column(1)], names=["held", "said", "label"]
+                [pa.array(held, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32()))), batch.column(1)],
+                names=["held", "swapped", "label"],
             )
 
-    rows = sample.select("text", "label").mapInArrow(run, "held array<int>, said array<string>, label int").collect()
+    seen = materialize(sample.select("text", "label").mapInArrow(run, "held array<int>, swapped array<array<int>>, label int"))
+    rows = seen.select("held", "label").collect()
     y = np.array([r.label for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, np.zeros(0), 0.0)
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r.held] = 1
-    weight, base = fit_weights(x, y, swaps((s for r in rows for s in r.said), index))
-    return Model(index, weight, base - dividing_point(x @ weight + base, y))
+    diffs = seen.select(F.explode("swapped").alias("d")).distinct().collect()
+    swaps = swap_differences(neutral_sentences(), index) | {tuple((c, 1) if c >= 0 else (-1 - c, -1) for c in r.d) for r in diffs}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].held, rows[i].label))  # whatever the order of tasks
+    x, y = Sparse([[(c, 1.0) for c in rows[i].held] for i in order], len(names)), y[order]
+    weight, base = fit_weights(x, y, Sparse(sorted(swaps), len(names)))
+    return Model(index, weight, base - dividing_point(x.dot(weight) + base, y))
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Column:

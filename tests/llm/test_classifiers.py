@@ -11,6 +11,7 @@ from panelrisk.llm.common import learning_rows, table
 from panelrisk.llm.queries import op1_language_id, op2_toxicity, op9_quality
 
 LARGER = "/root/testdata/sf0.01"
+LARGEST = "/root/testdata/sf0.1"
 needs_data = pytest.mark.skipif(not os.path.exists(LARGER), reason="test data not present")
 
 
@@ -29,10 +30,10 @@ def test_quality_held_out(spark):
 
 @needs_data
 def test_toxicity_held_out(spark):
-    got = op2_toxicity(spark, LARGER).join(table(spark, LARGER, "labels"), "doc_id").where("held_out")
+    got = op2_toxicity(spark, LARGEST).join(table(spark, LARGEST, "labels"), "doc_id").where("held_out")
     rows = got.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
     share = {r.toxic: r.p for r in rows}
-    assert share[1] > 0.6 and share[0] < 0.05
+    assert share[1] > 0.9 and share[0] < 0.01
 
 
 def test_language_edge_cases(spark, docs_of):
@@ -106,3 +107,32 @@ def test_learning_rows_leave_out_contradictions_and_held_out(spark):
 
     want = {(f"t{i}", i % 2) for i in range(200) if i != 4 and zlib.crc32(str(i).encode()) % 3 != 1}
     assert {(r.text, r.label) for r in rows.collect()} == want
+
+
+def test_all_sentences_of_a_long_text_are_swapped(spark):
+    """A group that only the last of many sentences mentions counts like any other."""
+    filler = "people walk here. " * 40
+    vile = [(f"{filler} {'women' if i % 2 else 'men'} zzgrub blorf.", 1) for i in range(40)]
+    fine = [(f"{filler} the {'day' if i % 2 else 'night'} was calm.", 0) for i in range(40)]
+    sample = spark.createDataFrame(vile + fine, "text string, label int")
+    model = toxicity.fit(sample)
+    assert abs(model.score("women were here") - model.score("men were here")) < 0.02
+    index = {f: i for i, f in enumerate(sorted({*toxicity.word_features("women"), *toxicity.word_features("men")}))}
+    late = toxicity.swap_differences(["x."] * 30 + ["women talk."], index)
+    assert late == toxicity.swap_differences(["women talk."], index) and late
+
+
+def test_sparse_newton_equals_dense(spark):
+    rng = np.random.default_rng(3)
+    dense = (rng.random((200, 12)) < 0.3).astype(float)
+    y = (dense[:, 0] + dense[:, 1] - dense[:, 2] + rng.normal(0, 0.5, 200) > 0.5).astype(float)
+    swap = np.array([[1.0, 0, -1, *[0] * 9], [0.0, 1, 0, -1, *[0] * 8]])
+    rows = lambda m: toxicity.Sparse([[(int(j), float(v)) for j, v in enumerate(r) if v] for r in m], m.shape[1])
+    w, b = toxicity.fit_weights(rows(dense), y, rows(swap))
+    full = np.append(w, b)
+    x = np.hstack([dense, np.ones((200, 1))])
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * 200
+    p = 1 / (1 + np.exp(-x @ full))
+    grad = x.T @ (share * (p - y)) + np.append(np.full(12, toxicity.RIDGE), 1e-6) * full
+    grad += np.append(toxicity.SWAP_PENALTY * swap.T @ (swap @ w), 0.0)
+    assert np.abs(grad).max() < 1e-2
