@@ -8,10 +8,11 @@ operations only.
    the item's number of words that holds enough of them for the threshold is cut
    out, in whatever order they stand (the whole document, if it is shorter). All
    other windows of the item's size have a similarity below the threshold.
-2. Fingerprints. A window's SimHash has 64 bits, each the majority of its words'
-   hash bits. It is cut into ``BLOCKS`` blocks; items are indexed under each
-   block and all its neighbours at a distance of up to radius / BLOCKS, so that
-   every item within ``radius`` bits shares an entry with the window.
+2. Fingerprints. A window's SimHash has 256 bits, each the majority of its words'
+   hash bits, in 16 blocks. Two fingerprints within 63 bits differ by at most three
+   bits in some block. Items are indexed under every block value with up to two bits
+   flipped, windows look up theirs with up to one flipped, so all such pairs meet;
+   two unrelated blocks meet in 1 % of the cases.
 3. Verification. Candidates are compared by weighted shingles: the sum of the
    lesser over the sum of the greater number of occurrences, at least
    ``percent`` / 100.
@@ -33,8 +34,11 @@ from pyspark.sql import functions as F
 from .common import materialize, small, stored
 
 WORDS, PERCENT = 5, 80
-#: Blocks of a fingerprint, their bits, and the greatest Hamming distance.
-BLOCKS, BLOCK_BITS, RADIUS = 8, 8, 23
+#: 64-bit parts of a fingerprint, its blocks, their bits, and the bits flipped in an
+#: item's and in a window's block.
+PARTS, BLOCKS, BLOCK_BITS, ITEM_FLIPS, WINDOW_FLIPS = 4, 16, 16, 2, 1
+#: Greatest Hamming distance at which a block with so few flips must exist.
+RADIUS = BLOCKS * (ITEM_FLIPS + WINDOW_FLIPS + 1) - 1
 
 
 def _words(text: Column) -> Column:
@@ -50,19 +54,26 @@ def _shingle_hashes(hashes: str, size: int) -> Column:
 
 
 def _fingerprint(hashes: str) -> Column:
-    ones = f"aggregate({hashes}, 0, (n, x) -> n + if((shiftright(x, b) & 1L) = 1L, 1, -1))"
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if({ones} > 0, shiftleft(1L, b), 0L))")
+    """Array of the fingerprint's 64-bit parts; each has word hashes of its own."""
+    ones = "aggregate(own, 0, (n, x) -> n + if((shiftright(x, b) & 1L) = 1L, 1, -1))"
+    bits = f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if({ones} > 0, shiftleft(1L, b), 0L))"
+    part = f"transform(array(transform({hashes}, x -> xxhash64(x, k))), own -> {bits})[0]"
+    return F.expr(f"transform(sequence(0, {PARTS - 1}), k -> {part})")
 
 
-def _block_values(fingerprint: Column) -> Column:
-    return F.array(
-        *(F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for b in range(BLOCKS))
-    )
+def _block_keys(fingerprint: str, flips: int) -> Column:
+    """Array of (words, block, value) as one number: every block's value, and all
+    values that differ from it by at most ``flips`` bits."""
+    masks = [sum(1 << i for i in c) for n in range(flips + 1) for c in combinations(range(BLOCK_BITS), n)]
+    a_part = BLOCKS // PARTS
+    value = f"shiftrightunsigned({fingerprint}[b div {a_part}], int(b % {a_part}) * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L"
+    named = f"shiftleft(wanted * {BLOCKS}L + b, {BLOCK_BITS}) | ((v ^ m))"
+    of_block = f"transform(array({value}), v -> transform(array({', '.join(f'{m}L' for m in masks)}), m -> {named}))[0]"
+    return F.expr(f"flatten(transform(sequence(0, {BLOCKS - 1}), b -> {of_block}))")
 
 
-def _neighbours(radius: int) -> list[int]:
-    """Masks of a block that flip at most radius / BLOCKS bits."""
-    return [sum(1 << i for i in c) for n in range(radius // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), n)]
+def _hamming(a: str, b: str) -> Column:
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
 
 
 def _shingles(words: str, size: str) -> str:
@@ -91,7 +102,6 @@ def contaminated(
     item_text_col: str = "text",
     words: int = WORDS,
     percent: int = PERCENT,
-    radius: int = RADIUS,
 ) -> DataFrame:
     """A row for each document and item it holds: doc_id, text_key, item_id,
     start_word, hamming, similarity (of the most similar window)."""
@@ -131,24 +141,24 @@ def contaminated(
     # Few bytes, but much work a row: dealt anew, so that it is spread over all tasks.
     dealt = cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_key", "wanted", "start")
     hashed = _once(dealt, "h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("ws", F.expr(_shingles("w", "size")))
-    prints = materialize(_once(hashed, "print", _fingerprint("h")).drop("h", "w"))
-
-    masks = F.array(*map(F.lit, _neighbours(radius)))
-    index = items.select("item", "item_id", "wanted", "vs", "item_print", F.posexplode(_block_values(F.col("item_print"))).alias("block", "v")).select(
-        "item", "item_id", "wanted", "vs", "item_print", "block", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("value")
-    )
-    probes = prints.select("*", F.posexplode(_block_values(F.col("print"))).alias("block", "value"))
-    hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    # A pair may share several entries; it is taken at the first block that meets.
-    near = F.expr(f"transform(sequence(0, {BLOCKS - 1}), b -> bit_count(shiftrightunsigned(print ^ item_print, b * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}L) <= {radius // BLOCKS})")
-    met = probes.join(index, ["wanted", "block", "value"]).where(
-        (hamming <= radius) & (F.array_position(near, True) == F.col("block") + 1)
+    prints = _once(hashed, "print", _fingerprint("h")).drop("h", "w")
+    prints = materialize(prints.withColumn("window", F.xxhash64("text_key", "wanted", "start")))
+
+    index = materialize(items.select("item", F.explode(_block_keys("item_print", ITEM_FLIPS)).alias("key")).distinct())
+    probes = prints.select("window", F.explode(_block_keys("print", WINDOW_FLIPS)).alias("key"))
+    met = materialize(probes.join(small(index), "key").select("window", "item").distinct())
+    known = items.select("item", "item_id", F.col("wanted").alias("item_wanted"), "vs", "item_print")
+    near = (
+        met.join(prints, "window")
+        .join(known, "item")
+        .withColumn("hamming", _hamming("print", "item_print"))
+        .where((F.col("wanted") == F.col("item_wanted")) & (F.col("hamming") <= RADIUS))
     )
     hits = (
-        _once(met, "shared", _shared())
+        _once(near, "shared", _shared())
         .withColumn("united", F.size("ws") + F.size("vs") - F.col("shared"))
         .where(100 * F.col("shared") >= percent * F.col("united"))
-        .select("text_key", "item", "item_id", "start", hamming.alias("hamming"), (F.col("shared") / F.col("united")).alias("similarity"))
+        .select("text_key", "item", "item_id", "start", "hamming", (F.col("shared") / F.col("united")).alias("similarity"))
     )
     best = hits.groupBy("text_key", "item", "item_id").agg(
         F.max(F.struct("similarity", -F.col("hamming"), -F.col("start"))).alias("b")
@@ -189,9 +199,9 @@ def _pairs(texts: DataFrame, placed: DataFrame, size: int, percent: int) -> Data
         .withColumn("before", F.coalesce(F.sum("n").over(rare_first), F.lit(0)))
         .where(100 * F.col("before") <= (100 - percent) * F.col("total"))
     )
-    indexed = materialize(indexed.groupBy("s").agg(F.collect_list("body").alias("bodies")))
+    indexed = materialize(indexed.select("s", "body").distinct())
     shingles = _text_shingles(texts, size).select("text_key", "s")
-    return shingles.join(small(indexed), "s").select("text_key", F.explode("bodies").alias("body")).distinct()
+    return shingles.join(small(indexed), "s").select("text_key", "body").distinct()
 
 
 def _windows(texts: DataFrame, pairs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:

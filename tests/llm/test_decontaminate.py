@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from panelrisk.llm.decontaminate import contaminated
+from pyspark.sql import functions as F
+
+from panelrisk.llm.decontaminate import ITEM_FLIPS, RADIUS, WINDOW_FLIPS, _block_keys, contaminated
 
 
 def brute(docs, items, words=5, percent=80):
@@ -54,7 +56,7 @@ def test_matches_brute_force(spark, docs_of):
     got = run(spark, docs_of, docs, items)
     assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items)
     assert sum(r.doc_id == 203 and r.item_id == 3 for r in got) == 2
-    assert all(0.8 <= r.similarity <= 1 and 0 <= r.hamming <= 15 for r in got)
+    assert all(0.8 <= r.similarity <= 1 and 0 <= r.hamming <= RADIUS for r in got)
 
 
 def test_long_document_and_empty_tables(spark, docs_of):
@@ -98,3 +100,22 @@ def test_fingerprints_at_the_limit(spark, docs_of):
     got = run(spark, docs_of, docs, items)
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(300)}
     assert any(r.hamming > 15 for r in got)
+
+
+def test_index_meets_all_within_the_radius_and_few_others(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        print_ = rng.getrandbits(256)
+        other = print_
+        for bit in rng.sample(range(256), RADIUS if i < 150 else 128):
+            other ^= 1 << bit
+        signed = lambda x: [int.from_bytes(((x >> 64 * k) & (2**64 - 1)).to_bytes(8, "big"), "big", signed=True) for k in range(4)]
+        rows.append((i, signed(print_), signed(other)))
+    df = spark.createDataFrame(rows, "i int, left array<long>, right array<long>").withColumn("wanted", F.lit(60))
+    shared = F.size(F.array_intersect(_block_keys("left", ITEM_FLIPS), _block_keys("right", WINDOW_FLIPS)))
+    got = {r.i: r.n for r in df.select("i", shared.alias("n")).collect()}
+    assert all(got[i] > 0 for i in range(150))
+    assert sum(got[i] > 0 for i in range(150, 300)) < 60
+    keys = df.where("i = 0").select(_block_keys("left", ITEM_FLIPS).alias("k")).first().k
+    assert len(keys) == len(set(keys)) == 16 * 137
