@@ -34,7 +34,9 @@ from .common import materialize, tidy
 
 #: Labelled rows to learn from, rows a feature needs, and the standard errors by
 #: which it has to speak.
-LEARN_ROWS, LEAST_ROWS, ERRORS = 12_000, 3, 3.0
+LEARN_ROWS, LEAST_ROWS, ERRORS = 6_000, 3, 3.0
+#: Most steps of the solver, and within each of them.
+NEWTON_STEPS, CG_STEPS = 15, 40
 #: Weight of a swap's squared score change, ridge, score from which it is toxic.
 SWAP_PENALTY, RIDGE, THRESHOLD = 10.0, 0.5, 0.7
 #: Distinct features a task counts before it hands them on, and words whose
@@ -166,20 +168,50 @@ def neutral_sentences() -> list[str]:
 
 
 class Sparse:
-    """Rows of (feature, value); products with vectors take time with the values."""
-
-    def __init__(self, rows: Iterable[Iterable[tuple[int, float]]], width: int):
+    """Entries (row, column, value), by row; products with vectors take time with
+    them. ``value`` is None where all are one. Indices have 32 bits."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray | None, shape: tuple[int, int]):
+        self.row, self.column = row.astype(np.int32, copy=False), column.astype(np.int32, copy=False)
+        self.value, self.shape = value, shape
+        order = np.argsort(self.column, kind="stable")
+        self.rows_by_column = self.row[order]
+        self.values_by_column = None if value is None else value[order]
+        held = np.bincount(self.row, minlength=shape[0]), np.bincount(self.column, minlength=shape[1])
+        self.filled = [np.flatnonzero(h) for h in held]
+        self.starts = [(np.cumsum(h) - h)[f] for h, f in zip(held, self.filled, strict=True)]
+
+    @classmethod
+    def of(cls, rows: Iterable[Iterable[tuple[int, float]]], width: int) -> Sparse:
         rows = [list(r) for r in rows]
-        self.shape = (len(rows), width)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.column = np.array([c for r in rows for c, _ in r], np.int64)
-        self.value = np.array([v for r in rows for _, v in r], np.float64)
+        flat = [x for r in rows for x in r]
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return cls(row, np.array([c for c, _ in flat], np.int64), np.array([v for _, v in flat], np.float64), (len(rows), width))
+
+    def merged(self, apart: np.ndarray) -> tuple[Sparse, np.ndarray]:
+        """Columns that stand in the same rows as one column, those in ``apart`` but
+        for themselves; and each column's new number."""
+        draws = np.random.default_rng(5).integers(1, 1 << 63, self.shape[0], dtype=np.uint64)
+        mark = np.zeros(self.shape[1], np.uint64)
+        np.add.at(mark, self.column, draws[self.row])
+        mark[apart] = np.arange(len(apart), dtype=np.uint64)  # sums of draws aren't that small
+        _, first, number = np.unique(mark, return_index=True, return_inverse=True)
+        keep = first[number[self.column]] == self.column
+        shape = (self.shape[0], len(first))
+        value = None if self.value is None else self.value[keep]
+        return Sparse(self.row[keep], number[self.column[keep]], value, shape), number
+
+    def _summed(self, side: int, terms: np.ndarray, values: np.ndarray | None) -> np.ndarray:
+        out = np.zeros(self.shape[side])
+        if len(terms):
+            out[self.filled[side]] = np.add.reduceat(terms if values is None else terms * values, self.starts[side])
+        return out
 
     def dot(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * v[self.column], self.shape[0])
+        return self._summed(0, v[self.column], self.value)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, self.value * r[self.row], self.shape[1])
+        return self._summed(1, r[self.rows_by_column], self.values_by_column)
 
 
 def _solved(product, right: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -187,8 +219,8 @@ def _solved(product, right: np.ndarray, scale: np.ndarray) -> np.ndarray:
     x, r = np.zeros_like(right), right.copy()
     z = r / scale
     p, rz = z.copy(), float(r @ z)
-    for _ in range(300):
-        if np.abs(r).max() <= 1e-4 * np.abs(right).max():
+    for _ in range(CG_STEPS):
+        if np.abs(r).max() <= 1e-3 * np.abs(right).max():
             break
         q = product(p)
         step = rz / float(p @ q)
@@ -202,10 +234,17 @@ def _solved(product, right: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def fit_weights(x: Sparse, y: np.ndarray, d: Sparse) -> tuple[np.ndarray, float]:
     """Newton's method on logistic loss with balanced labels, ridge and swaps; its
-    steps by conjugate gradients, so that no matrix of all features is made."""
+    steps by conjugate gradients, so that no matrix of all features is made.
+
+    Equal columns get equal weights, so m of them are fitted as one with an m-th of
+    the ridge, which then is dealt out.
+    """
+    x, number = x.merged(np.unique(d.column))
+    d = Sparse(d.row, number[d.column], d.value, (d.shape[0], x.shape[1]))
+    members = np.bincount(number, minlength=x.shape[1])
     n, k = x.shape
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * n
-    ridge = np.append(np.full(k, RIDGE), 1e-6)
+    ridge = np.append(RIDGE / members, 1e-6)
 
     def fixed(v: np.ndarray) -> np.ndarray:
         return ridge * v + np.append(SWAP_PENALTY * d.back(d.dot(v[:k])), 0.0)
@@ -216,17 +255,17 @@ def fit_weights(x: Sparse, y: np.ndarray, d: Sparse) -> tuple[np.ndarray, float]
     def backward(r: np.ndarray) -> np.ndarray:
         return np.append(x.back(r), r.sum())
 
-    swap_scale = SWAP_PENALTY * np.bincount(d.column, d.value**2, k)
+    swap_scale = SWAP_PENALTY * np.bincount(d.column, minlength=k)  # all values are 1 or -1
     w = np.zeros(k + 1)
-    for _ in range(30):
+    for _ in range(NEWTON_STEPS):
         p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
         curve = share * p * (1 - p) + 1e-9
         scale = ridge + np.append(x.back(curve) + swap_scale, curve.sum())
         step = _solved(lambda v, c=curve: fixed(v) + backward(c * forward(v)), fixed(w) + backward(share * (p - y)), scale)
         w -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
-    return w[:k], float(w[k])
+    return (w[:k] / members)[number], float(w[k])
 
 
 def dividing_point(z: np.ndarray, y: np.ndarray) -> float:
@@ -267,15 +306,16 @@ def fit(sample: DataFrame) -> Model:
             )
 
     seen = materialize(sample.select("text", "label").mapInArrow(run, "held array<int>, swapped array<array<int>>, label int"))
-    rows = seen.select("held", "label").collect()
-    y = np.array([r.label for r in rows], np.float64)
+    rows = seen.select("held", "label").orderBy(F.xxhash64("held", "label")).toArrow()  # whatever the order of tasks
+    y = rows["label"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, np.zeros(0), 0.0)
+    held = rows["held"].combine_chunks()
+    row = np.repeat(np.arange(len(y), dtype=np.int32), held.value_lengths().to_numpy())
+    x = Sparse(row, held.flatten().to_numpy(), None, (len(y), len(names)))
     diffs = seen.select(F.explode("swapped").alias("d")).distinct().collect()
     swaps = swap_differences(neutral_sentences(), index) | {tuple((c, 1) if c >= 0 else (-1 - c, -1) for c in r.d) for r in diffs}
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].held, rows[i].label))  # whatever the order of tasks
-    x, y = Sparse([[(c, 1.0) for c in rows[i].held] for i in order], len(names)), y[order]
-    weight, base = fit_weights(x, y, Sparse(sorted(swaps), len(names)))
+    weight, base = fit_weights(x, y, Sparse.of(sorted(swaps), len(names)))
     return Model(index, weight, base - dividing_point(x.dot(weight) + base, y))
 
 

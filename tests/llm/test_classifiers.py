@@ -125,11 +125,13 @@ def test_all_sentences_of_a_long_text_are_swapped(spark):
 def test_sparse_newton_equals_dense(spark):
     rng = np.random.default_rng(3)
     dense = (rng.random((200, 12)) < 0.3).astype(float)
+    dense[:, 9] = dense[:, 10] = dense[:, 8]  # equal columns share their weight
     y = (dense[:, 0] + dense[:, 1] - dense[:, 2] + rng.normal(0, 0.5, 200) > 0.5).astype(float)
     swap = np.array([[1.0, 0, -1, *[0] * 9], [0.0, 1, 0, -1, *[0] * 8]])
-    rows = lambda m: toxicity.Sparse([[(int(j), float(v)) for j, v in enumerate(r) if v] for r in m], m.shape[1])
+    rows = lambda m: toxicity.Sparse.of([[(int(j), float(v)) for j, v in enumerate(r) if v] for r in m], m.shape[1])
     w, b = toxicity.fit_weights(rows(dense), y, rows(swap))
     full = np.append(w, b)
+    assert w[8] == w[9] == w[10]
     x = np.hstack([dense, np.ones((200, 1))])
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * 200
     p = 1 / (1 + np.exp(-x @ full))
