@@ -14,7 +14,7 @@ occur at two positions anywhere are found in four steps:
    refinement (sort by eight bytes, then double the depth, only within groups
    that are still equal) and its common prefixes by Kasai's rule. Neighbours that
    share ``width`` bytes are repeats.
-4. *Merging.* A name with more bytes than a shard is dealt over several. First,
+4. *Merging.* A name with more bytes than two shards has shards of its own. First,
    strings of which no window's digest occurs twice leave; then every pair of its
    shards is merged by binary search of one's windows among the other's.
 
@@ -43,7 +43,7 @@ from .common import BROADCAST_ROWS, materialize, small, stored, tidy
 #: Bytes of the pieces whose least hash names a window.
 GRAM = 32
 #: Bytes of a shard, and of a piece of text that is hashed at a time.
-SHARD_BYTES, PIECE = 2 << 20, 1 << 20
+SHARD_BYTES, PIECE = 1 << 20, 1 << 20
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -346,26 +346,24 @@ def _dealt(strings: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     that fills several meet in one group for each pair of its parts."""
     size = F.sum(F.octet_length("content"))
     names = materialize(strings.groupBy("v").agg(size.alias("bytes")))
-    hot = names.where(F.col("bytes") > shard_bytes).select("v")
-    cold_bytes = names.where(F.col("bytes") <= shard_bytes).agg(F.sum("bytes")).first()[0] or 0
+    hot = names.where(F.col("bytes") > 2 * shard_bytes).select("v")
+    cold_bytes = names.where(F.col("bytes") <= 2 * shard_bytes).agg(F.sum("bytes")).first()[0] or 0
     n_shards = -(-cold_bytes // shard_bytes) or 1
     fields = ["v", "d", "c", "content"]
 
     def named(s: Column, a: Column, b: Column) -> Column:
         return F.struct(s.alias("s"), a.alias("a"), b.alias("b")).alias("shard")
 
-    zero = F.lit(0)
-    if not hot.limit(1).count():
-        cold = strings
-    else:
-        cold = strings.join(small(hot), "v", "left_anti")
-    cold = cold.select(named(F.pmod(F.xxhash64("v"), F.lit(n_shards)), F.lit(-1), F.lit(-1)), F.lit(-1).alias("part"), *fields)
-    if not hot.limit(1).count():
+    some_hot = hot.limit(1).count() > 0
+    cold = strings.join(small(hot), "v", "left_anti") if some_hot else strings
+    shard = named(F.pmod(F.xxhash64("v"), F.lit(n_shards)), F.lit(-1), F.lit(-1))
+    cold = cold.select(shard, F.lit(-1).alias("part"), *fields)
+    if not some_hot:
         return cold
     left = stored(_with_repeated_windows(strings.join(small(hot), "v", "left_semi"), width))
     parts = materialize(left.groupBy("v").agg(F.ceil(size / shard_bytes).cast("int").alias("parts")))
     dealt = left.join(small(parts), "v").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(zero, F.col("parts") - 1))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     met = dealt.withColumn("other", other)
     pair = named(F.col("v"), F.least("part", "other"), F.greatest("part", "other"))
     return cold.union(met.select(pair, "part", *fields))
