@@ -39,9 +39,11 @@ LEARN_ROWS, LEAST_ROWS, ERRORS = 6_000, 3, 3.0
 NEWTON_STEPS, CG_STEPS = 15, 40
 #: Weight of a swap's squared score change, ridge, score from which it is toxic.
 SWAP_PENALTY, RIDGE, THRESHOLD = 10.0, 0.5, 0.7
-#: Distinct features a task counts before it hands them on, and words whose
-#: features it remembers.
-COUNT_CACHE, WORD_CACHE = 400_000, 50_000
+#: Distinct features a task counts before it hands them on, words whose features it
+#: remembers while it learns, and words that a model remembers while it scores
+#: (nearly all of them without a kept feature, which all share one empty set).
+COUNT_CACHE, WORD_CACHE, SCORE_CACHE = 400_000, 50_000, 250_000
+_NONE: frozenset[int] = frozenset()
 
 #: Groups of terms that may stand for one another; the first is the neutral one.
 IDENTITY_GROUPS = [
@@ -81,16 +83,28 @@ class Model:
     def of_word(self, word: str) -> frozenset[int]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= WORD_CACHE:
+            if len(self.known) >= SCORE_CACHE:
                 self.known.clear()
-            found = self.known[word] = frozenset(self.index[f] for f in word_features(word) if f in self.index)
+            marked, index = f"<{word}>", self.index
+            kept = {index[word]} if word in index else set()
+            for n in (4, 5):
+                for i in range(len(marked) - n + 1):
+                    if (f := index.get("~" + marked[i : i + n])) is not None:
+                        kept.add(f)
+            found = self.known[word] = frozenset(kept) or _NONE
         return found
 
     def score(self, text: str | None) -> float:
         if not len(self.weight):
             return 0.0
         held: set[int] = set()
-        held.update(*map(self.of_word, set(_WORD.findall((text or "").lower()))))
+        known, words = self.known, set(_WORD.findall((text or "").lower()))
+        for w in words:
+            found = known.get(w)
+            if found is None:
+                found = self.of_word(w)
+            if found:
+                held |= found
         z = self.base + float(self.weight[sorted(held)].sum())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z + _EDGE))))
 
