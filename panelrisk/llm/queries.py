@@ -64,9 +64,8 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    score = quality.quality(docs, quality_model(spark, sf_dir))
-    return _predictions(docs, bucket_of(F.col("doc_id"), 4) == 2, score)
+    rows = quality.scored(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return _predictions(rows, bucket_of(F.col("doc_id"), 4) == 2, F.col("score"))
 
 
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,9 @@ from .secrets import redact_secrets
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the pairwise ranking scores 0.7 or more."""
     sample = learning_rows(docs, table(spark, sf_dir, "labels"), "quality", 4, 2, quality.LEARN_ROWS)
-    return docs.where(quality.quality(docs, quality.fit(sample)) >= quality.THRESHOLD)
+    model = quality.fit(sample)
+    strength = materialize(docs.select(quality.strengths(docs, model).alias("strength")))
+    return docs.where(quality.quality(docs, quality.with_threshold(model, strength)) >= quality.THRESHOLD)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,28 @@ def test_quality_edge_cases(spark, docs_of):
     assert nothing.score(np.array([quality.measures("x")]))[0] == 0.7
 
 
+def test_quality_threshold_is_a_quantile_of_all_documents(spark, docs_of):
+    """The threshold comes from every document, not from the learning rows alone."""
+    rows = [("a fine sentence about tea and rivers, number %d." % i, 1) for i in range(60)]
+    rows += [("### $$$ buy BUY BUY!!! %d ***" % i, 0) for i in range(20)]
+    model = quality.fit(spark.createDataFrame(rows, "text string, label int"))
+    docs = docs_of([(i, t) for i, (t, _) in enumerate(rows)] * 2 + [(900 + i, "rivers and tea %d ###" % i) for i in range(40)])
+    strength = [r.s for r in docs.select(quality.strengths(docs, model).alias("s")).collect()]
+    q = sorted(strength)
+    placed = quality.with_threshold(model, spark.createDataFrame([(s,) for s in strength], "strength double"))
+    mids = {(a + b) / 2 for a, b in zip(q, q[1:])} | {q[0]}
+    assert min(abs(placed.edge - m) for m in mids) < 1e-9 and 0 < placed.level < 1
+    errors = lambda e: sum(s < e for s, (_, y) in zip(strength, rows) if y == 1) / 60 + sum(s >= e for s, (_, y) in zip(strength, rows) if y == 0) / 20
+    assert errors(placed.edge) <= min(map(errors, mids)) + 1e-9
+    got = [r.score for r in quality.scored(docs, model).collect()]
+    assert sum(s < 0.7 for s in got) == sum(s < placed.edge for s in strength)
+    again = [r.s for r in docs.select(quality.quality(docs, placed).alias("s")).collect()]
+    assert sorted(again) == sorted(got)
+    nothing = quality.fit(spark.createDataFrame([], "text string, label int"))
+    assert {r.score for r in quality.scored(docs, nothing).collect()} == {0.7}
+    assert quality.scored(docs.limit(0), model).collect() == []
+
+
 def test_bradley_terry_recovers_an_order():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3))
