@@ -2,11 +2,13 @@
 
 Vectors are dealt by a hash of their id into shards of about ``shard_rows``;
 each shard becomes one ball tree (a row of the tree table). Queries are dealt
-into blocks. A block first searches one shard, which gives every query a kth
-score; with these scores it goes on through the other shards, a strip of them
-per task, and the kth score found so far is shared from shard to shard. Nodes
-are taken in the order of their upper bound q.c + |q| r and cut when it is below
-the kth score of every query of the block.
+into blocks, and blocks travel to the trees: a tree is sent once to every run of
+``GROUP`` blocks, a block to every shard. The search goes in rounds. In the first,
+each block searches one shard, another one for each block; then ``WIDEN`` times as
+many shards a round. After a round the kth score of every query over all shards so
+far goes with its block into the next one. Nodes are taken in the order of their
+upper bound q.c + |q| r and cut when it is below the kth score of every query of
+the block.
 
 Components become floor(256 * x) with x as double; scores are integer inner
 products, computed in double where all sums stay below 2**53 and in Python
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Vectors of a shard, of a leaf; queries of a block; shards of a strip.
-SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES, STRIP = 8192, 64, 256, 8
+#: Vectors of a shard, of a leaf; queries of a block.
+SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 8192, 64, 256
+#: Blocks that meet a tree in one task; how many times more shards each round takes.
+GROUP, WIDEN = 64, 8
 EXACT = 2.0**53
 
 
@@ -43,8 +47,8 @@ def quantize(values: np.ndarray) -> np.ndarray:
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
-    """The integers of ``x`` in two bytes each where they fit: trees are copied
-    to the tasks of every block."""
+    """The integers of ``x`` in two bytes each where they fit: trees and blocks
+    are copied to many tasks."""
     return x.astype(np.int16) if np.abs(x).max(initial=0.0) < 2**15 else x
 
 
@@ -158,37 +162,43 @@ def _tree_of(group: pa.Table) -> pa.Table:
 
 
 def _block_of(group: pa.Table) -> pa.Table:
-    data = _pack({"ids": group["id"].to_numpy(), "x": _matrix(group)})
+    data = _pack({"ids": group["id"].to_numpy(), "x": narrow(_matrix(group))})
     return pa.table({"dim": group["dim"][:1], "block": group["block"][:1], "queries": pa.array([data], pa.binary())})
 
 
-_RESULT = "dim int, block long, query_ids array<long>, kth array<double>, ids array<array<long>>, scores array<array<long>>"
+_FOUND = "dim int, block long, at int, query_id long, vec_id long, score long"
 
 
 def _search(k: int):
-    """Of a block and a strip of shards: what the block found there."""
-
-    def run(group: pa.Table) -> pa.Table:
-        q = _unpack(group["queries"][0].as_py())
-        kth = group["kth"][0].as_py()
-        best = Best(q["ids"], q["x"], k, None if kth is None else np.array(kth))
-        for i in np.argsort(group["shard"].to_numpy()).tolist():
-            best.search(_unpack(group["tree"][i].as_py()))
-        lists = pa.list_(pa.list_(pa.int64()))
-        return pa.table(
-            {
-                "dim": group["dim"][:1],
-                "block": group["block"][:1],
-                "query_ids": pa.array([q["ids"]], pa.list_(pa.int64())),
-                "kth": pa.array([best.kth], pa.list_(pa.float64())),
-                "ids": pa.array([[[v for _, v in f] for f in best.found]], lists),
-                "scores": pa.array([[[-s for s, _ in f] for f in best.found]], lists),
-            }
-        )
+    """Of a tree and the blocks that meet it here: what they find in it, a row each."""
+
+    def run(trees: pa.Table, blocks: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int, int, int]] = []
+        if trees.num_rows:
+            tree = _unpack(trees["tree"][0].as_py())
+            for block, data, known in zip(blocks["block"], blocks["queries"], blocks["kth"], strict=True):
+                q = _unpack(data.as_py())
+                kth = np.full(len(q["ids"]), -np.inf)
+                for r in known.as_py() or ():
+                    kth[r["at"]] = r["kth"]
+                best = Best(q["ids"], q["x"].astype(np.float64), k, kth)
+                best.search(tree)
+                out += [(block.as_py(), i, int(q["ids"][i]), v, -s) for i, f in enumerate(best.found) for s, v in f]
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        dim = pa.array([trees["t_dim"][0].as_py()] * len(out) if out else [], pa.int32())
+        arrays = [dim, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
+        return pa.table(arrays, names=["dim", "block", "at", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; cut down before the shuffle as well as after."""
+    best_first = Window.partitionBy("dim", "block", "at").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+
+
 def exact_top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -197,6 +207,7 @@ def exact_top_k(
     vec_col: str = "embedding",
     shard_rows: int = SHARD_ROWS,
     block_queries: int = BLOCK_QUERIES,
+    group: int = GROUP,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all rows for each query.
 
@@ -221,34 +232,22 @@ def exact_top_k(
         .groupBy("dim", "block")
         .applyInArrow(_block_of, "dim int, block long, queries binary")
     )
-    # A block's first shard is one that exists for its dimension.
-    home = trees.groupBy("dim").agg(F.min("shard").alias("home"))
-    asked = materialize(asked.join(home, "dim"))
-    seeded = materialize(
-        asked.withColumn("kth", F.lit(None).cast("array<double>"))
-        .withColumn("shard", F.col("home"))
-        .join(trees, ["dim", "shard"])
-        .groupBy("dim", "block")
-        .applyInArrow(_search(k), _RESULT)
-    )
-    rest = (
-        asked.join(seeded.select("dim", "block", "kth"), ["dim", "block"])
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-        .where("shard <> home")
-        .withColumn("strip", F.floor(F.col("shard") / STRIP))
-        .join(trees, ["dim", "shard"])
-        .groupBy("dim", "block", "strip")
-        .applyInArrow(_search(k), _RESULT)
-    )
-    found = (
-        seeded.union(rest)
-        .select("dim", "block", F.posexplode(F.arrays_zip("query_ids", "ids", "scores")).alias("at", "q"))
-        .select("dim", "block", "at", F.col("q.query_ids").alias("query_id"), F.explode(F.arrays_zip("q.ids", "q.scores")).alias("p"))
-        .select("dim", "block", "at", "query_id", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
-    )
-    best_first = Window.partitionBy("dim", "block", "at").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best_first))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    best = None
+    done, end = 0, 1
+    while done < shards:
+        asking = asked.withColumn("kth", F.lit(None).cast("array<struct<at:int,kth:long>>"))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).groupBy("dim", "block").agg(F.collect_list(F.struct("at", F.col("score").alias("kth"))).alias("kth"))
+            asking = asked.join(kth, ["dim", "block"], "left")
+        # Of block b the round takes the shards b + done to b + end - 1, in a ring.
+        pairs = asking.withColumn("step", F.explode(F.sequence(F.lit(done), F.lit(min(end, shards) - 1)))).select(
+            "dim", "block", "queries", "kth",
+            F.pmod(F.col("block") + F.col("step"), F.lit(shards)).cast("long").alias("shard"),
+            F.floor(F.col("block") / group).alias("part"),
+        )
+        meets = ["dim", "shard", "part"]
+        sent = pairs.select(*meets).distinct().join(trees, ["dim", "shard"]).select("tree", *[F.col(c).alias(f"t_{c}") for c in meets])
+        new = sent.groupBy("t_dim", "t_shard", "t_part").cogroup(pairs.groupBy(*meets)).applyInArrow(_search(k), _FOUND)
+        best = materialize(_best(new if best is None else best.drop("rank").unionByName(new), k))
+        done, end = end, end * (1 + WIDEN)
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -32,7 +32,10 @@ def test_matches_brute_force(spark):
     rows += [(401, [0.0] * 4), (402, [0.0] * 4), (405, [0.0] * 4), (17, rows[17][1]), (17, [9.0] * 4)]
     rows += [(None, [1.0] * 4), (500, None), (501, [1.0, None, 0.0, 0.0]), (505, [math.nan] * 4), (510, [math.inf] * 4)]
     rows += [(600 + i, [float(i), 1.0]) for i in range(3)]
-    assert run(spark, rows, shard_rows=50, block_queries=16) == brute(rows, 5, lambda i: i % 5 == 0)
+    want = brute(rows, 5, lambda i: i % 5 == 0)
+    assert run(spark, rows, shard_rows=50, block_queries=16) == want
+    # Three rounds of many small shards, a tree sent to several runs of blocks.
+    assert run(spark, rows, shard_rows=20, block_queries=8, group=2) == want
 
 
 def test_large_values_stay_exact(spark):
@@ -43,3 +46,23 @@ def test_large_values_stay_exact(spark):
 def test_fewer_candidates_and_empty(spark):
     assert run(spark, [(5, [1.0]), (6, [2.0])]) == [(5, 1, 6, 256 * 512)]
     assert run(spark, []) == []
+
+
+def test_kth_scores_travel_between_rounds(spark, monkeypatch):
+    """Shards of later rounds return fewer rows than a search without known scores."""
+    from panelrisk.llm import balltree
+
+    sizes = []
+    real = balltree._best
+
+    def counted(found, k):
+        sizes.append(found.count())
+        return real(found, k)
+
+    monkeypatch.setattr(balltree, "_best", counted)
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(600)]
+    got = run(spark, rows, shard_rows=30, block_queries=16)
+    assert got == brute(rows, 5, lambda i: i % 5 == 0)
+    queries = 120
+    assert len(sizes) == 3 and sizes[-1] < queries * 5 * 11 / 2
