@@ -1,10 +1,12 @@
 """URL verdicts: host and path rules, then a list of canonical URLs.
 
 The listed URLs go into a blocked Bloom filter: a URL's hash picks one 512-bit
-block and sets bits in that block only. The filter has a fixed number of blocks,
-whatever the list's length; every task checks its pages against a broadcast copy
-and marks possible hits. Only these go to an exact hash join with the list,
-which removes the false positives; all other pages skip the join's shuffle.
+block and sets bits in that block only. The number of blocks follows from the
+counted list, ``BITS_A_URL`` for each URL, up to a filter of 32 MiB; a longer list
+makes more false positives, never a wrong verdict. Every task checks its pages
+against a broadcast copy and marks possible hits. Only these go to an exact hash
+join with the list, which removes the false positives; all other pages skip the
+join's shuffle.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased. Path: then up to ``?``, ``#`` or the end. Canonical URL: host
@@ -27,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, tidy
 
-#: 512-bit blocks of the filter (2 MiB) and bits set for each URL.
-BLOCKS, BITS = 1 << 15, 6
+#: Least and most 512-bit blocks of the filter (64 KiB, 32 MiB), bits of the filter
+#: for each listed URL, and bits set for each.
+MIN_BLOCKS, MAX_BLOCKS, BITS_A_URL, BITS = 1 << 10, 1 << 19, 16, 6
 
 # Fixed value: the rules (verdict, host, path).
 RULES = [
@@ -81,7 +84,13 @@ def _masks(h: np.ndarray, blocks: int, bits: int) -> tuple[np.ndarray, np.ndarra
     return block, mask
 
 
-def bloom_filter(listed: DataFrame, blocks: int = BLOCKS, bits: int = BITS) -> np.ndarray:
+def filter_blocks(urls: int) -> int:
+    """Blocks for so many listed URLs: a power of two within the stated bounds."""
+    wanted = -(-urls * BITS_A_URL // 512)
+    return min(MAX_BLOCKS, max(MIN_BLOCKS, 1 << max(0, wanted - 1).bit_length()))
+
+
+def bloom_filter(listed: DataFrame, blocks: int, bits: int = BITS) -> np.ndarray:
     """(blocks, 8) words of the filter of ``listed.canonical``.
 
     Each task makes one partial filter; they are joined block by block, so that
@@ -108,11 +117,12 @@ def bloom_filter(listed: DataFrame, blocks: int = BLOCKS, bits: int = BITS) -> n
         .mapInArrow(run, schema)
         .groupBy("block")
         .agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)))
-        .collect()
+        .toArrow()
     )
     out = np.zeros((blocks, 8), np.uint64)
-    for r in rows:
-        out[r.block] = np.array(r[1:], np.int64).view(np.uint64)
+    at = rows["block"].to_numpy()
+    for i in range(8):
+        out[at, i] = rows[f"w{i}"].to_numpy().view(np.uint64)
     return out
 
 
@@ -123,7 +133,7 @@ def judge_urls(
     url_col: str = "url",
     listed_col: str = "url",
     rules=RULES,
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
     bits: int = BITS,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, possible_hit, listed.
@@ -133,6 +143,8 @@ def judge_urls(
     """
     listed_host, listed_path = host_and_path(F.col(listed_col))
     names = listed.select(canonical(listed_host, listed_path).alias("canonical")).where("canonical is not null").distinct()
+    names = materialize(names)  # the list is read once, for its number, the filter and the join
+    blocks = blocks or filter_blocks(names.count())
     shared = pages.sparkSession.sparkContext.broadcast(bloom_filter(names, blocks, bits))
 
     @tidy
@@ -148,11 +160,11 @@ def judge_urls(
         "page_id", host.alias("host"), path.alias("path")
     )
     name = canonical(F.col("host"), F.col("path"))
-    probed = rows.select(F.coalesce(F.xxhash64(name), F.lit(0)).alias("h"), "page_id", "host", "path", name.alias("name")).mapInArrow(
+    probed = rows.select(F.xxhash64(name).alias("h"), "page_id", "host", "path", name.alias("name")).mapInArrow(
         probe, "page_id long, host string, path string, name string, possible_hit boolean"
     )
-    # Only possible hits go through the join's shuffle.
-    probed = materialize(probed)
+    # Only possible hits go through the join's shuffle; pages without a canonical URL are none.
+    probed = materialize(probed.withColumn("possible_hit", F.col("possible_hit") & F.col("name").isNotNull()))
     sure = probed.where("not possible_hit").withColumn("listed", F.lit(False))
     hits = probed.where("possible_hit").join(names.select(F.col("canonical").alias("name"), F.lit(True).alias("listed")), "name", "left")
     exact = hits.select(*sure.columns).union(sure)

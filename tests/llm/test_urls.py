@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from panelrisk.llm.urls import _masks, bloom_filter, judge_urls
+from panelrisk.llm.urls import MAX_BLOCKS, MIN_BLOCKS, _masks, bloom_filter, filter_blocks, judge_urls
 
 
 def test_verdicts(spark):
@@ -63,3 +63,22 @@ def test_filter_has_no_false_negative_and_few_false_positives(spark):
     assert ((words[block] & mask) == mask).all()
     block, mask = _masks(h ^ np.int64(0x5555555555555555), 1 << 10, 6)
     assert ((words[block] & mask) == mask).all(axis=1).mean() < 0.05
+
+
+def test_filter_grows_with_the_list_up_to_its_bound():
+    sizes = [filter_blocks(n) for n in (0, 1, 30_000, 40_000, 1_000_000, 10**7, 10**8, 10**11)]
+    assert sizes == sorted(sizes) and sizes[0] == MIN_BLOCKS and sizes[-1] == MAX_BLOCKS
+    for n, blocks in ((40_000, sizes[3]), (1_000_000, sizes[4])):
+        assert 16 * n <= 512 * blocks < 32 * n
+
+
+def test_verdicts_do_not_depend_on_the_filter(spark):
+    """A filter of one block, full of false positives, leaves the same verdicts."""
+    pages = spark.range(3000).selectExpr("id as page_id", "if(id % 7 = 0, null, concat('http://h', id % 900, '.net/p')) as url")
+    listed = spark.range(400).selectExpr("concat('https://www.h', id * 2, '.net/p/') as url")
+    few, many = judge_urls(pages, listed, blocks=1), judge_urls(pages, listed)
+    plain = lambda df: sorted((r.page_id, r.verdict, r.listed) for r in df.collect())
+    want = sorted((i, "block" if hit else "allow", hit) for i in range(3000) for hit in [i % 7 != 0 and i % 900 < 800 and i % 900 % 2 == 0])
+    assert plain(few) == plain(many) == want
+    assert few.where("possible_hit").count() > many.where("possible_hit").count() >= many.where("listed").count()
+    assert many.where("possible_hit and host = ''").count() == 0
