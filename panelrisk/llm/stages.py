@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import quality
 from .bpe import encode_decode
-from .common import learning_rows, materialize, small, table
+from .common import learning_rows, materialize, small, stored, table
 from .decontaminate import contaminated
 from .minhash import near_duplicates
 from .queries import tokenizer_path
@@ -24,8 +24,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keep the documents that the pairwise ranking scores 0.7 or more."""
     sample = learning_rows(docs, table(spark, sf_dir, "labels"), "quality", 4, 2, quality.LEARN_ROWS)
     model = quality.fit(sample)
-    strength = materialize(docs.select(quality.strengths(docs, model).alias("strength")))
-    return docs.where(quality.quality(docs, quality.with_threshold(model, strength)) >= quality.THRESHOLD)
+    # Written with the documents, so that each text is measured once.
+    rated = stored(docs.withColumn("__strength", quality.strengths(docs, model)))
+    model = quality.with_threshold(model, rated.select(F.col("__strength").alias("strength")))
+    return rated.where(quality.score_of(F.col("__strength"), model) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
