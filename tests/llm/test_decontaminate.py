@@ -9,15 +9,22 @@ from panelrisk.llm.decontaminate import ITEM_FLIPS, RADIUS, WINDOW_FLIPS, _block
 
 
 def brute(docs, items, words=5, percent=80):
+    """All windows of all documents; an item is passed over only where the whole
+    document shares less with it than any union of the two could allow."""
     out = set()
     for doc, text in docs:
         w = (text or "").lower().split()
+        whole = {}
         for item, t in items:
             v = (t or "").lower().split()
             k = min(words, len(v))
             if not v or len(w) < k:
                 continue
             b = Counter(tuple(v[i : i + k]) for i in range(len(v) - k + 1))
+            if k not in whole:
+                whole[k] = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+            if 100 * sum(min(n, whole[k][x]) for x, n in b.items()) < percent * sum(b.values()):
+                continue
             for s in range(max(1, len(w) - len(v) + 1)):
                 part = w[s : s + len(v)]
                 a = Counter(tuple(part[i : i + k]) for i in range(len(part) - k + 1))
