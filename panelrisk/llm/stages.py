@@ -25,9 +25,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     sample = learning_rows(docs, table(spark, sf_dir, "labels"), "quality", 4, 2, quality.LEARN_ROWS)
     model = quality.fit(sample)
     # Written with the documents, so that each text is measured once.
-    rated = stored(docs.withColumn("__strength", quality.strengths(docs, model)))
-    model = quality.with_threshold(model, rated.select(F.col("__strength").alias("strength")))
-    return rated.where(quality.score_of(F.col("__strength"), model) >= quality.THRESHOLD).select(*docs.columns)
+    rated = stored(docs.select(F.struct("*").alias("doc"), quality.strengths(docs, model).alias("strength")))
+    model = quality.with_threshold(model, rated.select("strength"))
+    return rated.where(quality.score_of(F.col("strength"), model) >= quality.THRESHOLD).select("doc.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,15 @@ def test_stage_edge_rows(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
 
 
+def test_quality_stage_leaves_columns_of_clashing_names(spark, sf):
+    docs = table(spark, sf, "documents")
+    more = docs.withColumns({"strength": F.lit("s"), "doc": F.col("doc_id") + 1, "label": F.lit(None).cast("int")})
+    got = stages.quality_stage(spark, more, sf)
+    assert got.columns == more.columns
+    assert got.where("strength = 's' and doc = doc_id + 1 and label is null").count() == got.count() > 0
+    assert sorted(rows_of(got)) == sorted(rows_of(stages.quality_stage(spark, docs, sf)))
+
+
 def test_dedup_of_repeated_ids_keeps_every_other_text(spark, sf):
     """Against all pairs: one row of each group stays, whatever ids repeat."""
     words = [f"word{i}" for i in range(60)]
