@@ -26,8 +26,8 @@ import tempfile
 import uuid
 from array import array
 from collections import Counter
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Iterator, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ LEXICON_BYTES = 48
 CACHE_BYTES, COUNT_CACHE, ENTRY_BYTES = 128 << 20, 400_000, 150
 #: Texts looked up together.
 GROUP = 256
+#: Words merged side by side, and words so few that each is merged alone.
+SIDE_BY_SIDE, FEW_WORDS = 4096, 32
 
 # Fixed value: the byte-level pre-tokenisation pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -77,6 +79,11 @@ class Tables:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a] << 32 | vocab[b]] = rank
             self.made.append(vocab[a + b])
+        # The same as arrays, for many words at a time.
+        pairs = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(pairs)
+        self.pairs, self.pair_rank = pairs[order], np.fromiter(self.rank.values(), np.int32, len(pairs))[order]
+        self.made_ids, self.byte_ids = np.array(self.made, np.int64), np.array(self.byte_id, np.int64)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.piece = [b""] * size
@@ -102,6 +109,69 @@ class Tables:
                 ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
         return ids
 
+    def words(self, data: list[bytes]) -> list[bytes]:
+        """Ids, as little-endian unsigned 32-bit integers, of many pre-tokens: those
+        of about one length are merged side by side, a pair of each in a round."""
+        if len(data) < FEW_WORDS:
+            return [_bytes(self.word(w)) for w in data]
+        out = [b""] * len(data)
+        order = sorted(range(len(data)), key=lambda i: len(data[i]))
+        for k in range(0, len(order), SIDE_BY_SIDE):
+            part = order[k : k + SIDE_BY_SIDE]
+            short = [i for i in part if len(data[i]) <= 48]
+            for i in part[len(short) :]:
+                out[i] = _bytes(self.word(data[i]))
+            if short:
+                ids, size = self._merged([data[i] for i in short])
+                flat = ids[np.arange(ids.shape[1]) < size[:, None]].astype("<u4").tobytes()
+                ends = (4 * np.cumsum(size)).tolist()
+                for i, a, b in zip(short, [0, *ends], ends, strict=False):
+                    out[i] = flat[a:b]
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; ``len(made)`` where they don't merge."""
+        key = left << 32 | right
+        if not len(self.pairs):
+            return np.zeros(key.shape, np.int32)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], np.int32(len(self.made)))
+
+    def _merged(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of words, padded to the longest one."""
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        width, none = max(1, int(size.max())), len(self.made)
+        grid = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in data), np.uint8).reshape(-1, width)
+        done = self.byte_ids[grid]
+        live = np.flatnonzero(size > 1)
+        ids, n = done[live], size[live]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        place = np.arange(width)
+        ranks[place[:-1] >= n[:, None] - 1] = none
+        while len(live):
+            i = ranks.argmin(axis=1) if width > 1 else np.zeros(len(live), np.int64)
+            best = ranks[np.arange(len(live)), i]
+            go = best < none
+            if not go.all():
+                over = live[~go]
+                done[over], size[over] = ids[~go], n[~go]
+                live, ids, n, ranks, i, best = live[go], ids[go], n[go], ranks[go], i[go], best[go]
+                if not len(live):
+                    break
+            rows = np.arange(len(live))
+            ids[rows, i] = self.made_ids[best]
+            # What follows the pair moves up by one.
+            later = np.minimum(place + (place > i[:, None]), width - 1)
+            ids = np.take_along_axis(ids, later, 1)
+            n -= 1
+            ranks = np.take_along_axis(ranks, np.minimum(later[:, :-1], width - 2), 1)
+            ranks[rows, n - 1] = none
+            has = np.flatnonzero(i > 0)
+            ranks[has, i[has] - 1] = self._ranks(ids[has, i[has] - 1], ids[has, i[has]])
+            has = np.flatnonzero(i < n - 1)
+            ranks[has, i[has]] = self._ranks(ids[has, i[has]], ids[has, i[has] + 1])
+        return done, size
+
     def _long(self, ids: list[int]) -> list[int]:
         n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -178,69 +248,64 @@ class Transducer:
         return out
 
 
-def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
+def compile_lexicon(words: list[bytes], ids: Sequence[Sequence[int]]) -> bytes:
     """File of the minimal acyclic transducer: sorted ``words`` -> their ``ids``.
 
-    Words are added in order; once a branch can't grow any more, its nodes are
-    replaced by equal ones already seen, so that suffixes are shared. An arc's
-    output is the number of words that sort before those reached through it.
+    Words are added in order; once a branch can't grow any more, its nodes become
+    states, equal ones the same state, so that suffixes are shared. Only states are
+    held, as arrays. An arc's output is the number of words that sort before those
+    reached through it.
     """
-    nodes: list[dict[int, int]] = [{}]
-    final: list[bool] = [False]
-    seen: dict[tuple, int] = {}
-    path: list[tuple[int, int, int]] = []  # (parent, byte, child) of the last word
+    # Nodes of the last word's path: their arcs so far and whether a word ends there.
+    path: list[tuple[list[int], list[int], bool]] = [([], [], False)]
+    # Of the finished states the end of their arcs, whether a word ends there, and how many are reached.
+    ends, final, reach = array("I"), bytearray(), array("I")
+    byte_of, child_of = bytearray(), array("I")
+    seen: dict[bytes, int] = {}
 
     def freeze(depth: int) -> None:
-        while len(path) > depth:
-            parent, byte, child = path.pop()
-            same = nodes[parent][byte] = seen.setdefault((final[child], tuple(nodes[child].items())), child)
-            if same != child:
-                nodes[child] = {}
+        while len(path) > depth + 1:
+            into = finish(*path.pop())
+            path[-1][1].append(into)
+
+    def finish(bytes_: list[int], children: list[int], ended: bool) -> int:
+        same = seen.setdefault(bytes([ended, *bytes_]) + array("I", children).tobytes(), len(final))
+        if same == len(final):
+            byte_of.extend(bytes_)
+            child_of.extend(children)
+            ends.append(len(byte_of))
+            final.append(ended)
+            reach.append(ended + sum(reach[c] for c in children))
+        return same
 
     last = b""
     for word in words:
         common = len(os.path.commonprefix([last, word]))
         freeze(common)
-        at = path[-1][2] if path else 0
         for byte in word[common:]:
-            nodes.append({})
-            final.append(False)
-            nodes[at][byte] = len(nodes) - 1
-            path.append((at, byte, len(nodes) - 1))
-            at = len(nodes) - 1
-        final[at] = True
+            path[-1][0].append(byte)
+            path.append(([], [], False))
+        path[-1] = (*path[-1][:2], True)
         last = word
     freeze(0)
-
-    order: dict[int, int] = {}
-    stack = [0]
-    while stack:
-        n = stack.pop()
-        if n not in order:
-            order[n] = len(order)
-            stack.extend(nodes[n].values())
-    count: dict[int, int] = {}
-
-    def below(n: int) -> int:
-        if n not in count:
-            count[n] = int(final[n]) + sum(below(c) for c in nodes[n].values())
-        return count[n]
-
-    arcs = []
-    for n, state in order.items():
-        done = int(final[n])
-        for byte, child in sorted(nodes[n].items()):
-            arcs.append((state << 8 | byte, order[child], done))
-            done += below(child)
-    arcs.sort()
-    table = np.array(arcs, np.uint32).reshape(-1, 3)
+    finish(*path.pop())
+    seen.clear()
+
+    # Finished last, the root comes first in the file.
+    end, child = np.frombuffer(ends, np.uint32).astype(np.int64), np.frombuffer(child_of, np.uint32).astype(np.int64)
+    ended, below = np.frombuffer(final, np.uint8), np.frombuffer(reach, np.uint32).astype(np.int64)
+    n = len(end)
+    begin = np.concatenate([[0], end[:-1]])
+    owner = np.repeat(np.arange(n), end - begin)
+    before = np.concatenate([[0], np.cumsum(below[child])])
+    add = before[:-1] - before[begin][owner] + ended[owner]
+    key = (n - 1 - owner) << 8 | np.frombuffer(byte_of, np.uint8)
+    by = np.argsort(key)
+    arcs = [x[by].astype(np.uint32) for x in (key, n - 1 - child, add)]
     start = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.uint32)
-    flat = np.array([i for x in ids for i in x], np.uint32)
-    ends = np.zeros(len(order), np.uint8)
-    for n, state in order.items():
-        ends[state] = final[n]
-    head = np.array([len(table), len(order), len(words), len(flat)], np.int64)
-    return b"".join(x.tobytes() for x in (head, table[:, 0], table[:, 1], table[:, 2], start, flat, ends))
+    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(start[-1]))
+    head = np.array([len(key), n, len(words), len(flat)], np.int64)
+    return b"".join(x.tobytes() for x in (head, *arcs, start, flat, ended[::-1]))
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -250,6 +315,13 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _ids(data: bytes) -> array:
+    out = array("I", data)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out
+
+
 class Encoder:
     """Encodes texts by a lexicon and, outside of it, exact merges."""
 
@@ -263,39 +335,48 @@ class Encoder:
         self.marks = {m: _bytes(tables.word(m.encode())) for m in ".,;:!?"}
 
     def merged(self, text: str) -> list[int]:
-        out: list[int] = []
-        for word in self.cut.findall(text):
-            out += self.tables.word(word.encode())
-        return out
+        return _ids(self.merged_all([text])[0]).tolist()
+
+    def merged_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; a pre-token that occurs in several is merged once."""
+        cut = [self.cut.findall(t) for t in texts]
+        words = list(dict.fromkeys(w for c in cut for w in c))
+        ids = dict(zip(words, self.tables.words([w.encode() for w in words]), strict=True))
+        return [b"".join(map(ids.__getitem__, c)) for c in cut]
 
     def whole(self, text: str) -> bytes:
         """Ids of a text in one piece, added tokens included."""
-        out, at = [], 0
+        between, tokens, at = [], [b""], 0
         for m in self.special.finditer(text) if self.special else ():
-            out += self.merged(text[at : m.start()])
-            out.append(self.tables.added[m.group()])
+            between.append(text[at : m.start()])
+            tokens.append(_bytes([self.tables.added[m.group()]]))
             at = m.end()
-        return _bytes(out + self.merged(text[at:]))
+        between.append(text[at:])
+        return b"".join(t + b for t, b in zip(tokens, self.merged_all(between), strict=True))
 
     def remember(self, unit: str, ids: bytes) -> None:
         self.cache[unit] = ids
         self.held += ENTRY_BYTES + len(unit) + len(ids)
 
     def learn(self, new: list[str]) -> None:
-        data = [b" " + u.encode() for u in new]
-        numbers = self.lexicon.numbers(data).tolist() if self.lexicon else [-1] * len(new)
+        numbers = self.lexicon.numbers([b" " + u.encode() for u in new]).tolist() if self.lexicon else [-1] * len(new)
+        outside: dict[str, None] = {}  # to be merged: units, and stems of units that end with a mark
+        marked = []
         for u, k in zip(new, numbers, strict=True):
             if k >= 0:
                 a, b = self.lexicon.start[k], self.lexicon.start[k + 1]
                 self.remember(u, self.lexicon.ids[a:b].astype("<u4").tobytes())
             elif u[-1:] in self.marks and u[-2:-1].isalpha() and u[-2] < "\u0250":
-                stem = self.cache.get(u[:-1])
-                if stem is None:
-                    stem = _bytes(self.merged(" " + u[:-1]))
-                    self.remember(u[:-1], stem)
-                self.remember(u, stem + self.marks[u[-1]])
+                marked.append(u)
+                if u[:-1] not in self.cache:
+                    outside[u[:-1]] = None
             else:
-                self.remember(u, _bytes(self.merged(" " + u)))
+                outside[u] = None
+        for u, ids in zip(outside, self.merged_all([" " + u for u in outside]), strict=True):
+            if u not in self.cache:
+                self.remember(u, ids)
+        for u in marked:
+            self.remember(u, self.cache[u[:-1]] + self.marks[u[-1]])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
@@ -309,7 +390,7 @@ class Encoder:
             for u in cut:
                 if u is not None:
                     new.update(u[1:])
-            self.learn(list(new - self.cache.keys()))
+            self.learn([u for u in new if u not in self.cache])  # a difference of key views goes through the whole cache
             get = self.cache.__getitem__
             for text, u in zip(group, cut, strict=True):
                 if u is None:
@@ -374,7 +455,10 @@ def build_lexicon(docs: DataFrame, tables: Tables, text_col: str = "text", size:
     top = counts.where(F.col("n") >= least) if least else counts.limit(0)
     words = sorted(b" " + r.unit.encode() for r in top.select("unit").toLocalIterator())
     exact = Encoder(tables, None)
-    return compile_lexicon(words, [exact.merged(w.decode()) for w in words])
+    ids: list[array] = []
+    for k in range(0, len(words), SIDE_BY_SIDE):
+        ids += map(_ids, exact.merged_all([w.decode() for w in words[k : k + SIDE_BY_SIDE]]))
+    return compile_lexicon(words, ids)
 
 
 def encode_decode(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -64,3 +65,32 @@ def test_query_rows(docs_of, library):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_decode(docs_of([]), PATH).count() == 0
+
+
+def test_words_merged_side_by_side_equal_words_alone():
+    tables = bpe.Tables(PATH)
+    rng = random.Random(5)
+    data = [bytes(rng.choice(b" etaoinshrdl.,0\xc3\xa9") for _ in range(rng.randint(0, 60))) for _ in range(9000)]
+    data += [b" the", b" there", b"aaaaaaaa", b""] * 20
+    assert tables.words(data) == [np.array(tables.word(w), "<u4").tobytes() for w in data]
+    assert tables.words(data[:5]) == [np.array(tables.word(w), "<u4").tobytes() for w in data[:5]]
+
+
+def test_compiling_holds_states_and_no_node_of_every_word():
+    words = sorted(f" {i:05d}abcdefghijklmnopqrstuvwxyzabcdefghijkl".encode() for i in range(4000))
+    ids = [[i] for i in range(len(words))]
+    tracemalloc.start()
+    bpe.compile_lexicon(words, ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000, peak
+
+
+def test_learning_does_not_go_through_what_is_known():
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("goes through the whole cache")
+
+    encoder = bpe.Encoder(bpe.Tables(PATH), None)
+    encoder.cache = Known()
+    assert len(list(encoder.encode(["one two three", "one two four"]))) == 2
