@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,21 +79,54 @@ def cluster_inertia(points: DataFrame, features: str = "features", label: str =
     return joined.groupBy(label).agg(F.any_value("n").alias("n"), F.sum(_norm2(diff)).alias("inertia"))
 
 
-#: Points on one side of a block pair.
-BLOCK = 512
+#: Points on one side of a block pair, and those of them measured at a time.
+BLOCK, STRIP = 4096, 512
+
+
+def _summed_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of ``x`` the sum of its distances to all rows of ``y``.
+
+    Squares come from one product, around the mean of ``y``; a pair too close for
+    that (its square is lost in the rounding of the norms) is measured by its
+    differences, as are all where a value isn't finite.
+    """
+    if not (np.isfinite(x).all() and np.isfinite(y).all()):
+        return np.array([np.sqrt(((y - row) ** 2).sum(axis=1)).sum() for row in x])
+    mean = y.mean(axis=0)
+    x, y = x - mean, y - mean
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = np.empty(len(x))
+    for a in range(0, len(x), STRIP):
+        strip = x[a : a + STRIP]
+        norms = xx[a : a + STRIP, None] + yy
+        squares = norms - 2 * (strip @ y.T)
+        i, j = np.nonzero(~(squares > 1e-6 * norms))
+        for k in range(0, len(i), 1 << 16):
+            at, to = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            squares[at, to] = ((strip[at] - y[to]) ** 2).sum(axis=1)
+        out[a : a + STRIP] = np.sqrt(squares).sum(axis=1)
+    return out
+
+
+def _vectors(side: pa.Table) -> np.ndarray:
+    """The vectors of a block, a row each; they never become Python objects."""
+    rows = side.column("xs").combine_chunks().flatten()
+    size = np.unique(rows.value_lengths().to_numpy(zero_copy_only=False))
+    if rows.null_count or len(size) > 1:
+        raise ValueError("vectors must be given and of one length")
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
 
 
 def _distance_sums(group: pa.Table) -> pa.Table:
     """(id, c, total): the summed distances of a block of points to a block of a
     cluster's; a block without its partner gives none."""
-    sides = {r["side"]: r for r in group.to_pylist()}
-    ids, total, c = [], [], None
-    if len(sides) == 2:
-        c, ids = sides["points"]["c"], sides["points"]["ids"]
-        x, y = np.array(sides["points"]["xs"], float), np.array(sides["cluster"]["xs"], float)
-        total = [float(np.sqrt(((y - row) ** 2).sum(axis=1)).sum()) for row in x]
-    kind = group.schema.field("ids").type.value_type
-    return pa.table({"id": pa.array(ids, kind), "c": pa.array([c] * len(ids), group.schema.field("c").type), "total": pa.array(total, pa.float64())})
+    sides = {s: group.filter(pc.equal(group.column("side"), s)) for s in ("points", "cluster")}
+    kind, of = group.schema.field("ids").type.value_type, group.schema.field("c").type
+    if not all(len(s) for s in sides.values()):
+        return pa.table({"id": pa.array([], kind), "c": pa.array([], of), "total": pa.array([], pa.float64())})
+    ids = sides["points"].column("ids").combine_chunks().flatten()
+    total = _summed_distances(_vectors(sides["points"]), _vectors(sides["cluster"]))
+    return pa.table({"id": ids, "c": pa.array([group.column("c")[0].as_py()] * len(ids), of), "total": pa.array(total)})
 
 
 def _mean_distances(wanted: DataFrame, points: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -276,3 +277,32 @@ def test_euclidean_silhouette_of_every_pair(spark, monkeypatch):
     assert rg.silhouette(df.limit(0), metric="euclidean").collect() == []
     with pytest.raises(ValueError, match="metric"):
         rg.silhouette(df, metric="odd")
+
+
+def test_summed_distances_of_close_and_far_points():
+    rng = np.random.default_rng(3)
+    y = rng.normal(0, 1, (700, 8)) + 1e6
+    y[100:300] = y[0]  # equal points have distance 0, not the rounding of their norms
+    y[300:400] = y[0] + rng.normal(0, 1e-5, (100, 8))
+    want = np.array([np.sqrt(((y - row) ** 2).sum(axis=1)).sum() for row in y])
+    assert rg._summed_distances(y, y) == pytest.approx(want, rel=1e-9)
+    same = np.full((5, 8), 1e6)
+    assert rg._summed_distances(same, same).tolist() == [0.0] * 5
+    y[7, 2] = np.inf
+    assert np.isinf(rg._summed_distances(y[:3], y)).all()
+
+
+def test_block_pair_never_becomes_python_objects(monkeypatch):
+    """A vector is read from Arrow as it lies: lists of numbers took most of the time."""
+    xs = pa.array([[[0.0, 0.0], [3.0, 4.0]], [[0.0, 0.0]]], pa.list_(pa.list_(pa.float64())))
+    group = pa.table({"c": pa.array([1, 1], pa.int32()), "side": ["points", "cluster"], "ids": pa.array([[5, 6], [7]], pa.list_(pa.int64())), "xs": xs})
+
+    class NoLists:
+        def __getattr__(self, name):
+            if name == "to_pylist":
+                raise AssertionError(name)
+            return getattr(group, name)
+
+    assert rg._distance_sums(NoLists()).to_pydict() == {"id": [5, 6], "c": [1, 1], "total": [0.0, 5.0]}
+    with pytest.raises(ValueError, match="vectors"):
+        rg._distance_sums(group.set_column(3, "xs", pa.array([[[0.0, 0.0], None], [[0.0, 0.0]]], xs.type)))
