@@ -29,7 +29,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from . import kernel, store
 from .clean import fill_forward_back
 from .evaluate import component_errors, decline_fit, regression_metrics, report_rounding
@@ -130,8 +130,8 @@ def train_one(train: DataFrame, spec: ModelSpec, panel: PanelSpec, min_rows: int
 
 def train_all(train: DataFrame, specs, panel: PanelSpec, min_rows: int = MIN_TRAIN_ROWS, **sizes) -> dict:
     """Every model of the list, as concurrent jobs. The assembled rows are
-    persisted for the fits and released after them."""
-    rows = prepared(train, panel).persist()
+    spread, persisted for the fits and released after them."""
+    rows = spread(prepared(train, panel), train.count()).persist()
     try:
         fits = [lambda s=s: train_one(rows, s, panel, min_rows, **sizes) for s in specs]
         return {f.spec.name: f for f in fit_concurrently(fits)}

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 from .segments import positions
 from .stats import as_list, same_keys
 
@@ -142,6 +142,7 @@ def decline_fit(
     else:
         placed = df.withColumn("__t", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
     rows = materialize(placed.select(*keys, F.col("__t").cast("double").alias("t"), F.col(y).cast("double").alias("y")))
+    rows = spread(rows, rows.count())
     firsts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("t") == 0, F.col("y"))).alias("y0"))
     named = [F.col(k).alias(f"__k_{k}") for k in keys]
     state = firsts.select(*named, F.lit(lo).alias("start"), F.lit((hi - lo) / (points - 1)).alias("width"))

@@ -18,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .evaluate import cv_folds
 
 # The surveyed grid and the width of the loss's quadratic part.
@@ -95,11 +97,11 @@ def _sums(rows: DataFrame, stats: dict, target: str, weights: list, candidates:
         )
 
     def total_of(group: pa.Table) -> pa.Table:
-        summed = np.sum([np.array(s) for s in group["sums"].to_pylist()], axis=0)
+        summed = pc.list_flatten(group["sums"]).to_numpy().reshape(len(group), -1).sum(axis=0)
         return pa.table({"i": group["i"][:1], "sums": pa.array([summed], pa.list_(pa.float64()))})
 
     schema = "i int, sums array<double>"
-    summed = rows.select("fold", target, *sorted(stats)).mapInArrow(part, schema).groupBy("i").applyInArrow(total_of, schema)
+    summed = rows.mapInArrow(part, schema).groupBy("i").applyInArrow(total_of, schema)
     out = np.zeros((len(candidates), width, width + 1))
     for r in summed.collect():  # one row of a fixed size for each candidate
         out[r.i] = np.array(r.sums).reshape(width, width + 1)
@@ -140,9 +142,19 @@ def search(
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     stats = column_stats(train, features)
-    folds = max(2, min(3, train.count() // 2))
-    rows = cv_folds(train, key, order, folds)
-    named = [(name if isinstance(name, str) else repr(name), gamma_of(train, stats, name)) for name in gammas]
+    n = train.count()
+    folds = max(2, min(3, n // 2))
+    # Dealt to folds once: every pass of the search reads these rows.
+    dealt = spread(cv_folds(train, key, order, folds).select("fold", target, *sorted(stats)), n).persist()
+    try:
+        return stats, *_searched(dealt, stats, target, folds, loss, cs, [(x, gamma_of(train, stats, x)) for x in gammas])
+    finally:
+        dealt.unpersist()
+
+
+def _searched(rows: DataFrame, stats: dict, target: str, folds: int, loss: str, cs, gammas) -> tuple[list[float], float, list[tuple]]:
+    """(weights, gamma, scores) of ``search``, over rows dealt to folds."""
+    named = [(name if isinstance(name, str) else repr(name), g) for name, g in gammas]
     candidates = [Candidate(c, g, f) for c in cs for g in dict.fromkeys(g for _, g in named) for f in range(folds)]
     tries = dict(zip(candidates, weights_of(rows, stats, target, candidates, loss), strict=True))
     pairs = list(dict.fromkeys((c.c, c.gamma) for c in candidates))
@@ -158,13 +170,13 @@ def search(
                 e[held, pairs.index((c.c, c.gamma))] = np.abs(z[c.gamma][held] @ w - y[held])
             yield pa.RecordBatch.from_arrays([pa.array(list(e), pa.list_(pa.float64()))], names=["e"])
 
-    each = rows.select("fold", target, *sorted(stats)).mapInArrow(errors, "e array<double>")
+    each = rows.mapInArrow(errors, "e array<double>")
     maes = each.agg(*[F.avg(F.col("e")[i]).alias(f"e{i}") for i in range(len(pairs))]).first()
     mae = dict(zip(pairs, (float(x) for x in maes), strict=True))
     best = min(pairs, key=lambda p: mae[p])
     (weights,) = weights_of(rows, stats, target, [Candidate(*best, -1)], loss)
     scores = [(c, name, g, mae[(c, g)]) for c in cs for name, g in named]
-    return stats, weights.tolist(), best[1], scores
+    return weights.tolist(), best[1], scores
 
 
 def predicted(df: DataFrame, stats: dict, weights: list[float], gamma: float) -> DataFrame:

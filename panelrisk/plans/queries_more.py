@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as cl
 from ..operators import disagg as dg
 from ..operators import panel_ops as po
-from ..session import ensure_checkpoint_dir, materialize
+from ..session import ROWS_PER_PART, ensure_checkpoint_dir, materialize, spread
 from ..sources import panels
 from ..sources.tables import read_table
 from ..specs import INITIAL_DEFAULTS
@@ -528,7 +528,6 @@ MODELS = [
     eco.ModelSpec("regimes", "kmeans"),
 ]
 REGRESSORS = [m for m in MODELS if m.kind != "kmeans"]
-ROWS_PER_PARTITION = 50_000
 
 
 def training_data(spark, sf_dir):
@@ -536,7 +535,8 @@ def training_data(spark, sf_dir):
     in as many partitions as its rows need (a fit runs a job per iteration)."""
     q = metrics_double(quarter_panel(spark, sf_dir))
     rows = materialize(q.withColumn("production", F.lit(4.7) * F.col("volume") / F.col("n_orders")))
-    return rows.coalesce(1 + rows.count() // ROWS_PER_PARTITION)
+    n = rows.count()
+    return spread(rows, n) if n > ROWS_PER_PART else rows.coalesce(1)
 
 
 def rows_mark(rows):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from panelrisk import session
 from panelrisk.operators import ecosystem as eco
 from panelrisk.operators import kernel, ml, store
 from panelrisk.operators import regimes as rg
@@ -306,3 +307,30 @@ def test_block_pair_never_becomes_python_objects(monkeypatch):
     assert rg._distance_sums(NoLists()).to_pydict() == {"id": [5, 6], "c": [1, 1], "total": [0.0, 5.0]}
     with pytest.raises(ValueError, match="vectors"):
         rg._distance_sums(group.set_column(3, "xs", pa.array([[[0.0, 0.0], None], [[0.0, 0.0]]], xs.type)))
+
+
+def test_few_bytes_are_not_left_in_one_part(spark, panel, monkeypatch):
+    """A fit's work goes with the rows, not their bytes: a shuffle left 42,000 rows to one core."""
+    seen = {}
+    specs = [SPECS[0], SPECS[2]]
+    one = eco.predict_all(eco.train_all(panel, specs[1:], PANEL), panel, PANEL)
+    want = {(r.k, r.d): r.y_pred for r in one.collect()}
+    monkeypatch.setattr(session, "ROWS_PER_PART", 20)
+    fit_one, sums, forest = eco.train_one, kernel._sums, eco.fit_forest
+    note = lambda name, df: seen.setdefault(name, set()).add((df.rdd.getNumPartitions(), df.storageLevel.useMemory))
+    monkeypatch.setattr(eco, "train_one", lambda rows, *a, **more: (note("fit", rows), fit_one(rows, *a, **more))[1])
+    monkeypatch.setattr(eco, "fit_forest", lambda rows, *a: (note("forest", rows), forest(rows, *a))[1])
+    monkeypatch.setattr(kernel, "_sums", lambda rows, *a: (note("kernel", rows), sums(rows, *a))[1])
+    fitted = eco.train_all(panel, specs, PANEL, **SMALL)
+    assert seen == {"fit": {(6, True)}, "forest": {(6, True)}, "kernel": {(6, True)}}  # the search reads rows dealt once
+    assert not any(f.error for f in fitted.values()) and fitted["hybrid"].decline.count() == 4
+    predictions = eco.predict_all({"kernel": fitted["kernel"]}, panel, PANEL)
+    got = {(r.k, r.d): r.y_pred for r in predictions.collect()}
+    assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_spread_keeps_rows_and_parts_of_few(spark):
+    df = spark.range(25).select(F.when(F.col("id") > 2, F.col("id") % 7).alias("x")).coalesce(1)
+    assert session.spread(df, 25).rdd.getNumPartitions() == 1 and session.spread(df, 20_001).rdd.getNumPartitions() == 3
+    assert sorted(map(str, session.spread(df, 20_001).collect())) == sorted(map(str, df.collect()))
+    assert session.spread(df.limit(0), 0).count() == 0
