@@ -174,7 +174,7 @@ def predict_one(fitted: Fitted, df: DataFrame, panel: PanelSpec, origin: str = "
 
 def predict_all(fitted: dict, df: DataFrame, panel: PanelSpec, origin: str = "reference") -> DataFrame:
     """Predictions of every regressor."""
-    rows = prepared(df, panel)
+    rows = spread(prepared(df, panel), df.count())
     out = None
     for f in fitted.values():
         if f.spec.kind != "kmeans":

@@ -325,6 +325,7 @@ def test_few_bytes_are_not_left_in_one_part(spark, panel, monkeypatch):
     assert seen == {"fit": {(6, True)}, "forest": {(6, True)}, "kernel": {(6, True)}}  # the search reads rows dealt once
     assert not any(f.error for f in fitted.values()) and fitted["hybrid"].decline.count() == 4
     predictions = eco.predict_all({"kernel": fitted["kernel"]}, panel, PANEL)
+    assert predictions.rdd.getNumPartitions() == 6
     got = {(r.k, r.d): r.y_pred for r in predictions.collect()}
     assert got == pytest.approx(want, abs=1e-3)
 
